@@ -1,0 +1,23 @@
+"""Results that several later steps read, kept where every executor can read them."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; a local one is set only where the session names none, as in tests."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return sc._jsc.sc().getCheckpointDir().get()
+    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
+    sc.setCheckpointDir(path)
+    return path
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df``, computed once and written to the shared folder; its lineage ends there."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
