@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, rules, tokens
+from . import mixing, packing, rules, sharding, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -61,12 +62,61 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_pieces(pieces, capacity=2048)
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.assign(_read(spark, sf_dir, "documents"), shards=40)
+    return rows.withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix(_read(spark, sf_dir, "documents"), weights=(1, 2, 3), max_epochs=3)
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, 3 * source_size AS cap FROM s
+), l AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+            / (sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
+  FROM w WINDOW o AS (ORDER BY cap::DOUBLE / weight, source NULLS LAST)
+), t AS (
+  SELECT source, source_size,
+         least(cap::DOUBLE, coalesce(max(level) FILTER (level * weight <= cap) OVER () * weight, cap::DOUBLE)) AS target
+  FROM l
+), r AS (
+  SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole,
+         row_number() OVER () AS r, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), m AS (
+  SELECT *, CASE WHEN whole < 3 THEN target - whole * source_size ELSE 0.0 END AS rest, upto <= rest AS more FROM r
+), x AS (
+  SELECT *, rest - coalesce(sum(size) FILTER (more) OVER (PARTITION BY source), 0) AS rest_left FROM m
+), y AS (
+  SELECT *, NOT more AND whole < 3 AS may, abs(rest_left - size) AS gap FROM x
+), z AS (
+  SELECT *, row_number() OVER (PARTITION BY source, may ORDER BY gap, h, doc_id, size, r) AS k FROM y
+)
+SELECT doc_id, size, source_size, target,
+       (size * (whole + (whole < 3 AND more OR may AND k = 1 AND gap < rest_left)::INT))::BIGINT AS taken
+FROM z
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
+    "op6_sharding": op6_sharding,
     "op7_quality_rules": op7_quality_rules,
     "op9_packing": op9_packing,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLES: dict[str, str] = {
     "op7_quality_rules": OP7_SQL,
+    "op10_mixing": OP10_SQL,
 }
