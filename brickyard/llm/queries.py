@@ -7,13 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, rules, sharding, tokens
+from . import classifier, labelled, mixing, packing, rules, sharding, tokens, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Most labelled rows that a model is fitted on.
+SAMPLE_ROWS = 5000
+
+
+def _scored(docs: DataFrame, labels: DataFrame, label: str, fit, modulus: int, held: int) -> DataFrame:
+    """doc_id, held_out, score and predicted by a model fitted on a sample of the labels that aren't held out."""
+    usable = labelled.remainder(F.col("doc_id"), modulus) != held
+    table = labelled.sample(docs, labels, label, usable, most=SAMPLE_ROWS)
+    model = fit(table.column("text").combine_chunks(), table.column("y").to_numpy())
+    scored = classifier.score(docs.select("doc_id", "text"), model.scores)
+    return scored.select(
+        "doc_id", (labelled.remainder(F.col("doc_id"), modulus) == held).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), "toxic", toxicity.fit, 3, 1)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), "quality", classifier.fit, 4, 2)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.token_counts(docs, path=tokens.tokenizer_path(), limit=512)
@@ -109,9 +132,11 @@ FROM z
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op4_token_counts": op4_token_counts,
     "op6_sharding": op6_sharding,
     "op7_quality_rules": op7_quality_rules,
+    "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
 }
