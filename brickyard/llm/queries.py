@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, labelled, mixing, packing, rules, sharding, tokens, toxicity
+from . import classifier, labelled, linededup, mixing, packing, rules, sharding, tokens, topk, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,6 +37,36 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), "quality", classifier.fit, 4, 2)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", linededup.page_host(F.col("url")).alias("host"), linededup.html_lines(F.col("html")).alias("text"))
+    return linededup.drop_lines(pages, ratio=0.1, least_pages=5)
+
+
+OP2_SQL = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS r, page_id, nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/:?#]+)', 1), '') AS host,
+         regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', chr(10), 'g'),
+                        '<[^>]*>', chr(10), 'g'), '\n[\x20\x09-\x0D]*\n', chr(10), 'g') AS text
+  FROM pages
+), h AS (
+  SELECT host, count(*) AS n_host FROM p GROUP BY host
+), l AS (
+  SELECT r, host, i, line, nullif(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '') AS bare
+  FROM (SELECT r, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM p)
+), k AS (
+  SELECT l.host, bare FROM l JOIN h ON l.host IS NOT DISTINCT FROM h.host WHERE bare IS NOT NULL
+  GROUP BY l.host, bare, n_host HAVING count(DISTINCT r) >= 5 AND count(DISTINCT r) > n_host * 0.1
+), m AS (
+  SELECT l.*, k.bare IS NOT NULL AS hit FROM l LEFT JOIN k ON l.host IS NOT DISTINCT FROM k.host AND l.bare = k.bare
+), s AS (
+  SELECT r, count(bare) AS n, count(*) FILTER (hit) AS d, string_agg(line, chr(10) ORDER BY i) FILTER (NOT hit) AS rest FROM m GROUP BY r
+)
+SELECT page_id, host, CASE WHEN d > 0 AND d < n THEN rest ELSE text END AS text, coalesce(n, 0) AS n_lines,
+       CASE WHEN d > 0 AND d < n THEN d ELSE 0 END AS n_dropped
+FROM p LEFT JOIN s USING (r)
+"""
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.token_counts(docs, path=tokens.tokenizer_path(), limit=512)
@@ -85,6 +115,25 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_pieces(pieces, capacity=2048)
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(_read(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
+OP5_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.assign(_read(spark, sf_dir, "documents"), shards=40)
     return rows.withColumn("grown_shard", F.lit(None).cast("int"))
@@ -133,7 +182,9 @@ FROM z
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_line_dedup": op2_line_dedup,
     "op4_token_counts": op4_token_counts,
+    "op5_topk": op5_topk,
     "op6_sharding": op6_sharding,
     "op7_quality_rules": op7_quality_rules,
     "op8_quality": op8_quality,
@@ -142,6 +193,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_line_dedup": OP2_SQL,
+    "op5_topk": OP5_SQL,
     "op7_quality_rules": OP7_SQL,
     "op10_mixing": OP10_SQL,
 }
