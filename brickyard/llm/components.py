@@ -1,0 +1,24 @@
+"""Connected components of an edge table, by minimum labels and pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .checkpoints import kept
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """v and root (the smallest vertex reachable) for each vertex of edges a, b. Each round at least doubles what a label has reached along roots."""
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = kept(both.filter(F.col("a") != F.col("b")).distinct())
+    labels = kept(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("root")))
+    while True:
+        near = both.join(labels.select(F.col("v").alias("b"), "root"), "b").groupBy(F.col("a").alias("v")).agg(F.min("root").alias("m"))
+        lower = labels.join(near, "v").select("v", F.col("root").alias("old"), F.least("root", "m").alias("root"))
+        onto = labels.select(F.col("v").alias("root"), F.col("root").alias("_far"))
+        labels = kept(lower.join(onto, "root", "left").select("v", "old", F.least("root", F.coalesce("_far", "root")).alias("root")))
+        changed = labels.filter(F.col("old") != F.col("root")).limit(1).count()
+        labels = labels.select("v", "root")
+        if not changed:
+            return labels

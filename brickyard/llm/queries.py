@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, labelled, linededup, mixing, packing, rules, sharding, tokens, topk, toxicity
+from . import classifier, labelled, linededup, mixing, packing, rules, setsketch, sharding, tokens, topk, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -67,6 +67,10 @@ FROM p LEFT JOIN s USING (r)
 """
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(_read(spark, sf_dir, "documents"), width=5, percent=75)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.token_counts(docs, path=tokens.tokenizer_path(), limit=512)
@@ -183,6 +187,7 @@ FROM z
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_token_counts": op4_token_counts,
     "op5_topk": op5_topk,
     "op6_sharding": op6_sharding,
