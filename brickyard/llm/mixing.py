@@ -102,16 +102,33 @@ def repetitions(rows: DataFrame, targets: DataFrame, *, seed: str = "mix", max_e
     return drawn.join(nearest, ["_k", "_n"], "left").select(*columns, "source_size", "target", (F.col("_whole") + again.cast("long")).alias("times"))
 
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, times and taken.
 
     The budget is all words. A null or empty text has size 0 and takes 0; a
     null source is a source of its own, last in the order of weights.
-    Repeated rows are documents of their own; further columns are left out.
-    An empty table gives an empty result.
+    Repeated rows are documents of their own; further columns than those
+    named by ``keep`` are left out. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), word_count(F.col(f"`{text_col}`").cast("string")).alias("size"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), word_count(F.col(f"`{text_col}`").cast("string")).alias("size"))
     rows = kept(rows)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = water_fill(cyclic_weights(sizes, weights), max_epochs=max_epochs)
     return repetitions(rows, targets, seed=seed, max_epochs=max_epochs).withColumn("taken", F.col("times") * F.col("size"))
+
+
+def sampled(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs`` with each row as often as ``mix`` takes it; all columns stay.
+
+    Rows equal in id, source and text are taken for one another.
+    """
+    key = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    keyed = docs.withColumn("_text_key", key)
+    mixed = mix(keyed, weights=weights, max_epochs=max_epochs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, keep=("_text_key",))
+    taken = kept(mixed.groupBy("doc_id", "source", "_text_key").agg(F.sum("times").alias("_times"), F.count("*").alias("_rows")))
+    if taken.filter("_rows > 1").limit(1).count():
+        keyed = keyed.dropDuplicates([id_col, source_col, "_text_key"])
+    taken = taken.filter("_times > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("_text_key").alias("_key"), "_times")
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & F.col(f"`{source_col}`").eqNullSafe(F.col("_source")) & (F.col("_text_key") == F.col("_key"))
+    found = keyed.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    return found.select(*(F.col(f"`{c}`") for c in docs.columns))
