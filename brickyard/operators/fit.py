@@ -56,7 +56,7 @@ def semantics(evidence: DataFrame) -> DataFrame:
 def weighted(evidence: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """The strongest evidence of each concept of a job: norm (kind weight by confidence) and eff (by scope too)."""
     scope = _lookup(policy.scope, F.col("scope"))
-    norm = _lookup(policy.kind, F.col("kind")) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence")))
+    norm = F.when(F.col("confidence").isNotNull(), _lookup(policy.kind, F.col("kind")) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence"))))
     rows = evidence.withColumn("norm", norm).withColumn("eff", norm * scope).filter(F.col("eff").isNotNull())
     # The stronger scope stands first among equals.
     return rows.groupBy("job_id", "kind", "slug").agg(F.max(F.struct("eff", "scope", "norm")).alias("best")).select("job_id", "kind", "slug", "best.*")

@@ -106,7 +106,7 @@ def plausible_count(seen: Column, reported: Column, page_size: Column) -> Column
 def released_age(text: Column, now: Column) -> Column:
     """Whole days of 24 hours since an ISO time (without a zone: UTC), at least 0; null if unreadable."""
     at = F.try_to_timestamp(text)
-    return F.greatest(F.lit(0).cast("long"), F.floor((F.unix_timestamp(now) - F.unix_timestamp(at)) / 86400))
+    return F.when(at.isNotNull(), F.greatest(F.lit(0).cast("long"), F.floor((F.unix_timestamp(now) - F.unix_timestamp(at)) / 86400)))
 
 
 def age_bucket(days: Column) -> Column:

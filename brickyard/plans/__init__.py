@@ -1,6 +1,6 @@
 """All registered queries of the library."""
 
-from . import places
+from . import adverts, places
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "places"]
+__all__ = ["ORACLES", "QUERIES", "adverts", "places"]

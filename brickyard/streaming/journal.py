@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,14 +40,20 @@ def sightings(events: DataFrame, *, entity: str = "user_id", at: str = "ts", del
     return rows.groupBy(F.window(at, "1 day"), entity).agg(F.min(at).alias("first_seen_at"), F.max(at).alias("last_seen_at"), F.count("*").alias("n"))
 
 
-def run_once(stream: DataFrame, checkpoint: str, apply: Callable[[DataFrame, int], None]) -> None:
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared checkpoint folder; a local one only where the session names none, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
+    return f"{base}/{name}-{uuid.uuid4()}"
+
+
+def run_once(stream: DataFrame, checkpoint: str, apply: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Takes in all that has come since the last run, batch by batch, and ends.
 
     ``apply`` gets each batch with its number; writing under that number
     makes a repeated batch replace itself, so restarts lose and double
     nothing.
     """
-    query = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode(mode).foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
