@@ -125,24 +125,24 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, shard_rows: int
     n_blocks = max(1, -(-queries.count() // block_rows))
     place = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     dealt = vectors.select("vec_id", "v", F.size("v").alias("dim"), place(n_shards).alias("shard"))
-    asked = queries.select("vec_id", "v", F.size("v").alias("dim"), place(n_blocks).alias("block"))
+    asked = queries.select(F.col("vec_id").alias("q_id"), F.col("v").alias("q"), F.size("v").alias("q_dim"), place(n_blocks).alias("block"))
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({c: pd.Series(dtype="int64") for c in schema.names})
-        x, qs = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
+        x, qs = np.stack(left["v"].to_numpy()), np.stack(right["q"].to_numpy())
         ids = left["vec_id"].to_numpy()
         most = np.abs(x).max(initial=0.0) * np.abs(qs).max(initial=0.0) * x.shape[1]
         if most < EXACT:
             tree = build(x)
             floors = right["floor"].to_numpy(dtype=float) if "floor" in right else np.full(len(right), -np.inf)
             floors = np.where(np.isnan(floors), -np.inf, floors)
-            out = [(q, ids[r], int(s)) for q, v, f in zip(right["vec_id"].tolist(), qs, floors) for s, r in search(tree, x, ids, v, q, k, f)]
+            out = [(q, ids[r], int(s)) for q, v, f in zip(right["q_id"].tolist(), qs, floors) for s, r in search(tree, x, ids, v, q, k, f)]
         else:
             # Components too large for exact doubles: whole-number arithmetic, held within a long.
             whole, out = [[int(c) for c in v] for v in x], []
-            for q, v in zip(right["vec_id"].tolist(), qs):
+            for q, v in zip(right["q_id"].tolist(), qs):
                 v = [int(c) for c in v]
                 scored = sorted((-sum(a * b for a, b in zip(v, w)), int(i)) for w, i in zip(whole, ids) if i != q)[:k]
                 out += [(q, i, min(max(-s, LONG_MIN), LONG_MAX)) for s, i in scored]
@@ -155,13 +155,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, shard_rows: int
     def searched(parts: DataFrame, blocks: DataFrame, shards: int, first: int) -> DataFrame:
         left = parts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))) if n_blocks > 1 else parts.withColumn("block", F.lit(0))
         right = blocks.withColumn("shard", F.explode(F.sequence(F.lit(first), F.lit(first + shards - 1))))
-        keys = ("dim", "shard", "block")
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
+        pairs = left.groupBy("dim", "shard", "block").cogroup(right.groupBy("q_dim", "shard", "block"))
+        return pairs.applyInPandas(run, schema)
 
     pilot = kept(best(searched(dealt.filter(F.col("shard") == 0), asked, 1, 0)))
     if n_shards == 1:
         return pilot.select("query_id", "rank", "vec_id", "score")
-    floor = pilot.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
-    informed = asked.join(floor, "vec_id", "left")
+    floor = pilot.filter(F.col("rank") == k).select(F.col("query_id").alias("q_id"), F.col("score").cast("double").alias("floor"))
+    informed = asked.join(floor, "q_id", "left")
     rest = searched(dealt.filter(F.col("shard") > 0), informed, n_shards - 1, 1)
     return best(pilot.select("query_id", "vec_id", "score").unionByName(rest)).select("query_id", "rank", "vec_id", "score")
