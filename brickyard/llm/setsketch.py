@@ -7,8 +7,8 @@
 2. Bands of four registers are the buckets in which classes meet. Within a
    bucket the Jaccard similarity is estimated by the joint likelihood of the
    larger, smaller and equal registers given both set sizes; what may reach
-   the threshold joins the same family. Only a spanning star of each bucket
-   leaves its task.
+   the threshold joins the same family. Only edges that span a bucket leave
+   its task.
 3. Classes of a family are compared exactly on the shingle sets of their
    whole texts. The links' connected components are the result.
 
@@ -80,12 +80,16 @@ def may_reach(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right:
     The log-likelihood of the similarity is concave, so the sign of its
     slope at ``cut`` tells.
     """
-    more = np.zeros((len(left), len(right)), dtype=np.int32)
-    less = np.zeros_like(more)
-    for k in range(left.shape[1]):
-        a, b = left[:, k][:, None], right[:, k][None, :]
-        more += a > b
-        less += a < b
+    if len(left) * len(right) <= 2048:
+        more = (left[:, None, :] > right[None, :, :]).sum(axis=2)
+        less = (left[:, None, :] < right[None, :, :]).sum(axis=2)
+    else:
+        more = np.zeros((len(left), len(right)), dtype=np.int32)
+        less = np.zeros_like(more)
+        for k in range(left.shape[1]):
+            x, y = left[:, k][:, None], right[:, k][None, :]
+            more += x > y
+            less += x < y
     same = left.shape[1] - more - less
     total = n_left[:, None] + n_right[None, :]
     u, v = n_left[:, None] / total, n_right[None, :] / total
@@ -98,8 +102,8 @@ def may_reach(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right:
     return possible & (slope >= 0)
 
 
-def linked(sets: list[np.ndarray], first: int, percent: int) -> np.ndarray:
-    """Which of ``sets[:first]`` and ``sets[first:]`` (or all, if first is 0) have 100 * intersection >= percent * union, exactly."""
+def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of sets have 100 * intersection >= percent * union, exactly."""
     sizes = np.array([len(s) for s in sets])
     values = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -119,24 +123,36 @@ def linked(sets: list[np.ndarray], first: int, percent: int) -> np.ndarray:
         both += (held @ held.T).astype(np.int64)
     hit = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
     np.fill_diagonal(hit, False)
-    if first:
-        hit[:first, :first] = False
-        hit[first:, first:] = False
     return hit
 
 
-def stars(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (row, least row of its component) of a symmetric boolean matrix, without loops."""
+def least_reachable(hit: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric boolean matrix, the least row of its component."""
     label = np.arange(len(hit))
     while True:
         near = np.where(hit, label[None, :], len(hit)).min(axis=1, initial=len(hit))
         fresh = np.minimum(label, near)
         fresh = fresh[fresh]
         if (fresh == label).all():
-            break
+            return label
         label = fresh
-    at = np.flatnonzero(label != np.arange(len(hit)))
-    return at, label[at]
+
+
+def spanning(hit: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (row, root) that connect what ``hit`` connects.
+
+    With two blocks, the first of ``first`` rows, only the edges between
+    components of a single block are given: the groups of each block by
+    itself give the others.
+    """
+    whole = least_reachable(hit)
+    if not first:
+        at = np.flatnonzero(whole != np.arange(len(hit)))
+        return at, whole[at]
+    inner = np.concatenate([least_reachable(hit[:first, :first]), first + least_reachable(hit[first:, first:])])
+    own = np.unique(inner)
+    own = own[whole[own] != own]
+    return own, whole[own]
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -162,8 +178,8 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 EDGE = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
 
 
-def _edges(rows: DataFrame, keys: list[str], compare: Callable[[pa.Table, int], np.ndarray]) -> DataFrame:
-    """Spanning stars of the links that ``compare`` finds among each group's rows, which its block comes first in."""
+def _edges(rows: DataFrame, keys: list[str], compare: Callable[[pa.Table], np.ndarray]) -> DataFrame:
+    """Edges that span the links which ``compare`` finds among each group's rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list[bytes] = []
@@ -176,7 +192,7 @@ def _edges(rows: DataFrame, keys: list[str], compare: Callable[[pa.Table, int],
             first = int((block == block.min()).sum()) if block.min() != block.max() else 0
             if not first and group["left"][0].as_py() != group["right"][0].as_py():
                 continue
-            at, to = stars(compare(group, first))
+            at, to = spanning(compare(group), first)
             ids = group["cid"].to_pylist()
             a += [ids[i] for i in at]
             b += [ids[i] for i in to]
@@ -237,14 +253,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = met.groupBy("band", "key").agg(F.count("*").alias("size")).filter(F.col("size") > 1)
     members = met.join(shared, ["band", "key"]).join(classes.select("cid", "n", "regs"), "cid")
 
-    def estimated(group: pa.Table, first: int) -> np.ndarray:
+    def estimated(group: pa.Table) -> np.ndarray:
         regs = np.frombuffer(b"".join(group["regs"].to_pylist()), dtype=np.uint16).reshape(group.num_rows, M)
         n = group["n"].to_numpy().astype(np.float64)
-        if not first:
-            return may_reach(regs, regs, n, n, CUT) & ~np.eye(len(n), dtype=bool)
-        hit = np.zeros((len(n), len(n)), dtype=bool)
-        hit[:first, first:] = may_reach(regs[:first], regs[first:], n[:first], n[first:], CUT)
-        return hit | hit.T
+        return may_reach(regs, regs, n, n, CUT) & ~np.eye(len(n), dtype=bool)
 
     candidates = _edges(_in_block_pairs(members, "size", BUCKET_BLOCK), ["band", "key", "left", "right"], estimated)
     families = components(candidates.distinct())
@@ -255,9 +267,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("_id"), F.xxhash64(text).alias("_key"), text.alias("text"))
     whole = kept(texts.join(wanted, ["_id", "_key"]).select("cid", "root", "size", "text").dropDuplicates(["cid"]))
 
-    def compared(group: pa.Table, first: int) -> np.ndarray:
+    def compared(group: pa.Table) -> np.ndarray:
         items, bounds = shingles(*buffers(group["text"]), width)
-        return linked([items[a:b] for a, b in zip(bounds[:-1], bounds[1:])], first, percent)
+        return linked([items[a:b] for a, b in zip(bounds[:-1], bounds[1:])], percent)
 
     links = _edges(_in_block_pairs(whole, "size", FAMILY_BLOCK), ["root", "left", "right"], compared)
     parts = components(links.distinct())
