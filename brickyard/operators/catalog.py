@@ -190,7 +190,7 @@ def match_jobs(rows: DataFrame, limit: int) -> DataFrame:
 def bounded_sample(rows: DataFrame, limit: int = 50) -> DataFrame:
     """The first ``limit`` distinct (title, reason) in order of arrival."""
     first = rows.groupBy("title", "reason").agg(F.min("position").alias("position"))
-    return first.orderBy("position").limit(limit)
+    return first.orderBy("position", "title", "reason").limit(limit)
 
 
 def counters(rows: DataFrame, **conditions: Column) -> DataFrame:

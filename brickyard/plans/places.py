@@ -271,7 +271,7 @@ def match_jobs(spark, d):
     return catalog.match_jobs(jobs(spark, d), 20).select("job_id", "score")
 
 
-@query("SELECT title, reason, min(l_orderkey * 10 + l_linenumber) AS position FROM (SELECT *, l_returnflag || l_linestatus AS title, l_quantity::INT AS reason FROM lineitem) GROUP BY 1, 2 ORDER BY position LIMIT 50")
+@query("SELECT title, reason, min(l_orderkey * 10 + l_linenumber) AS position FROM (SELECT *, l_returnflag || l_linestatus AS title, l_quantity::INT AS reason FROM lineitem) GROUP BY 1, 2 ORDER BY position, title, reason LIMIT 50")
 def audit_sample(spark, d):
     rows = table(spark, d, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("title"), F.col("l_quantity").cast("int").alias("reason"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("position"))
     return catalog.bounded_sample(rows, 50)
