@@ -62,8 +62,7 @@ SELECT home_id, city, round(km, 3) AS km, (SELECT count(*) FROM n) AS total FROM
 def nearby_houses_page(spark, d):
     near = radius.radius_join(homes(spark, d).filter(catalog.between(F.col("price"), *catalog.BUDGET)), locations(spark, d).filter("job_id = 7"), 25)
     near = radius.first_of_each(near, ["home_id"], [F.col("km"), F.col("location_id")])
-    total = near.agg(F.count("*").alias("total"))
-    rows = near.join(F.broadcast(total)).orderBy("km", "home_id").offset(10).limit(40)
+    rows = near.orderBy("km", "home_id").offset(10).limit(40).withColumn("total", F.lit(near.count()).cast("long"))
     return _km(rows).select("home_id", "city", "km", "total")
 
 
