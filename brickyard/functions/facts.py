@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from .text import ascii_words, squeeze
 
-#: Names and patterns over lower-case text of pages that say their job is gone.
+#: Names and patterns over lower-case text of pages that say their job or home is gone, or that ask who reads them.
 CLOSED_JOB = {
     "no_longer_available": r"\b(?:job|position|role) (?:is )?no longer available\b",
     "no_longer_accepting": r"\bno longer accepting applications\b",

@@ -69,7 +69,7 @@ def job_title(text: Column) -> Column:
 
 
 def company_name(text: Column) -> Column:
-    """A company without legal forms, wherever they stand."""
+    """A company without legal forms (fixed values), wherever they stand."""
     return squeeze(F.regexp_replace(ascii_words(text), r"\b(?:gmbh und co kg|gmbh co kg|gesmbh|gmbh|mbh|ag|kg|og)\b", " "))
 
 
