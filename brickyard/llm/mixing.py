@@ -22,6 +22,8 @@ from .checkpoints import kept
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hex digits of the seeded hash that make a bucket: 16 ** 3 buckets for each source.
 BUCKET_DIGITS = 3
+#: Tables of one row for each source are broadcast up to this many sources; beyond it Spark chooses, and splits skewed joins.
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -70,18 +72,21 @@ def repetitions(rows: DataFrame, targets: DataFrame, *, seed: str = "mix", max_e
         F.coalesce("source", F.lit("")).alias("_k"), F.col("source").isNull().alias("_n"), "source_size", "target",
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).alias("_whole"),
     ).withColumn("_rest", F.when(F.col("_whole") < max_epochs, F.col("target") - F.col("_whole") * F.col("source_size")).otherwise(F.lit(0.0)))
+    plan = kept(plan)
+    few = plan.count() <= BROADCAST_SOURCES
+    per_source = (lambda df: F.broadcast(df)) if few else (lambda df: df)
     keyed = rows.withColumn("_k", F.coalesce("source", F.lit(""))).withColumn("_n", F.col("source").isNull())
     sums = keyed.groupBy("_k", "_n", "_b").agg(F.sum("size").alias("_s"))
     upto = sums.withColumn("_upto", F.sum("_s").over(Window.partitionBy("_k", "_n").orderBy("_b")))
     # The cut: the first bucket whose end passes the rest; where none does, every row is before it.
     cut = (
-        upto.join(plan, ["_k", "_n"])
+        upto.join(per_source(plan), ["_k", "_n"])
         .filter(F.col("_upto") > F.col("_rest"))
         .groupBy("_k", "_n")
         .agg(F.min("_b").alias("_cut"), F.min_by(F.col("_upto") - F.col("_s"), "_b").alias("_before"))
     )
     plan = kept(plan.join(cut, ["_k", "_n"], "left"))
-    joined = keyed.join(plan, ["_k", "_n"])
+    joined = keyed.join(per_source(plan), ["_k", "_n"])
     columns = [F.col(f"`{c}`") for c in rows.columns if c not in ("_h", "_b", "_r")]
     at_cut = joined.filter(F.col("_b") == F.col("_cut"))
     so_far = F.sum("size").over(Window.partitionBy("_k", "_n").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -92,14 +97,14 @@ def repetitions(rows: DataFrame, targets: DataFrame, *, seed: str = "mix", max_e
     left = drawn.groupBy("_k", "_n").agg((F.first("_rest") - F.coalesce(F.sum(F.when(F.col("_more"), F.col("size"))), F.lit(0))).alias("_left"))
     nearest = (
         drawn.filter(~F.col("_more") & (F.col("_whole") < max_epochs))
-        .join(left, ["_k", "_n"])
+        .join(per_source(left), ["_k", "_n"])
         .groupBy("_k", "_n")
         .agg(F.first("_left").alias("_left"), F.min(F.struct(F.abs(F.col("_left") - F.col("size")).alias("gap"), "_h", "doc_id", "size", "_r")).alias("_best"))
         .filter(F.col("_best.gap") < F.col("_left"))
         .select("_k", "_n", F.col("_best._r").alias("_pick"))
     )
     again = (F.col("_more") & (F.col("_whole") < max_epochs)) | F.coalesce(F.col("_r") == F.col("_pick"), F.lit(False))
-    return drawn.join(nearest, ["_k", "_n"], "left").select(*columns, "source_size", "target", (F.col("_whole") + again.cast("long")).alias("times"))
+    return drawn.join(per_source(nearest), ["_k", "_n"], "left").select(*columns, "source_size", "target", (F.col("_whole") + again.cast("long")).alias("times"))
 
 
 def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
