@@ -140,6 +140,12 @@ def test_sharding_moves_little_when_a_shard_is_added(spark):
     assert sum(a[c] != b[c] for c in a) < 0.35 * len(a)
 
 
+def test_sharding_spreads_a_heavy_key(spark):
+    many = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("same text").alias("text"))
+    load = Counter(r.shard for r in sharding.assign(many, shards=8, n_cells=1024).collect())
+    assert sum(load.values()) == 3000 and max(load.values()) < 1.02 * 375
+
+
 def test_sharding_odd_rows(docs, spark):
     rows = sharding.assign(docs, shards=3).collect()
     assert Counter(r.doc_id for r in rows) == Counter(d for d, _, _ in ODD)
