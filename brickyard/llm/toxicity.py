@@ -63,6 +63,18 @@ def words(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> Words:
     return Words(starts, ends, text, index, np.append(np.flatnonzero(inside % CHAIN == 0), len(starts)))
 
 
+def sample_words(texts: pa.Array) -> Words:
+    """The words of many texts at once, made slice by slice; places in the bytes are left out."""
+    parts, n_texts, n_words = [], 0, 0
+    for at, to in byte_slices(texts, SLICE_BYTES):
+        w = words(*buffers(texts.slice(at, to - at)))
+        parts.append((w.text + n_texts, w.index, w.chains[:-1] + n_words))
+        n_texts, n_words = n_texts + to - at, n_words + len(w.starts)
+    text, index, chains = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, dtype=np.int64), np.zeros((0, len(PREFIXES)), dtype=np.int32), np.zeros(0, dtype=np.int64))
+    none = np.zeros(len(text), dtype=np.int8)
+    return Words(none, none, text, index, np.append(chains, len(text)))
+
+
 @dataclass
 class Crf:
     emit: np.ndarray  # weight of label 1 against 0, for each feature
@@ -203,9 +215,9 @@ def fit(texts: pa.Array, y: np.ndarray) -> Tagger:
     """The field from the first two thirds of the texts, the link from the others, whose words it hasn't seen."""
     cut = len(texts) * 2 // 3
     toxic = y.astype(np.int64)
-    w = words(*buffers(texts.slice(0, cut)))
+    w = sample_words(texts.slice(0, cut))
     crf = fit_crf(w, labelled_words(w, toxic[:cut]))
-    rest = words(*buffers(texts.slice(cut)))
+    rest = sample_words(texts.slice(cut))
     x = summary(crf.marginals(rest)[0], rest.text, len(texts) - cut)
     return Tagger(crf, fit_link(x, y[cut:].astype(float)))
 
