@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brickyard.functions import salary, text
@@ -223,9 +223,13 @@ o AS (SELECT home_id, postal_code, price, t, list_sort(list_distinct(list(source
 g AS (SELECT postal_code, price, t, list(home_id ORDER BY home_id) AS h, list(s ORDER BY home_id) AS s, list(living ORDER BY home_id) AS a FROM o GROUP BY 1, 2, 3 HAVING count(*) = 2)
 SELECT h[1] AS left_id, h[2] AS right_id, postal_code, price::DOUBLE AS price FROM g WHERE len(s[1]) = 1 AND len(s[2]) = 1 AND s[1] <> s[2] AND abs(a[1] - a[2]) <= greatest(1e0, greatest(a[1], a[2]) * 0.01e0)""")
 def twin_homes(spark, d):
-    rows = table(spark, d, "lineitem").filter("l_orderkey % 3 = 0").select(
+    return twins(table(spark, d, "lineitem").filter("l_orderkey % 3 = 0"), F.col("l_suppkey") % 10)
+
+
+def twins(lines: DataFrame, house: Column) -> DataFrame:
+    rows = lines.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("home_id"), F.concat(F.lit("s"), (F.col("l_linenumber") % 3).cast("string")).alias("source"), F.lpad((F.col("l_partkey") % 50).cast("string"), 4, "0").alias("postal_code"),
-        (F.col("l_quantity") * 10000).cast("decimal(12,2)").alias("price"), F.concat(F.lit("Haus mit Garten & großer Terrasse "), (F.col("l_suppkey") % 10).cast("string")).alias("title"),
+        (F.col("l_quantity") * 10000).cast("decimal(12,2)").alias("price"), F.concat(F.lit("Haus mit Garten & großer Terrasse "), house.cast("string")).alias("title"),
         (F.col("l_discount") * 1000).alias("living"), F.lit(None).cast("double").alias("plot"),
     )
     return dedupe.twin_homes(rows.withColumn("title", F.replace("title", F.lit("&"), F.lit("und")))).withColumn("price", F.col("price").cast("double"))
@@ -267,9 +271,9 @@ def new_entity_keys(spark, d):
 SIDE = "SELECT l_orderkey * 10 + l_linenumber AS token, (l_partkey % 20)::VARCHAR AS postal_code, 'ein schoenes haus ' || (l_suppkey % 20) AS title, CASE WHEN l_linenumber % 4 <> 0 THEN l_quantity END AS price, CASE WHEN l_linenumber % 3 <> 0 THEN floor(l_tax * 50) END AS area FROM lineitem WHERE l_orderkey % 40 = {n}"
 
 
-def _side(spark, d, n: int) -> DataFrame:
-    return table(spark, d, "lineitem").filter(F.col("l_orderkey") % 40 == n).select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("token"), (F.col("l_partkey") % 20).cast("string").alias("postal_code"), F.concat(F.lit("ein schoenes haus "), (F.col("l_suppkey") % 20).cast("string")).alias("title"),
+def side(lines: DataFrame, house: Column) -> DataFrame:
+    return lines.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("token"), (F.col("l_partkey") % 20).cast("string").alias("postal_code"), F.concat(F.lit("ein schoenes haus "), house.cast("string")).alias("title"),
         F.when(F.col("l_linenumber") % 4 != 0, F.col("l_quantity")).alias("price"), F.when(F.col("l_linenumber") % 3 != 0, F.floor(F.col("l_tax") * 50)).alias("area"),
     )
 
@@ -282,7 +286,8 @@ p2 AS (SELECT postal_code, title, area, min(token) AS token FROM p WHERE area IS
 c2 AS (SELECT postal_code, title, area, min(token) AS token FROM c WHERE area IS NOT NULL AND token NOT IN (SELECT cur_token FROM e) GROUP BY 1, 2, 3 HAVING count(*) = 1)
 SELECT prev_token, cur_token, 'exact' AS strategy FROM e UNION ALL SELECT p2.token, c2.token, 'title_area' FROM p2 JOIN c2 USING (postal_code, title, area)""")
 def continued_listings(spark, d):
-    return identity.continued(_side(spark, d, 1), _side(spark, d, 2))
+    lines, house = table(spark, d, "lineitem"), F.col("l_suppkey") % 20
+    return identity.continued(side(lines.filter("l_orderkey % 40 = 1"), house), side(lines.filter("l_orderkey % 40 = 2"), house))
 
 
 @query("""SELECT c_custkey, coalesce(n.acctbal, c_acctbal) AS c_acctbal, c_name FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) FILTER (o_orderkey % 2 = 0) AS acctbal FROM orders GROUP BY 1) n ON c_custkey = o_custkey""")

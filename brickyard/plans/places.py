@@ -98,7 +98,11 @@ b AS (SELECT *, row_number() OVER (PARTITION BY home_id, job_id ORDER BY minutes
 k AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY minutes, road_km, km, home_id) AS rank FROM b WHERE r = 1 AND road_km <= 25)
 SELECT job_id, rank::INT AS rank, home_id, location_id, minutes FROM k WHERE rank <= 3""")
 def road_refined_topk(spark, d):
-    pairs = radius.radius_join(homes(spark, d), locations(spark, d).filter("job_id < 20"), 25)
+    return by_road(homes(spark, d), locations(spark, d).filter("job_id < 20"))
+
+
+def by_road(houses: DataFrame, places: DataFrame) -> DataFrame:
+    pairs = radius.radius_join(houses, places, 25)
     minutes = F.when((F.col("home_id") + F.col("location_id")) % 7 != 0, F.round(F.col("km") * (1 + (F.col("home_id") * F.col("location_id")) % 5), 3))
     estimates = pairs.select("home_id", "location_id", (F.col("km") * 1.3).alias("road_km"), minutes.alias("minutes"))
     return radius.road_ranked(pairs, estimates, 25, 3).select("job_id", "rank", "home_id", "location_id", "minutes")
@@ -334,8 +338,12 @@ LOCS = """loc AS (SELECT l_orderkey * 10 + l_linenumber AS location_id, l_orderk
 
 
 def _locs(spark, d) -> DataFrame:
+    return codes(table(spark, d, "lineitem").filter("l_orderkey % 5 = 0"))
+
+
+def codes(lines: DataFrame) -> DataFrame:
     code = F.when(F.col("l_linenumber") % 2 == 0, (F.col("l_suppkey") % 3 + 1000).cast("string"))
-    return table(spark, d, "lineitem").filter("l_orderkey % 5 = 0").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("location_id"), F.col("l_orderkey").alias("job_id"), F.col("l_returnflag").alias("city"), (F.col("l_linestatus") == "F").alias("remote"), code.alias("postal_code"), F.lit(None).cast("double").alias("lon"), F.lit(None).cast("double").alias("lat"))
+    return lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("location_id"), F.col("l_orderkey").alias("job_id"), F.col("l_returnflag").alias("city"), (F.col("l_linestatus") == "F").alias("remote"), code.alias("postal_code"), F.lit(None).cast("double").alias("lon"), F.lit(None).cast("double").alias("lat"))
 
 
 @query(f"""WITH {LOCS}, p AS (SELECT job_id, city, remote, min(postal_code) AS p FROM loc WHERE postal_code IS NOT NULL GROUP BY 1, 2, 3 HAVING count(DISTINCT postal_code) = 1)
@@ -347,5 +355,9 @@ def propagated_codes(spark, d):
 @query(f"""WITH {LOCS}, c AS (SELECT *, CASE WHEN city = 'A' THEN 'AT' ELSE city END AS c FROM loc)
 SELECT location_id FROM c WHERE NOT (c = 'AT' AND postal_code IS NULL AND NOT remote AND job_id IN (SELECT job_id FROM c WHERE postal_code IS NOT NULL))""")
 def pruned_country_codes(spark, d):
-    rows = _locs(spark, d).withColumn("city", F.when(F.col("city") == "A", "AT").otherwise(F.col("city")))
+    return without_countries(_locs(spark, d))
+
+
+def without_countries(places: DataFrame) -> DataFrame:
+    rows = places.withColumn("city", F.when(F.col("city") == "A", "AT").otherwise(F.col("city")))
     return locality.without_country_codes(rows).select("location_id")

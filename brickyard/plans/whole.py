@@ -1,0 +1,57 @@
+"""Queries over whole tables, beside those of the same name whose SQL reads a slice of the ids."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from brickyard.operators import dedupe, identity, locality
+
+from . import adverts, places
+from .registry import ORACLES, query, table
+
+
+def _sql(name: str, *changes: tuple[str, str]) -> str:
+    """The SQL of a query with its slices taken out."""
+    sql = ORACLES[name]
+    for old, new in changes:
+        if old not in sql:
+            raise ValueError(f"{name}: {old}")
+        sql = sql.replace(old, new)
+    return sql
+
+
+# Chains of 50 customers at most, as many as the table has.
+LINKED = "c_custkey % 7 < 3 AND c_custkey // 7 % 50 < 49"
+
+
+@query(_sql("merge_groups", ("c_custkey % 7 < 3 AND c_custkey <= 200", LINKED)))
+def merge_groups_all(spark, d):
+    edges = table(spark, d, "customer").filter(LINKED.replace("//", "div")).select(F.col("c_custkey").alias("left_id"), (F.col("c_custkey") + 7).alias("right_id"))
+    return dedupe.merge_groups(edges)
+
+
+# As many houses as the table has suppliers, so that matches don't drown in equal rows as the tables grow.
+@query(_sql("continued_listings", ("l_orderkey % 40 = 1", "l_orderkey % 2 = 1"), ("l_orderkey % 40 = 2", "l_orderkey % 2 = 0"), ("(l_suppkey % 20)", "l_suppkey")))
+def continued_listings_all(spark, d):
+    lines, house = table(spark, d, "lineitem"), F.col("l_suppkey")
+    return identity.continued(adverts.side(lines.filter("l_orderkey % 2 = 1"), house), adverts.side(lines.filter("l_orderkey % 2 = 0"), house))
+
+
+@query(_sql("twin_homes", (" WHERE l_orderkey % 3 = 0", ""), ("(l_suppkey % 10)", "l_suppkey")))
+def twin_homes_all(spark, d):
+    return adverts.twins(table(spark, d, "lineitem"), F.col("l_suppkey"))
+
+
+@query(_sql("propagated_codes", (" WHERE l_orderkey % 5 = 0", "")))
+def propagated_codes_all(spark, d):
+    return locality.propagated(places.codes(table(spark, d, "lineitem"))).select("location_id", "postal_code")
+
+
+@query(_sql("pruned_country_codes", (" WHERE l_orderkey % 5 = 0", "")))
+def pruned_country_codes_all(spark, d):
+    return places.without_countries(places.codes(table(spark, d, "lineitem")))
+
+
+@query(_sql("road_refined_topk", (" WHERE job_id < 20", "")))
+def road_refined_topk_all(spark, d):
+    return places.by_road(places.homes(spark, d), places.locations(spark, d))
