@@ -5,6 +5,8 @@ Whatever is unknown fails a bound; nothing is guessed.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -181,6 +183,21 @@ def live_fit_order() -> list[Column]:
     return [F.col("hidden").asc(), F.col("favorite").desc(), F.col("score").isNull().asc(), F.col("hard").asc(), F.col("score").desc(), F.col("coverage").desc(), F.col("job_id").asc()]
 
 
+def positions(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Adds position (from 1) in ``order``, whose last key must be unique: a sort by ranges, then the rows before each range."""
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    sc = rows.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    parts = parts.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).checkpoint()
+    before, starts = 0, []
+    for part, n in sorted(parts.groupBy("_part").count().collect()):
+        starts.append((part, before))
+        before += n
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(starts, "_part int, _before long"))
+    return parts.join(offsets, "_part").withColumn("position", F.col("_before") + F.col("_row") + 1).drop("_part", "_row", "_before")
+
+
 def match_jobs(rows: DataFrame, limit: int) -> DataFrame:
     """Jobs to match homes to: not hidden, scored and without a hard constraint; favorites don't count."""
     rows = rows.filter(~F.col("hidden") & F.col("score").isNotNull() & ~F.col("hard"))

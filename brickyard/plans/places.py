@@ -255,13 +255,16 @@ PAY = "CASE WHEN p_size % 3 = 0 THEN 'year' WHEN p_size % 3 = 1 THEN 'month' ELS
 v AS (SELECT job_id, coalesce(year_min, CASE WHEN period = 'year' THEN amount WHEN period = 'month' THEN amount * coalesce(payments, 12) END) AS pay FROM s)
 SELECT job_id, pay FROM v ORDER BY pay DESC NULLS LAST, job_id DESC LIMIT 100""")
 def job_salary_sort(spark, d):
+    return paid(spark, d).orderBy(*catalog.job_order("salary", "desc")).limit(100).select("job_id", catalog.salary_sort_value().alias("pay"))
+
+
+def paid(spark, d) -> DataFrame:
     size = F.col("p_size")
-    rows = table(spark, d, "part").select(
+    return table(spark, d, "part").select(
         F.col("p_partkey").alias("job_id"), F.when(size % 9 == 0, size + 1000.0).alias("year_min"), F.lit(None).cast("double").alias("year_max"), F.lit("EUR").alias("currency"),
         F.when(size % 3 == 0, "year").when(size % 3 == 1, "month").otherwise("hour").alias("period"), F.floor("p_retailprice").cast("double").alias("amount_min"), F.lit(None).cast("double").alias("amount_max"),
         F.when(size % 2 == 0, 14).alias("payments"),
     )
-    return rows.orderBy(*catalog.job_order("salary", "desc")).limit(100).select("job_id", catalog.salary_sort_value().alias("pay"))
 
 
 @query(f"WITH {JOBS} SELECT job_id, score FROM jobs ORDER BY hidden, NOT favorite, score IS NULL, hard, score DESC NULLS LAST, coverage DESC, job_id LIMIT 200")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brickyard.operators import dedupe, identity, locality
+from brickyard.operators import catalog, dedupe, identity, locality
 
 from . import adverts, places
 from .registry import ORACLES, query, table
@@ -55,3 +55,18 @@ def pruned_country_codes_all(spark, d):
 @query(_sql("road_refined_topk", (" WHERE job_id < 20", "")))
 def road_refined_topk_all(spark, d):
     return places.by_road(places.homes(spark, d), places.locations(spark, d))
+
+
+PAID = "row_number() OVER (ORDER BY pay DESC NULLS LAST, job_id DESC)"
+BEST = "row_number() OVER (ORDER BY hidden, NOT favorite, score IS NULL, hard, score DESC NULLS LAST, coverage DESC, job_id)"
+
+
+@query(_sql("job_salary_sort", ("SELECT job_id, pay FROM v ORDER BY pay DESC NULLS LAST, job_id DESC LIMIT 100", f"SELECT job_id, pay, {PAID} AS position FROM v")))
+def job_salary_positions(spark, d):
+    rows = catalog.positions(places.paid(spark, d), catalog.job_order("salary", "desc"))
+    return rows.select("job_id", catalog.salary_sort_value().alias("pay"), "position")
+
+
+@query(f"WITH {places.JOBS} SELECT job_id, score, {BEST} AS position FROM jobs")
+def live_fit_positions(spark, d):
+    return catalog.positions(places.jobs(spark, d), catalog.live_fit_order()).select("job_id", "score", "position")

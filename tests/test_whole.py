@@ -51,3 +51,23 @@ def test_pairs_come_from_all_ids(rows):
 
 def test_every_job_is_ranked(rows):
     assert max(r.job_id for r in rows("road_refined_topk_all")) >= 20
+
+
+def test_all_jobs_have_a_position(rows, keys):
+    for name in ("job_salary_positions", "live_fit_positions"):
+        got = rows(name)
+        assert sorted(r.position for r in got) == list(range(1, len(got) + 1))
+        assert {r.job_id for r in got} == keys("part", "p_partkey")
+
+
+def test_positions_over_many_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from brickyard.operators import catalog
+
+    # 1999 of 2000 rows share their first key.
+    table = spark.range(2000, numPartitions=7).withColumn("k", (F.col("id") == 1234).cast("int"))
+    got = {r.id: r.position for r in catalog.positions(table, [F.col("k").desc(), F.col("id").desc()]).collect()}
+    want = sorted(range(2000), key=lambda i: (i != 1234, -i))
+    assert got == {x: n for n, x in enumerate(want, 1)}
+    assert catalog.positions(table.filter("false"), [F.col("id")]).count() == 0
