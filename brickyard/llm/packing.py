@@ -1,9 +1,12 @@
 """Best-fit packing of token sequences by hierarchical residual rounds.
 
 Each task packs its own pieces best-fit (longest first). Nearly full bins
-are done; the underfull ones become the items of the next, narrower round,
-until one task has seen the last of them. A bin that takes part in a later
-round moves as a whole, so a piece's place is the sum of its offsets.
+are done. Two bins only fit together if one of them is at most half full, and
+best fit leaves at most one such bin a task: these become the items of the
+next, narrower round, with as many of the emptiest other bins, since no more
+of those can take one in. A round has at most two items for each task of the
+round before. A bin that takes part in a later round moves as a whole, so a
+piece's place is the sum of its offsets.
 """
 
 from __future__ import annotations
@@ -106,11 +109,37 @@ def _round(items: DataFrame, sizes: str, keys: list[str], capacity: int, level:
     return items.mapInArrow(pack, schema)
 
 
+def _movable(open_bins: DataFrame, capacity: int) -> tuple[DataFrame, int]:
+    """The open bins (bin, size) that a round can merge, and their number.
+
+    Those are the bins at most half full and, at most as many, the emptiest
+    of the others that have room for the smallest. Any merge of others could
+    be done with one of these instead, so leaving them costs no sequence.
+    """
+    fills = sorted((r["size"], r["count"]) for r in open_bins.groupBy("size").count().collect())
+    half = capacity // 2
+    small = left = sum(n for size, n in fills if size <= half)
+    if not small:
+        return open_bins, 0
+    whole, last = half, None
+    for size, n in fills:
+        if half < size <= capacity - fills[0][0] and left:
+            if n > left:
+                last = (size, left)
+                left = 0
+                break
+            whole, left = size, left - n
+    items = open_bins.filter(F.col("size") <= whole)
+    if last:
+        items = items.unionByName(open_bins.filter(F.col("size") == last[0]).orderBy("bin").limit(last[1]))
+    return items, 2 * small - left
+
+
 def pack_pieces(pieces: DataFrame, *, capacity: int = 2048, length_col: str = "length", key_cols: tuple[str, ...] = ("doc_id", "piece", "start", "ids_crc32"), items_per_task: int = 20_000, full: float = 0.99) -> DataFrame:
     """Adds sequence_id and offset (gapless from 0) to pieces of at most ``capacity``.
 
     ``key_cols`` and the length order the pieces inside a task. Bins filled
-    to ``full`` of the capacity leave after each round. An empty table gives
+    to ``full`` of the capacity are done after each round. An empty table gives
     an empty result; a null length is an error of the caller.
     """
     pieces = kept(pieces)
@@ -119,20 +148,26 @@ def pack_pieces(pieces: DataFrame, *, capacity: int = 2048, length_col: str = "l
     first = kept(_round(pieces.repartition(max(tasks, 1), spread), length_col, list(key_cols), capacity, 0))
     moved = None
     least = int(capacity * full)
-    open_bins = first.filter((F.col("_at") == 0) & (F.col("_fill") < least)).select(F.col("_bin").alias("bin"), F.col("_fill").alias("size"))
+    bins = lambda packed: packed.filter((F.col("_at") == 0) & (F.col("_fill") < least)).select(F.col("_bin").alias("bin"), F.col("_fill").alias("size"))
+    open_bins = bins(first)
     level = 0
     while tasks > 1:
         level += 1
-        found = open_bins.count()
-        tasks = max(1, min(tasks - 1, max(-(-tasks // 8), -(-found // items_per_task))))
-        packed = kept(_round(open_bins.repartition(tasks, F.pmod(F.xxhash64("bin"), F.lit(1 << 30))), "size", ["bin"], capacity, level))
+        items, n_items = _movable(open_bins, capacity)
+        if n_items < 2:
+            break
+        tasks = max(1, min(tasks // 2, -(-n_items // items_per_task)))
+        packed = kept(_round(items.repartition(tasks, F.pmod(F.xxhash64("bin"), F.lit(1 << 30))), "size", ["bin"], capacity, level))
         step = packed.select("bin", F.col("_bin").alias("parent"), F.col("_at").alias("shift"))
         if moved is None:
             moved = step
         else:
             on = step.select(F.col("bin").alias("parent"), F.col("parent").alias("_next"), F.col("shift").alias("_more"))
-            moved = moved.join(on, "parent", "left").select("bin", F.coalesce("_next", "parent").alias("parent"), (F.col("shift") + F.coalesce("_more", F.lit(0))).alias("shift"))
-        open_bins = packed.filter((F.col("_at") == 0) & (F.col("_fill") < least)).select(F.col("_bin").alias("bin"), F.col("_fill").alias("size"))
+            onward = moved.join(on, "parent", "left").select("bin", F.coalesce("_next", "parent").alias("parent"), (F.col("shift") + F.coalesce("_more", F.lit(0))).alias("shift"))
+            # Bins that move for the first time come from ``step``; the other rows of it meet no piece.
+            moved = kept(onward.unionByName(step))
+        if tasks > 1:
+            open_bins = kept(open_bins.join(packed.select("bin"), "bin", "left_anti").unionByName(bins(packed)))
     columns = [F.col(f"`{c}`") for c in pieces.columns]
     if moved is None:
         return first.select(*columns, F.col("_bin").alias("sequence_id"), F.col("_at").alias("offset"))

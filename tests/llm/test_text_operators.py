@@ -192,3 +192,41 @@ def test_html_lines(spark):
     page = '<html><script>var x="</p>";</script><p>One &amp; <b>two</b></p>\n<!-- no --><p> </p><style>p{}</style>three</html>'
     text = spark.createDataFrame([(page,)], "h string").select(linededup.html_lines(F.col("h"))).first()[0]
     assert [x.strip() for x in text.split("\n") if x.strip()] == ["One &amp;", "two", "three"]
+
+
+def _bins(rows, capacity):
+    """Fill of each sequence, after its pieces were found gapless."""
+    places = defaultdict(list)
+    for r in rows:
+        places[r.sequence_id].append((r.offset, r.length))
+    for spans in places.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return places
+
+
+def test_bins_that_nothing_fills_leave_the_rounds(spark, monkeypatch):
+    # 600 pieces of over half a sequence and 6 short ones, over about 60 tasks.
+    lengths = [60 + i % 30 for i in range(600)] + [9, 12, 15, 20, 25, 30]
+    pieces = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rounds, plain = [], packing._round
+
+    def seen(items, *rest):
+        rounds.append((items.count(), items.rdd.getNumPartitions()))
+        return plain(items, *rest)
+
+    monkeypatch.setattr(packing, "_round", seen)
+    rows = packing.pack_pieces(pieces, capacity=100, items_per_task=10).collect()
+    assert sorted(r.length for r in rows) == sorted(lengths) and len(_bins(rows, 100)) == 600
+    assert len(rounds) <= 4 and all(n <= 2 * before for (_, before), (n, _) in zip(rounds, rounds[1:]))
+
+
+def test_short_bins_find_the_long_ones_of_other_tasks(spark):
+    lengths = [70] * 97 + [30] * 97
+    pieces = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = packing.pack_pieces(pieces, capacity=100, items_per_task=5).collect()
+    assert sorted(r.length for r in rows) == sorted(lengths)
+    assert len(_bins(rows, 100)) <= 97 + 20
