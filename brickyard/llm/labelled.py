@@ -17,9 +17,11 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, *, mo
 
     Rows of the rarer label fill up to ``least_share`` of the sample where
     there are so many. Rows without a label, and texts without a row in
-    ``labels``, are left out; null texts are empty.
+    ``labels``, are left out; null texts are empty. An id counts once: with
+    its commoner label (0 if both are as common) and one of its texts.
     """
     rows = labels.filter(usable & F.col(label).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("y"))
+    rows = rows.groupBy("_id").agg((F.avg("y") > 0.5).cast("int").alias("y"))
     order = F.md5(F.concat_ws(":", F.lit(seed), F.col("_id").cast("string")))
     counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     rare = min((0, 1), key=lambda y: counts.get(y, 0))
@@ -30,5 +32,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, *, mo
     # At most ``most`` short rows, so it is safe to broadcast.
     chosen = F.broadcast(parts[0].unionByName(parts[1]))
     found = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).join(chosen, "_id")
+    found = found.groupBy("_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.md5("text"))).alias("text"), F.first("_o").alias("_o"), F.first("y").alias("y"))
+    # One row for each of the chosen ids, however often it stands in ``docs``.
     table = found.select("_o", "text", "y").toArrow()
     return table.sort_by([("_o", "ascending"), ("text", "ascending")]).combine_chunks()

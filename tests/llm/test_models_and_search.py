@@ -204,3 +204,13 @@ def test_spans_give_byte_offsets(spark, corpus):
     rows = toxicity.spans(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string"), tagger).collect()
     assert [text.encode()[r.start : r.end].decode() for r in rows] == [r.word for r in rows]
     assert "idiot" in {r.word for r in rows} and {r.doc_id for r in rows} == {1}
+
+
+def test_sample_has_one_row_an_id(spark):
+    docs = spark.createDataFrame([(1, f"copy {i % 3}") for i in range(300)] + [(i, f"text {i}") for i in range(2, 30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] * 40 + [(2, 1), (2, 0), (2, 0)] + [(i, i % 2) for i in range(3, 30)], "doc_id long, toxic int")
+    table = labelled.sample(docs, labels, "toxic", F.lit(True), most=20)
+    texts = table.column("text").to_pylist()
+    assert len(texts) == 20 == len(set(texts)) and sum(t.startswith("copy") for t in texts) <= 1
+    every = labelled.sample(docs, labels, "toxic", F.lit(True), most=100)
+    assert every.num_rows == 29 and dict(zip(every.column("text").to_pylist(), every.column("y").to_pylist()))["text 2"] == 0
