@@ -16,6 +16,8 @@ from brickyard.llm.checkpoints import kept
 SAMPLE_ROWS = 5000
 #: Documents that score lower are rejected.
 LEAST_QUALITY = 0.5
+#: Lines in a larger share of a source's documents are dropped. Sources mix hosts and languages, so that boilerplate is in a few per cent.
+MOST_LINE_SHARE = 0.02
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +31,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that more than a tenth of a source's documents hold."""
-    found = linededup.drop_lines(docs, host_col="source", ratio=0.1, least_pages=5)
+    """Drops lines that more than ``MOST_LINE_SHARE`` of a source's documents, and at least 5, hold."""
+    found = linededup.drop_lines(docs, host_col="source", ratio=MOST_LINE_SHARE, least_pages=5)
     length = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return found.select(*(length.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
