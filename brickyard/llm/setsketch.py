@@ -7,14 +7,18 @@
 2. Bands of four registers are the buckets in which classes meet. Within a
    bucket the Jaccard similarity is estimated by the joint likelihood of the
    larger, smaller and equal registers given both set sizes; what may reach
-   the threshold joins the same family. Only edges that span a bucket leave
-   its task.
+   the threshold joins the same family.
 3. Classes of a family are compared exactly on the shingle sets of their
    whole texts. The links' connected components are the result.
 
-Buckets and families of any size are dealt to tasks in pairs of bounded
-blocks, so none is cut short and none lands in one task. A link of similarity
-s is missed if no band agrees: at 0.75, (1 - 0.75**4) ** 32 = 5e-6.
+Both comparisons look for components, not for all pairs, so large groups go
+over *pivots* first: every class is compared with the class of its bucket
+that meets most others. That is one row for each class, however large the
+group, and joins a group of near copies at once. What is still in several
+parts goes on, as pairs of bounded blocks, and blocks of the part that holds
+most of a group never meet each other. Nothing is cut short, and no group
+lands in one task. A link of similarity s is missed if no band agrees:
+at 0.75, (1 - 0.75**4) ** 32 = 5e-6.
 """
 
 from __future__ import annotations
@@ -23,12 +27,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .checkpoints import kept
 from .components import components
+from .names import fresh
 from .vectext import buffers, byte_slices, mix, shingles
 
 SLICE_BYTES = 1 << 20
@@ -39,8 +44,13 @@ RATE = 20.0
 TOP = 2**16 - 1
 #: Similarity below the threshold by about four standard errors of M registers, from which pairs are compared exactly.
 CUT = 0.6
-BUCKET_BLOCK = 256
-FAMILY_BLOCK = 128
+#: Buckets of more classes are compared with PIVOT_ROUNDS pivots, one after another, before their blocks are.
+SMALL_BUCKET = 64
+PIVOT_ROUNDS = 2
+#: Rows of a block of sketches, and rows and shingles of a block of texts.
+SKETCH_BLOCK = 2048
+TEXT_BLOCK = 512
+TEXT_BLOCK_SHINGLES = 1 << 19
 
 _STEPS = np.random.default_rng(0x5E7).integers(1, 2**63, M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALTS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344], dtype=np.uint64)
@@ -74,32 +84,38 @@ def signatures(items: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return [raw[16 * i : 16 * i + 16] for i in range(len(sums))]
 
 
-def may_reach(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, cut: float) -> np.ndarray:
-    """For each row of one block and of the other: whether the likelihood's maximum lies at ``cut`` or above.
+def likely(more: np.ndarray, less: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, cut: float) -> np.ndarray:
+    """Whether the joint likelihood's maximum lies at ``cut`` or above, given how many registers are larger and smaller.
 
     The log-likelihood of the similarity is concave, so the sign of its
     slope at ``cut`` tells.
     """
+    more, less = more.astype(np.float64), less.astype(np.float64)
+    same = M - more - less
+    total = n_left + n_right
+    u, v = n_left / total, n_right / total
+    possible = np.minimum(u / v, v / u) >= cut
+    c = (BASE - 1) / BASE
+    p = lambda x: -np.log1p(-x * c) / np.log(BASE)
+    dp = lambda x: c / (np.log(BASE) * (1 - x * c))
+    x, y = np.maximum(u - v * cut, 1e-9), np.maximum(v - u * cut, 1e-9)
+    slope = same * (v * dp(x) + u * dp(y)) / np.maximum(1 - p(x) - p(y), 1e-9) - more * v * dp(x) / np.maximum(p(x), 1e-9) - less * u * dp(y) / np.maximum(p(y), 1e-9)
+    return possible & (slope >= 0)
+
+
+def may_reach(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, cut: float) -> np.ndarray:
+    """``likely`` for each row of one block and each row of the other."""
     if len(left) * len(right) <= 2048:
         more = (left[:, None, :] > right[None, :, :]).sum(axis=2)
         less = (left[:, None, :] < right[None, :, :]).sum(axis=2)
     else:
-        more = np.zeros((len(left), len(right)), dtype=np.int32)
+        more = np.zeros((len(left), len(right)), dtype=np.uint8)
         less = np.zeros_like(more)
         for k in range(left.shape[1]):
             x, y = left[:, k][:, None], right[:, k][None, :]
             more += x > y
             less += x < y
-    same = left.shape[1] - more - less
-    total = n_left[:, None] + n_right[None, :]
-    u, v = n_left[:, None] / total, n_right[None, :] / total
-    possible = np.minimum(u / v, v / u) >= cut
-    c = (BASE - 1) / BASE
-    p = lambda x: -np.log1p(-x * c) / np.log(BASE)
-    dp = lambda x: c / (np.log(BASE) * (1 - x * c))
-    x, y = np.maximum(u - v * cut, 1e-9), np.maximum(v - u * cut, 1e-9)
-    slope = same * (v * dp(x) + u * dp(y)) / np.maximum(1 - p(x) - p(y), 1e-9) - more * v * dp(x) / np.maximum(p(x), 1e-9) - less * u * dp(y) / np.maximum(p(y), 1e-9)
-    return possible & (slope >= 0)
+    return likely(more, less, n_left[:, None], n_right[None, :], cut)
 
 
 def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -109,11 +125,11 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     owner = np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
-    fresh = np.ones(len(values), dtype=bool)
-    fresh[1:] = values[1:] != values[:-1]
-    number = np.cumsum(fresh) - 1
+    fresh_value = np.ones(len(values), dtype=bool)
+    fresh_value[1:] = values[1:] != values[:-1]
+    number = np.cumsum(fresh_value) - 1
     shared = np.bincount(number)[number] > 1
-    owner, number = owner[shared], np.cumsum(fresh & shared)[shared] - 1
+    owner, number = owner[shared], np.cumsum(fresh_value & shared)[shared] - 1
     both = np.zeros((len(sets), len(sets)), dtype=np.int64)
     step = 4096
     edges = np.searchsorted(number, np.arange(0, (number[-1] if len(number) else -1) + step + 1, step))
@@ -126,33 +142,18 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return hit
 
 
-def least_reachable(hit: np.ndarray) -> np.ndarray:
-    """For each row of a symmetric boolean matrix, the least row of its component."""
-    label = np.arange(len(hit))
+def least_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` vertices, the least vertex that the edges a - b lead to."""
+    label = np.arange(n)
     while True:
-        near = np.where(hit, label[None, :], len(hit)).min(axis=1, initial=len(hit))
-        fresh = np.minimum(label, near)
-        fresh = fresh[fresh]
-        if (fresh == label).all():
+        least = np.minimum(label[a], label[b])
+        lower = label.copy()
+        np.minimum.at(lower, a, least)
+        np.minimum.at(lower, b, least)
+        lower = lower[lower]
+        if (lower == label).all():
             return label
-        label = fresh
-
-
-def spanning(hit: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (row, root) that connect what ``hit`` connects.
-
-    With two blocks, the first of ``first`` rows, only the edges between
-    components of a single block are given: the groups of each block by
-    itself give the others.
-    """
-    whole = least_reachable(hit)
-    if not first:
-        at = np.flatnonzero(whole != np.arange(len(hit)))
-        return at, whole[at]
-    inner = np.concatenate([least_reachable(hit[:first, :first]), first + least_reachable(hit[first:, first:])])
-    own = np.unique(inner)
-    own = own[whole[own] != own]
-    return own, whole[own]
+        label = lower
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -178,40 +179,191 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 EDGE = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
 
 
-def _edges(rows: DataFrame, keys: list[str], compare: Callable[[pa.Table], np.ndarray]) -> DataFrame:
-    """Edges that span the links which ``compare`` finds among each group's rows."""
+def _edges(rows: DataFrame, keys: list[str], compare: Callable[[pa.Table], list[tuple[bytes, bytes]]], within: tuple[str, ...] = ()) -> DataFrame:
+    """The edges that ``compare`` finds in each group of rows of equal keys, which come in the order of ``within``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a: list[bytes] = []
-        b: list[bytes] = []
+        found: list[tuple[bytes, bytes]] = []
         for group in _groups(batches, keys):
-            if group.num_rows < 2:
-                continue
-            block = group["block"].to_numpy()
-            group = group.take(pa.array(np.argsort(block, kind="stable")))
-            first = int((block == block.min()).sum()) if block.min() != block.max() else 0
-            if not first and group["left"][0].as_py() != group["right"][0].as_py():
-                continue
-            at, to = spanning(compare(group), first)
-            ids = group["cid"].to_pylist()
-            a += [ids[i] for i in at]
-            b += [ids[i] for i in to]
-            if len(a) >= 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=EDGE.names)
-                a, b = [], []
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=EDGE.names)
-
-    dealt = rows.repartition(*(F.col(k) for k in keys)).sortWithinPartitions(*keys)
+            found += compare(group)
+            if len(found) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=EDGE.names)
+                found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=EDGE.names)
+
+    dealt = rows.repartition(*(F.col(k) for k in keys)).sortWithinPartitions(*keys, *within)
     return dealt.mapInArrow(run, EDGE)
 
 
-def _in_block_pairs(rows: DataFrame, size: str, most: int) -> DataFrame:
-    """Each row once for every pair of its group's blocks (of about ``most`` rows) that its own block is part of."""
-    blocks = F.ceil(F.col(size) / most).cast("int")
-    rows = rows.withColumn("_g", blocks).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("_g")).cast("int"))
-    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
-    return rows.withColumn("left", F.least("block", "_o")).withColumn("right", F.greatest("block", "_o")).drop("_g", "_o", size)
+def _joined(group: pa.Table, hits: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> list[tuple[bytes, bytes]]:
+    """Edges that join the parts of a pair of blocks which ``hits`` links.
+
+    ``hits`` gets the rows of the first and of the second block (the same
+    rows if there is but one) and gives the places of linked rows. An edge
+    leads from a part to the least part that it is linked with, so other
+    bands and blocks give the same edges.
+    """
+    block = group["block"].to_numpy()
+    first = np.flatnonzero(block == block.min())
+    second = np.flatnonzero(block == block.max())
+    if len(first) == len(second) == 1 and first[0] == second[0] or group["left"][0].as_py() != group["right"][0].as_py() and block.min() == block.max():
+        return []
+    of = group["part"].to_pylist()
+    parts = sorted(set(of))
+    place = {p: i for i, p in enumerate(parts)}
+    part = np.array([place[p] for p in of])
+    a, b = hits(first, second)
+    a, b = part[a], part[b]
+    to = least_reachable(len(parts), a[a != b], b[a != b])
+    return [(parts[i], parts[j]) for i, j in enumerate(to.tolist()) if i != j]
+
+
+def _in_block_pairs(rows: DataFrame, keys: list[str], most: int, weight: Column | None = None, most_weight: int = 1) -> DataFrame:
+    """Rows of groups (``keys``) that are still in several parts, once for each pair of blocks that has something to compare.
+
+    A block has about ``most`` rows, and ``most_weight`` of ``weight``. A
+    group that fits one block is one pair. In others the part with most rows
+    has blocks of its own, which meet all the others but not each other.
+    """
+    per_part = rows.groupBy(*keys, "part").agg(F.count("*").alias("_rows"), F.sum(weight if weight is not None else F.lit(0)).alias("_weight"))
+    blocks = lambda n, w: F.ceil(F.greatest(n / most, w / most_weight if weight is not None else F.lit(0.0))).cast("int")
+    groups = (
+        per_part.groupBy(*keys)
+        .agg(F.count("*").alias("_parts"), F.sum("_rows").alias("_rows"), F.sum("_weight").alias("_weight"), F.max(F.struct("_rows", "_weight", "part")).alias("_main"))
+        .filter(F.col("_parts") > 1)
+        .withColumn("_one", blocks(F.col("_rows"), F.col("_weight")) <= 1)
+        .select(
+            *keys, F.col("_main.part").alias("_main"),
+            F.when(F.col("_one"), 0).otherwise(blocks(F.col("_main._rows"), F.col("_main._weight"))).alias("_g"),
+            F.when(F.col("_one"), 1).otherwise(blocks(F.col("_rows") - F.col("_main._rows"), F.col("_weight") - F.col("_main._weight"))).alias("_h"),
+        )
+    )
+    at = rows.join(groups, keys).withColumn("_in", (F.col("part") == F.col("_main")) & (F.col("_g") > 0))
+    own = F.when(F.col("_in"), F.pmod(F.xxhash64("cid"), F.col("_g"))).otherwise(F.col("_g") + F.pmod(F.xxhash64("cid"), F.col("_h"))).cast("int")
+    at = at.withColumn("block", own).withColumn("_o", F.explode(F.sequence(F.when(F.col("_in"), F.col("_g")).otherwise(F.lit(0)), F.col("_g") + F.col("_h") - 1)))
+    return at.withColumn("left", F.least("block", "_o")).withColumn("right", F.greatest("block", "_o")).drop("_main", "_g", "_h", "_in", "_o")
+
+
+def _sketched(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, M)
+
+
+def _likely_pairs(pairs: DataFrame, classes: DataFrame, cut: float) -> DataFrame:
+    """Those of the pairs (cid, pivot) whose sketches may reach the threshold, as edges a, b."""
+    sketch = classes.select("cid", "n", "regs")
+    both = pairs.join(sketch, "cid").join(sketch.select(F.col("cid").alias("pivot"), F.col("n").alias("pivot_n"), F.col("regs").alias("pivot_regs")), "pivot")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = _sketched(batch["regs"]), _sketched(batch["pivot_regs"])
+            n = [batch[c].to_numpy().astype(np.float64) for c in ("n", "pivot_n")]
+            good = pa.array(likely((left > right).sum(axis=1), (left < right).sum(axis=1), *n, cut))
+            yield pa.RecordBatch.from_arrays([batch["cid"].filter(good), batch["pivot"].filter(good)], names=EDGE.names)
+
+    return both.select("cid", "pivot", "n", "regs", "pivot_n", "pivot_regs").mapInArrow(run, EDGE)
+
+
+def _in_parts(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rows`` with ``part``: the least class that ``edges`` lead to from the row's cid."""
+    return rows.join(components(edges).select(F.col("v").alias("cid"), F.col("root").alias("part")), "cid", "left").withColumn("part", F.coalesce("part", "cid"))
+
+
+def _pivot_edges(rows: DataFrame, classes: DataFrame, cut: float, rounds: int) -> DataFrame:
+    """Likely pairs of each row's class (band, key, cid and size of the bucket) and its bucket's pivots."""
+    degree = rows.groupBy("cid").agg(F.sum("size").alias("degree"))
+    rows = rows.select("band", "key", "cid").join(degree, "cid").withColumn("part", F.col("cid")).withColumn("tried", F.lit(False))
+    edges = None
+    for _ in range(rounds):
+        # The class that meets most others, and hasn't been a pivot here, of each bucket in several parts.
+        first = F.max_by(F.struct("cid", "part"), F.struct(~F.col("tried"), "degree", "cid"))
+        pivots = rows.groupBy("band", "key").agg(first.alias("p"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter(F.col("lo") != F.col("hi"))
+        rows = kept(rows.join(pivots.select("band", "key", F.col("p.cid").alias("pivot"), F.col("p.part").alias("pivot_part")), ["band", "key"]))
+        pairs = rows.filter(F.col("part") != F.col("pivot_part")).select("cid", "pivot").distinct()
+        found = _likely_pairs(pairs, classes, cut)
+        edges = kept(found if edges is None else edges.unionByName(found).distinct())
+        rows = _in_parts(rows.withColumn("tried", F.col("tried") | (F.col("cid") == F.col("pivot"))).drop("pivot", "pivot_part", "part"), edges)
+    return edges
+
+
+def candidates(classes: DataFrame, *, cut: float, small: int, rounds: int, block: int) -> DataFrame:
+    """Edges a, b between classes that share a bucket and whose sketches may reach the threshold.
+
+    All likely pairs of a bucket are connected by them, but most are not
+    edges themselves: a family is the edges' connected component. Buckets of
+    more than ``small`` classes go over ``rounds`` pivots first.
+    """
+    met = classes.select("cid", F.posexplode("bands").alias("band", "key"))
+    shared = met.groupBy("band", "key").agg(F.count("*").alias("size")).filter(F.col("size") > 1)
+    members = kept(met.join(shared, ["band", "key"]))
+    large = members.filter(F.col("size") > small)
+    edges = _pivot_edges(large, classes, cut, rounds) if large.limit(1).count() else None
+    rows = members.withColumn("part", F.col("cid")) if edges is None else _in_parts(members, edges)
+
+    def compare(group: pa.Table) -> list[tuple[bytes, bytes]]:
+        regs, n = _sketched(group["regs"]), group["n"].to_numpy().astype(np.float64)
+
+        def hits(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            found = []
+            for at in range(0, len(first), 256):
+                own = first[at : at + 256]
+                x, y = np.nonzero(may_reach(regs[own], regs[second], n[own], n[second], cut))
+                found.append((own[x], second[y]))
+            return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+
+        return _joined(group, hits)
+
+    left = _in_block_pairs(rows.select("band", "key", "cid", "part"), ["band", "key"], block)
+    rest = _edges(left.join(classes.select("cid", "n", "regs"), "cid"), ["band", "key", "left", "right"], compare)
+    return kept((rest if edges is None else edges.unionByName(rest)).distinct())
+
+
+def _sets(column: pa.ChunkedArray, width: int) -> list[np.ndarray]:
+    items, bounds = shingles(*buffers(column), width)
+    return [items[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+
+
+def _pivot_links(edges: DataFrame, texts: DataFrame, width: int, percent: int, block: int, block_shingles: int) -> DataFrame:
+    """Those of the edges a, b whose sets are linked. A pivot's (b's) text goes once to each block of what it is compared with."""
+    sizes = edges.join(texts.select(F.col("cid").alias("a"), "n"), "a").groupBy("b").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    pivots = kept(sizes.select(F.col("b").alias("pivot"), F.ceil(F.greatest(F.col("rows") / block, F.col("n") / block_shingles)).cast("int").alias("g")))
+    others = edges.select(F.col("a").alias("cid"), F.col("b").alias("pivot")).join(pivots, "pivot").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("g")).cast("int"))
+    shown = pivots.select("pivot", F.col("pivot").alias("cid"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("block"))
+    rows = others.select("pivot", "block", "cid", F.lit(1).alias("side")).unionByName(shown.withColumn("side", F.lit(0)).select("pivot", "block", "cid", "side"))
+
+    def compare(group: pa.Table) -> list[tuple[bytes, bytes]]:
+        pivot, *rest = _sets(group["text"], width)
+        ids = group["cid"].to_pylist()
+        found = []
+        for cid, own in zip(ids[1:], rest):
+            both = int((pivot[np.minimum(np.searchsorted(pivot, own), len(pivot) - 1)] == own).sum())
+            if 100 * both >= percent * (len(pivot) + len(own) - both):
+                found.append((cid, ids[0]))
+        return found
+
+    return kept(_edges(rows.join(texts.select("cid", "text"), "cid"), ["pivot", "block"], compare, within=("side",)))
+
+
+def links(edges: DataFrame, texts: DataFrame, *, width: int, percent: int, block: int, block_shingles: int) -> DataFrame:
+    """Edges between classes whose sets are linked; their components are those of all links inside the families.
+
+    ``texts`` has cid, family, size (of the family), weight (its shingles), n
+    (shingles of the set) and text. In families beyond one block the
+    candidate ``edges`` themselves are compared first.
+    """
+    large = texts.filter((F.col("size") > block) | (F.col("weight") > block_shingles)).select("cid", "n", "text")
+    rows, found = texts.select("cid", "family", "n"), None
+    if large.limit(1).count():
+        own = edges.join(large.select(F.col("cid").alias("a")), "a", "left_semi")
+        found = _pivot_links(own, large, width, percent, block, block_shingles)
+    rows = rows.withColumn("part", F.col("cid")) if found is None else _in_parts(rows, found)
+    left = _in_block_pairs(rows, ["family"], block, F.col("n"), block_shingles)
+
+    def compare(group: pa.Table) -> list[tuple[bytes, bytes]]:
+        return _joined(group, lambda first, second: np.nonzero(linked(_sets(group["text"], width), percent)))
+
+    rest = _edges(left.join(texts.select("cid", "text"), "cid"), ["family", "left", "right"], compare)
+    return (rest if found is None else found.unionByName(rest)).distinct()
 
 
 def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
@@ -236,7 +388,7 @@ def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each document.
+    """doc_id, n_shingles, component_id and kept of each document, and text_key (a hash of the text).
 
     A null or empty text has no shingles and is its own component; rows with
     a null id never are a component's id unless it has no other (null then,
@@ -249,30 +401,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         F.min_by(F.struct("doc_id", "text_key"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("one"), F.first("regs").alias("regs"), F.first("bands").alias("bands"),
     )
     classes = kept(classes)
-    met = classes.select("cid", F.posexplode("bands").alias("band", "key"))
-    shared = met.groupBy("band", "key").agg(F.count("*").alias("size")).filter(F.col("size") > 1)
-    members = met.join(shared, ["band", "key"]).join(classes.select("cid", "n", "regs"), "cid")
-
-    def estimated(group: pa.Table) -> np.ndarray:
-        regs = np.frombuffer(b"".join(group["regs"].to_pylist()), dtype=np.uint16).reshape(group.num_rows, M)
-        n = group["n"].to_numpy().astype(np.float64)
-        return may_reach(regs, regs, n, n, CUT) & ~np.eye(len(n), dtype=bool)
-
-    candidates = _edges(_in_block_pairs(members, "size", BUCKET_BLOCK), ["band", "key", "left", "right"], estimated)
-    families = components(candidates.distinct())
-    sizes = families.groupBy("root").agg(F.count("*").alias("size"))
-    wanted = families.join(sizes, "root").join(classes.select(F.col("cid").alias("v"), "one"), "v")
-    wanted = wanted.select(F.col("v").alias("cid"), "root", "size", F.coalesce(F.col("one.doc_id").cast("string"), F.lit("")).alias("_id"), F.col("one.text_key").alias("_key"))
+    edges = candidates(classes, cut=CUT, small=SMALL_BUCKET, rounds=PIVOT_ROUNDS, block=SKETCH_BLOCK)
+    families = components(edges)
+    wanted = families.join(classes.select(F.col("cid").alias("v"), "one", "n"), "v")
+    wanted = wanted.join(wanted.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("weight")), "root")
+    wanted = wanted.select(F.col("v").alias("cid"), F.col("root").alias("family"), "size", "weight", "n", F.coalesce(F.col("one.doc_id").cast("string"), F.lit("")).alias("_id"), F.col("one.text_key").alias("_key"))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     texts = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("_id"), F.xxhash64(text).alias("_key"), text.alias("text"))
-    whole = kept(texts.join(wanted, ["_id", "_key"]).select("cid", "root", "size", "text").dropDuplicates(["cid"]))
-
-    def compared(group: pa.Table) -> np.ndarray:
-        items, bounds = shingles(*buffers(group["text"]), width)
-        return linked([items[a:b] for a, b in zip(bounds[:-1], bounds[1:])], percent)
-
-    links = _edges(_in_block_pairs(whole, "size", FAMILY_BLOCK), ["root", "left", "right"], compared)
-    parts = components(links.distinct())
+    whole = kept(texts.join(wanted, ["_id", "_key"]).select("cid", "family", "size", "weight", "n", "text").dropDuplicates(["cid"]))
+    parts = components(links(edges, whole, width=width, percent=percent, block=TEXT_BLOCK, block_shingles=TEXT_BLOCK_SHINGLES))
     joined = classes.select("cid", "min_id", "n_rows").join(parts.withColumnRenamed("v", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     ids = joined.groupBy("root").agg(F.min("min_id").alias("component"), F.sum("n_rows").alias("n_docs"))
     # Only classes of more than one document need a look-up; the others are their own component.
@@ -282,16 +419,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
-    """``docs`` with one document of each group, that of the smallest id; all columns stay.
+    """``docs`` with one document of each group, that of the smallest id; all columns stay, whatever they are called.
 
     Rows that are equal in id and text are one document. Rows without an id
     go if a row with an id is in their group, and stay otherwise.
     """
+    key, lost_id, lost_key = fresh(docs.columns, "text_key", "lost_id", "lost_key")
     found = kept(near_duplicates(docs, id_col=id_col, text_col=text_col, width=width, percent=percent))
-    lost = found.filter(~F.col("kept") & F.col("component_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
-    rest = keyed.join(lost, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_anti")
+    lost = found.filter(~F.col("kept") & F.col("component_id").isNotNull()).select(F.col("doc_id").alias(lost_id), F.col("text_key").alias(lost_key)).distinct()
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
+    rest = keyed.join(lost, F.col(f"`{id_col}`").eqNullSafe(F.col(lost_id)) & (F.col(key) == F.col(lost_key)), "left_anti")
     repeated = found.filter(F.col("kept")).groupBy("doc_id", "text_key").count().filter("count > 1").limit(1).count()
     if repeated:
-        rest = rest.filter(F.col(f"`{id_col}`").isNull()).unionByName(rest.filter(F.col(f"`{id_col}`").isNotNull()).dropDuplicates([id_col, "_text_key"]))
-    return rest.drop("_text_key")
+        rest = rest.filter(F.col(f"`{id_col}`").isNull()).unionByName(rest.filter(F.col(f"`{id_col}`").isNotNull()).dropDuplicates([id_col, key]))
+    return rest.drop(key)

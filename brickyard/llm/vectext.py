@@ -102,27 +102,91 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all lower-cased words, and each text's first word (n + 1 entries)."""
+    low = LOWER[data]
+    starts, ends, first = words(low, offsets)
+    return span_hashes(low, starts, ends), first
+
+
+def spaced_parts(data: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``most`` bytes that together are one text; each but the last ends with white space."""
+    at = 0
+    while at < len(data):
+        to = at + most
+        while to < len(data):
+            near = np.flatnonzero(IS_SPACE[data[to : to + most]])
+            if len(near):
+                to += int(near[0]) + 1
+                break
+            to += most
+        to = min(to, len(data))
+        yield at, to
+        at = to
+
+
+def long_word_hash(data: np.ndarray, most: int) -> np.ndarray:
+    """What ``span_hashes`` gives for one span of any length, made from parts of ``most`` bytes."""
+    up, _ = _POWERS.upto(most)
+    total = 0
+    for at in range(0, len(data), most):
+        part = BYTE_VALUES[data[at : at + most]]
+        total += int((part * up[: len(part)]).sum(dtype=np.uint64)) * pow(int(_BASE), at, 2**64)
+    return mix(np.array([(total + len(data)) % 2**64], dtype=np.uint64))
+
+
+def long_text_words(data: np.ndarray, most: int) -> np.ndarray:
+    """``word_hashes`` of one text, holding arrays for about ``most`` bytes at a time."""
+    found = []
+    for at, to in spaced_parts(data, most):
+        part = data[at:to]
+        if to - at <= 2 * most:
+            found.append(word_hashes(part, np.array([0, to - at]))[0])
+            continue
+        # White space is far apart here: words before the last one are ordinary, the last is longer than a part.
+        solid = len(part) - int(IS_SPACE[part[-1]])
+        begin = next((k + 1 for k in range(min(solid, 2 * most) - 1, -1, -1) if IS_SPACE[part[k]]), 0)
+        found.append(word_hashes(part[:begin], np.array([0, begin]))[0])
+        found.append(long_word_hash(LOWER[part[begin:solid]], most))
+    return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
+
+
+def shingle_hashes(hashed: np.ndarray, at: np.ndarray, stop: np.ndarray, width: int) -> np.ndarray:
+    """The hash of the words from each place ``at`` on: ``width`` of them, or fewer where ``stop`` comes first."""
+    total = np.zeros(len(at), dtype=np.uint64)
+    for k in range(width):
+        here = at + k
+        inside = here < stop
+        total += np.where(inside, hashed[np.minimum(here, max(len(hashed) - 1, 0))] * SHINGLE_WEIGHTS[k], np.uint64(k + 1))
+    return mix(total)
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct word shingles of each text, sorted within it, and their offsets.
 
     A text of fewer than ``width`` words has its whole sequence as its one
-    shingle; one without words has none.
+    shingle; one without words has none. A text longer than ``most`` bytes is
+    taken part by part.
     """
-    low = LOWER[data]
-    starts, ends, first = words(low, offsets)
-    hashed = span_hashes(low, starts, ends)
+    if len(offsets) > 2 and (np.diff(offsets) > most).any():
+        parts = [shingles(data[a:b], np.array([0, b - a]), width, most) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        return np.concatenate([x for x, _ in parts]), np.concatenate([[0], np.cumsum([len(x) for x, _ in parts])])
+    if len(offsets) == 2 and len(data) > most:
+        hashed = long_text_words(data, most)
+        n = len(hashed)
+        rows = n - width + 1 if n >= width else int(n > 0)
+        step = most // 8
+        ranges = (np.arange(a, min(a + step, rows)) for a in range(0, rows, step))
+        parts = [np.unique(shingle_hashes(hashed, at, np.full(len(at), n), width)) for at in ranges]
+        own = np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
+        return own, np.array([0, len(own)])
+    hashed, first = word_hashes(data, offsets)
     counts = np.diff(first)
     n_rows = np.where(counts >= width, counts - width + 1, (counts > 0).astype(counts.dtype))
     text_of = np.repeat(np.arange(len(counts)), n_rows)
     ahead = np.cumsum(n_rows) - n_rows
     at = np.arange(len(text_of)) - ahead[text_of] + first[:-1][text_of]
-    stop = first[1:][text_of]
-    total = np.zeros(len(text_of), dtype=np.uint64)
-    for k in range(width):
-        here = at + k
-        inside = here < stop
-        total += np.where(inside, hashed[np.minimum(here, max(len(hashed) - 1, 0))] * SHINGLE_WEIGHTS[k], np.uint64(k + 1))
-    total = mix(total)
+    total = shingle_hashes(hashed, at, first[1:][text_of], width)
     out, sizes = [], np.zeros(len(counts), dtype=np.int64)
     bounds = np.concatenate([[0], np.cumsum(n_rows)])
     for i in np.flatnonzero(n_rows):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +57,8 @@ def _near_rows(seed=3, groups=12, size=30):
 
 
 def test_near_duplicates_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(setsketch, "BUCKET_BLOCK", 8)
-    monkeypatch.setattr(setsketch, "FAMILY_BLOCK", 8)
+    for name, value in (("SMALL_BUCKET", 8), ("SKETCH_BLOCK", 8), ("TEXT_BLOCK", 8)):
+        monkeypatch.setattr(setsketch, name, value)
     rows = _near_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("cid", F.lit("clash"))
     got = setsketch.near_duplicates(docs).collect()
@@ -67,6 +68,31 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     assert all(r.n_shingles == len(sets[r.doc_id]) and r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_copies_that_only_their_original_links(spark, monkeypatch):
+    for name, value in (("SMALL_BUCKET", 4), ("SKETCH_BLOCK", 16), ("TEXT_BLOCK", 16)):
+        monkeypatch.setattr(setsketch, name, value)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(500, " ".join(base))]
+    for d in range(60):
+        own = list(base)
+        for at in rng.sample(range(0, 120, 6), 2 if d % 4 else 6):
+            own[at] = f"x{d}at{at}"
+        rows.append((d, " ".join(own)))
+    sets = _sets(rows)
+    want = _classes(sets)
+    assert len(set(want.values())) > 5 and max(Counter(want.values()).values()) > 30
+    got = setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_shingles_of_long_texts_are_made_part_by_part():
+    texts = ["a b c " * 500 + "x" * 3000 + " " + "y" * 5000 + "  end", "w" * 9000, "p q r s t u v " * 300 + " " * 3000 + "zz " + "k" * 900, " " * 5000, "ab " * 2 + "q" * 4000, "", "one"]
+    for column in [pa.array([t]) for t in texts] + [pa.array(texts)]:
+        whole, parts = shingles(*buffers(column)), shingles(*buffers(column), most=256)
+        assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (None, "q r s t u v"), (None, None), (9, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
