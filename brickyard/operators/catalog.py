@@ -5,11 +5,11 @@ Whatever is unknown fails a bound; nothing is guessed.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brickyard.checkpoints import kept
+
 #: Prices in EUR between which a home is in the budget, both included.
 BUDGET = (30_000, 300_000)
 
@@ -186,10 +186,7 @@ def live_fit_order() -> list[Column]:
 def positions(rows: DataFrame, order: list[Column]) -> DataFrame:
     """Adds position (from 1) in ``order``, whose last key must be unique: a sort by ranges, then the rows before each range."""
     parts = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    sc = rows.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    parts = parts.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).checkpoint()
+    parts = kept(parts.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
     before, starts = 0, []
     for part, n in sorted(parts.groupBy("_part").count().collect()):
         starts.append((part, before))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brickyard.functions.text import ascii_words, company_name, containment, is_generic, job_title, title_ratio
 
+from .components import components
 from .radius import first_of_each
 
 
@@ -67,25 +66,9 @@ def evidence(jobs: DataFrame, similarity: Column | None = None) -> DataFrame:
 
 
 def merge_groups(edges: DataFrame) -> DataFrame:
-    """job_id and group_id (its smallest member) of the connected components of left_id, right_id edges.
-
-    Minimum labels with pointer jumping; each round is cut by a checkpoint.
-    """
-    sc = edges.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    both = edges.select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
-    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("g")).checkpoint()
-    while True:
-        near = both.join(labels.select(F.col("v").alias("b"), "g"), "b").groupBy(F.col("a").alias("v")).agg(F.min("g").alias("m"))
-        lower = labels.join(near, "v").select("v", F.col("g").alias("old"), F.least("g", "m").alias("g"))
-        jump = labels.select(F.col("v").alias("g"), F.col("g").alias("far"))
-        fresh = lower.join(jump, "g", "left").select("v", "old", F.least("g", F.coalesce("far", "g")).alias("g")).checkpoint()
-        done = fresh.filter("old <> g").limit(1).count() == 0
-        labels = fresh.select("v", "g")
-        if done:
-            return labels.select(F.col("v").alias("job_id"), F.col("g").alias("group_id"))
+    """job_id and group_id (its smallest member) of the connected components of left_id, right_id edges."""
+    found = components(edges.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")))
+    return found.select(F.col("v").alias("job_id"), F.col("root").alias("group_id"))
 
 
 def survivors(members: DataFrame) -> DataFrame:

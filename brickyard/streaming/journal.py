@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from brickyard.checkpoints import shared_dir
+
 TOPICS = ("houses", "jobs", "all")
 REPLAY_MOST = 500
 
@@ -41,9 +42,8 @@ def sightings(events: DataFrame, *, entity: str = "user_id", at: str = "ts", del
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared checkpoint folder; a local one only where the session names none, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
-    return f"{base}/{name}-{uuid.uuid4()}"
+    """A new folder under the shared checkpoint folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4()}"
 
 
 def run_once(stream: DataFrame, checkpoint: str, apply: Callable[[DataFrame, int], None], mode: str = "append") -> None:
