@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brickyard.functions import geo, salary, text
 from brickyard.operators import catalog, dedupe, fit, gate, identity, lifecycle, locality, radius, rollups
+from brickyard.operators.components import components
 from brickyard.sources import homes, jobs
 from brickyard.streaming import journal
 
@@ -308,3 +309,11 @@ def test_home_feeds(spark, tmp_path):
     path.write_text("PLZ;RW;HW\n1;2;3\n")
     with pytest.raises(ValueError):
         homes.address_register(spark, str(path))
+
+
+@pytest.mark.parametrize("few", [0, 3, None])
+def test_components(spark, few):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7), (None, 3), (101, 100)], "a long, b long")
+    got = {r.v: r.root for r in components(edges, few).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+    assert components(edges.filter("false"), few).count() == 0
