@@ -31,8 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .checkpoints import kept
-from .components import components
+from brickyard.checkpoints import kept
+from brickyard.operators.components import components
 from .names import fresh
 from .vectext import buffers, byte_slices, mix, shingles
 
@@ -274,7 +274,7 @@ def _pivot_edges(rows: DataFrame, classes: DataFrame, cut: float, rounds: int) -
     degree = rows.groupBy("cid").agg(F.sum("size").alias("degree"))
     rows = rows.select("band", "key", "cid").join(degree, "cid").withColumn("part", F.col("cid")).withColumn("tried", F.lit(False))
     edges = None
-    for _ in range(rounds):
+    for again in range(rounds):
         # The class that meets most others, and hasn't been a pivot here, of each bucket in several parts.
         first = F.max_by(F.struct("cid", "part"), F.struct(~F.col("tried"), "degree", "cid"))
         pivots = rows.groupBy("band", "key").agg(first.alias("p"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter(F.col("lo") != F.col("hi"))
@@ -282,7 +282,8 @@ def _pivot_edges(rows: DataFrame, classes: DataFrame, cut: float, rounds: int) -
         pairs = rows.filter(F.col("part") != F.col("pivot_part")).select("cid", "pivot").distinct()
         found = _likely_pairs(pairs, classes, cut)
         edges = kept(found if edges is None else edges.unionByName(found).distinct())
-        rows = _in_parts(rows.withColumn("tried", F.col("tried") | (F.col("cid") == F.col("pivot"))).drop("pivot", "pivot_part", "part"), edges)
+        if again < rounds - 1:
+            rows = _in_parts(rows.withColumn("tried", F.col("tried") | (F.col("cid") == F.col("pivot"))).drop("pivot", "pivot_part", "part"), edges)
     return edges
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from brickyard.llm import classifier, components, labelled, setsketch, topk, toxicity
+from brickyard.llm import classifier, labelled, setsketch, topk, toxicity
 from brickyard.llm.vectext import buffers, byte_slices, shingles
 
 SF = "/root/testdata/sf0.01"
@@ -126,12 +126,6 @@ def test_shingles_are_distinct_words():
     assert np.diff(bounds).tolist() == [5, 1, 0, 0, 1]
 
 
-def test_components(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)], "a long, b long")
-    got = {r.v: r.root for r in components.components(edges).collect()}
-    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
-
-
 def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(5)
     x = rng.integers(-40, 40, (700, 8)) / 16.0
