@@ -13,16 +13,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .checkpoints import kept
+from brickyard.checkpoints import kept
+from .names import fresh
 
-#: Hosts with listed lines up to this many are broadcast; beyond it the pages are shuffled by host.
-BROADCAST_HOSTS = 20_000
+#: Lists with up to this many lines in all (some 12 MB) are broadcast; beyond it the pages are shuffled by host.
+BROADCAST_LINES = 200_000
+WHITE = " \t\n\x0b\x0c\r"
 
 
 def line_key(line: Column) -> Column:
     """What makes lines equal: their characters without white space around them, as a 128-bit hash; null for blank lines."""
-    bare = F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(bare != "", F.md5(bare))
+    return F.transform(F.array(F.btrim(line, F.lit(WHITE))), lambda bare: F.when(bare != "", F.md5(bare)))[0]
 
 
 def boilerplate(pages: DataFrame, *, host_col: str = "host", text_col: str = "text", ratio: float = 0.1, least_pages: int = 5) -> DataFrame:
@@ -35,29 +36,33 @@ def boilerplate(pages: DataFrame, *, host_col: str = "host", text_col: str = "te
     return counts.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).filter(F.col("n_pages") > F.col("n_host") * ratio).drop("_host")
 
 
-def drop_lines(pages: DataFrame, *, host_col: str = "host", text_col: str = "text", ratio: float = 0.1, least_pages: int = 5) -> DataFrame:
+def drop_lines(pages: DataFrame, *, host_col: str = "host", text_col: str = "text", ratio: float = 0.1, least_pages: int = 5, keep_whole: bool = True) -> DataFrame:
     """``pages`` without their boilerplate lines, and with ``n_lines`` and ``n_dropped`` (non-blank lines).
 
-    A page that would lose all its lines keeps them: a copied page is not
-    boilerplate. A null text stays null and has no lines. Columns of the
-    two names are replaced; all others, and repeated rows, stay.
+    With ``keep_whole`` a page that would lose all its lines keeps them: a
+    copied page is not boilerplate. Otherwise its text is what blank lines
+    are left. A null text stays null and has no lines. Columns of the two
+    names are replaced; all others, whatever they are called, and repeated
+    rows stay.
     """
+    host, keys, lines, n, d = fresh(pages.columns, "_host", "_keys", "_lines", "_n", "_d")
     listed = boilerplate(pages, host_col=host_col, text_col=text_col, ratio=ratio, least_pages=least_pages)
-    listed = kept(listed.groupBy(F.col("host").alias("_host")).agg(F.collect_list("key").alias("_keys")))
-    listed = F.broadcast(listed) if listed.count() <= BROADCAST_HOSTS else listed
+    listed = kept(listed.groupBy(F.col("host").alias(host)).agg(F.collect_list("key").alias(keys)))
+    few = (listed.agg(F.sum(F.size(keys))).first()[0] or 0) <= BROADCAST_LINES
+    listed = F.broadcast(listed) if few else listed
     columns = [c for c in pages.columns if c.lower() not in ("n_lines", "n_dropped")]
-    lines = F.transform(F.split(F.col(f"`{text_col}`").cast("string"), "\n"), lambda x: F.struct(x.alias("line"), line_key(x).alias("key")))
-    joined = pages.select(*(F.col(f"`{c}`") for c in columns)).join(listed, F.col(f"`{host_col}`").eqNullSafe(F.col("_host")), "left").withColumn("_lines", lines)
-    solid = F.filter("_lines", lambda x: x["key"].isNotNull())
-    dropped = F.when(F.col("_keys").isNull(), 0).otherwise(F.size(F.filter(solid, lambda x: F.array_contains("_keys", x["key"]))))
-    counted = joined.withColumn("_n", F.coalesce(F.size(solid), F.lit(0))).withColumn("_d", F.coalesce(dropped, F.lit(0)))
-    rewrite = (F.col("_d") > 0) & (F.col("_d") < F.col("_n"))
-    rest = F.filter("_lines", lambda x: x["key"].isNull() | ~F.array_contains("_keys", x["key"]))
+    keyed = F.transform(F.split(F.col(f"`{text_col}`").cast("string"), "\n"), lambda x: F.struct(x.alias("line"), line_key(x).alias("key")))
+    joined = pages.select(*(F.col(f"`{c}`") for c in columns)).join(listed, F.col(f"`{host_col}`").eqNullSafe(F.col(host)), "left").withColumn(lines, keyed)
+    solid = F.filter(lines, lambda x: x["key"].isNotNull())
+    dropped = F.when(F.col(keys).isNull(), 0).otherwise(F.size(F.filter(lines, lambda x: F.coalesce(F.array_contains(keys, x["key"]), F.lit(False)))))
+    counted = joined.withColumn(n, F.coalesce(F.size(solid), F.lit(0))).withColumn(d, F.coalesce(dropped, F.lit(0)))
+    rewrite = (F.col(d) > 0) & ((F.col(d) < F.col(n)) | F.lit(not keep_whole))
+    rest = F.filter(lines, lambda x: x["key"].isNull() | ~F.array_contains(keys, x["key"]))
     text = F.when(rewrite, F.array_join(F.transform(rest, lambda x: x["line"]), "\n")).otherwise(F.col(f"`{text_col}`"))
     return counted.select(
         *(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in columns),
-        F.when(F.col(f"`{text_col}`").isNull(), 0).otherwise(F.col("_n")).cast("long").alias("n_lines"),
-        F.when(rewrite, F.col("_d")).otherwise(0).cast("long").alias("n_dropped"),
+        F.when(F.col(f"`{text_col}`").isNull(), 0).otherwise(F.col(n)).cast("long").alias("n_lines"),
+        F.when(rewrite, F.col(d)).otherwise(0).cast("long").alias("n_dropped"),
     )
 
 

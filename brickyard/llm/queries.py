@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import classifier, labelled, linededup, mixing, packing, rules, setsketch, sharding, tokens, topk, toxicity
+from brickyard.checkpoints import kept
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,8 +39,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, text, n_lines and n_dropped of every page, without the lines that over a tenth of its host's pages (and at least 5) hold."""
     pages = _read(spark, sf_dir, "pages").select("page_id", linededup.page_host(F.col("url")).alias("host"), linededup.html_lines(F.col("html")).alias("text"))
-    return linededup.drop_lines(pages, ratio=0.1, least_pages=5)
+    # Both passes read the text of the mark-up, whose patterns cost more than writing it.
+    return linededup.drop_lines(kept(pages), ratio=0.1, least_pages=5)
 
 
 OP2_SQL = r"""
