@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .checkpoints import kept
+from brickyard.checkpoints import kept
 from .tokens import SLICE_BYTES, encoder
 from .vectext import buffers, byte_slices
 
@@ -138,13 +138,15 @@ def _movable(open_bins: DataFrame, capacity: int) -> tuple[DataFrame, int]:
 def pack_pieces(pieces: DataFrame, *, capacity: int = 2048, length_col: str = "length", key_cols: tuple[str, ...] = ("doc_id", "piece", "start", "ids_crc32"), items_per_task: int = 20_000, full: float = 0.99) -> DataFrame:
     """Adds sequence_id and offset (gapless from 0) to pieces of at most ``capacity``.
 
-    ``key_cols`` and the length order the pieces inside a task. Bins filled
-    to ``full`` of the capacity are done after each round. An empty table gives
-    an empty result; a null length is an error of the caller.
+    ``key_cols`` and the length order the pieces inside a task; equal pieces
+    are dealt to all tasks. Bins filled to ``full`` of the capacity are done
+    after each round. Columns of the two names are replaced. An empty table
+    gives an empty result; a null length is an error of the caller.
     """
-    pieces = kept(pieces)
+    pieces = kept(pieces.drop(*(c for c in pieces.columns if c.lower() in ("sequence_id", "offset"))))
     tasks = -(-pieces.count() // items_per_task)
-    spread = F.pmod(F.xxhash64(*(F.col(f"`{k}`") for k in key_cols)), F.lit(1 << 30))
+    # The pieces are read from a checkpoint, so a task that runs again numbers them alike.
+    spread = F.pmod(F.xxhash64(*(F.col(f"`{k}`") for k in key_cols), F.monotonically_increasing_id()), F.lit(1 << 30))
     first = kept(_round(pieces.repartition(max(tasks, 1), spread), length_col, list(key_cols), capacity, 0))
     moved = None
     least = int(capacity * full)

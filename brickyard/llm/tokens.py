@@ -3,8 +3,9 @@
 Texts are cut at *safe boundaries*: before a single space that stands
 between two characters that are surely not white space. No token of the
 byte-level pattern reaches over such a place, so the pieces' tokens are the
-text's tokens, however long it is. Equal pieces are encoded once per worker
-and kept in a bounded cache, and only lengths leave the function.
+text's tokens, however long it is; a text longer than a slice is also taken
+in parts that end there. Equal pieces, compared byte by byte, are encoded once
+per worker and kept in a bounded cache, and only lengths leave the function.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from pyspark.sql import types as T
 from .vectext import buffers, byte_slices, span_hashes
 
 SLICE_BYTES = 1 << 20
-CACHE_PIECES = 600_000
+#: The cache is emptied before it holds many more pieces or ids.
+CACHE_PIECES = 500_000
+CACHE_IDS = 16_000_000
 #: The published pattern of byte-level BPE.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -73,6 +76,25 @@ def safe_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
+def safe_parts(data: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges that together are one text, of about ``most`` bytes where it has safe boundaries that near."""
+    at = 0
+    while at < len(data):
+        to = at + most
+        while to < len(data):
+            # Two bytes before and one behind decide whether a place is safe.
+            near = data[to - 2 : to + most]
+            good = safe_starts(near, np.array([0, len(near)]))
+            good = good[(good >= 2) & (good < len(near) - 1)]
+            if len(good):
+                to += int(good[0]) - 2
+                break
+            to += most - 2
+        to = min(to, len(data))
+        yield at, to
+        at = to
+
+
 def one_token_word(text: str) -> bool:
     """Whether the pattern surely takes ``text`` whole: letters of the Latin blocks with at most one space before."""
     word = text[1:] if text[:1] == " " else text
@@ -98,15 +120,20 @@ def byte_level_codec(path: str):
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     pre = spec.get("pre_tokenizer") or {}
+    model = spec["model"]
     plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
-    added = spec.get("added_tokens", [])
-    if any(_MARK[b] for x in added for b in x["content"].encode()):
+    if not plain or model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "ignore_merges", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix")):
         return None
-    if not plain or any(x.get(k) for x in added for k in ("lstrip", "rstrip", "single_word")) or spec["model"].get("dropout"):
+    added = spec.get("added_tokens", [])
+    if any(_MARK[b] for x in added for b in x["content"].encode()) or any(x.get(k) for x in added for k in ("lstrip", "rstrip", "single_word")):
         return None
     special = {x["content"]: x["id"] for x in added}
-    of = byte_characters()
-    ranks = {bytes(of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+    of, vocab = byte_characters(), model["vocab"]
+    # Ids stand for the order of merges here, so the file's merges must be in the order of ids.
+    made = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    if None in made or made != sorted(set(made)) or len(made) + len(of) != len(vocab.keys() - special.keys()):
+        return None
+    ranks = {bytes(of[c] for c in token): i for token, i in vocab.items() if token not in special}
     return tiktoken.Encoding("byte_level", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
@@ -136,15 +163,16 @@ class PieceEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.lengths = np.zeros(1 << 12, dtype=np.int64)
         self.starts = np.zeros(1 << 12, dtype=np.int64)
         self.ids = np.zeros(1 << 14, dtype=np.uint32)
         self.n_ids = 0
 
-    def _learn(self, keys: list[int], texts: list[bytes]) -> None:
-        for at in range(0, len(keys), 10_000):
-            found = self.encode([x.decode("utf-8") for x in texts[at : at + 10_000]])
+    def _learn(self, texts: list[bytes]) -> None:
+        for at in range(0, len(texts), 10_000):
+            new = texts[at : at + 10_000]
+            found = self.encode([x.decode("utf-8") for x in new])
             flat = np.fromiter(chain.from_iterable(found), dtype=np.uint32)
             sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
             n, m = len(self.known), len(found)
@@ -155,35 +183,53 @@ class PieceEncoder:
             self.starts[n : n + m] = self.n_ids + np.cumsum(sizes) - sizes
             self.ids[self.n_ids : self.n_ids + len(flat)] = flat
             self.n_ids += len(flat)
-            self.known.update(zip(keys[at : at + m], range(n, n + m)))
+            self.known.update(zip(new, range(n, n + m)))
 
     def pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The cache entry of every piece, and each text's first piece (n + 1 entries)."""
-        if len(self.known) > CACHE_PIECES:
+        if len(self.known) > CACHE_PIECES or self.n_ids > CACHE_IDS:
             self.forget()
         starts = safe_starts(data, offsets) if self.split else np.unique(offsets[:-1][np.diff(offsets) > 0])
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
-        keys, index, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        known = self.known
-        entry = np.fromiter(map(known.get, keys.tolist(), repeat(-1)), dtype=np.int64, count=len(keys))
+        _, index, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        # The pieces lie end to end, so this lays the first of each hash beside them.
+        first = np.arange(len(data)) + np.repeat(starts[index][inverse] - starts, ends - starts)
+        if not ((ends - starts)[index][inverse] == ends - starts).all() or not (data[np.minimum(first, len(data) - 1)] == data).all():
+            index = inverse = np.arange(len(starts))
+        raw = data.tobytes()
+        texts = [raw[a:b] for a, b in zip(starts[index].tolist(), ends[index].tolist())]
+        entry = np.fromiter(map(self.known.get, texts, repeat(-1)), dtype=np.int64, count=len(texts))
         if len(new := np.flatnonzero(entry < 0)):
-            raw, at = data.tobytes(), index[new]
-            self._learn(keys[new].tolist(), [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])
-            entry[new] = np.arange(len(known) - len(new), len(known))
+            self._learn(list(dict.fromkeys(texts[i] for i in new.tolist())))
+            entry[new] = [self.known[texts[i]] for i in new.tolist()]
         return entry[inverse], np.searchsorted(starts, offsets)
 
+    def _parts(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The texts as they are, or the parts of a single long one."""
+        if self.split and len(offsets) == 2 and len(data) > 2 * SLICE_BYTES:
+            for a, b in safe_parts(data, SLICE_BYTES):
+                yield data[a:b], np.array([0, b - a])
+        else:
+            yield data, offsets
+
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        entry, first = self.pieces(data, offsets)
-        total = np.concatenate([[0], np.cumsum(self.lengths[entry])])
-        return total[first[1:]] - total[first[:-1]]
+        n = np.zeros(len(offsets) - 1, dtype=np.int64)
+        for part, bounds in self._parts(data, offsets):
+            entry, first = self.pieces(part, bounds)
+            total = np.concatenate([[0], np.cumsum(self.lengths[entry])])
+            n += total[first[1:]] - total[first[:-1]]
+        return n
 
     def encoded(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after another, and each text's first (n + 1 entries)."""
-        entry, first = self.pieces(data, offsets)
-        lengths = self.lengths[entry]
-        total = np.concatenate([[0], np.cumsum(lengths)])
-        at = np.arange(total[-1]) + np.repeat(self.starts[entry] - total[:-1], lengths)
-        return self.ids[at], total[first]
+        found = []
+        for part, bounds in self._parts(data, offsets):
+            entry, first = self.pieces(part, bounds)
+            lengths = self.lengths[entry]
+            total = np.concatenate([[0], np.cumsum(lengths)])
+            at = np.arange(total[-1]) + np.repeat(self.starts[entry] - total[:-1], lengths)
+            found.append((self.ids[at], total[first]))
+        return found[0] if len(found) == 1 else (ids := np.concatenate([x for x, _ in found]), np.array([0, len(ids)]))
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
