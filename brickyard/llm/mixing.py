@@ -7,9 +7,9 @@ cap / weight this is one pass of prefix sums, so no loop is needed.
 
 Sampling: each document is taken ``floor(target / size)`` times, and once
 more while the seeded order of its source's documents fits into the
-remaining words. That cut is found on sums of hash buckets; rows are put in
-order only inside the one bucket of each source where the cut falls. What
-is left then goes to the one other document whose size comes nearest.
+remaining words. That cut is found on sums of hash buckets; ids and sizes are
+put in order only inside the one bucket of each source where the cut falls.
+What is left then goes to the one other document whose size comes nearest.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .checkpoints import kept
+from brickyard.checkpoints import kept
+from .names import fresh
+from .repeated import expanded
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hex digits of the seeded hash that make a bucket: 16 ** 3 buckets for each source.
@@ -61,79 +63,105 @@ def water_fill(sources: DataFrame, *, budget: Column | None = None, max_epochs:
 
 
 def repetitions(rows: DataFrame, targets: DataFrame, *, seed: str = "mix", max_epochs: int = 3) -> DataFrame:
-    """Adds source_size, target and ``times`` to rows of doc_id, source and size.
+    """Rows of doc_id, source, size and others, each distinct one once, with source_size, target, ``whole``, ``n`` and ``more``.
 
-    Rows with equal doc_id, source and size are interchangeable. The order
-    is md5 of the seed and the id, so a rerun takes the same documents.
+    Of the ``n`` equal rows, ``more`` are taken ``whole`` + 1 times and the
+    others ``whole`` times. The order is md5 of the seed and the id, then the
+    size, so a rerun takes the same documents. Rows equal in id and size are
+    one in the search for the cut, however many they are.
     """
-    rows = kept(rows.withColumn("_r", F.monotonically_increasing_id()).withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))).withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS)))
+    others = [c for c in rows.columns if c not in ("doc_id", "source", "size")]
+    h = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     # A null source joins like any other value.
+    source = [F.coalesce("source", F.lit("")).alias("_k"), F.col("source").isNull().alias("_n")]
+    key = ["_k", "_n"]
+    counted = kept(rows.groupBy(*rows.columns).agg(F.count("*").alias("n")).select("*", *source, h.alias("_h")).withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS)))
     plan = targets.select(
-        F.coalesce("source", F.lit("")).alias("_k"), F.col("source").isNull().alias("_n"), "source_size", "target",
-        F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).alias("_whole"),
-    ).withColumn("_rest", F.when(F.col("_whole") < max_epochs, F.col("target") - F.col("_whole") * F.col("source_size")).otherwise(F.lit(0.0)))
+        *source, "source_size", "target", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).alias("whole"),
+    ).withColumn("_rest", F.when(F.col("whole") < max_epochs, F.col("target") - F.col("whole") * F.col("source_size")).otherwise(F.lit(0.0)))
     plan = kept(plan)
     few = plan.count() <= BROADCAST_SOURCES
     per_source = (lambda df: F.broadcast(df)) if few else (lambda df: df)
-    keyed = rows.withColumn("_k", F.coalesce("source", F.lit(""))).withColumn("_n", F.col("source").isNull())
-    sums = keyed.groupBy("_k", "_n", "_b").agg(F.sum("size").alias("_s"))
-    upto = sums.withColumn("_upto", F.sum("_s").over(Window.partitionBy("_k", "_n").orderBy("_b")))
+    words = F.col("size") * F.col("n")
+    sums = counted.groupBy(*key, "_b").agg(F.sum(words).alias("_s"))
+    upto = sums.withColumn("_upto", F.sum("_s").over(Window.partitionBy(*key).orderBy("_b")))
     # The cut: the first bucket whose end passes the rest; where none does, every row is before it.
     cut = (
-        upto.join(per_source(plan), ["_k", "_n"])
+        upto.join(per_source(plan), key)
         .filter(F.col("_upto") > F.col("_rest"))
-        .groupBy("_k", "_n")
-        .agg(F.min("_b").alias("_cut"), F.min_by(F.col("_upto") - F.col("_s"), "_b").alias("_before"))
+        .groupBy(*key)
+        .agg(F.min("_b").alias("_cut"), F.min_by(F.col("_upto") - F.col("_s"), "_b").alias("_before"), F.first("_rest").alias("_rest"))
     )
-    plan = kept(plan.join(cut, ["_k", "_n"], "left"))
-    joined = keyed.join(per_source(plan), ["_k", "_n"])
-    columns = [F.col(f"`{c}`") for c in rows.columns if c not in ("_h", "_b", "_r")]
-    at_cut = joined.filter(F.col("_b") == F.col("_cut"))
-    so_far = F.sum("size").over(Window.partitionBy("_k", "_n").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inside = at_cut.withColumn("_more", F.col("_before") + so_far <= F.col("_rest"))
-    outside = joined.filter(F.col("_cut").isNull() | (F.col("_b") != F.col("_cut"))).withColumn("_more", F.col("_cut").isNull() | (F.col("_b") < F.col("_cut")))
-    state = [*columns, "source_size", "target", "_whole", "_rest", "_more", "_h", "_r", "_k", "_n"]
-    drawn = kept(outside.select(*state).unionByName(inside.select(*state)))
-    left = drawn.groupBy("_k", "_n").agg((F.first("_rest") - F.coalesce(F.sum(F.when(F.col("_more"), F.col("size"))), F.lit(0))).alias("_left"))
+    at_cut = counted.join(per_source(cut), key).filter(F.col("_b") == F.col("_cut")).groupBy(*key, "_h", "size").agg(F.sum("n").alias("n"), F.first("_before").alias("_before"), F.first("_rest").alias("_rest"))
+    end = F.col("_before") + F.sum(words).over(Window.partitionBy(*key).orderBy("_h", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    first = at_cut.withColumn("_end", end).filter(F.col("_end") > F.col("_rest")).groupBy(*key).agg(F.min(F.struct("_h", "size", "n", "_end", "_rest")).alias("c"))
+    first = first.select(*key, F.struct("c._h", "c.size").alias("_at"), F.floor((F.col("c._rest") - F.col("c._end")) / F.col("c.size") + F.col("c.n")).alias("_some"))
+    plan = kept(plan.join(first, key, "left"))
+    place = F.struct("_h", "size")
+    # How many of the rows equal in id and size are taken once more.
+    more = F.when(F.col("whole") >= max_epochs, 0).when(F.col("_at").isNull() | (place < F.col("_at")), F.col("n")).when(place == F.col("_at"), F.col("_some")).otherwise(0)
+    groups = kept(counted.groupBy(*key, "_h", "size").agg(F.sum("n").alias("n")).join(per_source(plan), key).withColumn("_more", more.cast("long")))
+    left = groups.groupBy(*key).agg((F.first("_rest") - F.sum(F.col("size") * F.col("_more"))).alias("_left"))
     nearest = (
-        drawn.filter(~F.col("_more") & (F.col("_whole") < max_epochs))
-        .join(per_source(left), ["_k", "_n"])
-        .groupBy("_k", "_n")
-        .agg(F.first("_left").alias("_left"), F.min(F.struct(F.abs(F.col("_left") - F.col("size")).alias("gap"), "_h", "doc_id", "size", "_r")).alias("_best"))
+        groups.filter((F.col("_more") < F.col("n")) & (F.col("whole") < max_epochs))
+        .join(per_source(left), key)
+        .groupBy(*key)
+        .agg(F.first("_left").alias("_left"), F.min(F.struct(F.abs(F.col("_left") - F.col("size")).alias("gap"), "_h", "size")).alias("_best"))
         .filter(F.col("_best.gap") < F.col("_left"))
-        .select("_k", "_n", F.col("_best._r").alias("_pick"))
+        .select(*key, F.struct("_best._h", "_best.size").alias("_pick"))
     )
-    again = (F.col("_more") & (F.col("_whole") < max_epochs)) | F.coalesce(F.col("_r") == F.col("_pick"), F.lit(False))
-    return drawn.join(per_source(nearest), ["_k", "_n"], "left").select(*columns, "source_size", "target", (F.col("_whole") + again.cast("long")).alias("times"))
+    plan = kept(plan.join(nearest, key, "left"))
+    joined = counted.join(per_source(plan), key)
+    special = F.coalesce(place == F.col("_at"), F.lit(False)) | F.coalesce(place == F.col("_pick"), F.lit(False))
+    extra = F.coalesce((place == F.col("_pick")).cast("long"), F.lit(0))
+    plain = joined.filter(~special).withColumn("more", F.when(F.col("whole") >= max_epochs, 0).when(F.col("_at").isNull() | (place < F.col("_at")), F.col("n")).otherwise(0).cast("long"))
+    # Two groups of a source at most: their rows differ in other columns only.
+    by_group = Window.partitionBy(*key, "_h", "size")
+    inside = joined.filter(special).withColumn("_all", F.sum("n").over(by_group))
+    wanted = F.when(F.col("whole") >= max_epochs, 0).when(place == F.col("_at"), F.col("_some")).when(F.col("_at").isNull() | (place < F.col("_at")), F.col("_all")).otherwise(0) + extra
+    ordered = by_group.orderBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), *(F.col(f"`{c}`") for c in others)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.sum("n").over(ordered) - F.col("n")
+    inside = inside.withColumn("more", F.greatest(F.lit(0), F.least(F.col("n"), wanted - before)).cast("long")).drop("_all")
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    return plain.unionByName(inside).select(*columns, "source_size", "target", F.col("whole").cast("long").alias("whole"), "n", "more")
+
+
+def _mixed(docs: DataFrame, weights: tuple[int, ...], max_epochs: int, seed: str, id_col: str, text_col: str, source_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), word_count(F.col(f"`{text_col}`").cast("string")).alias("size"))
+    rows = kept(rows)
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = water_fill(cyclic_weights(sizes, weights), max_epochs=max_epochs)
+    return repetitions(rows, targets, seed=seed, max_epochs=max_epochs)
 
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, times and taken.
 
     The budget is all words. A null or empty text has size 0 and takes 0; a
     null source is a source of its own, last in the order of weights.
-    Repeated rows are documents of their own; further columns than those
-    named by ``keep`` are left out. An empty table gives an empty result.
+    Repeated rows are documents of their own; further columns are left out.
+    An empty table gives an empty result.
     """
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), word_count(F.col(f"`{text_col}`").cast("string")).alias("size"))
-    rows = kept(rows)
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = water_fill(cyclic_weights(sizes, weights), max_epochs=max_epochs)
-    return repetitions(rows, targets, seed=seed, max_epochs=max_epochs).withColumn("taken", F.col("times") * F.col("size"))
+    rows = _mixed(docs, weights, max_epochs, seed, id_col, text_col, source_col)
+    parts = F.array(F.struct("whole", (F.col("n") - F.col("more")).alias("copies")), F.struct((F.col("whole") + 1).alias("whole"), F.col("more").alias("copies")))
+    each = rows.withColumn("part", F.explode(parts)).select("doc_id", "source", "size", "source_size", "target", F.col("part.whole").alias("times"), F.col("part.copies").alias("copies"))
+    return expanded(each, "copies", "copy").drop("copy").withColumn("taken", F.col("times") * F.col("size"))
 
 
 def sampled(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with each row as often as ``mix`` takes it; all columns stay.
+    """``docs`` with each row as often as ``mix`` takes it; all columns stay, whatever they are called.
 
     Rows equal in id, source and text are taken for one another.
     """
+    text_key, copy, own_id, own_source, own_key, own_times = fresh(["doc_id", "source", "size", *docs.columns], "_text_key", "_copy", "_own_id", "_own_source", "_own_key", "_own_times")
     key = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    keyed = docs.withColumn("_text_key", key)
-    mixed = mix(keyed, weights=weights, max_epochs=max_epochs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, keep=("_text_key",))
-    taken = kept(mixed.groupBy("doc_id", "source", "_text_key").agg(F.sum("times").alias("_times"), F.count("*").alias("_rows")))
+    keyed = docs.withColumn(text_key, key)
+    narrow = keyed.select(F.col(f"`{id_col}`").alias("_i"), F.col(f"`{source_col}`").alias("_s"), F.col(f"`{text_col}`").alias("_t"), F.col(text_key).alias("_text_key"))
+    mixed = _mixed(narrow, weights, max_epochs, seed, "_i", "_t", "_s", keep=("_text_key",))
+    taken = kept(mixed.select("doc_id", "source", "_text_key", (F.col("n") * F.col("whole") + F.col("more")).alias("_times"), F.col("n").alias("_rows")))
     if taken.filter("_rows > 1").limit(1).count():
-        keyed = keyed.dropDuplicates([id_col, source_col, "_text_key"])
-    taken = taken.filter("_times > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("_text_key").alias("_key"), "_times")
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & F.col(f"`{source_col}`").eqNullSafe(F.col("_source")) & (F.col("_text_key") == F.col("_key"))
-    found = keyed.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+        keyed = keyed.dropDuplicates([id_col, source_col, text_key])
+    taken = taken.filter("_times > 0").select(F.col("doc_id").alias(own_id), F.col("source").alias(own_source), F.col("_text_key").alias(own_key), F.col("_times").alias(own_times))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(own_id)) & F.col(f"`{source_col}`").eqNullSafe(F.col(own_source)) & (F.col(text_key) == F.col(own_key))
+    found = expanded(keyed.join(taken, same), own_times, copy)
     return found.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import fresh
+
 WHITE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -50,25 +52,37 @@ def _let(value: Column, body) -> Column:
 
 
 def _repeat_words(words: Column) -> Column:
-    """Words that stand in a window of three words which the text has at least twice."""
+    """Words that stand in a window of three words which the text has at least twice.
+
+    Windows are sorted by a 64-bit hash and their place; a text in which two
+    windows of one hash differ is counted again by the windows themselves.
+    """
 
-    def windows(w: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.size(w) - 3),
-            lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("p")),
-        )
+    def window(w: Column, i: Column) -> Column:
+        return F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+
+    def hashed(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("p")))
+
+    def spelt(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(window(w, i).alias("g"), i.alias("p")))
 
     def places(s: Column) -> Column:
         same = lambda x, k: F.get(s, k)["g"] == x["g"]
         twice = F.filter(s, lambda x, k: F.coalesce(same(x, k - 1), F.lit(False)) | F.coalesce(same(x, k + 1), F.lit(False)))
         return F.sort_array(F.transform(twice, lambda x: x["p"]))
 
+    def differ(w: Column, s: Column) -> Column:
+        clash = lambda x, k: (F.get(s, k - 1)["g"] == x["g"]) & (window(w, F.get(s, k - 1)["p"]) != window(w, x["p"]))
+        return F.exists(F.transform(s, lambda x, k: F.coalesce(clash(x, k), F.lit(False))), lambda x: x)
+
     def covered(p: Column) -> Column:
         reach = F.transform(p, lambda x, k: F.coalesce(F.least(F.lit(3), F.get(p, k + 1) - x), F.lit(3)))
         return F.aggregate(reach, F.lit(0).cast("long"), lambda a, x: a + x)
 
     def count(w: Column) -> Column:
-        return _let(F.sort_array(windows(w)), lambda s: _let(places(s), covered))
+        exact = _let(F.sort_array(spelt(w)), lambda s: _let(places(s), covered))
+        return _let(F.sort_array(hashed(w)), lambda s: F.when(differ(w, s), exact).otherwise(_let(places(s), covered)))
 
     return F.when(F.size(words) >= 4, count(words)).otherwise(F.lit(0).cast("long"))
 
@@ -96,13 +110,14 @@ def ledger(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
 
     A null or empty text has zero of everything, and so fails ``few_words``
     alone. Columns of ``docs`` that bear a measurement's name are replaced;
-    repeated rows stay repeated.
+    all others, and repeated rows, stay.
     """
     names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
-    kept = [c for c in docs.columns if c.lower() not in {*names, "failed_bits", "_m"}]
+    kept = [c for c in docs.columns if c.lower() not in {*names, "failed_bits"}]
+    (m,) = fresh(docs.columns, "_m")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    measured = docs.withColumn("_m", _measured(text)).select(
-        *(F.col(f"`{c}`") for c in kept), "_m.w.n_words", "_m.w.word_chars", "_m.n_symbols", "_m.l.n_lines", "_m.l.n_dup_lines", "_m.w.n_repeat_words"
+    measured = docs.withColumn(m, _measured(text)).select(
+        *(F.col(f"`{c}`") for c in kept), f"{m}.w.n_words", f"{m}.w.word_chars", f"{m}.n_symbols", f"{m}.l.n_lines", f"{m}.l.n_dup_lines", f"{m}.w.n_repeat_words"
     )
     bits = [F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)) for k, rule in enumerate(RULES.values())]
     total = bits[0]

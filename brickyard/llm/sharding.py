@@ -14,7 +14,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .checkpoints import kept
+from brickyard.checkpoints import kept
+from .repeated import expanded
 
 RING_BITS = 32
 
@@ -70,31 +71,27 @@ def assign(docs: DataFrame, *, shards: int = 40, n_cells: int = 8192, replicas:
     """One row per document: doc_id, size, text_crc32, law ``bytes``, shard and slot.
 
     Size is the text's UTF-8 bytes and 16 more; a null text has no bytes and
-    the checksum 0. The key is the id with the text's checksum, so rows with
-    null ids spread by text. Rows equal in both share a cell, unless they
-    are so many that the cell weighs as much as an eighth of a shard: then
-    they are spread by their place in the table. Further columns are left
-    out. An empty table gives an empty result.
+    the checksum 0. The key is the id with the text's checksum, and for a
+    repeated row also its place among its equals. So equal texts of several
+    ids, rows with null ids and repeated rows all spread over the shards:
+    under this law sizes come near equal, and copies needn't stay together.
+    Repeated rows are counted and made again, so no task numbers a group, and
+    a rerun over other partitions gives the same rows. Further columns are
+    left out. An empty table gives an empty result.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32").cast("string")))
-    cell_of = lambda k: F.floor(F.conv(F.substring(k, 1, RING_BITS // 4), 16, 10).cast("long") / ((1 << RING_BITS) // n_cells)).cast("long")
-    rows = kept(rows.withColumn("cell", cell_of(key)).withColumn("_r", F.monotonically_increasing_id()))
-    sums = kept(rows.groupBy("cell").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
-    total = sums.agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).first()
-    over = lambda c: F.col(c) > (total[c] or 0) / (8 * shards)
-    # At most 8 times the shards, so it is safe to broadcast.
-    heavy = kept(sums.filter(over("bytes") & over("n") & (F.col("n") > 100)).select("cell", F.lit(True).alias("_heavy")))
-    if heavy.limit(1).count():
-        spread = cell_of(F.md5(F.concat_ws(":", key, F.col("_r").cast("string"))))
-        rows = kept(rows.join(F.broadcast(heavy), "cell", "left").withColumn("cell", F.when(F.col("_heavy"), spread).otherwise(F.col("cell"))).drop("_heavy"))
-        sums = rows.groupBy("cell").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    counts = kept(rows.groupBy(*rows.columns).agg(F.count("*").alias("copies")))
+    rows = expanded(counts, "copies", "copy")
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32").cast("string"), F.nullif(F.col("copy"), F.lit(0)).cast("string")))
+    cell = F.floor(F.conv(F.substring(key, 1, RING_BITS // 4), 16, 10).cast("long") / ((1 << RING_BITS) // n_cells)).cast("long")
+    rows = kept(rows.withColumn("cell", cell))
+    sums = rows.groupBy("cell").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     cells = place_cells(sums, shards=shards, n_cells=n_cells, replicas=replicas, slack=slack)
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("cell")) - F.col("n")
     # At most n_cells rows, so it is safe to broadcast.
     cells = kept(cells.withColumn("_before", before).select("cell", "shard", "_before"))
-    number = F.row_number().over(Window.partitionBy("cell").orderBy("doc_id", "text_crc32", "size")) - 1
+    number = F.row_number().over(Window.partitionBy("cell").orderBy("doc_id", "text_crc32", "size", "copy")) - 1
     return (
         rows.withColumn("_number", number)
         .join(F.broadcast(cells), "cell")
