@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brickyard.llm import classifier, labelled, linededup, mixing, packing, setsketch, tokens
+from brickyard.llm.names import fresh
 from brickyard.checkpoints import kept
 
 #: Most labelled documents that the quality classifier is fitted on.
@@ -26,8 +27,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     usable = labelled.remainder(F.col("doc_id"), 4) != 2
     table = labelled.sample(docs, labels, "quality", usable, most=SAMPLE_ROWS)
     model = classifier.fit(table.column("text").combine_chunks(), table.column("y").to_numpy())
-    scored = classifier.score(docs.withColumn("_text", F.col("text")), model.scores, text_col="_text", name="_score")
-    return scored.filter(F.col("_score") >= LEAST_QUALITY).select(*docs.columns)
+    text, score = fresh(docs.columns, "_text", "_score")
+    scored = classifier.score(docs.withColumn(text, F.col("text")), model.scores, text_col=text, name=score)
+    return scored.filter(F.col(score) >= LEAST_QUALITY).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
