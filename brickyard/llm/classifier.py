@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .vectext import IS_SPACE, buffers, byte_slices, mix, span_hashes
+from .vectext import IS_SPACE, buffers, byte_slices, mix, spaced_parts, span_hashes
 
 BITS = 18
 SLICE_BYTES = 1 << 20
@@ -52,17 +52,20 @@ def runs(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.nd
     return starts[solid], ends[solid]
 
 
+def text_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and text of each word, and whether it is all capitals."""
+    starts, ends = runs(data, offsets, _KIND)
+    capitals = np.concatenate([[0], np.cumsum((data >= 0x41) & (data <= 0x5A))])
+    shouted = (ends - starts >= 2) & (capitals[ends] - capitals[starts] == ends - starts)
+    return span_hashes(folded(data), starts, ends), np.searchsorted(offsets, starts, side="right") - 1, shouted
+
+
 def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature index and text of each occurrence, and the number of words of each text."""
     n_texts = len(offsets) - 1
     if not len(data):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(n_texts, dtype=np.int64)
-    low = folded(data)
-    starts, ends = runs(data, offsets, _KIND)
-    word = span_hashes(low, starts, ends)
-    text = np.searchsorted(offsets, starts, side="right") - 1
-    capitals = np.concatenate([[0], np.cumsum((data >= 0x41) & (data <= 0x5A))])
-    shouted = (ends - starts >= 2) & (capitals[ends] - capitals[starts] == ends - starts)
+    word, text, shouted = text_words(data, offsets)
     pair = (text[1:] == text[:-1]) if len(text) > 1 else np.zeros(0, dtype=bool)
     two = mix(word[:-1] * _PAIR + word[1:])[pair] if len(word) > 1 else word[:0]
     three = pair[1:] & pair[:-1] if len(pair) > 1 else np.zeros(0, dtype=bool)
@@ -85,9 +88,26 @@ class Model:
     scale: float = 24.0
     bits: int = BITS
 
+    def long_total(self, data: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of the weights of one text's features, and its words, from parts of about ``most`` bytes that end with white space."""
+        of = lambda hashed: self.weights[(hashed >> np.uint64(64 - self.bits)).astype(np.int64)].sum()
+        last, total, n, keys = np.zeros(0, dtype=np.uint64), 0.0, 0, []
+        for at, to in spaced_parts(data, most):
+            word, _, shouted = text_words(data[at:to], np.array([0, to - at]))
+            near = np.concatenate([last, word])
+            two = mix(near[:-1] * _PAIR + near[1:])
+            keys.append(mix(two[:-1] * _PAIR + near[2:]))
+            total += of(word) + of(two[max(len(last) - 1, 0) :]) + of(np.full(int(shouted.sum()), _CAPITALS))
+            n, last = n + len(word), near[-2:]
+        keys = np.concatenate(keys)
+        return np.array([total + of(np.full(len(keys) - len(np.unique(keys)), _AGAIN))]), np.array([n])
+
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        index, text, n = features(data, offsets, self.bits)
-        total = np.bincount(text, weights=self.weights[index], minlength=len(n))
+        if len(offsets) == 2 and len(data) > 2 * SLICE_BYTES:
+            total, n = self.long_total(data, SLICE_BYTES)
+        else:
+            index, text, n = features(data, offsets, self.bits)
+            total = np.bincount(text, weights=self.weights[index], minlength=len(n))
         return 1 / (1 + np.exp(-np.clip(self.bias + self.scale * total / np.maximum(n, 1), -35, 35)))
 
 

@@ -12,7 +12,11 @@ def remainder(id_col: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % modulus
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, *, most: int, least_share: float = 0.35, seed: str = "sample", id_col: str = "doc_id", text_col: str = "text") -> pa.Table:
+#: Bytes of text that a sample holds at most, so that the driver's share is bounded whatever the texts' lengths.
+SAMPLE_BYTES = 128 << 20
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, *, most: int, most_bytes: int = SAMPLE_BYTES, least_share: float = 0.35, seed: str = "sample", id_col: str = "doc_id", text_col: str = "text") -> pa.Table:
     """At most ``most`` rows of text and y (0 or 1) in seeded order, for which ``usable`` (over the labels) holds.
 
     Rows of the rarer label fill up to ``least_share`` of the sample where
@@ -31,7 +35,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, *, mo
     parts = [rows.filter(F.col("y") == y).withColumn("_o", order).orderBy("_o").limit(n) for y, n in ((rare, n_rare), (1 - rare, most - n_rare))]
     # At most ``most`` short rows, so it is safe to broadcast.
     chosen = F.broadcast(parts[0].unionByName(parts[1]))
-    found = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).join(chosen, "_id")
+    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    found = texts.filter(F.octet_length("text") <= most_bytes // max(most, 1)).join(chosen, "_id")
     found = found.groupBy("_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.md5("text"))).alias("text"), F.first("_o").alias("_o"), F.first("y").alias("y"))
     # One row for each of the chosen ids, however often it stands in ``docs``.
     table = found.select("_o", "text", "y").toArrow()

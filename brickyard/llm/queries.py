@@ -19,23 +19,24 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 SAMPLE_ROWS = 5000
 
 
-def _scored(docs: DataFrame, labels: DataFrame, label: str, fit, modulus: int, held: int) -> DataFrame:
-    """doc_id, held_out, score and predicted by a model fitted on a sample of the labels that aren't held out."""
-    usable = labelled.remainder(F.col("doc_id"), modulus) != held
-    table = labelled.sample(docs, labels, label, usable, most=SAMPLE_ROWS)
-    model = fit(table.column("text").combine_chunks(), table.column("y").to_numpy())
-    scored = classifier.score(docs.select("doc_id", "text"), model.scores)
-    return scored.select(
-        "doc_id", (labelled.remainder(F.col("doc_id"), modulus) == held).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
-    )
+def _fitted(docs: DataFrame, labels: DataFrame, label: str, fit, modulus: int, held: int):
+    """A model fitted on a sample of the labels that aren't held out."""
+    table = labelled.sample(docs, labels, label, labelled.remainder(F.col("doc_id"), modulus) != held, most=SAMPLE_ROWS)
+    return fit(table.column("text").combine_chunks(), table.column("y").to_numpy())
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), "toxic", toxicity.fit, 3, 1)
+    """doc_id, held_out, score, predicted and spans (byte offsets of offending words) of every document."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = toxicity.tag(docs, _fitted(docs, _read(spark, sf_dir, "labels"), "toxic", toxicity.fit, 3, 1))
+    return rows.select("doc_id", (labelled.remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), "quality", classifier.fit, 4, 2)
+    """doc_id, held_out, score and predicted of every document."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = classifier.score(docs, _fitted(docs, _read(spark, sf_dir, "labels"), "quality", classifier.fit, 4, 2).scores)
+    return rows.select("doc_id", (labelled.remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,15 +72,18 @@ FROM p LEFT JOIN s USING (r)
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document; five words, similarity 0.75 or more."""
     return setsketch.near_duplicates(_read(spark, sf_dir, "documents"), width=5, percent=75)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens and over_limit (512) of every document."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.token_counts(docs, path=tokens.tokenizer_path(), limit=512)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of every document, and its verdicts by the base policy and by version 2."""
     rows = rules.ledger(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     base, policy = rules.POLICIES["base"], rules.POLICIES["2"]
@@ -118,23 +122,25 @@ FROM b
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in sequences of at most 2048 tokens."""
     pieces = packing.token_pieces(_read(spark, sf_dir, "documents"), path=tokens.tokenizer_path(), capacity=2048)
     return packing.pack_pieces(pieces, capacity=2048)
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of every row whose id is divisible by 50; a row's own are all rows of its id."""
     vectors = topk.quantised(_read(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
 
 
 OP5_SQL = """
 WITH v AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  FROM (SELECT DISTINCT * FROM v WHERE vec_id % 50 = 0) q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
 )
 SELECT query_id, rank::INT AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
@@ -142,11 +148,13 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard (of 40) and slot of every document under law ``bytes``."""
     rows = sharding.assign(_read(spark, sf_dir, "documents"), shards=40)
     return rows.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of every document, at most three times its own."""
     rows = mixing.mix(_read(spark, sf_dir, "documents"), weights=(1, 2, 3), max_epochs=3)
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
