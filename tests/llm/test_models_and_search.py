@@ -130,15 +130,16 @@ def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(5)
     x = rng.integers(-40, 40, (700, 8)) / 16.0
     x[300:500] = x[300]  # many ties
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [1.0, None] * 4), (902, [float("nan")] * 8), (903, [1.0, 2.0]), (904, [3.0, 4.0]), (905, []), (5, x[5].tolist())]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [1.0, None] * 4), (902, [float("nan")] * 8), (903, [1.0, 2.0]), (904, [3.0, 4.0]), (905, []), (5, x[5].tolist()), (5, x[5].tolist())]
     vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     asked = vectors.filter("vec_id % 50 = 0 OR vec_id IN (903, 301)")
     got = {}
     for r in topk.top_k(vectors, asked, k=5, shard_rows=100, block_rows=4).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    whole = {i: np.floor(256 * np.array(v)).astype(int) for i, v in rows if v is not None and len(v) in (2, 8) and None not in v and not np.isnan(v).any()}
+    whole = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows if v is not None and len(v) in (2, 8) and None not in v and not np.isnan(v).any()]
     for q in [*range(0, 700, 50), 903, 301]:
-        scored = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))[:5]
+        own = dict(whole)[q]
+        scored = sorted((-int(own @ v), i) for i, v in whole if i != q and len(v) == len(own))[:5]
         assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(scored)]
 
 
@@ -203,7 +204,7 @@ def test_field_marginals_equal_enumeration():
     p, pairs = crf.marginals(w)
     unary = crf.unary(w.index)
     want, seen = np.zeros(len(unary)), np.zeros((2, 2))
-    for a, b in zip(w.chains[:-1], w.chains[1:]):
+    for a, b in zip(w.blocks[:-1], w.blocks[1:]):
         total, own, two = 0.0, np.zeros(b - a), np.zeros((2, 2))
         for y in itertools.product((0, 1), repeat=b - a):
             v = np.exp(sum(unary[a + i] * y[i] for i in range(b - a)) + sum(crf.step[y[i - 1], y[i]] for i in range(1, b - a)))
@@ -234,3 +235,78 @@ def test_sample_has_one_row_an_id(spark):
     assert len(texts) == 20 == len(set(texts)) and sum(t.startswith("copy") for t in texts) <= 1
     every = labelled.sample(docs, labels, "toxic", F.lit(True), most=100)
     assert every.num_rows == 29 and dict(zip(every.column("text").to_pylist(), every.column("y").to_pylist()))["text 2"] == 0
+
+
+def _enumerated(unary, step):
+    """Marginals of a chain from all its labellings."""
+    n, total, p, pairs = len(unary), 0.0, np.zeros(len(unary)), np.zeros((2, 2))
+    for bits in range(1 << n):
+        y = [(bits >> i) & 1 for i in range(n)]
+        w = np.exp(sum(u for u, b in zip(unary, y) if b) + sum(step[a, b] for a, b in zip(y, y[1:])))
+        total += w
+        p += w * np.array(y)
+        for a, b in zip(y, y[1:]):
+            pairs[a, b] += w
+    return p / total, pairs / total
+
+
+@pytest.mark.parametrize("block", [2, 3, 64])
+def test_marginals_are_those_of_whole_lines(monkeypatch, block):
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    rng = np.random.default_rng(2)
+    unary, step = rng.normal(size=12), rng.normal(size=(2, 2))
+    line = np.repeat([0, 1], [9, 3])
+    p, pairs = toxicity.chain_marginals(unary, *toxicity.in_blocks(np.zeros(12, dtype=int), line), step)
+    (a, pa_), (b, pb) = _enumerated(unary[:9], step), _enumerated(unary[9:], step)
+    assert np.allclose(p, np.concatenate([a, b])) and np.allclose(pairs, pa_ + pb)
+
+
+def test_long_texts_are_scored_like_short_ones():
+    rng = np.random.default_rng(3)
+    text = " ".join(rng.choice(["bad", "ugly", "GOOD", "fine!", "Ärger"], size=4000)) + "\nbad good"
+    data, offsets = buffers(pa.array([text]))
+    tagger = toxicity.Tagger(toxicity.Crf(rng.normal(size=1 << 18), -1.0, rng.normal(size=(2, 2))), np.array([1.0, 1, 1, -2]))
+    assert all(np.allclose(a, b) for a, b in zip(tagger.tagged(data, offsets), tagger.tagged(data, offsets, most=700)))
+    model = classifier.Model(rng.normal(size=1 << 18), 0.1)
+    index, _, n = classifier.features(data, offsets)
+    total, words = model.long_total(data, 700)
+    assert np.allclose(total, model.weights[index].sum()) and words[0] == n[0]
+
+
+def test_offsets_are_those_of_the_words(spark):
+    texts = ["gut und schäbig", None, "", "schäbig, schäbig"]
+    crf = toxicity.Crf(np.zeros(1 << 18), -3.0, np.zeros((2, 2)))
+    w = toxicity.words(*buffers(pa.array(["schäbig"])))
+    crf.emit[w.index[0]] = 2.0
+    tagger = toxicity.Tagger(crf, np.array([1.0, 1, 1, -2]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("Spans", F.lit(1)).withColumn("_kept", F.lit(2))
+    got = {(r.doc_id, s.start, s.end) for r in toxicity.tag(docs, tagger).collect() for s in r.spans}
+    assert got == {(0, 8, 16), (3, 0, 8), (3, 10, 18)}
+    assert {(r.doc_id, r.start, r.end, r.word) for r in toxicity.spans(docs, tagger).collect()} == {(*x, "schäbig") for x in got}
+
+
+def test_ftrl_against_a_plain_loop():
+    rng = np.random.default_rng(7)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d"], size=6)) for _ in range(30)]
+    y = rng.integers(0, 2, 30)
+    got = classifier.fit(pa.array(texts), y, epochs=2)
+    z, n, zb, nb, bias = {}, {}, 0.0, 0.0, 0.0
+    share = y.mean()
+    weight = lambda i: 0.0 if abs(z.get(i, 0)) <= 0.02 else -(z[i] - np.sign(z[i]) * 0.02) / ((1 + np.sqrt(n[i])) / 0.3 + 0.5)
+    for _ in range(2):
+        for text, label in zip(texts, y):
+            index, _, count = classifier.features(*buffers(pa.array([text])))
+            x = {}
+            for i in index.tolist():
+                x[i] = x.get(i, 0) + 24.0 / count[0]
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-(bias + sum(w[i] * v for i, v in x.items()))))
+            g = (p - label) * 0.5 / (share if label else 1 - share)
+            for i, v in x.items():
+                old = n.get(i, 0.0)
+                n[i] = old + (g * v) ** 2
+                z[i] = z.get(i, 0.0) + g * v - (np.sqrt(n[i]) - np.sqrt(old)) / 0.3 * w[i]
+            zb += g - (np.sqrt(nb + g * g) - np.sqrt(nb)) / 0.3 * bias
+            nb += g * g
+            bias = -zb / ((1 + np.sqrt(nb)) / 0.3)
+    assert np.isclose(bias, got.bias) and all(np.isclose(weight(i), got.weights[i]) for i in z)

@@ -55,7 +55,7 @@ def test_line_dedup(stages):
         held.update((r.source, k) for k in {key(x) for x in r.text.split("\n")} if k)
     want = {}
     for r in before:
-        drop = lambda x: key(x) and held[r.source, key(x)] >= 5 and held[r.source, key(x)] > 0.1 * total[r.source]  # noqa: B023, E731
+        drop = lambda x: key(x) and held[r.source, key(x)] >= 5 and held[r.source, key(x)] > pipeline.MOST_LINE_SHARE * total[r.source]  # noqa: B023, E731
         lines = r.text.split("\n")
         rest = [x for x in lines if not drop(x)]
         whole = len(rest) == len(lines) or not any(key(x) for x in rest)

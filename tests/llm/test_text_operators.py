@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from brickyard.llm import linededup, mixing, packing, rules, sharding, tokens
+from brickyard.llm import linededup, mixing, packing, queries, rules, setsketch, sharding, tokens
 
 SCHEMA = "doc_id long, text string, source string"
 LONG = " ".join(f"word{i % 977} x{i}" for i in range(6000))
@@ -230,3 +231,83 @@ def test_short_bins_find_the_long_ones_of_other_tasks(spark):
     rows = packing.pack_pieces(pieces, capacity=100, items_per_task=5).collect()
     assert sorted(r.length for r in rows) == sorted(lengths)
     assert len(_bins(rows, 100)) <= 97 + 20
+
+
+def test_best_fit_against_a_plain_loop():
+    rng = random.Random(1)
+    lengths = [rng.randint(1, 60) for _ in range(300)]
+    where, offset, fill = packing.best_fit(lengths, 100)
+    bins = []
+    for n, b, at in zip(lengths, where, offset):
+        room = [(100 - x, i) for i, x in enumerate(bins) if x + n <= 100]
+        assert at == (bins[b] if b < len(bins) else 0)
+        assert 100 - at == (min(room)[0] if room else 100)
+        bins += [0] * (b + 1 - len(bins))
+        bins[b] += n
+    assert bins == fill
+
+
+def test_packing_ends_where_bins_cannot_merge(spark):
+    pieces = spark.range(120).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(1100).cast("long").alias("length"), F.lit(7).cast("long").alias("ids_crc32"))
+    rows = packing.pack_pieces(pieces.withColumn("Offset", F.lit("x")), items_per_task=10).collect()
+    assert len({r.sequence_id for r in rows}) == 120 and all(r.offset == 0 for r in rows)
+
+
+def test_equal_rows_spread_over_shards(spark):
+    for n in (90, 20_000):
+        load = Counter(r.shard for r in sharding.assign(spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"))).select("shard").collect())
+        assert len(load) == 40 and max(load.values()) - min(load.values()) <= max(1, n // 2000)
+
+
+def test_sharding_does_not_depend_on_partitions(spark):
+    docs = spark.range(3000).select((F.col("id") % 700).alias("doc_id"), F.repeat(F.lit("ab"), (F.col("id") % 13).cast("int")).alias("text"), F.lit(1).alias("copy"))
+    once, again = (Counter(map(tuple, sharding.assign(d, shards=7, n_cells=512).collect())) for d in (docs.repartition(3), docs.repartition(9, "text")))
+    assert once == again
+
+
+def test_sharding_moves_little_with_the_settings_of_the_query(spark):
+    cells = spark.range(8192).select(F.col("id").alias("cell"), (F.lit(100_000) + F.col("id") % 97 * 500).alias("bytes"), F.lit(1).cast("long").alias("n"))
+    a, b = ({r.cell: r.shard for r in sharding.place_cells(cells, shards=n, n_cells=8192).collect()} for n in (40, 41))
+    assert sum(a[c] != b[c] for c in a) < 0.1 * len(a)
+
+
+def test_operators_keep_columns_of_clashing_names(spark):
+    extra = ["_host", "_keys", "_lines", "_n", "_d", "_m", "_text_key", "_copy", "text_key", "copies", "_own_id"]
+    docs = spark.createDataFrame([(i, f"line one\nline {i} with some more words here", "s") for i in range(12)], SCHEMA)
+    for c in extra:
+        docs = docs.withColumn(c, F.lit(c))
+    for out in (linededup.drop_lines(docs, host_col="source"), rules.ledger(docs), mixing.sampled(docs), setsketch.drop_near_duplicates(docs)):
+        rows = out.collect()
+        assert rows and all(r[c] == c for r in rows for c in extra)
+
+
+def test_tables_with_hot_keys_mix_like_others(spark):
+    docs = spark.range(9000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 7).cast("int")).alias("text"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"))
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == 9000
+    taken = Counter()
+    for r in rows:
+        taken[r.source] += r.taken
+        assert r.taken <= 3 * r.size
+    target = {r.source: r.target for r in rows}
+    assert all(abs(taken[s] - target[s]) <= 3 for s in target)
+
+
+def test_all_registered_queries_equal_their_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    plain = lambda x: round(x, 6) if isinstance(x, float) else x
+    for name, query in queries.QUERIES.items():
+        rows = query(spark, sf)
+        got = rows.collect()
+        assert got and (query.__doc__ or "").strip()
+        if name in queries.ORACLES:
+            found = con.execute(queries.ORACLES[name])
+            names = [c[0] for c in found.description]
+            want = Counter(tuple(plain(x) for x in r) for r in found.fetchall())
+            assert sorted(names) == sorted(rows.columns)
+            assert Counter(tuple(plain(r[c]) for c in names) for r in got) == want, name
