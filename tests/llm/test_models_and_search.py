@@ -278,6 +278,7 @@ def test_offsets_are_those_of_the_words(spark):
     crf = toxicity.Crf(np.zeros(1 << 18), -3.0, np.zeros((2, 2)))
     w = toxicity.words(*buffers(pa.array(["schäbig"])))
     crf.emit[w.index[0]] = 2.0
+    crf.emit[0] = 0.0
     tagger = toxicity.Tagger(crf, np.array([1.0, 1, 1, -2]))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("Spans", F.lit(1)).withColumn("_kept", F.lit(2))
     got = {(r.doc_id, s.start, s.end) for r in toxicity.tag(docs, tagger).collect() for s in r.spans}
