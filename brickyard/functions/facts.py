@@ -12,17 +12,18 @@ from .text import ascii_words, squeeze
 #: Names and patterns over lower-case text of pages that say their job or home is gone, or that ask who reads them.
 CLOSED_JOB = {
     "no_longer_available": r"\b(?:job|position|role) (?:is )?no longer available\b",
-    "no_longer_accepting": r"\bno longer accepting applications\b",
+    "no_longer_accepting": r"\b(?:job|position|role) (?:is )?no longer accepting applications\b",
     "applications_closed": r"\bapplications? (?:are|is|have been) closed\b",
     "expired": r"\b(?:job|position|role) (?:has )?expired\b",
     "period_ended": r"\bapplication (?:period|window) (?:has )?ended\b",
     "nicht_mehr_verfuegbar": r"\b(?:stelle|position|stellenanzeige|stellenangebot) ist nicht mehr verf(?:ü|ue)gbar\b",
+    "nicht_mehr_moeglich": r"\bbewerb(?:ung|ungen)[^.]{0,80}\bnicht mehr m(?:ö|oe)glich\b",
     "frist_abgelaufen": r"\bbewerbungsfrist[^.]{0,40}\babgelaufen\b",
 }
 CLOSED_HOME = {
-    "already_found": r"\bimmobilie wurde schon gefunden\b",
-    "nicht_mehr_verfuegbar": r"\b(?:immobilie|objekt|inserat|anzeige|angebot)[^.]{0,80}\bnicht mehr verf(?:ü|ue)gbar\b",
-    "entfernt": r"\b(?:inserat|anzeige|objekt)[^.]{0,60}\b(?:deaktiviert|gel(?:ö|oe)scht|entfernt)\b",
+    "already_found": r"\bdiese immobilie wurde schon gefunden\b",
+    "nicht_mehr_verfuegbar": r"\b(?:immobilie|objekt|inserat|anzeige|angebot|expos(?:é|e))[^.]{0,80}\bnicht mehr verf(?:ü|ue)gbar\b",
+    "entfernt": r"\b(?:inserat|anzeige|objekt|expos(?:é|e))[^.]{0,60}\b(?:deaktiviert|gel(?:ö|oe)scht|entfernt)\b",
 }
 ROBOT_CHECK = {"captcha": r"\bcaptcha\b", "challenge": r"\bjust a moment\b", "denied": r"\baccess denied\b"}
 

@@ -15,17 +15,21 @@ class Places:
     """Fixed values of the ladder: labels that are no point, aliases, and regions that mean several places."""
 
     scopes: tuple[str, ...] = (
-        "austria", "österreich", "remote", "home office", "homeoffice", "burgenland", "kärnten", "niederösterreich", "oberösterreich", "steiermark", "tirol", "vorarlberg",
-        "österreichweit", "wels land", "graz umgebung west",
+        "austria", "österreich", "remote", "home office", "homeoffice", "burgenland", "kärnten", "kaernten", "niederösterreich", "niederoesterreich", "oberösterreich", "oberoesterreich", "steiermark", "tirol", "vorarlberg",
+        "ostösterreich", "ostoesterreich", "westösterreich", "westoesterreich", "südösterreich", "suedoesterreich",
+        "österreichweit", "oesterreichweit", "austriawide", "austria wide", "wels land", "graz umgebung west",
     )
     aliases: dict[str, str] = field(default_factory=lambda: {"vienna": "wien", "wien austria": "wien", "klagenfurt": "klagenfurt am wörthersee"})
-    regions: dict[str, tuple[str, ...]] = field(default_factory=lambda: {"oberösterreich zentralraum": ("linz", "wels", "steyr"), "zentralraum oberösterreich": ("linz", "wels", "steyr")})
+    regions: dict[str, tuple[str, ...]] = field(default_factory=lambda: {
+        "oberösterreich zentralraum": ("linz", "wels", "steyr"), "oberoesterreich zentralraum": ("linz", "wels", "steyr"),
+        "zentralraum oberösterreich": ("linz", "wels", "steyr"), "zentralraum oberoesterreich": ("linz", "wels", "steyr"),
+    })
 
 
 def is_scope(label: Column, places: Places = Places()) -> Column:
     """Whether a label names a country, region or district and so no point."""
     words = locality_words(label)
-    return (words == "") | words.isin(*places.scopes) | words.rlike("^bezirk ")
+    return words.isin(*places.scopes) | words.rlike("^bezirk ")
 
 
 def canonical(label: Column, places: Places = Places()) -> Column:
@@ -34,7 +38,7 @@ def canonical(label: Column, places: Places = Places()) -> Column:
     out = words
     for alias, name in places.aliases.items():
         out = F.when(words == alias, F.lit(name)).otherwise(out)
-    return F.when(~is_scope(label, places), out)
+    return F.when((words != "") & ~is_scope(label, places), out)
 
 
 def components_of(label: Column, places: Places = Places()) -> Column:
@@ -56,7 +60,7 @@ def components_of(label: Column, places: Places = Places()) -> Column:
         .when(around != "", one(around))
         .when(room != "", one(room))
         .when((area != "") & (F.size(parts) >= 2), F.when(~F.exists(parts, lambda x: x.isNull()), F.array_distinct(parts)))
-        .when(area != "", one(area))
+        .when(area != "", F.lit(None).cast("array<string>"))
         .otherwise(one(label))
     )
 

@@ -51,15 +51,25 @@ def german_decimals(spark, d):
     return table(spark, d, "orders").select("o_orderkey", text.german_decimal(raw).cast("double").alias("value"))
 
 
-@query("""SELECT o_orderkey, o_totalprice AS minimum, CASE WHEN o_orderkey % 2 = 0 THEN (o_totalprice + 1000)::DECIMAL(12,2)::DOUBLE END AS maximum, 'year' AS period, o_orderkey % 2 = 1 AS minimum_only
-FROM orders WHERE o_totalprice BETWEEN 10000 AND 400000""")
+#: Sentences around an amount {a} (and 1000 more, {b}); what they state is in the SQL below. Some are traps: no cue, no period, or words that only look like one.
+SENTENCES = (
+    "Wir bieten ein Jahresbruttogehalt ab € {a}, je nach Erfahrung.", "Jahresgehalt von € {a} bis € {b} brutto.", "Gehalt {a} Euro, dazu ein Monatsticket.", "Bezahlung {a} EUR. 25 Tage Jahresurlaub.",
+    "Das Gehalt beträgt {a} EUR monatlich, 14x im Jahr.", "Stundenlohn: {a} €", "Budget {a} EUR pro Jahr", "Entgelt mindestens {a} EUR brutto pro Monat", "Salary: EUR {a} per year", "Vergütung für 40 Std./Woche: {a} EUR",
+)
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey % 10 AS k, o_totalprice AS a, (o_totalprice + 1000)::DECIMAL(12,2)::DOUBLE AS b FROM orders),
+p AS (SELECT *, CASE WHEN k IN (0, 1, 8) AND a BETWEEN 10000 AND 500000 THEN 'year' WHEN k IN (4, 7) AND a BETWEEN 800 AND 30000 THEN 'month' WHEN k = 5 AND a BETWEEN 5 AND 500 THEN 'hour' END AS period FROM o)
+SELECT o_orderkey, CASE WHEN period IS NOT NULL THEN a WHEN k = 1 AND b BETWEEN 10000 AND 500000 THEN b END AS minimum, CASE WHEN k = 1 AND period IS NOT NULL AND b <= 500000 THEN b END AS maximum,
+coalesce(period, CASE WHEN k = 1 AND b BETWEEN 10000 AND 500000 THEN 'year' END) AS period,
+CASE WHEN period IS NOT NULL THEN k IN (0, 7) WHEN k = 1 AND b BETWEEN 10000 AND 500000 THEN false END AS minimum_only, CASE WHEN k = 4 AND period IS NOT NULL THEN 14 END AS payments FROM p""")
 def salary_texts(spark, d):
     german = lambda c: F.translate(F.format_number(c, 2), ",.", ".,")
     price = F.col("o_totalprice")
-    upto = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(" bis € "), german(price + 1000)))
-    raw = F.concat(F.lit("Wir bieten ein Jahresbruttogehalt ab € "), german(price), F.coalesce(upto, F.lit("")), F.lit(", je nach Erfahrung."))
-    rows = table(spark, d, "orders").filter(price.between(10000, 400000)).select("o_orderkey", salary.parse_salary(raw, F.lit(False)).alias("s"))
-    return rows.select("o_orderkey", F.col("s.minimum").cast("double").alias("minimum"), F.col("s.maximum").cast("double").alias("maximum"), "s.period", "s.minimum_only")
+    sentence = F.element_at(F.array(*map(F.lit, SENTENCES)), (F.col("o_orderkey") % len(SENTENCES) + 1).cast("int"))
+    raw = F.replace(F.replace(sentence, F.lit("{a}"), german(price)), F.lit("{b}"), german(price + 1000))
+    rows = table(spark, d, "orders").select("o_orderkey", salary.salary_of(raw).alias("s"))
+    return rows.select("o_orderkey", F.col("s.minimum").cast("double").alias("minimum"), F.col("s.maximum").cast("double").alias("maximum"), "s.period", "s.minimum_only", F.col("s.payment_count").alias("payments"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'N' THEN l_extendedprice WHEN l_returnflag = 'A' AND l_linenumber > 1 THEN l_extendedprice * l_linenumber END AS annual FROM lineitem")
@@ -172,10 +182,14 @@ def duplicate_pairs_fuzzy(spark, d):
     return dedupe.evidence(snapshots(spark, d))
 
 
-@query("""WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey + 7 AS b FROM customer WHERE c_custkey % 7 < 3 AND c_custkey <= 200), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+# Chains of 50 customers at most, as many as the table has.
+LINKED = "c_custkey % 7 < 3 AND c_custkey // 7 % 50 < 49"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey + 7 AS b FROM customer WHERE {LINKED}), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a AS v, a AS g FROM u UNION SELECT u.b, r.g FROM r JOIN u ON u.a = r.v) SELECT v AS job_id, min(g) AS group_id FROM r GROUP BY v""")
 def merge_groups(spark, d):
-    edges = table(spark, d, "customer").filter("c_custkey % 7 < 3 AND c_custkey <= 200").select(F.col("c_custkey").alias("left_id"), (F.col("c_custkey") + 7).alias("right_id"))
+    edges = table(spark, d, "customer").filter(LINKED.replace("//", "div")).select(F.col("c_custkey").alias("left_id"), (F.col("c_custkey") + 7).alias("right_id"))
     return dedupe.merge_groups(edges)
 
 
@@ -218,18 +232,15 @@ def merged_states(spark, d):
 
 
 @query("""WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS home_id, 's' || (l_linenumber % 3) AS source, lpad((l_partkey % 50)::VARCHAR, 4, '0') AS postal_code, (l_quantity * 10000)::DECIMAL(12,2) AS price,
-  'haus mit garten und grosser terrasse ' || (l_suppkey % 10) AS t, l_discount * 1000 AS living FROM lineitem WHERE l_orderkey % 3 = 0),
+  'haus mit garten und grosser terrasse ' || l_suppkey AS t, l_discount * 1000 AS living FROM lineitem),
 o AS (SELECT home_id, postal_code, price, t, list_sort(list_distinct(list(source))) AS s, max(living) AS living FROM r GROUP BY 1, 2, 3, 4),
 g AS (SELECT postal_code, price, t, list(home_id ORDER BY home_id) AS h, list(s ORDER BY home_id) AS s, list(living ORDER BY home_id) AS a FROM o GROUP BY 1, 2, 3 HAVING count(*) = 2)
 SELECT h[1] AS left_id, h[2] AS right_id, postal_code, price::DOUBLE AS price FROM g WHERE len(s[1]) = 1 AND len(s[2]) = 1 AND s[1] <> s[2] AND abs(a[1] - a[2]) <= greatest(1e0, greatest(a[1], a[2]) * 0.01e0)""")
 def twin_homes(spark, d):
-    return twins(table(spark, d, "lineitem").filter("l_orderkey % 3 = 0"), F.col("l_suppkey") % 10)
-
-
-def twins(lines: DataFrame, house: Column) -> DataFrame:
-    rows = lines.select(
+    # As many houses as the table has suppliers, so that pairs don't drown in equal rows as the tables grow.
+    rows = table(spark, d, "lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("home_id"), F.concat(F.lit("s"), (F.col("l_linenumber") % 3).cast("string")).alias("source"), F.lpad((F.col("l_partkey") % 50).cast("string"), 4, "0").alias("postal_code"),
-        (F.col("l_quantity") * 10000).cast("decimal(12,2)").alias("price"), F.concat(F.lit("Haus mit Garten & großer Terrasse "), house.cast("string")).alias("title"),
+        (F.col("l_quantity") * 10000).cast("decimal(12,2)").alias("price"), F.concat(F.lit("Haus mit Garten & großer Terrasse "), F.col("l_suppkey").cast("string")).alias("title"),
         (F.col("l_discount") * 1000).alias("living"), F.lit(None).cast("double").alias("plot"),
     )
     return dedupe.twin_homes(rows.withColumn("title", F.replace("title", F.lit("&"), F.lit("und")))).withColumn("price", F.col("price").cast("double"))
@@ -268,17 +279,17 @@ def new_entity_keys(spark, d):
     return identity.new_keys(identity.resolved(_incoming(spark, d), _stored(spark, d))).select("row_id", "new_key")
 
 
-SIDE = "SELECT l_orderkey * 10 + l_linenumber AS token, (l_partkey % 20)::VARCHAR AS postal_code, 'ein schoenes haus ' || (l_suppkey % 20) AS title, CASE WHEN l_linenumber % 4 <> 0 THEN l_quantity END AS price, CASE WHEN l_linenumber % 3 <> 0 THEN floor(l_tax * 50) END AS area FROM lineitem WHERE l_orderkey % 40 = {n}"
+SIDE = "SELECT l_orderkey * 10 + l_linenumber AS token, (l_partkey % 20)::VARCHAR AS postal_code, 'ein schoenes haus ' || l_suppkey AS title, CASE WHEN l_linenumber % 4 <> 0 THEN l_quantity END AS price, CASE WHEN l_linenumber % 3 <> 0 THEN floor(l_tax * 50) END AS area FROM lineitem WHERE l_orderkey % 2 = {n}"
 
 
-def side(lines: DataFrame, house: Column) -> DataFrame:
+def side(lines: DataFrame) -> DataFrame:
     return lines.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("token"), (F.col("l_partkey") % 20).cast("string").alias("postal_code"), F.concat(F.lit("ein schoenes haus "), house.cast("string")).alias("title"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("token"), (F.col("l_partkey") % 20).cast("string").alias("postal_code"), F.concat(F.lit("ein schoenes haus "), F.col("l_suppkey").cast("string")).alias("title"),
         F.when(F.col("l_linenumber") % 4 != 0, F.col("l_quantity")).alias("price"), F.when(F.col("l_linenumber") % 3 != 0, F.floor(F.col("l_tax") * 50)).alias("area"),
     )
 
 
-@query(f"""WITH p AS ({SIDE.format(n=1)}), c AS ({SIDE.format(n=2)}),
+@query(f"""WITH p AS ({SIDE.format(n=1)}), c AS ({SIDE.format(n=0)}),
 p1 AS (SELECT postal_code, title, price, area, min(token) AS token FROM p WHERE price IS NOT NULL OR area IS NOT NULL GROUP BY 1, 2, 3, 4 HAVING count(*) = 1),
 c1 AS (SELECT postal_code, title, price, area, min(token) AS token FROM c WHERE price IS NOT NULL OR area IS NOT NULL GROUP BY 1, 2, 3, 4 HAVING count(*) = 1),
 e AS (SELECT p1.token AS prev_token, c1.token AS cur_token FROM p1 JOIN c1 ON p1.postal_code = c1.postal_code AND p1.title = c1.title AND p1.price IS NOT DISTINCT FROM c1.price AND p1.area IS NOT DISTINCT FROM c1.area),
@@ -286,8 +297,8 @@ p2 AS (SELECT postal_code, title, area, min(token) AS token FROM p WHERE area IS
 c2 AS (SELECT postal_code, title, area, min(token) AS token FROM c WHERE area IS NOT NULL AND token NOT IN (SELECT cur_token FROM e) GROUP BY 1, 2, 3 HAVING count(*) = 1)
 SELECT prev_token, cur_token, 'exact' AS strategy FROM e UNION ALL SELECT p2.token, c2.token, 'title_area' FROM p2 JOIN c2 USING (postal_code, title, area)""")
 def continued_listings(spark, d):
-    lines, house = table(spark, d, "lineitem"), F.col("l_suppkey") % 20
-    return identity.continued(side(lines.filter("l_orderkey % 40 = 1"), house), side(lines.filter("l_orderkey % 40 = 2"), house))
+    lines = table(spark, d, "lineitem")
+    return identity.continued(side(lines.filter("l_orderkey % 2 = 1")), side(lines.filter("l_orderkey % 2 = 0")))
 
 
 @query("""SELECT c_custkey, coalesce(n.acctbal, c_acctbal) AS c_acctbal, c_name FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) FILTER (o_orderkey % 2 = 0) AS acctbal FROM orders GROUP BY 1) n ON c_custkey = o_custkey""")

@@ -93,16 +93,12 @@ def geodesic_pairs(spark, d):
 
 
 @query(f"""WITH {HOMES}, {LOCATIONS}, {PAIRS},
-e AS (SELECT *, km * 1.3e0 AS road_km, CASE WHEN (home_id + location_id) % 7 = 0 THEN NULL ELSE round(km * (1 + (home_id * location_id) % 5), 3) END AS minutes FROM pairs WHERE job_id < 20),
+e AS (SELECT *, km * 1.3e0 AS road_km, CASE WHEN (home_id + location_id) % 7 = 0 THEN NULL ELSE round(km * (1 + (home_id * location_id) % 5), 3) END AS minutes FROM pairs),
 b AS (SELECT *, row_number() OVER (PARTITION BY home_id, job_id ORDER BY minutes, road_km, location_id) AS r FROM e WHERE minutes IS NOT NULL),
 k AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY minutes, road_km, km, home_id) AS rank FROM b WHERE r = 1 AND road_km <= 25)
 SELECT job_id, rank::INT AS rank, home_id, location_id, minutes FROM k WHERE rank <= 3""")
 def road_refined_topk(spark, d):
-    return by_road(homes(spark, d), locations(spark, d).filter("job_id < 20"))
-
-
-def by_road(houses: DataFrame, places: DataFrame) -> DataFrame:
-    pairs = radius.radius_join(houses, places, 25)
+    pairs = radius.radius_join(homes(spark, d), locations(spark, d), 25)
     minutes = F.when((F.col("home_id") + F.col("location_id")) % 7 != 0, F.round(F.col("km") * (1 + (F.col("home_id") * F.col("location_id")) % 5), 3))
     estimates = pairs.select("home_id", "location_id", (F.col("km") * 1.3).alias("road_km"), minutes.alias("minutes"))
     return radius.road_ranked(pairs, estimates, 25, 3).select("job_id", "rank", "home_id", "location_id", "minutes")
@@ -253,9 +249,10 @@ PAY = "CASE WHEN p_size % 3 = 0 THEN 'year' WHEN p_size % 3 = 1 THEN 'month' ELS
 
 @query(f"""WITH s AS (SELECT p_partkey AS job_id, CASE WHEN p_size % 9 = 0 THEN 1000 + p_size ELSE NULL END AS year_min, {PAY} AS period, floor(p_retailprice) AS amount, CASE WHEN p_size % 2 = 0 THEN 14 END AS payments FROM part),
 v AS (SELECT job_id, coalesce(year_min, CASE WHEN period = 'year' THEN amount WHEN period = 'month' THEN amount * coalesce(payments, 12) END) AS pay FROM s)
-SELECT job_id, pay FROM v ORDER BY pay DESC NULLS LAST, job_id DESC LIMIT 100""")
+SELECT job_id, pay, row_number() OVER (ORDER BY pay DESC NULLS LAST, job_id DESC) AS position FROM v""")
 def job_salary_sort(spark, d):
-    return paid(spark, d).orderBy(*catalog.job_order("salary", "desc")).limit(100).select("job_id", catalog.salary_sort_value().alias("pay"))
+    rows = catalog.positions(paid(spark, d), catalog.job_order("salary", "desc"))
+    return rows.select("job_id", catalog.salary_sort_value().alias("pay"), "position")
 
 
 def paid(spark, d) -> DataFrame:
@@ -267,9 +264,9 @@ def paid(spark, d) -> DataFrame:
     )
 
 
-@query(f"WITH {JOBS} SELECT job_id, score FROM jobs ORDER BY hidden, NOT favorite, score IS NULL, hard, score DESC NULLS LAST, coverage DESC, job_id LIMIT 200")
+@query(f"WITH {JOBS} SELECT job_id, score, row_number() OVER (ORDER BY hidden, NOT favorite, score IS NULL, hard, score DESC NULLS LAST, coverage DESC, job_id) AS position FROM jobs")
 def live_fit_order(spark, d):
-    return jobs(spark, d).orderBy(*catalog.live_fit_order()).limit(200).select("job_id", "score")
+    return catalog.positions(jobs(spark, d), catalog.live_fit_order()).select("job_id", "score", "position")
 
 
 @query(f"WITH {JOBS} SELECT job_id, score FROM jobs WHERE NOT hidden AND score IS NOT NULL AND NOT hard ORDER BY score DESC, coverage DESC, job_id LIMIT 20")
@@ -337,16 +334,12 @@ def postal_centroids(spark, d):
 
 
 LOCS = """loc AS (SELECT l_orderkey * 10 + l_linenumber AS location_id, l_orderkey AS job_id, l_returnflag AS city, l_linestatus = 'F' AS remote,
-  CASE WHEN l_linenumber % 2 = 0 THEN (1000 + l_suppkey % 3)::VARCHAR END AS postal_code FROM lineitem WHERE l_orderkey % 5 = 0)"""
+  CASE WHEN l_linenumber % 2 = 0 THEN (1000 + l_suppkey % 3)::VARCHAR END AS postal_code FROM lineitem)"""
 
 
 def _locs(spark, d) -> DataFrame:
-    return codes(table(spark, d, "lineitem").filter("l_orderkey % 5 = 0"))
-
-
-def codes(lines: DataFrame) -> DataFrame:
     code = F.when(F.col("l_linenumber") % 2 == 0, (F.col("l_suppkey") % 3 + 1000).cast("string"))
-    return lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("location_id"), F.col("l_orderkey").alias("job_id"), F.col("l_returnflag").alias("city"), (F.col("l_linestatus") == "F").alias("remote"), code.alias("postal_code"), F.lit(None).cast("double").alias("lon"), F.lit(None).cast("double").alias("lat"))
+    return table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("location_id"), F.col("l_orderkey").alias("job_id"), F.col("l_returnflag").alias("city"), (F.col("l_linestatus") == "F").alias("remote"), code.alias("postal_code"), F.lit(None).cast("double").alias("lon"), F.lit(None).cast("double").alias("lat"))
 
 
 @query(f"""WITH {LOCS}, p AS (SELECT job_id, city, remote, min(postal_code) AS p FROM loc WHERE postal_code IS NOT NULL GROUP BY 1, 2, 3 HAVING count(DISTINCT postal_code) = 1)
@@ -358,9 +351,5 @@ def propagated_codes(spark, d):
 @query(f"""WITH {LOCS}, c AS (SELECT *, CASE WHEN city = 'A' THEN 'AT' ELSE city END AS c FROM loc)
 SELECT location_id FROM c WHERE NOT (c = 'AT' AND postal_code IS NULL AND NOT remote AND job_id IN (SELECT job_id FROM c WHERE postal_code IS NOT NULL))""")
 def pruned_country_codes(spark, d):
-    return without_countries(_locs(spark, d))
-
-
-def without_countries(places: DataFrame) -> DataFrame:
-    rows = places.withColumn("city", F.when(F.col("city") == "A", "AT").otherwise(F.col("city")))
+    rows = _locs(spark, d).withColumn("city", F.when(F.col("city") == "A", "AT").otherwise(F.col("city")))
     return locality.without_country_codes(rows).select("location_id")

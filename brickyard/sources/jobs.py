@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brickyard.functions.salary import PLAUSIBLE
+
 COLUMNS = ("listing_key", "title", "url", "company", "description", "locations", "currency", "period", "salary_min", "salary_max", "identity")
 PLACE = "array<struct<city:string,postal_code:string>>"
 #: How feeds name Austria.
@@ -62,18 +64,27 @@ def greenhouse(raw: DataFrame) -> DataFrame:
     """Payload: jobs with pay ranges in cents; one range counts if it is the only Austrian one, the only one, or all are equal."""
     kind = "struct<jobs:array<struct<id:bigint,title:string,absolute_url:string,content:string,location:struct<name:string>,pay_input_ranges:array<struct<min_cents:bigint,max_cents:bigint,currency_type:string,title:string>>>>>"
     rows = raw.select("company", F.explode(F.from_json("payload", kind)["jobs"]).alias("j")).filter(in_austria(F.col("j.location.name")))
-    ranges = F.filter(F.coalesce("j.pay_input_ranges", F.array().cast("array<struct<min_cents:bigint,max_cents:bigint,currency_type:string,title:string>>")), lambda r: r["currency_type"] == "EUR")
+    none = F.array().cast("array<struct<min_cents:bigint,max_cents:bigint,currency_type:string,title:string>>")
+    ranges = F.filter(F.transform(F.coalesce("j.pay_input_ranges", none), _pay_range), lambda r: r.isNotNull())
     local = F.filter(ranges, lambda r: in_austria(r["title"]))
-    same = F.size(F.array_distinct(F.transform(ranges, lambda r: F.struct(r["min_cents"], r["max_cents"])))) == 1
+    same = F.size(F.array_distinct(F.transform(ranges, lambda r: F.struct(r["low"], r["high"], r["period"])))) == 1
     pay = F.when(F.size(local) == 1, F.get(local, F.lit(0))).when((F.size(ranges) == 1) | same, F.get(ranges, F.lit(0)))
-    low = F.lower(pay["title"])
-    period = F.when(low.rlike("year|annual|jahr"), "year").when(low.rlike("month|monat"), "month").when(low.rlike("hour|stunde"), "hour")
     return _rows(
-        rows, listing_key=F.col("j.id"), title=F.col("j.title"), url=F.col("j.absolute_url"), company=F.col("company"), description=F.col("j.content"), locations=_place(F.col("j.location.name")),
-        currency=pay["currency_type"], period=period, salary_min=pay["min_cents"] / 100, salary_max=pay["max_cents"] / 100,
+        rows.withColumn("pay", pay), listing_key=F.col("j.id"), title=F.col("j.title"), url=F.col("j.absolute_url"), company=F.col("company"), description=F.col("j.content"), locations=_place(F.col("j.location.name")),
+        currency=F.when(F.col("pay").isNotNull(), "EUR"), period=F.col("pay.period"), salary_min=F.col("pay.low"), salary_max=F.col("pay.high"),
     )
 
 
+def _pay_range(r: Column) -> Column:
+    """title, period, low and high of a pay range in EUR; null without a period or with an end that isn't plausible for it."""
+    title = F.lower(r["title"])
+    period = F.when(title.rlike("year|annual|jahr"), "year").when(title.rlike("month|monat"), "month").when(title.rlike("hour|stunde"), "hour")
+    ends = F.array_sort(F.array_compact(F.array(*(F.when(r[c] >= 0, r[c] / 100) for c in ("min_cents", "max_cents")))))
+    bound = lambda side: F.coalesce(*(F.when(period == k, F.lit(v[side])) for k, v in PLAUSIBLE.items() if k != "week"))
+    good = (F.upper(r["currency_type"]) == "EUR") & (F.size(ends) > 0) & F.forall(ends, lambda x: x.between(bound(0), bound(1)))
+    return F.when(F.coalesce(good, F.lit(False)), F.struct(r["title"].alias("title"), period.alias("period"), F.get(ends, F.lit(0)).alias("low"), F.get(ends, F.lit(1)).alias("high")))
+
+
 def smartrecruiters(raw: DataFrame) -> DataFrame:
     kind = "struct<content:array<struct<id:string,name:string,ref:string,jobAdId:string,company:struct<identifier:string,name:string>,location:struct<country:string,city:string,postalCode:string>>>>"
     rows = raw.select(F.explode(F.from_json("payload", kind)["content"]).alias("j")).filter(F.lower("j.location.country").isin(*AUSTRIA))
@@ -162,13 +173,14 @@ def json_ld_posting(html: pd.Series) -> pd.DataFrame:
         address = [(p.get("address") or {}) for p in places if isinstance(p, dict)]
         address = [a if isinstance(a, dict) else {"addressLocality": a} for a in address]
         number = lambda x: float(x) if isinstance(x, (int, float)) or isinstance(x, str) and re.fullmatch(r"\d+(\.\d+)?", x) else None
-        low = number(value.get("minValue", value.get("value")))
+        positive = lambda x: (lambda n: n if n is not None and n > 0 else None)(number(x))
+        low = positive(value.get("minValue", value.get("value")))
         unit = str(value.get("unitText") or "").lower()
         out.append({
             "title": unescape(j["title"]) if isinstance(j.get("title"), str) else None, "company": org.get("name") if isinstance(org, dict) else None, "description": j.get("description"),
             "locations": [{"city": a.get("addressLocality"), "postal_code": a.get("postalCode")} for a in address] or None,
             "currency": pay.get("currency") if isinstance(pay, dict) and low is not None else None, "period": unit if unit in ("year", "month", "week", "day", "hour") else None,
-            "salary_min": low, "salary_max": number(value.get("maxValue")),
+            "salary_min": low, "salary_max": positive(value.get("maxValue")),
         })
     return pd.DataFrame(out, columns=["title", "company", "description", "locations", "currency", "period", "salary_min", "salary_max"])
 
