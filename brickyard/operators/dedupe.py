@@ -86,6 +86,42 @@ def merge_blockers(members: DataFrame) -> DataFrame:
     return found.select("group_id", reasons.alias("blockers"))
 
 
+def location_conflicts(places: DataFrame) -> DataFrame:
+    """group_id and source_id where two jobs of a group that one source lists have no explicit place in common.
+
+    ``places``: group_id, job_id, source_id, place (null: not explicit).
+    Merge groups are what high evidence connects, a few jobs each.
+    """
+    sets = places.filter(F.col("place").isNotNull()).groupBy("group_id", "source_id", "job_id").agg(F.collect_set("place").alias("places"))
+    a, b = sets.alias("a"), sets.alias("b")
+    same = (F.col("a.group_id") == F.col("b.group_id")) & (F.col("a.source_id") == F.col("b.source_id")) & (F.col("a.job_id") < F.col("b.job_id"))
+    return a.join(b, same).filter(~F.arrays_overlap("a.places", "b.places")).select("a.group_id", "a.source_id").distinct()
+
+
+def disconnected_groups(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """group_id and the number of parts of groups that high evidence (left_id, right_id) doesn't connect."""
+    of = lambda c: members.select(F.col("job_id").alias(c), F.col("group_id").alias(f"g_{c}"))
+    inner = edges.join(of("left_id"), "left_id").join(of("right_id"), "right_id").filter(F.col("g_left_id") == F.col("g_right_id"))
+    parts = merge_groups(inner.select("left_id", "right_id")).select("job_id", F.col("group_id").alias("part"))
+    found = members.join(parts, "job_id", "left").groupBy("group_id").agg(F.count_distinct(F.coalesce("part", "job_id")).alias("parts"))
+    return found.filter("parts > 1")
+
+
+def merged_locations(locations: DataFrame) -> DataFrame:
+    """One row for each place of a merge group: rows match by code where both have one, else by city, else by text.
+
+    ``locations``: group_id, location_id, postal_code, city, location_text,
+    remote. The smallest location_id stays, filled up from the others.
+    """
+    key = F.when(F.col("city") != "", F.concat(F.lit("c:"), ascii_words(F.col("city")))).when(F.col("location_text") != "", F.concat(F.lit("t:"), F.lower(F.trim(F.regexp_replace("location_text", r"\s+", " ")))))
+    rows = locations.withColumn("_key", F.coalesce(key, F.concat(F.lit("i:"), F.col("location_id").cast("string"))))
+    # A row without a code belongs to the smallest code that its city or text has in the group, if any.
+    codes = rows.filter(F.col("postal_code").isNotNull()).groupBy("group_id", "remote", "_key").agg(F.min("postal_code").alias("_code"))
+    rows = rows.join(codes, ["group_id", "remote", "_key"], "left").withColumn("_place", F.coalesce("postal_code", "_code", "_key"))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.col("location_id"))).alias(c)
+    return rows.groupBy("group_id", "remote", "_place").agg(F.min("location_id").alias("location_id"), F.min(F.coalesce("postal_code", "_code")).alias("postal_code"), first("city"), first("location_text"), F.count("*").alias("n_merged")).drop("_place")
+
+
 def merged(members: DataFrame) -> DataFrame:
     """One row per group: the longest texts, pay as a whole from the best row, the widest life, active if any is."""
     longest = lambda c: F.max_by(c, F.struct(F.length(F.coalesce(c, F.lit(""))), -F.col("job_id")))

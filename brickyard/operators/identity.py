@@ -74,13 +74,23 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def merged_payload(old: str = "old_payload", new: str = "new_payload"):
-    """A JSON object of both, the new value winning; a stored ``detail_enriched`` of true stays true."""
+    """A JSON object of both as a map, the new value winning.
+
+    A stored ``detail_enriched`` of true stays; what then went wrong in the
+    new run is kept as ``detail_enrichment_last_error``. A run that enriches
+    clears both errors.
+    """
     kind = "map<string,string>"
     a, b = F.coalesce(F.from_json(old, kind), F.create_map().cast(kind)), F.coalesce(F.from_json(new, kind), F.create_map().cast(kind))
     both = F.map_concat(F.map_filter(a, lambda k, _: ~F.array_contains(F.map_keys(b), k)), b)
-    sticky = F.coalesce(F.element_at(a, "detail_enriched") == "true", F.lit(False))
-    rest = F.map_filter(both, lambda k, _: k != "detail_enriched")
-    return F.when(sticky, F.map_concat(rest, F.create_map(F.lit("detail_enriched"), F.lit("true")))).otherwise(both)
+    was = F.coalesce(F.element_at(a, "detail_enriched") == "true", F.lit(False))
+    now = F.coalesce(F.element_at(b, "detail_enriched") == "true", F.lit(False))
+    error = F.nullif(F.element_at(b, "detail_enrichment_error"), F.lit(""))
+    without = lambda *keys: F.map_filter(both, lambda k, _: ~k.isin(*keys))
+    flag = F.create_map(F.lit("detail_enriched"), F.lit("true"))
+    kept = F.when(error.isNotNull(), F.map_concat(without("detail_enriched", "detail_enrichment_error", "detail_enrichment_last_error"), flag, F.create_map(F.lit("detail_enrichment_last_error"), error)))
+    kept = kept.otherwise(F.map_concat(without("detail_enriched", "detail_enrichment_error"), flag))
+    return F.when(was & ~now, kept).when(now, without("detail_enrichment_error", "detail_enrichment_last_error")).otherwise(both)
 
 
 def synced_seed(rows: DataFrame, seed: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .radius import first_of_each
@@ -35,11 +35,21 @@ def latest_run(runs: DataFrame) -> DataFrame:
 
 
 def previous_ok(runs: DataFrame, run: DataFrame, offset: int = 0) -> DataFrame:
-    """For each row of ``run`` the reconciliation before it that went well, ``offset`` further back."""
-    good = runs.filter((F.col("mode") == "reconciliation") & (F.col("coverage_status") == "OK")).select("source_id", F.col("run_id").alias("prev_id"), F.col("started_at").alias("prev_started"), F.col("finished_at").alias("prev_finished"))
-    pairs = run.select("source_id", "run_id", "started_at").join(good, "source_id").filter(F.col("prev_started") < F.col("started_at"))
-    ranked = first_of_each(pairs, ["run_id"], [F.col("prev_started").desc(), F.col("prev_id").desc()], offset + 1, "n")
-    return ranked.filter(F.col("n") == offset + 1).drop("n")
+    """For each row of ``run`` the reconciliation before it that went well, ``offset`` further back.
+
+    A running count along each source tells how many went well before a
+    run, and so the number of the one that is wanted: no run meets more than
+    one other.
+    """
+    good = runs.filter((F.col("mode") == "reconciliation") & (F.col("coverage_status") == "OK"))
+    along = Window.partitionBy("source_id").orderBy("started_at", "run_id")
+    numbered = good.select("source_id", F.row_number().over(along).alias("n"), F.col("run_id").alias("prev_id"), F.col("started_at").alias("prev_started"), F.col("finished_at").alias("prev_finished"))
+    asked = run.select("source_id", "run_id", "started_at")
+    both = asked.withColumn("good", F.lit(0)).unionByName(good.select("source_id", "run_id", "started_at").withColumn("good", F.lit(1)))
+    # At equal times the run itself comes first: only what began before it counts.
+    before = F.sum("good").over(Window.partitionBy("source_id").orderBy("started_at", "good").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    wanted = both.withColumn("n", before.cast("int") - offset).filter("good = 0 AND n > 0").drop("good")
+    return wanted.join(numbered, ["source_id", "n"]).select("source_id", "run_id", "started_at", "prev_id", "prev_started", "prev_finished")
 
 
 def missing(listings: DataFrame, runs: DataFrame) -> DataFrame:
@@ -98,6 +108,11 @@ def churn_coverage(structural: Column, new_synthetic: Column, cards: Column) ->
     return structural & (new_synthetic <= F.greatest(F.lit(3), F.ceil(cards * 0.01)))
 
 
+def synthetic_coverage(structural: Column, synthetic: Column, cards: Column, share: float) -> Column:
+    """Whether sound pages have few made-up identities: no more than 3 or ``share`` of the cards."""
+    return structural & (synthetic <= F.greatest(F.lit(3), F.ceil(cards * share)))
+
+
 def plausible_count(seen: Column, reported: Column, page_size: Column) -> Column:
     """Whether the seen count is within two pages or 1 % of what the source reports."""
     return F.abs(seen - reported) <= F.greatest(page_size * 2, F.ceil(reported * 0.01))

@@ -34,15 +34,19 @@ def overlap(listings: DataFrame, n_sources: int = 2) -> DataFrame:
 
 
 def unresolved_labels(locations: DataFrame, is_scope, k: int = 20) -> DataFrame:
-    """The ``k`` most frequent unresolved labels among points and among wider scopes, with the totals over all labels."""
+    """The ``k`` most frequent unresolved labels among points and among wider scopes, with the totals over all labels.
+
+    Totals are an aggregate of two rows, and the rank cuts to ``k`` inside
+    each task, so the labels themselves never meet in one.
+    """
     from pyspark.sql import Window
 
-    counts = locations.filter(F.col("lon").isNull() & F.col("city").isNotNull()).groupBy("city").agg(F.count("*").alias("n"))
-    counts = counts.withColumn("scope", is_scope(F.col("city")))
-    w = Window.partitionBy("scope")
-    rows = counts.withColumn("labels", F.count("*").over(w)).withColumn("locations", F.sum("n").over(w))
-    order = w.orderBy(F.col("n").desc(), F.col("city"))
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    counts = locations.filter(F.col("lon").isNull() & F.col("city").isNotNull()).groupBy("city").agg(F.count("*").alias("n")).withColumn("scope", is_scope(F.col("city")))
+    totals = counts.groupBy("scope").agg(F.count("*").alias("labels"), F.sum("n").alias("locations"))
+    order = Window.partitionBy("scope").orderBy(F.col("n").desc(), F.col("city"))
+    first = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    # Two rows, so it is safe to broadcast.
+    return first.join(F.broadcast(totals), "scope").select("city", "n", "scope", "labels", "locations", "rank")
 
 
 def json_totals(rows: DataFrame, payload: str, fields: list[str]) -> DataFrame:
@@ -76,3 +80,50 @@ def purge_check(listings: DataFrame, source_id) -> DataFrame:
 
 def high_water(events: DataFrame) -> DataFrame:
     return events.agg(F.coalesce(F.max("event_id"), F.lit(0)).alias("high_water"))
+
+
+def source_stats(listings: DataFrame) -> DataFrame:
+    """Per source: listings, active and relevant ones, their jobs, what the latest run saw, and how many relevant jobs have pay.
+
+    ``listings``: source_id, job_id, status, accepted, seen_run_id,
+    latest_run_id, structured_pay, annual_pay, pay_text (booleans of the job).
+    """
+    active = F.col("status") == "ACTIVE"
+    relevant = active & F.coalesce("accepted", F.lit(False))
+    now = F.coalesce(F.col("seen_run_id") == F.col("latest_run_id"), F.lit(False))
+    jobs = lambda cond: F.count_distinct(F.when(cond, F.col("job_id")))
+    return listings.groupBy("source_id").agg(
+        F.count("*").alias("listings"), F.count_if(active).alias("active"), F.count_if(relevant).alias("relevant"), jobs(active).alias("active_jobs"), jobs(relevant).alias("relevant_jobs"),
+        F.count_if(now).alias("seen"), F.count_if(now & F.coalesce("accepted", F.lit(False))).alias("seen_relevant"),
+        jobs(relevant & F.col("structured_pay")).alias("structured_pay"), jobs(relevant & F.col("annual_pay")).alias("annual_pay"), jobs(relevant & F.col("pay_text")).alias("pay_text"),
+    )
+
+
+def top_concepts(evidence: DataFrame, k: int) -> DataFrame:
+    """The ``k`` concepts of each kind with most jobs: kind, slug, jobs and rank."""
+    from pyspark.sql import Window
+
+    counts = evidence.groupBy("kind", "slug").agg(F.count_distinct("job_id").alias("jobs"))
+    order = Window.partitionBy("kind").orderBy(F.col("jobs").desc(), F.col("slug"))
+    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def evidence_audit(evidence: DataFrame, family: str) -> DataFrame:
+    """Per version of an extractor family: rows, jobs, rows by scope, and rows of a scope that isn't known."""
+    rows = evidence.filter(F.col("version").startswith(family))
+    known = F.col("scope").isin("primary", "context")
+    return rows.groupBy("version").agg(
+        F.count("*").alias("n_rows"), F.count_distinct("job_id").alias("jobs"), F.count_if(F.col("scope") == "primary").alias("primary_rows"),
+        F.count_if(F.col("scope") == "context").alias("context_rows"), F.count_if(~F.coalesce(known, F.lit(False))).alias("invalid_rows"),
+    )
+
+
+def area_audit(homes: DataFrame, listings: DataFrame) -> DataFrame:
+    """Per kind of area that the listings state: homes, those whose stored area differs from it, and those that several sources list.
+
+    ``homes``: home_id, living. ``listings``: home_id, source_id, kind, area.
+    """
+    one = listings.groupBy("home_id", "kind").agg(F.max("area").alias("stated"), F.count_distinct("source_id").alias("n_sources"))
+    rows = one.join(homes.select("home_id", "living"), "home_id")
+    differs = F.coalesce(F.abs(F.col("living") - F.col("stated")) > 0.5, F.lit(False))
+    return rows.groupBy("kind").agg(F.count("*").alias("homes"), F.count_if(differs).alias("mismatched"), F.count_if(differs & (F.col("n_sources") == 1)).alias("suspicious"), F.count_if(F.col("n_sources") > 1).alias("shared"))

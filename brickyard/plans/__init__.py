@@ -1,6 +1,6 @@
 """All registered queries of the library."""
 
-from . import adverts, places, upkeep
+from . import adverts, ingestion, places, upkeep
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "adverts", "places", "upkeep"]
+__all__ = ["ORACLES", "QUERIES", "adverts", "ingestion", "places", "upkeep"]
