@@ -11,7 +11,7 @@ from .registry import query, table
 
 K = F.col("o_orderkey")
 
-STORED = "st AS (SELECT o_orderkey AS listing_id, o_custkey % 5 AS source_id, o_orderkey AS listing_key, CASE WHEN o_orderkey % 3 = 0 THEN 'p' || (o_custkey % 500) END AS identity, o_orderkey // 2 AS entity_id FROM orders)"
+STORED = "st AS (SELECT o_orderkey AS listing_id, o_custkey % 5 AS source_id, o_orderkey AS listing_key, CASE WHEN o_orderkey % 3 = 0 THEN 'p' || (o_custkey % 500) END AS identity, CASE WHEN o_orderkey % 8 < 4 THEN o_orderkey // 2 ELSE o_orderkey + 10000000 END AS entity_id FROM orders)"
 SEEN = "seen AS (SELECT o_custkey % 5 AS source_id, o_orderkey AS listing_key, CASE WHEN o_orderkey % 4 <> 0 THEN 'p' || (o_custkey % 500) END AS identity FROM orders WHERE o_orderkey % 2 = 0)"
 MOVES = f"""{STORED}, {SEEN}, own AS (SELECT identity, arg_min(entity_id, listing_id) AS owner FROM st WHERE identity IS NOT NULL GROUP BY 1),
 mv AS (SELECT listing_id, entity_id, coalesce(owner, entity_id) AS target FROM st JOIN seen USING (source_id, listing_key) LEFT JOIN own ON seen.identity = own.identity)"""
@@ -19,7 +19,7 @@ mv AS (SELECT listing_id, entity_id, coalesce(owner, entity_id) AS target FROM s
 
 def _stored(spark, d) -> DataFrame:
     person = F.concat(F.lit("p"), (F.col("o_custkey") % 500).cast("string"))
-    return table(spark, d, "orders").select(K.alias("listing_id"), (F.col("o_custkey") % 5).alias("source_id"), K.alias("listing_key"), F.when(K % 3 == 0, person).alias("identity"), F.expr("o_orderkey div 2").alias("entity_id"))
+    return table(spark, d, "orders").select(K.alias("listing_id"), (F.col("o_custkey") % 5).alias("source_id"), K.alias("listing_key"), F.when(K % 3 == 0, person).alias("identity"), F.when(K % 8 < 4, F.expr("o_orderkey div 2")).otherwise(K + 10_000_000).alias("entity_id"))
 
 
 def _moves(spark, d) -> DataFrame:
@@ -240,8 +240,7 @@ def scan_verdicts(spark, d):
     )
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'true' WHEN p_size % 2 = 0 THEN 'false' END AS enriched, CASE WHEN p_size % 3 = 0 AND p_size % 2 = 1 AND p_size % 5 = 0 THEN 'timeout' END AS last_error, 'new' AS title FROM part WHERE p_size % 2 = 1 OR p_size % 3 = 0 AND p_size % 2 = 0
-UNION ALL SELECT p_partkey, 'true', NULL, 'new' FROM part WHERE p_size % 2 = 0 AND p_size % 3 <> 0""".replace("CASE WHEN p_size % 3 = 0 THEN 'true' WHEN p_size % 2 = 0 THEN 'false' END", "CASE WHEN p_size % 3 = 0 OR p_size % 2 = 0 THEN 'true' END"))
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 OR p_size % 2 = 0 THEN 'true' END AS enriched, CASE WHEN p_size % 3 = 0 AND p_size % 2 = 1 AND p_size % 5 = 0 THEN 'timeout' END AS last_error, 'new' AS title FROM part""")
 def merged_payloads(spark, d):
     s = F.col("p_size")
     old = F.when(s % 3 == 0, '{"detail_enriched":true,"title":"old"}').otherwise('{"title":"old","detail_enrichment_last_error":null}')

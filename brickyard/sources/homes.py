@@ -75,7 +75,8 @@ def search_cards(raw: DataFrame) -> DataFrame:
     A link counts only if its text is the title; without one the identity is
     made up. Later cards of one key win (``page`` is the order).
     """
-    blocks = F.slice(F.split("payload", r"(?i)<h3\b"), 2, 10_000)
+    parts = F.split("payload", r"(?i)<h3\b")
+    blocks = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
     rows = raw.select("page", F.posexplode(blocks).alias("at", "block"))
     title = visible_text(F.regexp_extract("block", r"(?is)^[^>]*>(.*?)</h3>", 1))
     rows = rows.withColumn("title", title).withColumn("text", visible_text(F.regexp_replace("block", r"(?is)^[^>]*>.*?</h3>", "")))
