@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brickyard.functions import facts, geo, salary, text
 from brickyard.operators import sync
-from brickyard.sources import homes, jobs
+from brickyard.sources import boards, homes, jobs
 
 from .registry import query, table
 
@@ -195,3 +195,85 @@ def ellipsoid_metres(spark, d):
     c = F.col("c_custkey")
     at = lambda base, n: F.lit(base) + c % n / 10.0
     return table(spark, d, "customer").select("c_custkey", F.round(geo.geodesic_m(at(9.5, 70), at(46.5, 25), at(9.5, 67), at(46.5, 23)), 1).alias("metres"))
+
+
+LONG = "lange Beschreibung einer Stelle mit vielen Aufgaben und noch mehr Wörtern"
+
+
+@query(f"""SELECT p_partkey, 'Job ' || p_name AS title, p_brand AS company, CASE p_size % 4 WHEN 0 THEN 'Linz' WHEN 1 THEN 'Wels' WHEN 2 THEN NULL END AS city, '{LONG} ' || p_partkey AS description FROM part WHERE p_size % 4 <> 3""")
+def stepstone_cards(spark, d):
+    place = F.when(S % 4 == 0, "Linz, Oberösterreich").when(S % 4 == 1, "Oberösterreich, Wels").when(S % 4 == 2, "Österreich").otherwise("München, Deutschland")
+    age = "vor 3 Tagen " + "erschienen auf dieser Seite und noch immer zu haben für alle Bewerber"
+    page = _cat('<article id="1"><a href="/s/', P, '"><h2>Job ', F.col("p_name"), "</h2></a><span>", F.col("p_brand"), "</span><span>", place, f"</span><p>{age}</p><p>{LONG} ", P, "</p></article>")
+    rows = boards.stepstone(table(spark, d, "part").select(_cat("<div>", page).alias("payload")))
+    return rows.select(F.regexp_extract("href", r"(\d+)$", 1).cast("long").alias("p_partkey"), "title", "company", "city", "description")
+
+
+@query(f"""SELECT p_partkey, p_brand AS company, CASE WHEN p_size % 2 = 0 THEN '4020' END AS postal_code, 'Linz' AS city, '{LONG * 2} ' || p_partkey AS description FROM part""")
+def willhaben_cards(spark, d):
+    name = F.when(S % 3 == 0, _cat(F.col("p_brand"), " Jobs")).otherwise(F.col("p_brand"))
+    meta = F.when(S % 2 == 0, "12.03.2024, Vollzeit, 4020 Linz, Urfahr").otherwise("1.3.2024, Teilzeit, Linz")
+    page = _cat('<article><a href="/w/', P, '">', F.col("p_name"), "</a><i>Merken</i><b>", name, "</b><p>", meta, f"</p><p>{LONG * 2} ", P, f"</p><p>{LONG * 2}</p></article>")
+    rows = boards.willhaben(table(spark, d, "part").select(page.alias("payload")))
+    return rows.select(F.regexp_extract("href", r"(\d+)$", 1).cast("long").alias("p_partkey"), "company", "postal_code", "city", "description")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'req:R' || p_partkey WHEN p_size % 3 = 0 THEN 'posting:' || p_partkey END AS identity, CASE WHEN p_size % 5 = 0 THEN 'Linz;Wels' ELSE 'Graz' END AS cities, 'Wir suchen' || chr(10) || p_name AS description,
+CASE WHEN p_size % 2 <> 0 AND p_size % 3 <> 0 THEN 'no_id' END AS error FROM part""")
+def successfactors_pages(spark, d):
+    place = F.when(S % 5 == 0, "Linz, AT; München, DE; Wels, Austria; Linz, AT").otherwise("Graz, Österreich")
+    page = _cat("<h1>x</h1><p>Arbeitsort: ", place, "</p><p>Beschreibung:</p><p>Wir suchen</p><p>", F.col("p_name"), "</p>", F.when(S % 2 == 0, _cat("<b>Stellenanforderungs-ID:</b><i>R", P, "</i>")).otherwise("<b>Similar Jobs</b>"))
+    rows = boards.successfactors(table(spark, d, "part").select(_cat("https://sf/job/", F.when(S % 3 == 0, _s(P)).otherwise(_cat("p", P)), "#", P).alias("url"), page.alias("payload")))
+    return rows.select(F.regexp_extract("url", r"#(\d+)$", 1).cast("long").alias("p_partkey"), "identity", F.array_join("cities", ";").alias("cities"), "description", "error")
+
+
+@query("""SELECT 'direct:a:' || p_partkey AS identity, 'Marchtrenk' AS city, p_name AS description, CASE WHEN p_size % 2 = 0 THEN 'Gehalt ab 3.000 Euro' END AS pay_text FROM part WHERE p_size % 3 <> 0
+UNION ALL SELECT 'direct:b:' || p_partkey, CASE WHEN p_size % 3 <> 0 THEN 'Elsbethen/Glasenbach' END, CASE WHEN p_size % 5 <> 0 THEN p_name END, NULL FROM part""")
+def company_site_jobs(spark, d):
+    first = _cat("<h1>Join Team Possible!</h1><h2>Title</h2><p>", F.when(S % 3 == 0, "Worldwide").otherwise("Marchtrenk, Austria"), "</p><h3>Your tasks:</h3><p>", F.col("p_name"), "</p><h3>Offer</h3>", F.when(S % 2 == 0, "<b>Gehalt</b><i>ab 3.000</i><i>Euro</i>").otherwise("<b>gratis Obst</b>"))
+    second = _cat(F.when(S % 5 == 0, "").otherwise(_cat("<h3>Your tasks:</h3><p>", F.col("p_name"), "</p>")), "<h3>Offer</h3>", F.when(S % 3 == 0, "").otherwise("<p>Moosstraße 1, 5061 Elsbethen/Glasenbach</p><p>AT</p>"), "<p>footer</p>")
+    pages = lambda x: table(spark, d, "part").select(_s(P).alias("job_id"), x.alias("payload"))
+    labels = {"starts": ("your tasks:",), "stops": ("offer",)}
+    both = boards.company_pages(pages(first), site="a", title="join team possible", **labels).unionByName(boards.company_pages(pages(second), site="b", **labels))
+    return both.select("identity", "city", "description", "pay_text")
+
+
+@query("""SELECT p_partkey AS listing_id, CASE WHEN p_size % 3 <> 0 THEN 'Haus ' || p_partkey || ' mit Garten' ELSE 'Haus ohne Angaben' END AS title, CASE WHEN p_size % 3 <> 0 THEN '4020' END AS postal_code, CASE WHEN p_size % 3 <> 0 THEN 'Linz' END AS city, CASE WHEN p_size % 3 <> 0 THEN p_size * 1000 END::DOUBLE AS price,
+CASE WHEN p_size % 3 = 1 THEN p_size + 0.5 END::DOUBLE AS living, CASE WHEN p_size % 3 = 2 THEN p_size + 0.5 END::DOUBLE AS plot, 2 AS n_links, p_size % 3 <> 0 AS whole FROM part""")
+def broker_cards(spark, d):
+    return _cards(spark, d).select(F.col("listing_id").cast("long"), "title", "postal_code", "city", *(F.col(c).cast("double") for c in ("price", "living", "plot")), "n_links", "whole")
+
+
+def _cards(spark, d) -> DataFrame:
+    facts = F.when(S % 3 == 0, "Haus ohne Angaben").otherwise(_cat("Haus ", P, " mit Garten – 4020 Linz ", S, ",5 m² ", F.when(S % 3 == 1, "Wohnfläche").otherwise("Grundfläche"), " € ", F.translate(F.format_number(S * 1000, 0), ",", ".")))
+    link = lambda x: _cat('<a class="c" href="/haus/id-', P, '">', x, "</a>")
+    return boards.broker_cards(table(spark, d, "part").select(_cat(link(F.lit("<img> mehr")), link(facts), '<a href="/kontakt">Kontakt</a>').alias("payload")), r"(?is)/haus/id-(\d+)")
+
+
+@query("SELECT count(*) AS cards, count(*) FILTER (p_size % 3 <> 0) AS whole, count(*) FILTER (p_size % 3 <> 0) >= count(*) * 0.9 AS sound FROM part")
+def broker_scan(spark, d):
+    return boards.enough_parsed(_cards(spark, d))
+
+
+@query("""SELECT p_partkey AS listing_id, CASE WHEN p_size % 2 = 0 THEN 99 WHEN p_size % 3 = 1 THEN p_size + 0.5 END::DOUBLE AS living, CASE WHEN p_size % 4 = 1 THEN 'other_id' END AS error FROM part""")
+def broker_details(spark, d):
+    details = table(spark, d, "part").select(_s(P).alias("listing_id"), F.when(S % 4 == 1, "0").otherwise(_s(P)).alias("shown_id"), F.when((S % 2 == 0) | (S % 4 == 1), 99).cast("decimal(14,2)").alias("living"))
+    rows = boards.with_details(_cards(spark, d), details, ("living",))
+    return rows.select(F.col("listing_id").cast("long"), F.col("living").cast("double"), "error")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'i' || p_partkey END AS image FROM part")
+def card_images(spark, d):
+    part = table(spark, d, "part")
+    cards = part.select("p_partkey", _cat("https://H.at/x/", P, "/#top").alias("url"))
+    shots = lambda page, of: part.filter(S % 2 == 0).select(F.lit(page).alias("page"), _cat("HTTPS://h.at/x/", P).alias("url"), of.alias("image"))
+    return boards.with_images(cards, shots(1, _cat("i", P)).unionByName(shots(2, F.lit("later")))).select("p_partkey", "image")
+
+
+@query("""SELECT 't' || p_partkey AS tenant_key, p_size % 2 = 0 AS known, CASE WHEN p_size % 2 = 0 THEN 'mine' ELSE p_brand END AS company, CASE WHEN p_size % 2 = 0 THEN 'own' ELSE 'seed' END AS a, CASE WHEN p_size % 3 <> 0 THEN 'seed' END AS b FROM part WHERE p_size % 2 = 0 OR p_size % 3 <> 0""")
+def seeded_tenants(spark, d):
+    part, key = table(spark, d, "part"), _cat("t", P)
+    stored = part.filter(S % 2 == 0).select(F.lit("n").alias("namespace"), key.alias("tenant_key"), F.lit("mine").alias("company"), F.lit(False).alias("enabled"), F.create_map(F.lit("a"), F.lit("own")).alias("config"))
+    seeds = part.filter(S % 3 != 0).select(F.lit("n").alias("namespace"), key.alias("tenant_key"), F.col("p_brand").alias("company"), F.lit(True).alias("enabled"), F.create_map(F.lit("a"), F.lit("seed"), F.lit("b"), F.lit("seed")).alias("config"))
+    rows = boards.seeded_tenants(stored, seeds)
+    return rows.select("tenant_key", (~F.col("created")).alias("known"), "company", F.element_at("config", "a").alias("a"), F.element_at("config", "b").alias("b"))
