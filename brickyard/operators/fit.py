@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brickyard.functions.text import contains_alias
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -30,26 +32,34 @@ def _lookup(values: dict[str, float], key: Column) -> Column:
     return out
 
 
-#: Vocabularies of up to so many aliases are broadcast; beyond it texts and aliases are shuffled by alias.
+#: Vocabularies of up to so many aliases are looked for one by one; up to BROADCAST_ALIASES they are broadcast, and beyond it texts and aliases are shuffled by alias.
+FEW_ALIASES = 64
 BROADCAST_ALIASES = 100_000
 
 
-def extract(jobs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def extract(jobs: DataFrame, vocabulary: DataFrame, few: int = FEW_ALIASES) -> DataFrame:
     """Evidence rows job_id, kind, slug, field and alias: the longest alias of each concept in a field.
 
     ``jobs`` has normalised title and description; ``vocabulary`` normalised
-    aliases. A field's runs of as many words as aliases have meet the
-    aliases in an equi-join, so no row carries a text.
+    aliases. A few aliases are looked for in each text, and only what is
+    found becomes a row. Of larger vocabularies, a field's runs of as many
+    words as aliases have meet the aliases in an equi-join, so no row carries
+    a text.
     """
     aliases = vocabulary.filter(F.col("alias") != "")
     n_words = F.size(F.split("alias", " "))
     seen = aliases.agg(F.collect_set(n_words).alias("lengths"), F.count("*").alias("n")).first()
     fields = jobs.select("job_id", F.explode(F.create_map(F.lit("title"), "title", F.lit("description"), "description")).alias("field", "text")).withColumn("w", F.split("text", " "))
+    best = F.max_by("alias", F.struct(F.length("alias"), "alias"))
+    if seen["n"] <= few:
+        words = [r["alias"] for r in aliases.select("alias").distinct().collect()]
+        hits = F.filter(F.array(*map(F.lit, words)).cast("array<string>"), lambda a: contains_alias(F.col("text"), a))
+        found = fields.select("job_id", "field", F.explode(hits).alias("alias")).join(F.broadcast(aliases), "alias")
+        return found.groupBy("job_id", "kind", "slug", "field").agg(best.alias("alias"))
     runs = lambda n: F.col("w") if n == 1 else F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
     every = F.flatten(F.array(*(runs(n) for n in sorted(seen["lengths"]) or [1])))
     grams = fields.select("job_id", "field", F.explode(F.array_distinct(every)).alias("alias"))
     found = grams.join(F.broadcast(aliases) if seen["n"] <= BROADCAST_ALIASES else aliases, "alias")
-    best = F.max_by("alias", F.struct(F.length("alias"), "alias"))
     return found.groupBy("job_id", "kind", "slug", "field").agg(best.alias("alias"))
 
 

@@ -57,9 +57,14 @@ def first_of_each(rows: DataFrame, keys: list[str], order: list[Column], k: int
 
 
 def nearest_homes(homes: DataFrame, locations: DataFrame, radius_km: float, k: int) -> DataFrame:
-    """For each job its ``k`` nearest homes, each by the job's location that is nearest to it. Adds ``rank``."""
+    """For each job its ``k`` nearest homes, each by the job's location that is nearest to it. Adds ``rank``.
+
+    A job's ``k`` nearest homes are among the ``k`` nearest of one of its
+    locations, so pairs are cut to those first, inside each task already.
+    """
     pairs = radius_join(homes, locations, radius_km)
-    nearest = first_of_each(pairs, ["home_id", "job_id"], [F.col("km"), F.col("location_id")])
+    near = first_of_each(pairs, ["location_id"], [F.col("km"), F.col("home_id")], k)
+    nearest = first_of_each(near, ["home_id", "job_id"], [F.col("km"), F.col("location_id")])
     return first_of_each(nearest, ["job_id"], [F.col("km"), F.col("home_id")], k, "rank")
 
 

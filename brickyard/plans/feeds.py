@@ -11,7 +11,14 @@ from brickyard.sources import boards, homes, jobs
 
 from .registry import query, table
 
-P, S = F.col("p_partkey"), F.col("p_size")
+
+def _part() -> Column:
+    return F.col("p_partkey")
+
+
+def _size() -> Column:
+    return F.col("p_size")
+
 
 
 def _s(x) -> Column:
@@ -43,9 +50,9 @@ NONE = "NULL::VARCHAR AS currency, NULL::VARCHAR AS period, NULL::DOUBLE AS sala
 CASE WHEN p_size % 3 <> 2 THEN 'EUR' END AS currency, CASE p_size % 3 WHEN 0 THEN 'year' WHEN 1 THEN 'month' END AS period, CASE WHEN p_size % 3 <> 2 THEN p_size * 100 END::DOUBLE AS salary_min, CASE WHEN p_size % 3 <> 2 THEN p_size * 200 END::DOUBLE AS salary_max, NULL::VARCHAR AS identity
 FROM part WHERE p_size % 5 <> 0 OR p_size % 2 = 0""")
 def lever_postings(spark, d):
-    pay = F.when(S % 3 != 2, _json(min=S * 100.0, max=S * 200.0, currency=F.lit("EUR"), interval=F.when(S % 3 == 0, "per-year-salary").otherwise("per-month-salary")))
-    places = F.when(S % 2 == 0, _json(allLocations=F.array(F.lit("Wien, Austria"), F.lit("Graz")), location=F.lit("x"))).otherwise(_json(allLocations=F.array().cast("array<string>"), location=F.lit("Linz")))
-    posting = _json(id=_cat("l", P), text=F.col("p_name"), hostedUrl=_cat("https://l/", P), country=F.when(S % 5 == 0, "DE").otherwise("AT"), descriptionPlain=F.lit("d"), categories=places, salaryRange=pay)
+    pay = F.when(_size() % 3 != 2, _json(min=_size() * 100.0, max=_size() * 200.0, currency=F.lit("EUR"), interval=F.when(_size() % 3 == 0, "per-year-salary").otherwise("per-month-salary")))
+    places = F.when(_size() % 2 == 0, _json(allLocations=F.array(F.lit("Wien, Austria"), F.lit("Graz")), location=F.lit("x"))).otherwise(_json(allLocations=F.array().cast("array<string>"), location=F.lit("Linz")))
+    posting = _json(id=_cat("l", _part()), text=F.col("p_name"), hostedUrl=_cat("https://l/", _part()), country=F.when(_size() % 5 == 0, "DE").otherwise("AT"), descriptionPlain=F.lit("d"), categories=places, salaryRange=pay)
     return _of(jobs.lever(table(spark, d, "part").select(F.col("p_brand").alias("company"), _payload(F.array(posting)).alias("payload"))))
 
 
@@ -55,59 +62,59 @@ CASE WHEN low >= 10000 AND p_size % 3 < 2 THEN 'EUR' END AS currency, CASE WHEN
 CASE WHEN low >= 10000 AND p_size % 3 < 2 THEN low + 5000 END::DOUBLE AS salary_max, NULL::VARCHAR AS identity FROM p WHERE p_size < 10 OR p_size % 3 < 2 OR p_size % 3 = 2""")
 def greenhouse_postings(spark, d):
     def pay(title, more):
-        return _json(min_cents=((S * 1000 + 5000 + more) * 100).cast("long"), max_cents=((S * 1000 + more) * 100).cast("long"), currency_type=F.lit("EUR"), title=title)
+        return _json(min_cents=((_size() * 1000 + 5000 + more) * 100).cast("long"), max_cents=((_size() * 1000 + more) * 100).cast("long"), currency_type=F.lit("EUR"), title=title)
 
-    pair = F.array(pay(F.when(S % 3 == 0, "Annual pay Austria").otherwise("Annual pay"), F.lit(0)), pay(F.lit("Yearly pay range"), F.when(S % 3 == 1, 0).otherwise(F.when(S < 10, -100_000).otherwise(500))))
-    posting = _json(id=P.cast("long"), title=F.col("p_name"), absolute_url=_cat("https://g/", P), content=F.lit("c"), location=_json(name=F.lit("Vienna, Austria")), pay_input_ranges=pair)
+    pair = F.array(pay(F.when(_size() % 3 == 0, "Annual pay Austria").otherwise("Annual pay"), F.lit(0)), pay(F.lit("Yearly pay range"), F.when(_size() % 3 == 1, 0).otherwise(F.when(_size() < 10, -100_000).otherwise(500))))
+    posting = _json(id=_part().cast("long"), title=F.col("p_name"), absolute_url=_cat("https://g/", _part()), content=F.lit("c"), location=_json(name=F.lit("Vienna, Austria")), pay_input_ranges=pair)
     return _of(jobs.greenhouse(table(spark, d, "part").select(F.col("p_brand").alias("company"), _payload(_json(jobs=F.array(posting))).alias("payload"))))
 
 
 @query(f"""SELECT 's' || p_partkey AS listing_key, p_name AS title, 'https://s/' || p_partkey AS url, p_brand AS company, 'Linz/4020' AS places, {NONE.replace("NULL::VARCHAR AS identity", "'smartrecruiters:k' || p_size || ':jobad:' || p_partkey AS identity")} FROM part WHERE p_size % 4 <> 0""")
 def smartrecruiters_postings(spark, d):
-    posting = _json(id=_cat("s", P), name=F.col("p_name"), ref=_cat("https://s/", P), jobAdId=_s(P), company=_json(identifier=_cat(" k", S), name=F.col("p_brand")), location=_json(country=F.when(S % 4 == 0, "de").otherwise("AT"), city=F.lit("Linz"), postalCode=F.lit("4020")))
+    posting = _json(id=_cat("s", _part()), name=F.col("p_name"), ref=_cat("https://s/", _part()), jobAdId=_s(_part()), company=_json(identifier=_cat(" k", _size()), name=F.col("p_brand")), location=_json(country=F.when(_size() % 4 == 0, "de").otherwise("AT"), city=F.lit("Linz"), postalCode=F.lit("4020")))
     return _of(jobs.smartrecruiters(table(spark, d, "part").select(_payload(_json(content=F.array(posting))).alias("payload"))))
 
 
 @query(f"""SELECT 'R-' || p_partkey AS listing_key, p_name AS title, 'https://w/job/x_R-' || p_partkey AS url, p_brand AS company, CASE WHEN p_size % 2 = 0 THEN 'Wien/;Linz/' ELSE 'Graz/;Wien/;Linz/' END AS places, {NONE.replace("NULL::VARCHAR AS identity", "'workday:t:s' || p_size || ':req:R-' || p_partkey AS identity")} FROM part""")
 def workday_postings(spark, d):
-    info = _json(title=F.col("p_name"), location=F.when(S % 2 == 0, "2 Locations").otherwise("Graz"), additionalLocations=F.array(F.lit("Wien"), F.lit("Linz"), F.lit("Wien")), jobReqId=F.when(S % 3 == 0, _cat("R-", P)).otherwise(" "), externalUrl=_cat("https://w/job/x_R-", P))
-    return _of(jobs.workday(table(spark, d, "part").select(F.col("p_brand").alias("company"), F.lit("t").alias("tenant"), _cat("s", S).alias("site"), _payload(_json(jobPostingInfo=info)).alias("payload"))))
+    info = _json(title=F.col("p_name"), location=F.when(_size() % 2 == 0, "2 Locations").otherwise("Graz"), additionalLocations=F.array(F.lit("Wien"), F.lit("Linz"), F.lit("Wien")), jobReqId=F.when(_size() % 3 == 0, _cat("R-", _part())).otherwise(" "), externalUrl=_cat("https://w/job/x_R-", _part()))
+    return _of(jobs.workday(table(spark, d, "part").select(F.col("p_brand").alias("company"), F.lit("t").alias("tenant"), _cat("s", _size()).alias("site"), _payload(_json(jobPostingInfo=info)).alias("payload"))))
 
 
 @query("""SELECT p_partkey::VARCHAR AS listing_key, p_name AS title, CASE WHEN p_size % 2 = 0 THEN p_retailprice::DECIMAL(12,2)::DOUBLE END AS salary_min, CASE WHEN p_size % 2 = 0 THEN CASE WHEN p_size % 3 = 0 THEN 'ESTIMATED' ELSE 'EXPLICIT' END END AS provenance,
 CASE WHEN p_size % 2 = 0 THEN CASE WHEN p_size % 3 = 0 THEN 0.5 ELSE 0.9 END END::DOUBLE AS confidence FROM part""")
 def adzuna_results(spark, d):
-    result = _json(id=_s(P), title=F.col("p_name"), redirect_url=_cat("https://a/", P), company=_json(display_name=F.col("p_brand")), location=_json(display_name=F.lit("Wien")), salary_min=F.when(S % 2 == 0, F.col("p_retailprice")), salary_is_predicted=F.when(S % 3 == 0, "1").otherwise("0"))
+    result = _json(id=_s(_part()), title=F.col("p_name"), redirect_url=_cat("https://a/", _part()), company=_json(display_name=F.col("p_brand")), location=_json(display_name=F.lit("Wien")), salary_min=F.when(_size() % 2 == 0, F.col("p_retailprice")), salary_is_predicted=F.when(_size() % 3 == 0, "1").otherwise("0"))
     rows = jobs.adzuna(table(spark, d, "part").select(_payload(_json(results=F.array(result))).alias("payload")))
     return rows.select("listing_key", "title", F.col("salary_min").cast("double"), "provenance", F.col("confidence").cast("double"))
 
 
 @query(f"SELECT p_partkey::VARCHAR AS listing_key, p_name AS title, 'https://j/' || p_partkey AS url, p_brand AS company, CASE WHEN p_size % 2 = 0 THEN 'Linz/4020' ELSE 'Wels/' END AS places, {NONE} FROM part")
 def jooble_results(spark, d):
-    result = _json(id=_s(P), title=F.col("p_name"), link=_cat("https://j/", P), company=F.col("p_brand"), location=F.when(S % 2 == 0, "4020 Linz").otherwise("Wels"), snippet=F.lit("s"), salary=F.lit("3.000 EUR"))
+    result = _json(id=_s(_part()), title=F.col("p_name"), link=_cat("https://j/", _part()), company=F.col("p_brand"), location=F.when(_size() % 2 == 0, "4020 Linz").otherwise("Wels"), snippet=F.lit("s"), salary=F.lit("3.000 EUR"))
     return _of(jobs.jooble(table(spark, d, "part").select(_payload(_json(jobs=F.array(result))).alias("payload"))))
 
 
 @query(f"SELECT p_partkey::VARCHAR AS listing_key, CASE WHEN p_size % 2 = 0 THEN 'de ' ELSE 'en ' END || p_partkey AS title, 'https://p/job/' || p_partkey AS url, p_brand AS company, 'Wien/;Graz/' AS places, {NONE} FROM part")
 def personio_positions(spark, d):
     def feed(language, described):
-        one = _cat("<w><position><id>", P, f"</id><name>{language} ", P, "</name><office>Wien, Graz</office><jobDescriptions>", F.when(described, "<jobDescription><value>Text</value></jobDescription>").otherwise(""), "</jobDescriptions></position></w>")
+        one = _cat("<w><position><id>", _part(), f"</id><name>{language} ", _part(), "</name><office>Wien, Graz</office><jobDescriptions>", F.when(described, "<jobDescription><value>Text</value></jobDescription>").otherwise(""), "</jobDescriptions></position></w>")
         return table(spark, d, "part").select(F.col("p_brand").alias("company"), F.lit("https://p").alias("base_url"), F.lit(language).alias("language"), one.alias("payload"))
 
-    return _of(jobs.personio(feed("de", S % 2 == 0).unionByName(feed("en", F.lit(True)))))
+    return _of(jobs.personio(feed("de", _size() % 2 == 0).unionByName(feed("en", F.lit(True)))))
 
 
 @query(f"SELECT 'e-' || p_partkey AS listing_key, p_name AS title, 'https://c/job/e-' || p_partkey || '?x' AS url, p_brand AS company, 'Linz/' AS places, {NONE} FROM part")
 def job_cards(spark, d):
-    page = _cat('<a href="/job/e-', P, '?x"><h2>', F.col("p_name"), "</h2><p>", F.col("p_brand"), "</p> <span>Linz</span></a><a href='/y'>more</a>")
+    page = _cat('<a href="/job/e-', _part(), '?x"><h2>', F.col("p_name"), "</h2><p>", F.col("p_brand"), "</p> <span>Linz</span></a><a href='/y'>more</a>")
     return _of(jobs.cards(table(spark, d, "part").select(page.alias("payload")), "https://c"))
 
 
 @query("""SELECT p_partkey, p_name AS title, p_brand AS company, 'Linz/4020' AS places, CASE WHEN p_size % 3 <> 0 THEN 'EUR' END AS currency, CASE WHEN p_size % 2 = 0 THEN 'month' END AS period, CASE WHEN p_size % 3 <> 0 THEN p_size * 100 END::DOUBLE AS salary_min,
 CASE WHEN p_size % 3 = 1 THEN p_size * 200 END::DOUBLE AS salary_max FROM part""")
 def json_ld_postings(spark, d):
-    value = F.when(S % 3 == 1, _cat('"minValue":', S * 100, ',"maxValue":"', S * 200, '"')).when(S % 3 == 2, _cat('"value":', S * 100)).otherwise('"minValue":0,"maxValue":-1')
-    unit = F.when(S % 2 == 0, ',"unitText":"MONTH"').otherwise(',"unitText":"piece"')
+    value = F.when(_size() % 3 == 1, _cat('"minValue":', _size() * 100, ',"maxValue":"', _size() * 200, '"')).when(_size() % 3 == 2, _cat('"value":', _size() * 100)).otherwise('"minValue":0,"maxValue":-1')
+    unit = F.when(_size() % 2 == 0, ',"unitText":"MONTH"').otherwise(',"unitText":"piece"')
     posting = _cat('{"@type":["JobPosting"],"title":"', F.col("p_name"), '","hiringOrganization":{"name":"', F.col("p_brand"), '"},"jobLocation":{"address":{"addressLocality":"Linz","postalCode":"4020"}},"baseSalary":{"currency":"EUR","value":{', value, unit, "}}}")
     page = _cat('<script type="application/ld+json">{broken</script><script type="application/ld+json">{"@graph":[{"@type":"WebPage"},', posting, "]}</script>")
     rows = table(spark, d, "part").select("p_partkey", jobs.json_ld_posting(page).alias("j"))
@@ -117,33 +124,33 @@ def json_ld_postings(spark, d):
 
 @query("""SELECT 'o' || p_partkey AS listing_key, CASE WHEN p_size % 2 = 0 THEN p_name ELSE 'Haus o' || p_partkey END AS title, (p_size * 10000 + 0.5)::DOUBLE AS price, p_size::DOUBLE AS living, '4020' AS postal_code, p_size % 4 <> 0 AS "full" FROM part WHERE p_size % 3 <> 0""")
 def openimmo_homes(spark, d):
-    head = _cat('<openimmo xmlns="x"><uebertragung umfang="', F.when(S % 4 == 0, "TEIL").otherwise("VOLL"), '"/><anbieter><immobilie><objektkategorie><vermarktungsart KAUF="', F.when(S % 3 == 0, "0").otherwise("true"), '"/><objektart><haus/></objektart></objektkategorie>')
-    body = _cat("<geo><plz>4020</plz><ort>Linz</ort></geo><preise><kaufpreis>", S * 10000, ",50</kaufpreis></preise><flaechen><wohnflaeche>", S, "</wohnflaeche></flaechen>", F.when(S % 2 == 0, _cat("<freitexte><objekttitel>", F.col("p_name"), "</objekttitel></freitexte>")).otherwise(""))
-    raw = _cat(head, body, "<verwaltung_techn><objektnr_extern>o", P, "</objektnr_extern></verwaltung_techn></immobilie></anbieter></openimmo>")
+    head = _cat('<openimmo xmlns="x"><uebertragung umfang="', F.when(_size() % 4 == 0, "TEIL").otherwise("VOLL"), '"/><anbieter><immobilie><objektkategorie><vermarktungsart KAUF="', F.when(_size() % 3 == 0, "0").otherwise("true"), '"/><objektart><haus/></objektart></objektkategorie>')
+    body = _cat("<geo><plz>4020</plz><ort>Linz</ort></geo><preise><kaufpreis>", _size() * 10000, ",50</kaufpreis></preise><flaechen><wohnflaeche>", _size(), "</wohnflaeche></flaechen>", F.when(_size() % 2 == 0, _cat("<freitexte><objekttitel>", F.col("p_name"), "</objekttitel></freitexte>")).otherwise(""))
+    raw = _cat(head, body, "<verwaltung_techn><objektnr_extern>o", _part(), "</objektnr_extern></verwaltung_techn></immobilie></anbieter></openimmo>")
     rows = homes.openimmo(table(spark, d, "part").select(raw.alias("payload")))
     return rows.select("listing_key", "title", F.col("price").cast("double"), F.col("living").cast("double"), "postal_code", "full")
 
 
 @query("""SELECT CASE WHEN p_size % 2 = 0 THEN 'https://h/' || p_partkey END AS url, 'Haus ' || p_partkey AS title, '4020' AS postal_code, 'Linz' AS city, p_size + 0.5 AS area, CASE WHEN p_size % 3 <> 0 THEN p_size * 1000 END::DOUBLE AS price, p_size % 2 = 0 AS identity_stable FROM part""")
 def home_cards(spark, d):
-    name = _cat("Haus ", P)
-    card = _cat("<h3>", name, "</h3><p>", F.when(S % 3 != 0, _cat("€ ", F.translate(F.format_number(S * 1000, 0), ",", "."))).otherwise("auf Anfrage"), "</p><p>4020 Linz / ", S, ',5 m²</p><a href="https://h/', P, '">', F.when(S % 2 == 0, name).otherwise("mehr"), "</a>")
-    rows = homes.search_cards(table(spark, d, "part").select(P.alias("page"), _cat("<div>", card).alias("payload")))
+    name = _cat("Haus ", _part())
+    card = _cat("<h3>", name, "</h3><p>", F.when(_size() % 3 != 0, _cat("€ ", F.translate(F.format_number(_size() * 1000, 0), ",", "."))).otherwise("auf Anfrage"), "</p><p>4020 Linz / ", _size(), ',5 m²</p><a href="https://h/', _part(), '">', F.when(_size() % 2 == 0, name).otherwise("mehr"), "</a>")
+    rows = homes.search_cards(table(spark, d, "part").select(_part().alias("page"), _cat("<div>", card).alias("payload")))
     return rows.select("url", "title", "postal_code", "city", F.col("area").cast("double"), F.col("price").cast("double"), "identity_stable")
 
 
 @query("SELECT lpad((p_partkey % 9999)::VARCHAR, 4, '0') AS postal_code, arg_max(p_name, p_partkey) AS name FROM part WHERE p_size % 4 <> 0 AND p_partkey % 9999 > 0 GROUP BY 1")
 def postal_names(spark, d):
-    entry = _json(plz=_s(P % 9999), ort=F.col("p_name"), adressierbar=F.when(S % 4 == 0, "Nein").otherwise("Ja"))
-    listed = table(spark, d, "part").filter("p_partkey % 9999 > 0").select(F.struct(P.alias("k"), entry.alias("e")).alias("x")).groupBy((F.col("x.k") % 9999).alias("code")).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["e"]).alias("e"))
+    entry = _json(plz=_s(_part() % 9999), ort=F.col("p_name"), adressierbar=F.when(_size() % 4 == 0, "Nein").otherwise("Ja"))
+    listed = table(spark, d, "part").filter("p_partkey % 9999 > 0").select(F.struct(_part().alias("k"), entry.alias("e")).alias("x")).groupBy((F.col("x.k") % 9999).alias("code")).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["e"]).alias("e"))
     return homes.postal_names(listed.select(_payload(_json(data=F.col("e"))).alias("payload")))
 
 
 @query("""SELECT p_partkey, 'preis ' || p_size || ' & mehr' AS shown, CASE p_partkey % 3 WHEN 0 THEN '4020' WHEN 1 THEN '4021' END AS code, CASE WHEN p_size % 2 = 0 THEN 'is24:x' || p_partkey END AS provider FROM part""")
 def page_texts(spark, d):
-    page = _cat("<style>p{}</style><script>var a='<b>';</script> <p>preis&nbsp;", S, "</p><!-- x -->&amp; <b>mehr</b>")
-    where = F.when(P % 3 == 0, "A-4020 Bad Ischl, 4020  Bad Ischl").when(P % 3 == 1, "In 4021 Bad Ischl").otherwise("4020 Bad Ischl 4021 Bad Ischl")
-    url = _cat(F.when(S % 2 == 0, "https://www.IS24.at/expose/X").otherwise("https://other.at/expose/X"), P, "?q=1")
+    page = _cat("<style>p{}</style><script>var a='<b>';</script> <p>preis&nbsp;", _size(), "</p><!-- x -->&amp; <b>mehr</b>")
+    where = F.when(_part() % 3 == 0, "A-4020 Bad Ischl, 4020  Bad Ischl").when(_part() % 3 == 1, "In 4021 Bad Ischl").otherwise("4020 Bad Ischl 4021 Bad Ischl")
+    url = _cat(F.when(_size() % 2 == 0, "https://www.IS24.at/expose/X").otherwise("https://other.at/expose/X"), _part(), "?q=1")
     return table(spark, d, "part").select("p_partkey", text.visible_text(page).alias("shown"), text.postal_beside(where, "bad ischl").alias("code"), text.provider_identity(url, ("www.is24.at",), r"^/expose/([a-z0-9]+)", "is24").alias("provider"))
 
 
@@ -153,33 +160,33 @@ KEYS = {"explicit": "$.id", "ad_tenant": "$.t", "ad_id": "$.ad", "req_tenant": "
 @query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'x' || p_partkey WHEN 1 THEN 'smartrecruiters:t:jobad:' || p_partkey WHEN 2 THEN 'workday:t:s:req:' || p_partkey END AS identity, p_size % 3 <> 0 AND p_size % 7 <> 0 AS stable, p_size % 5 = 0 AS is_true, p_size % 2 = 0 AS has_alias FROM part""")
 def payload_facts(spark, d):
     payload = _payload(_json(
-        id=F.when(S % 4 == 0, _cat("x", P)).when(S % 4 == 1, " "), t=F.lit("t"), ad=F.when(S % 4 == 1, _s(P)), s=F.lit("s"), r=F.when(S % 4 == 2, _s(P)), identity_stable=F.when(S % 3 == 0, False), original_url_missing=F.when(S % 7 == 0, True),
+        id=F.when(_size() % 4 == 0, _cat("x", _part())).when(_size() % 4 == 1, " "), t=F.lit("t"), ad=F.when(_size() % 4 == 1, _s(_part())), s=F.lit("s"), r=F.when(_size() % 4 == 2, _s(_part())), identity_stable=F.when(_size() % 3 == 0, False), original_url_missing=F.when(_size() % 7 == 0, True),
     ))
-    flag = F.when(S % 5 == 0, '{"f":true}').otherwise('{"f":"true"}')
-    said = F.when(S % 2 == 0, "we use c plus plus here").otherwise("we use c plusplus")
+    flag = F.when(_size() % 5 == 0, '{"f":true}').otherwise('{"f":"true"}')
+    said = F.when(_size() % 2 == 0, "we use c plus plus here").otherwise("we use c plusplus")
     return table(spark, d, "part").select("p_partkey", text.job_identity(payload, KEYS).alias("identity"), sync.stable(payload).alias("stable"), text.json_true(flag, "f").alias("is_true"), text.contains_alias(said, F.lit("c plus plus")).alias("has_alias"))
 
 
 @query("""SELECT p_partkey, p_size % 2 = 0 AND p_size % 3 <> 0 AS same, CASE WHEN p_size % 2 = 0 THEN 'Haus mit Garten in Linz ' || p_partkey ELSE 'Haus mit Garten' END AS title, replace(format('{:,}', p_size * 1000), ',', '.') || ' €' AS price, 'strasse ' || p_size AS folded FROM part""")
 def detail_facts(spark, d):
-    detail = F.when(S % 2 == 0, _cat("Haus mit Garten in Linz ", P)).otherwise("Wohnung")
-    same = facts.facts_match(F.lit("1"), F.lit("1"), F.lit("4020"), F.when(S % 3 == 0, "4021"), detail, F.lit("Haus mit Garten"))
-    return table(spark, d, "part").select("p_partkey", same.alias("same"), facts.safer_title(F.lit("Haus mit Garten"), detail).alias("title"), text.eur_label(S * 1000).alias("price"), text.folded_title(_cat(" Straße  ", S)).alias("folded"))
+    detail = F.when(_size() % 2 == 0, _cat("Haus mit Garten in Linz ", _part())).otherwise("Wohnung")
+    same = facts.facts_match(F.lit("1"), F.lit("1"), F.lit("4020"), F.when(_size() % 3 == 0, "4021"), detail, F.lit("Haus mit Garten"))
+    return table(spark, d, "part").select("p_partkey", same.alias("same"), facts.safer_title(F.lit("Haus mit Garten"), detail).alias("title"), text.eur_label(_size() * 1000).alias("price"), text.folded_title(_cat(" Straße  ", _size())).alias("folded"))
 
 
 @query("""SELECT p_partkey, p_size || ',5' AS living, CASE WHEN p_size % 2 = 0 THEN '1.' || lpad(p_size::VARCHAR, 3, '0') END AS plot, CASE WHEN p_size % 3 = 0 THEN '{"__typename": "A", "n": ' || p_size || '}' END AS found FROM part""")
 def page_areas(spark, d):
-    said = _cat("Wohnfläche: ", S, ",5 m² ", F.when(S % 2 == 0, _cat("1.", F.lpad(_s(S), 3, "0"), " m² Grundstück")).otherwise("77 m² Garten"))
+    said = _cat("Wohnfläche: ", _size(), ",5 m² ", F.when(_size() % 2 == 0, _cat("1.", F.lpad(_s(_size()), 3, "0"), " m² Grundstück")).otherwise("77 m² Garten"))
     areas = facts.label_values(said, {"living": "Wohnfläche", "plot": "Grundstück"})
-    source = _cat('x "k": {"__typename": "B", "n": {"a": "}"}}, "k": {"__typename": "', F.when(S % 3 == 0, "A").otherwise("C"), '", "n": ', S, "}")
+    source = _cat('x "k": {"__typename": "B", "n": {"a": "}"}}, "k": {"__typename": "', F.when(_size() % 3 == 0, "A").otherwise("C"), '", "n": ', _size(), "}")
     return table(spark, d, "part").select("p_partkey", *(v.alias(k) for k, v in areas.items()), facts.typed_object(source, F.lit("k"), F.lit("A")).alias("found"))
 
 
 @query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 2000 WHEN 1 THEN 3000 END::DOUBLE AS minimum, CASE WHEN p_size % 3 = 0 THEN 4000 END::DOUBLE AS maximum, CASE WHEN p_size % 3 = 0 THEN 'EUR' END AS currency FROM part""")
 def salary_enriched(spark, d):
     # A stored minimum of 3,000 contradicts the text, so that row stays as it is; where there is no salary in the text there is nothing to add.
-    said = salary.salary_of(F.when(S % 3 < 2, "Monatsgehalt von 2.000 EUR bis 4.000 EUR").otherwise("Gehalt nach Vereinbarung"))
-    rows = table(spark, d, "part").select("p_partkey", F.when(S % 3 == 1, 3000).cast("decimal(12,2)").alias("old"), said.alias("s"))
+    said = salary.salary_of(F.when(_size() % 3 < 2, "Monatsgehalt von 2.000 EUR bis 4.000 EUR").otherwise("Gehalt nach Vereinbarung"))
+    rows = table(spark, d, "part").select("p_partkey", F.when(_size() % 3 == 1, 3000).cast("decimal(12,2)").alias("old"), said.alias("s"))
     none = F.lit(None)
     new = salary.enriched({"minimum": F.col("old"), "maximum": none.cast("decimal(12,2)"), "currency": none.cast("string")}, {"minimum": F.col("s.minimum"), "maximum": F.col("s.maximum"), "currency": F.col("s.currency")})
     return rows.select("p_partkey", new["minimum"].cast("double").alias("minimum"), new["maximum"].cast("double").alias("maximum"), new["currency"].alias("currency"))
@@ -202,18 +209,18 @@ LONG = "lange Beschreibung einer Stelle mit vielen Aufgaben und noch mehr Wörte
 
 @query(f"""SELECT p_partkey, 'Job ' || p_name AS title, p_brand AS company, CASE p_size % 4 WHEN 0 THEN 'Linz' WHEN 1 THEN 'Wels' WHEN 2 THEN NULL END AS city, '{LONG} ' || p_partkey AS description FROM part WHERE p_size % 4 <> 3""")
 def stepstone_cards(spark, d):
-    place = F.when(S % 4 == 0, "Linz, Oberösterreich").when(S % 4 == 1, "Oberösterreich, Wels").when(S % 4 == 2, "Österreich").otherwise("München, Deutschland")
+    place = F.when(_size() % 4 == 0, "Linz, Oberösterreich").when(_size() % 4 == 1, "Oberösterreich, Wels").when(_size() % 4 == 2, "Österreich").otherwise("München, Deutschland")
     age = "vor 3 Tagen " + "erschienen auf dieser Seite und noch immer zu haben für alle Bewerber"
-    page = _cat('<article id="1"><a href="/s/', P, '"><h2>Job ', F.col("p_name"), "</h2></a><span>", F.col("p_brand"), "</span><span>", place, f"</span><p>{age}</p><p>{LONG} ", P, "</p></article>")
+    page = _cat('<article id="1"><a href="/s/', _part(), '"><h2>Job ', F.col("p_name"), "</h2></a><span>", F.col("p_brand"), "</span><span>", place, f"</span><p>{age}</p><p>{LONG} ", _part(), "</p></article>")
     rows = boards.stepstone(table(spark, d, "part").select(_cat("<div>", page).alias("payload")))
     return rows.select(F.regexp_extract("href", r"(\d+)$", 1).cast("long").alias("p_partkey"), "title", "company", "city", "description")
 
 
 @query(f"""SELECT p_partkey, p_brand AS company, CASE WHEN p_size % 2 = 0 THEN '4020' END AS postal_code, 'Linz' AS city, '{LONG * 2} ' || p_partkey AS description FROM part""")
 def willhaben_cards(spark, d):
-    name = F.when(S % 3 == 0, _cat(F.col("p_brand"), " Jobs")).otherwise(F.col("p_brand"))
-    meta = F.when(S % 2 == 0, "12.03.2024, Vollzeit, 4020 Linz, Urfahr").otherwise("1.3.2024, Teilzeit, Linz")
-    page = _cat('<article><a href="/w/', P, '">', F.col("p_name"), "</a><i>Merken</i><b>", name, "</b><p>", meta, f"</p><p>{LONG * 2} ", P, f"</p><p>{LONG * 2}</p></article>")
+    name = F.when(_size() % 3 == 0, _cat(F.col("p_brand"), " Jobs")).otherwise(F.col("p_brand"))
+    meta = F.when(_size() % 2 == 0, "12.03.2024, Vollzeit, 4020 Linz, Urfahr").otherwise("1.3.2024, Teilzeit, Linz")
+    page = _cat('<article><a href="/w/', _part(), '">', F.col("p_name"), "</a><i>Merken</i><b>", name, "</b><p>", meta, f"</p><p>{LONG * 2} ", _part(), f"</p><p>{LONG * 2}</p></article>")
     rows = boards.willhaben(table(spark, d, "part").select(page.alias("payload")))
     return rows.select(F.regexp_extract("href", r"(\d+)$", 1).cast("long").alias("p_partkey"), "company", "postal_code", "city", "description")
 
@@ -221,18 +228,18 @@ def willhaben_cards(spark, d):
 @query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'req:R' || p_partkey WHEN p_size % 3 = 0 THEN 'posting:' || p_partkey END AS identity, CASE WHEN p_size % 5 = 0 THEN 'Linz;Wels' ELSE 'Graz' END AS cities, 'Wir suchen' || chr(10) || p_name AS description,
 CASE WHEN p_size % 2 <> 0 AND p_size % 3 <> 0 THEN 'no_id' END AS error FROM part""")
 def successfactors_pages(spark, d):
-    place = F.when(S % 5 == 0, "Linz, AT; München, DE; Wels, Austria; Linz, AT").otherwise("Graz, Österreich")
-    page = _cat("<h1>x</h1><p>Arbeitsort: ", place, "</p><p>Beschreibung:</p><p>Wir suchen</p><p>", F.col("p_name"), "</p>", F.when(S % 2 == 0, _cat("<b>Stellenanforderungs-ID:</b><i>R", P, "</i>")).otherwise("<b>Similar Jobs</b>"))
-    rows = boards.successfactors(table(spark, d, "part").select(_cat("https://sf/job/", F.when(S % 3 == 0, _s(P)).otherwise(_cat("p", P)), "#", P).alias("url"), page.alias("payload")))
+    place = F.when(_size() % 5 == 0, "Linz, AT; München, DE; Wels, Austria; Linz, AT").otherwise("Graz, Österreich")
+    page = _cat("<h1>x</h1><p>Arbeitsort: ", place, "</p><p>Beschreibung:</p><p>Wir suchen</p><p>", F.col("p_name"), "</p>", F.when(_size() % 2 == 0, _cat("<b>Stellenanforderungs-ID:</b><i>R", _part(), "</i>")).otherwise("<b>Similar Jobs</b>"))
+    rows = boards.successfactors(table(spark, d, "part").select(_cat("https://sf/job/", F.when(_size() % 3 == 0, _s(_part())).otherwise(_cat("p", _part())), "#", _part()).alias("url"), page.alias("payload")))
     return rows.select(F.regexp_extract("url", r"#(\d+)$", 1).cast("long").alias("p_partkey"), "identity", F.array_join("cities", ";").alias("cities"), "description", "error")
 
 
 @query("""SELECT 'direct:a:' || p_partkey AS identity, 'Marchtrenk' AS city, p_name AS description, CASE WHEN p_size % 2 = 0 THEN 'Gehalt ab 3.000 Euro' END AS pay_text FROM part WHERE p_size % 3 <> 0
 UNION ALL SELECT 'direct:b:' || p_partkey, CASE WHEN p_size % 3 <> 0 THEN 'Elsbethen/Glasenbach' END, CASE WHEN p_size % 5 <> 0 THEN p_name END, NULL FROM part""")
 def company_site_jobs(spark, d):
-    first = _cat("<h1>Join Team Possible!</h1><h2>Title</h2><p>", F.when(S % 3 == 0, "Worldwide").otherwise("Marchtrenk, Austria"), "</p><h3>Your tasks:</h3><p>", F.col("p_name"), "</p><h3>Offer</h3>", F.when(S % 2 == 0, "<b>Gehalt</b><i>ab 3.000</i><i>Euro</i>").otherwise("<b>gratis Obst</b>"))
-    second = _cat(F.when(S % 5 == 0, "").otherwise(_cat("<h3>Your tasks:</h3><p>", F.col("p_name"), "</p>")), "<h3>Offer</h3>", F.when(S % 3 == 0, "").otherwise("<p>Moosstraße 1, 5061 Elsbethen/Glasenbach</p><p>AT</p>"), "<p>footer</p>")
-    pages = lambda x: table(spark, d, "part").select(_s(P).alias("job_id"), x.alias("payload"))
+    first = _cat("<h1>Join Team Possible!</h1><h2>Title</h2><p>", F.when(_size() % 3 == 0, "Worldwide").otherwise("Marchtrenk, Austria"), "</p><h3>Your tasks:</h3><p>", F.col("p_name"), "</p><h3>Offer</h3>", F.when(_size() % 2 == 0, "<b>Gehalt</b><i>ab 3.000</i><i>Euro</i>").otherwise("<b>gratis Obst</b>"))
+    second = _cat(F.when(_size() % 5 == 0, "").otherwise(_cat("<h3>Your tasks:</h3><p>", F.col("p_name"), "</p>")), "<h3>Offer</h3>", F.when(_size() % 3 == 0, "").otherwise("<p>Moosstraße 1, 5061 Elsbethen/Glasenbach</p><p>AT</p>"), "<p>footer</p>")
+    pages = lambda x: table(spark, d, "part").select(_s(_part()).alias("job_id"), x.alias("payload"))
     labels = {"starts": ("your tasks:",), "stops": ("offer",)}
     both = boards.company_pages(pages(first), site="a", title="join team possible", **labels).unionByName(boards.company_pages(pages(second), site="b", **labels))
     return both.select("identity", "city", "description", "pay_text")
@@ -245,8 +252,8 @@ def broker_cards(spark, d):
 
 
 def _cards(spark, d) -> DataFrame:
-    facts = F.when(S % 3 == 0, "Haus ohne Angaben").otherwise(_cat("Haus ", P, " mit Garten – 4020 Linz ", S, ",5 m² ", F.when(S % 3 == 1, "Wohnfläche").otherwise("Grundfläche"), " € ", F.translate(F.format_number(S * 1000, 0), ",", ".")))
-    link = lambda x: _cat('<a class="c" href="/haus/id-', P, '">', x, "</a>")
+    facts = F.when(_size() % 3 == 0, "Haus ohne Angaben").otherwise(_cat("Haus ", _part(), " mit Garten – 4020 Linz ", _size(), ",5 m² ", F.when(_size() % 3 == 1, "Wohnfläche").otherwise("Grundfläche"), " € ", F.translate(F.format_number(_size() * 1000, 0), ",", ".")))
+    link = lambda x: _cat('<a class="c" href="/haus/id-', _part(), '">', x, "</a>")
     return boards.broker_cards(table(spark, d, "part").select(_cat(link(F.lit("<img> mehr")), link(facts), '<a href="/kontakt">Kontakt</a>').alias("payload")), r"(?is)/haus/id-(\d+)")
 
 
@@ -257,7 +264,7 @@ def broker_scan(spark, d):
 
 @query("""SELECT p_partkey AS listing_id, CASE WHEN p_size % 2 = 0 THEN 99 WHEN p_size % 3 = 1 THEN p_size + 0.5 END::DOUBLE AS living, CASE WHEN p_size % 4 = 1 THEN 'other_id' END AS error FROM part""")
 def broker_details(spark, d):
-    details = table(spark, d, "part").select(_s(P).alias("listing_id"), F.when(S % 4 == 1, "0").otherwise(_s(P)).alias("shown_id"), F.when((S % 2 == 0) | (S % 4 == 1), 99).cast("decimal(14,2)").alias("living"))
+    details = table(spark, d, "part").select(_s(_part()).alias("listing_id"), F.when(_size() % 4 == 1, "0").otherwise(_s(_part())).alias("shown_id"), F.when((_size() % 2 == 0) | (_size() % 4 == 1), 99).cast("decimal(14,2)").alias("living"))
     rows = boards.with_details(_cards(spark, d), details, ("living",))
     return rows.select(F.col("listing_id").cast("long"), F.col("living").cast("double"), "error")
 
@@ -265,15 +272,15 @@ def broker_details(spark, d):
 @query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'i' || p_partkey END AS image FROM part")
 def card_images(spark, d):
     part = table(spark, d, "part")
-    cards = part.select("p_partkey", _cat("https://H.at/x/", P, "/#top").alias("url"))
-    shots = lambda page, of: part.filter(S % 2 == 0).select(F.lit(page).alias("page"), _cat("HTTPS://h.at/x/", P).alias("url"), of.alias("image"))
-    return boards.with_images(cards, shots(1, _cat("i", P)).unionByName(shots(2, F.lit("later")))).select("p_partkey", "image")
+    cards = part.select("p_partkey", _cat("https://H.at/x/", _part(), "/#top").alias("url"))
+    shots = lambda page, of: part.filter(_size() % 2 == 0).select(F.lit(page).alias("page"), _cat("HTTPS://h.at/x/", _part()).alias("url"), of.alias("image"))
+    return boards.with_images(cards, shots(1, _cat("i", _part())).unionByName(shots(2, F.lit("later")))).select("p_partkey", "image")
 
 
 @query("""SELECT 't' || p_partkey AS tenant_key, p_size % 2 = 0 AS known, CASE WHEN p_size % 2 = 0 THEN 'mine' ELSE p_brand END AS company, CASE WHEN p_size % 2 = 0 THEN 'own' ELSE 'seed' END AS a, CASE WHEN p_size % 3 <> 0 THEN 'seed' END AS b FROM part WHERE p_size % 2 = 0 OR p_size % 3 <> 0""")
 def seeded_tenants(spark, d):
-    part, key = table(spark, d, "part"), _cat("t", P)
-    stored = part.filter(S % 2 == 0).select(F.lit("n").alias("namespace"), key.alias("tenant_key"), F.lit("mine").alias("company"), F.lit(False).alias("enabled"), F.create_map(F.lit("a"), F.lit("own")).alias("config"))
-    seeds = part.filter(S % 3 != 0).select(F.lit("n").alias("namespace"), key.alias("tenant_key"), F.col("p_brand").alias("company"), F.lit(True).alias("enabled"), F.create_map(F.lit("a"), F.lit("seed"), F.lit("b"), F.lit("seed")).alias("config"))
+    part, key = table(spark, d, "part"), _cat("t", _part())
+    stored = part.filter(_size() % 2 == 0).select(F.lit("n").alias("namespace"), key.alias("tenant_key"), F.lit("mine").alias("company"), F.lit(False).alias("enabled"), F.create_map(F.lit("a"), F.lit("own")).alias("config"))
+    seeds = part.filter(_size() % 3 != 0).select(F.lit("n").alias("namespace"), key.alias("tenant_key"), F.col("p_brand").alias("company"), F.lit(True).alias("enabled"), F.create_map(F.lit("a"), F.lit("seed"), F.lit("b"), F.lit("seed")).alias("config"))
     rows = boards.seeded_tenants(stored, seeds)
     return rows.select("tenant_key", (~F.col("created")).alias("known"), "company", F.element_at("config", "a").alias("a"), F.element_at("config", "b").alias("b"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brickyard.operators import catalog, dedupe, identity, lifecycle, observations, queues, rollups, sync
 
 from .registry import query, table
 
-K = F.col("o_orderkey")
+
+def _key() -> Column:
+    return F.col("o_orderkey")
+
 
 STORED = "st AS (SELECT o_orderkey AS listing_id, o_custkey % 5 AS source_id, o_orderkey AS listing_key, CASE WHEN o_orderkey % 3 = 0 THEN 'p' || (o_custkey % 500) END AS identity, CASE WHEN o_orderkey % 8 < 4 THEN o_orderkey // 2 ELSE o_orderkey + 10000000 END AS entity_id FROM orders)"
 SEEN = "seen AS (SELECT o_custkey % 5 AS source_id, o_orderkey AS listing_key, CASE WHEN o_orderkey % 4 <> 0 THEN 'p' || (o_custkey % 500) END AS identity FROM orders WHERE o_orderkey % 2 = 0)"
@@ -19,12 +22,12 @@ mv AS (SELECT listing_id, entity_id, coalesce(owner, entity_id) AS target FROM s
 
 def _stored(spark, d) -> DataFrame:
     person = F.concat(F.lit("p"), (F.col("o_custkey") % 500).cast("string"))
-    return table(spark, d, "orders").select(K.alias("listing_id"), (F.col("o_custkey") % 5).alias("source_id"), K.alias("listing_key"), F.when(K % 3 == 0, person).alias("identity"), F.when(K % 8 < 4, F.expr("o_orderkey div 2")).otherwise(K + 10_000_000).alias("entity_id"))
+    return table(spark, d, "orders").select(_key().alias("listing_id"), (F.col("o_custkey") % 5).alias("source_id"), _key().alias("listing_key"), F.when(_key() % 3 == 0, person).alias("identity"), F.when(_key() % 8 < 4, F.expr("o_orderkey div 2")).otherwise(_key() + 10_000_000).alias("entity_id"))
 
 
 def _moves(spark, d) -> DataFrame:
     person = F.concat(F.lit("p"), (F.col("o_custkey") % 500).cast("string"))
-    seen = table(spark, d, "orders").filter("o_orderkey % 2 = 0").select((F.col("o_custkey") % 5).alias("source_id"), K.alias("listing_key"), F.when(K % 4 != 0, person).alias("identity"))
+    seen = table(spark, d, "orders").filter("o_orderkey % 2 = 0").select((F.col("o_custkey") % 5).alias("source_id"), _key().alias("listing_key"), F.when(_key() % 4 != 0, person).alias("identity"))
     return observations.repointed(seen, _stored(spark, d))
 
 
@@ -47,7 +50,7 @@ SELECT listing_id, CASE WHEN first_seen_at > TIMESTAMP '{CUTOFF}' THEN 'current'
 WHERE first_seen_at > TIMESTAMP '{CUTOFF}' AND seen_run_id = 1 OR first_seen_at <= TIMESTAMP '{CUTOFF}' AND seen_run_id <> 1 AND last_seen_at < TIMESTAMP '{STARTED}'""")
 def continuity_sides(spark, d):
     at = F.col("o_orderdate").cast("timestamp_ntz")
-    rows = table(spark, d, "orders").select(K.alias("listing_id"), at.alias("first_seen_at"), (at + F.make_dt_interval((K % 400).cast("int"))).alias("last_seen_at"), (K % 3).cast("int").alias("seen_run_id"))
+    rows = table(spark, d, "orders").select(_key().alias("listing_id"), at.alias("first_seen_at"), (at + F.make_dt_interval((_key() % 400).cast("int"))).alias("last_seen_at"), (_key() % 3).cast("int").alias("seen_run_id"))
     moment = lambda x: F.expr(f"timestamp_ntz '{x}'")
     return observations.continuity_sides(rows, run_id=1, run_started=moment(STARTED), cutoff=moment(CUTOFF)).select("listing_id", "side")
 
@@ -82,7 +85,7 @@ REJECTED = "r AS (SELECT l_suppkey % 5 AS source_id, l_orderkey AS listing_key,
 
 
 def _rejected(spark, d) -> DataFrame:
-    stored = table(spark, d, "orders").select(K.alias("listing_id"), F.col("o_custkey").alias("job_id"), (F.col("o_custkey") % 5).alias("source_id"), K.alias("listing_key"), F.when(F.col("o_orderstatus") == "O", "ACTIVE").otherwise("INACTIVE").alias("status"), F.lit('{"detail_enriched":true,"gate_accepted":true}').alias("payload"))
+    stored = table(spark, d, "orders").select(_key().alias("listing_id"), F.col("o_custkey").alias("job_id"), (F.col("o_custkey") % 5).alias("source_id"), _key().alias("listing_key"), F.when(F.col("o_orderstatus") == "O", "ACTIVE").otherwise("INACTIVE").alias("status"), F.lit('{"detail_enriched":true,"gate_accepted":true}').alias("payload"))
     rows = table(spark, d, "lineitem").filter("l_linenumber > 3").select((F.col("l_suppkey") % 5).alias("source_id"), F.col("l_orderkey").alias("listing_key"), F.concat(F.lit("https://j/"), F.col("l_partkey").cast("string")).alias("url"), F.lit('{"detail_enrichment_error":"timeout"}').alias("payload"))
     return observations.rejected_sightings(stored, rows, F.expr("timestamp_ntz '2024-01-01'"))
 
@@ -108,8 +111,8 @@ WHERE NOT cur OR state IN ('failed', 'missing') AND (checked_at IS NULL OR check
 def detail_queue(spark, d):
     at = F.col("o_orderdate").cast("timestamp_ntz")
     rows = table(spark, d, "orders").select(
-        K.alias("listing_id"), F.when(F.col("o_orderstatus") != "F", "ACTIVE").otherwise("INACTIVE").alias("status"), (K % 11 == 0).alias("url_missing"), F.when(K % 3 != 0, F.concat(F.lit("v"), (K % 2).cast("string"))).alias("policy"),
-        F.when(K % 4 == 0, "failed").when(K % 4 == 1, "ok").when(K % 4 == 2, "missing").alias("state"), F.when(K % 5 != 0, at).alias("checked_at"), at.alias("first_seen_at"),
+        _key().alias("listing_id"), F.when(F.col("o_orderstatus") != "F", "ACTIVE").otherwise("INACTIVE").alias("status"), (_key() % 11 == 0).alias("url_missing"), F.when(_key() % 3 != 0, F.concat(F.lit("v"), (_key() % 2).cast("string"))).alias("policy"),
+        F.when(_key() % 4 == 0, "failed").when(_key() % 4 == 1, "ok").when(_key() % 4 == 2, "missing").alias("state"), F.when(_key() % 5 != 0, at).alias("checked_at"), at.alias("first_seen_at"),
     )
     due = queues.detail_queue(rows, policy="v1", now=F.expr("timestamp_ntz '1996-01-01'"), recheck_hours=48)
     return catalog.positions(due, queues.detail_order()).select("listing_id", "position")
@@ -118,7 +121,7 @@ def detail_queue(spark, d):
 @query("""SELECT o_orderkey AS listing_id FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey % 11 <> 0 AND o_orderkey % 2 = 0 AND (o_orderkey % 5 = 0 OR o_orderdate::TIMESTAMP <= TIMESTAMP '1996-01-01' - INTERVAL 30 MINUTE) ORDER BY 1 LIMIT 24""")
 def stale_shown_pages(spark, d):
     at = F.col("o_orderdate").cast("timestamp_ntz")
-    rows = table(spark, d, "orders").select(K.alias("listing_id"), F.when(F.col("o_orderstatus") != "F", "ACTIVE").alias("status"), (K % 11 == 0).alias("url_missing"), (K % 2 == 0).alias("visible"), F.when(K % 5 != 0, at).alias("checked_at"))
+    rows = table(spark, d, "orders").select(_key().alias("listing_id"), F.when(F.col("o_orderstatus") != "F", "ACTIVE").alias("status"), (_key() % 11 == 0).alias("url_missing"), (_key() % 2 == 0).alias("visible"), F.when(_key() % 5 != 0, at).alias("checked_at"))
     return queues.stale_pages(rows, now=F.expr("timestamp_ntz '1996-01-01'"), stale_minutes=30, limit=24).select("listing_id")
 
 
@@ -169,7 +172,7 @@ SELECT source_id, count(*) AS listings, count(*) FILTER (active) AS active, coun
 count(*) FILTER (now AND ok) AS seen_relevant, count(DISTINCT job_id) FILTER (active AND ok AND sp) AS structured_pay, count(DISTINCT job_id) FILTER (active AND ok AND ap) AS annual_pay, count(DISTINCT job_id) FILTER (active AND ok AND tx) AS pay_text FROM l GROUP BY 1""")
 def source_stats(spark, d):
     c = F.col("o_custkey")
-    return rollups.source_stats(table(spark, d, "orders").select((c % 20).alias("source_id"), F.expr("o_orderkey div 3").alias("job_id"), F.when(F.col("o_orderstatus") == "O", "ACTIVE").otherwise("INACTIVE").alias("status"), (K % 3 != 0).alias("accepted"), (K % 8).alias("seen_run_id"), F.lit(1).alias("latest_run_id"), (c % 2 == 0).alias("structured_pay"), (c % 3 == 0).alias("annual_pay"), (c % 5 == 0).alias("pay_text")))
+    return rollups.source_stats(table(spark, d, "orders").select((c % 20).alias("source_id"), F.expr("o_orderkey div 3").alias("job_id"), F.when(F.col("o_orderstatus") == "O", "ACTIVE").otherwise("INACTIVE").alias("status"), (_key() % 3 != 0).alias("accepted"), (_key() % 8).alias("seen_run_id"), F.lit(1).alias("latest_run_id"), (c % 2 == 0).alias("structured_pay"), (c % 3 == 0).alias("annual_pay"), (c % 5 == 0).alias("pay_text")))
 
 
 EVIDENCE = "e AS (SELECT l_orderkey AS job_id, l_returnflag || l_linestatus AS kind, 'c' || (l_partkey % 40) AS slug, CASE l_returnflag WHEN 'N' THEN 'primary' WHEN 'A' THEN 'context' ELSE 'other' END AS scope, CASE WHEN l_suppkey % 4 = 0 THEN 'manual-1' ELSE 'seed-' || (l_suppkey % 3) END AS version FROM lineitem)"
@@ -195,14 +198,14 @@ def evidence_audit(spark, d):
 
 @query(f"WITH {EVIDENCE} SELECT job_id, kind, slug, version FROM e WHERE version NOT LIKE 'seed-%' UNION ALL SELECT o_orderkey, 'role', o_orderpriority, 'seed-9' FROM orders")
 def replaced_evidence(spark, d):
-    fresh = table(spark, d, "orders").select(K.alias("job_id"), F.lit("role").alias("kind"), F.col("o_orderpriority").alias("slug"), F.lit("seed-9").alias("version"))
+    fresh = table(spark, d, "orders").select(_key().alias("job_id"), F.lit("role").alias("kind"), F.col("o_orderpriority").alias("slug"), F.lit("seed-9").alias("version"))
     return sync.replaced_evidence(_evidence(spark, d).drop("scope"), fresh, "seed-")
 
 
 @query("""WITH o AS (SELECT l_orderkey AS home_id, l_returnflag AS kind, max(l_quantity) AS stated, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1, 2), r AS (SELECT kind, n, abs(o_orderkey % 50 - stated) > 0.5 AS d FROM o JOIN orders ON o_orderkey = home_id)
 SELECT kind, count(*) AS homes, count(*) FILTER (d) AS mismatched, count(*) FILTER (d AND n = 1) AS suspicious, count(*) FILTER (n > 1) AS shared FROM r GROUP BY 1""")
 def area_audit(spark, d):
-    homes = table(spark, d, "orders").select(K.alias("home_id"), (K % 50).cast("double").alias("living"))
+    homes = table(spark, d, "orders").select(_key().alias("home_id"), (_key() % 50).cast("double").alias("living"))
     return rollups.area_audit(homes, table(spark, d, "lineitem").select(F.col("l_orderkey").alias("home_id"), F.col("l_suppkey").alias("source_id"), F.col("l_returnflag").alias("kind"), F.col("l_quantity").cast("double").alias("area")))
 
 
@@ -225,18 +228,18 @@ def disconnected_groups(spark, d):
 k AS (SELECT *, CASE WHEN city IS NOT NULL THEN 'c' || city ELSE 't' || txt END AS key FROM l), c AS (SELECT *, coalesce(code, min(code) OVER (PARTITION BY group_id, remote, key)) AS full_code FROM k)
 SELECT group_id, remote, min(location_id) AS location_id, min(full_code) AS postal_code, arg_min(city, location_id) FILTER (city IS NOT NULL) AS city, arg_min(txt, location_id) AS location_text, count(*) AS n_merged FROM c GROUP BY group_id, remote, coalesce(full_code, key)""")
 def merged_locations(spark, d):
-    code = F.when(K % 2 == 0, F.lpad((F.expr("o_orderkey div 2") % 3).cast("string"), 4, "1"))
-    return dedupe.merged_locations(table(spark, d, "orders").select(F.col("o_custkey").alias("group_id"), K.alias("location_id"), code.alias("postal_code"), F.when(K % 5 != 0, F.col("o_orderpriority")).alias("city"), F.concat(F.lit("t"), (K % 4).cast("string")).alias("location_text"), (F.col("o_orderstatus") == "F").alias("remote")))
+    code = F.when(_key() % 2 == 0, F.lpad((F.expr("o_orderkey div 2") % 3).cast("string"), 4, "1"))
+    return dedupe.merged_locations(table(spark, d, "orders").select(F.col("o_custkey").alias("group_id"), _key().alias("location_id"), code.alias("postal_code"), F.when(_key() % 5 != 0, F.col("o_orderpriority")).alias("city"), F.concat(F.lit("t"), (_key() % 4).cast("string")).alias("location_text"), (F.col("o_orderstatus") == "F").alias("remote")))
 
 
 @query("""SELECT o_orderkey, o_orderstatus IN ('O', 'P') AND (o_orderstatus = 'O' OR o_orderkey % 2 = 0 AND o_custkey % 3 <> 0) AS shown, o_orderkey % 5 <> 0 AND o_custkey % 40 <= greatest(3, ceil(o_custkey % 1000 * 0.01)) AS whole,
 abs(o_custkey - o_orderkey % 1500) <= greatest(40, ceil((o_orderkey % 1500) * 0.01)) AS plausible, o_orderkey % 5 <> 0 AND o_custkey % 40 <= greatest(3, ceil(o_custkey % 1000 * 0.05)) AS few_made_up FROM orders""")
 def scan_verdicts(spark, d):
     c, state = F.col("o_custkey"), F.when(F.col("o_orderstatus") == "O", "live").when(F.col("o_orderstatus") == "P", "unknown").otherwise("dead")
-    shown = lifecycle.after_probe(state, K % 2 == 0, F.when(c % 3 != 0, 1))
+    shown = lifecycle.after_probe(state, _key() % 2 == 0, F.when(c % 3 != 0, 1))
     return table(spark, d, "orders").select(
-        "o_orderkey", shown.alias("shown"), lifecycle.churn_coverage(K % 5 != 0, c % 40, c % 1000).alias("whole"), lifecycle.plausible_count(c, K % 1500, F.lit(20)).alias("plausible"),
-        lifecycle.synthetic_coverage(K % 5 != 0, c % 40, c % 1000, 0.05).alias("few_made_up"),
+        "o_orderkey", shown.alias("shown"), lifecycle.churn_coverage(_key() % 5 != 0, c % 40, c % 1000).alias("whole"), lifecycle.plausible_count(c, _key() % 1500, F.lit(20)).alias("plausible"),
+        lifecycle.synthetic_coverage(_key() % 5 != 0, c % 40, c % 1000, 0.05).alias("few_made_up"),
     )
 
 

@@ -41,6 +41,7 @@ def test_longest_alias_wins_in_a_field(spark):
     rows = spark.createDataFrame([(1, "cad engineer", "cads"), (2, None, "cad")], "job_id int, title string, description string")
     words = spark.createDataFrame([("tool", "cad", "cad"), ("tool", "cad", "cad engineer")], "kind string, slug string, alias string")
     got = {(r.job_id, r.field, r.alias) for r in fit.extract(rows, words).collect()}
+    assert got == {(r.job_id, r.field, r.alias) for r in fit.extract(rows, words, few=0).collect()}
     assert got == {(1, "title", "cad engineer"), (2, "description", "cad")}
 
 
@@ -317,3 +318,34 @@ def test_components(spark, few):
     got = {r.v: r.root for r in components(edges, few).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
     assert components(edges.filter("false"), few).count() == 0
+
+
+def test_salaries_in_sentences():
+    told = lambda t: (lambda r: r and (float(r[0]), r[1] and float(r[1]), r[3], r[4], r[5]))(salary.parse(t))
+    assert told("Gehalt 2.500 Euro, dazu ein Monatsticket.") is None
+    assert told("Bezahlung 45.000 EUR. 25 Tage Jahresurlaub.") is None
+    assert told("Monatsgehalt von 2.500 EUR bis 3.500 EUR, 14 Gehälter") == (2500, 3500, "month", 14, False)
+    assert told("Entgelt: € 60.000 bis € 50.000 pro Jahr") == (50000, 60000, "year", None, False)
+    assert told("Entgelt: EUR 2.000 bis EUR 900.000 monatlich, mindestens") == (2000, None, "month", None, True)
+    assert told("brutto 40 Std./Woche 2.000 EUR") is None
+    assert told("annual salary from EUR 55,000.00") == (55000, None, "year", None, True)
+
+
+def test_salary_texts_without_an_amount_stay_in_the_jvm(spark):
+    rows = spark.createDataFrame([("Gehalt 2.500 € monatlich",), ("€3.000 pro Monat Lohn",), ("Gehalt nach Vereinbarung",), (None,), ("Europa 2030",)], "t string")
+    got = [r.m and float(r.m) for r in rows.select(salary.salary_of(F.col("t"))["minimum"].alias("m")).collect()]
+    assert got == [2500, 3000, None, None, None]
+
+
+def test_grid_points(spark):
+    # St. Stephen's cathedral in Vienna: 16.3731 E, 48.2085 N is about 2,960 m east and 341,000 m north of the zone's origin (EPSG 31256).
+    lon, lat = geo.grid_to_wgs84(F.lit(2956.0), F.lit(340_870.0), F.lit(31256))
+    row = spark.range(1).select(lon.alias("x"), lat.alias("y")).first()
+    assert abs(row.x - 16.3731) < 0.01 and abs(row.y - 48.2085) < 0.01
+
+
+def test_labels_that_are_no_point(spark):
+    labels = ["Kaernten", "Südösterreich", "austria wide", "Großraum Linz", "", "Linz", "Großraum Linz, Wels"]
+    rows = spark.createDataFrame(list(enumerate(labels)), "i int, x string").select("i", locality.components_of(F.col("x")).alias("c"), locality.is_scope(F.col("x")).alias("s")).orderBy("i").collect()
+    assert [r.c for r in rows] == [None, None, None, None, None, ["linz"], ["linz", "wels"]]
+    assert [r.s for r in rows] == [True, True, True, False, False, False, False]
