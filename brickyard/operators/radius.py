@@ -59,13 +59,14 @@ def first_of_each(rows: DataFrame, keys: list[str], order: list[Column], k: int
 def nearest_homes(homes: DataFrame, locations: DataFrame, radius_km: float, k: int) -> DataFrame:
     """For each job its ``k`` nearest homes, each by the job's location that is nearest to it. Adds ``rank``.
 
-    A job's ``k`` nearest homes are among the ``k`` nearest of one of its
-    locations, so pairs are cut to those first, inside each task already.
+    Only ids and points are joined by distance; a home's nearest location is
+    an aggregate, which combines before the shuffle, and the other columns
+    come back for the ``k`` that stay.
     """
-    pairs = radius_join(homes, locations, radius_km)
-    near = first_of_each(pairs, ["location_id"], [F.col("km"), F.col("home_id")], k)
-    nearest = first_of_each(near, ["home_id", "job_id"], [F.col("km"), F.col("location_id")])
-    return first_of_each(nearest, ["job_id"], [F.col("km"), F.col("home_id")], k, "rank")
+    pairs = radius_join(homes.select("home_id", "lon", "lat"), locations.select("location_id", "job_id", "job_lon", "job_lat"), radius_km)
+    nearest = pairs.groupBy("job_id", "home_id").agg(F.min(F.struct("km", "location_id")).alias("best")).select("job_id", "home_id", "best.*")
+    first = first_of_each(nearest, ["job_id"], [F.col("km"), F.col("home_id")], k, "rank")
+    return first.join(homes, "home_id").join(locations.drop("job_id"), "location_id")
 
 
 def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
