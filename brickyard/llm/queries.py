@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, labelled, linededup, mixing, packing, rules, setsketch, sharding, tokens, topk, toxicity
+from . import ballmeans, classifier, curve, labelled, linededup, mixing, packing, rules, segmentcodes, setsketch, sharding, tokens, topk, toxicity
 from brickyard.checkpoints import kept
 
 
@@ -195,6 +195,88 @@ FROM z
 """
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of every vector in 16 parts of 64 entries, its error and that of its label."""
+    return segmentcodes.compress(_read(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+
+
+def _op11_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    floored = "((s - (((s % n) + n) % n)) // n)"
+    out = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, len(embedding) AS dim, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), d AS (
+  SELECT first(dim ORDER BY vec_id, v) AS dim FROM v WHERE vec_id IS NOT NULL AND dim > 0 AND dim % {parts} = 0
+), p AS MATERIALIZED (
+  SELECT r, p, list_slice(v, p * dim // {parts} + 1, (p + 1) * dim // {parts}) AS x
+  FROM v JOIN d USING (dim), range({parts}) AS t(p)
+), b AS (
+  SELECT r, row_number() OVER (ORDER BY vec_id, v) - 1 AS e FROM v JOIN d USING (dim) WHERE vec_id IS NOT NULL
+), c0 AS MATERIALIZED (
+  SELECT p, e, x FROM p JOIN b USING (r) WHERE e < {entries}
+)"""
+    for i in range(rounds + 1):
+        out += f""", a{i} AS MATERIALIZED (
+  SELECT r, p.p, min(struct_pack(d := list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, e := e)) AS m
+  FROM p JOIN c{i} c ON p.p = c.p GROUP BY r, p.p
+)"""
+        if i < rounds:
+            out += f""", c{i + 1} AS MATERIALIZED (
+  SELECT c.p, c.e, coalesce(f.x, c.x) AS x FROM c{i} c LEFT JOIN (
+    SELECT p, e, list({floored}::BIGINT ORDER BY i) AS x FROM (
+      SELECT p, e, i, sum(x) AS s, count(*) AS n
+      FROM (SELECT a.p, a.m.e AS e, unnest(p.x) AS x, generate_subscripts(p.x, 1) AS i FROM a{i} a JOIN p ON a.r = p.r AND a.p = p.p) GROUP BY p, e, i
+    ) GROUP BY p, e
+  ) f ON c.p = f.p AND c.e = f.e
+)"""
+    return out + f""", h AS (
+  SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds}
+), k AS (
+  SELECT r, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM a{rounds} GROUP BY r
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM v LEFT JOIN k USING (r), h
+"""
+
+
+def op12_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in sequences of at most 2048 tokens, along the curve."""
+    return curve.pack(_read(spark, sf_dir, "documents"), path=tokens.tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=1)
+
+
+def op13_ball_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector of 64 components among 16, after three rounds."""
+    return ballmeans.cluster(_read(spark, sf_dir, "embeddings"), k=16, rounds=3, seed="1", scale=64, dim=64)
+
+
+def _op13_sql(k: int = 16, rounds: int = 3) -> str:
+    out = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT * FROM (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v AS x FROM v WHERE vec_id IS NOT NULL) WHERE c < {k}
+)"""
+    for i in range(rounds + 1):
+        out += f""", a{i} AS MATERIALIZED (
+  SELECT r, min(struct_pack(d := list_sum(list_transform(list_zip(v, x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, c := c)) AS m FROM v, c{i} GROUP BY r
+)"""
+        if i < rounds:
+            out += f""", c{i + 1} AS MATERIALIZED (
+  SELECT c.c, coalesce(f.x, c.x) AS x FROM c{i} c LEFT JOIN (
+    SELECT c, list(((s - (((s % n) + n) % n)) // n)::BIGINT ORDER BY i) AS x FROM (
+      SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT m.c AS c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{i} JOIN v USING (r)) GROUP BY c, i
+    ) GROUP BY c
+  ) f ON c.c = f.c
+)"""
+    return out + f"""
+SELECT vec_id, m.c::INT AS cluster, m.d AS distance, (sum(m.d) OVER (PARTITION BY m.c))::BIGINT AS cluster_inertia, (sum(m.d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(x, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} USING (r) JOIN c{rounds} c ON c.c = m.c
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -206,6 +288,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_curve_packing": op12_curve_packing,
+    "op13_ball_clusters": op13_ball_clusters,
 }
 
 ORACLES: dict[str, str] = {
@@ -213,4 +298,6 @@ ORACLES: dict[str, str] = {
     "op5_topk": OP5_SQL,
     "op7_quality_rules": OP7_SQL,
     "op10_mixing": OP10_SQL,
+    "op11_vector_codes": _op11_sql(),
+    "op13_ball_clusters": _op13_sql(),
 }

@@ -125,7 +125,7 @@ def byte_level_codec(path: str):
     if not plain or model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "ignore_merges", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix")):
         return None
     added = spec.get("added_tokens", [])
-    if any(_MARK[b] for x in added for b in x["content"].encode()) or any(x.get(k) for x in added for k in ("lstrip", "rstrip", "single_word")):
+    if any(_MARK[b] or b == 0x20 for x in added for b in x["content"].encode()) or any(x.get(k) for x in added for k in ("lstrip", "rstrip", "single_word")):
         return None
     special = {x["content"]: x["id"] for x in added}
     of, vocab = byte_characters(), model["vocab"]
@@ -137,6 +137,28 @@ def byte_level_codec(path: str):
     return tiktoken.Encoding("byte_level", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+#: The published pattern of word-end BPE, whose matches are the words; white space is dropped.
+WORD_END_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def word_end_cuts(spec: dict) -> bool:
+    """Whether a tokenizer.json encodes word by word, without white space, so that texts can be cut at safe boundaries.
+
+    Letter runs, digits and runs of marks are words; the normalizers compose,
+    lower-case and collapse white space, none of which reaches over a space.
+    """
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    steps = pre.get("pretokenizers", []) if pre.get("type") == "Sequence" else []
+    split = [(x.get("type"), (x.get("pattern") or {}).get("Regex"), x.get("behavior"), x.get("invert")) for x in steps[:1]]
+    words = split == [("Split", WORD_END_PATTERN, "Removed", True)] and len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not steps[1].get("use_regex") and not steps[1].get("add_prefix_space")
+    norm = spec.get("normalizer") or {}
+    forms = norm.get("normalizers", []) if norm.get("type") == "Sequence" else [norm] * bool(norm)
+    local = all(x.get("type") in ("NFC", "Lowercase") or (x.get("type") == "Replace" and x.get("pattern") == {"Regex": "\\s+"} and x.get("content") == " ") for x in forms)
+    added = spec.get("added_tokens", [])
+    plain = not any(x.get(k) for x in added for k in ("lstrip", "rstrip", "single_word", "normalized")) and not any(_MARK[b] or b == 0x20 for x in added for b in x["content"].encode())
+    return words and local and plain and model.get("type") == "BPE" and not model.get("dropout")
+
+
 class PieceEncoder:
     """Encodes pieces of text, each distinct one once while it stays in the cache."""
 
@@ -152,6 +174,8 @@ class PieceEncoder:
                 from tokenizers import Tokenizer
 
                 own = Tokenizer.from_file(path)
+                with open(path, encoding="utf-8") as f:
+                    self.split = word_end_cuts(json.load(f))
                 own.no_truncation()
                 own.no_padding()
                 self.encode = lambda texts: [x.ids for x in own.encode_batch_fast(texts, add_special_tokens=False)]
