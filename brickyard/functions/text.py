@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from difflib import SequenceMatcher
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column
@@ -50,9 +51,9 @@ def ascii_words_reference(text: pd.Series) -> pd.Series:
 
 
 def locality_words(text: Column) -> Column:
-    """Lower case with umlauts kept and ß as ss, words apart by single spaces."""
+    """Lower case with all letters kept and ß as ss, words apart by single spaces."""
     low = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ß"), F.lit("ss"))
-    return F.trim(F.regexp_replace(low, r"[^a-z0-9_äöüàáâéèêíóú]+", " "))
+    return F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}_]+", " "))
 
 
 def folded_title(text: Column) -> Column:
@@ -122,22 +123,34 @@ def german_decimal(text: Column, lone_dot: str = "thousands", lone_comma: str =
     return F.when(value.rlike(r"^-?\d+(\.\d+)?$"), value.try_cast("decimal(14,2)"))
 
 
-def visible_text(html: Column) -> Column:
-    """What a page shows: no scripts, styles or tags, the common entities read, white space squeezed."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?</\1>|<!--.*?-->", " ")
-    bare = F.regexp_replace(bare, r"<[^>]*>", " ")
-    for entity, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(entity), F.lit(plain))
-    return squeeze(bare)
+@F.pandas_udf(T.StringType())
+def read_references(text: pd.Series) -> pd.Series:
+    """Named and numeric character references as characters, read twice, since pages hold escaped mark-up; white space squeezed after the first time."""
+    return pd.Series([x if x is None or "&" not in x else unescape(" ".join(unescape(x).split())) for x in text], dtype=object)
+
 
+#: A comment, or a tag whose quoted values may hold ``>``.
+TAG = r"""<!--.*?(?:-->|\z)|<[a-zA-Z/!?](?:[^>"']|"[^"]*+"|'[^']*+')*+>"""
 
-def postal_beside(text: Column, locality: str) -> Column:
-    """The one four-digit code that stands before the locality, or null if there is none or more than one."""
-    import re
 
-    name = r"\s+".join(re.escape(x) for x in locality.split())
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?i)(?<!\d)(?:A\s*-?\s*)?(\d{{4}})\s+{name}(?![\p{{L}}\d])"), 1))
-    return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
+def visible_text(html: Column) -> Column:
+    """What a page shows: no scripts, styles, comments or tags, all character references read, white space squeezed.
+
+    Tags go before references are read, so ``&lt;b&gt;`` stays as text. A
+    script or style that isn't closed hides the rest of the page.
+    """
+    bare = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?(?:</\1\s*>|\z)", " ")
+    bare = F.trim(F.regexp_replace(F.regexp_replace(bare, f"(?is){TAG}", " "), r"(?U)\s+", " "))
+    return F.trim(F.when(bare.contains("&"), read_references(bare)).otherwise(bare))
+
+
+def postal_beside(text: Column, locality: Column | str) -> Column:
+    """The one four-digit code that stands before the locality, or null if there is none, more than one or no locality."""
+    words = F.split(F.trim(F.lit(locality) if isinstance(locality, str) else locality), r"\s+")
+    name = F.array_join(F.transform(words, lambda w: F.concat(F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))), r"\s+")
+    pattern = F.concat(F.lit(r"(?iu)(?<!\d)(?:A\s*[-–—]?\s*)?(\d{4})\s+"), name, F.lit(r"(?![\p{L}\d])"))
+    found = F.array_distinct(F.regexp_extract_all(text, pattern, 1))
+    return F.when((F.array_join(words, "") != "") & (F.size(found) == 1), F.get(found, F.lit(0)))
 
 
 def provider_identity(url: Column, hosts: tuple[str, ...], path_pattern: str, name: str) -> Column:

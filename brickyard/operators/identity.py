@@ -2,37 +2,100 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brickyard.checkpoints import kept
+
+from .components import components
 from .radius import first_of_each
 
 
-def resolved(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """Adds entity_id (null: new) and ``by``: listing id, lasting identity of the source, then URL of any source.
+#: Which columns must agree, first rule first: jobs have identities of their source, homes those of a provider that any source may show.
+JOB_RULES = {"listing": ["source_id", "listing_key"], "identity": ["source_id", "identity"], "url": ["url"]}
+HOME_RULES = {"listing": ["source_id", "listing_key"], "url": ["url"], "identity": ["identity"]}
+
+
+def resolved(incoming: DataFrame, stored: DataFrame, rules: dict[str, list[str]] = JOB_RULES) -> DataFrame:
+    """Adds entity_id (null: new) and ``by``, the first of ``rules`` that finds a stored listing.
 
     ``incoming`` and ``stored`` have source_id, listing_key, identity and
     url; ``stored`` listing_id and entity_id too. The smallest listing id
-    wins inside a rule. Rows of one batch that share a key are made equal
-    by taking the smallest new key of the batch.
+    wins inside a rule. What a batch says about itself is settled by
+    ``batch_entities``.
     """
     def on(rule: int, name: str, keys: list[str]) -> DataFrame:
         left = incoming.select("row_id", *keys).dropna(subset=keys)
         right = stored.select("listing_id", "entity_id", *keys).dropna(subset=keys)
         return left.join(right, keys).select("row_id", F.lit(rule).alias("rule"), F.lit(name).alias("by"), "listing_id", "entity_id")
 
-    found = on(1, "listing", ["source_id", "listing_key"]).unionByName(on(2, "identity", ["source_id", "identity"])).unionByName(on(3, "url", ["url"]))
+    found = reduce(DataFrame.unionByName, (on(n, name, keys) for n, (name, keys) in enumerate(rules.items())))
     best = first_of_each(found, ["row_id"], [F.col("rule"), F.col("listing_id")]).select("row_id", "entity_id", "by")
     return incoming.join(best, "row_id", "left")
 
 
+def chains(rows: DataFrame, keys: list[list[str]]) -> DataFrame:
+    """row_id and chain of each row: rows that share the values of any of ``keys`` are in one chain, over any number of steps.
+
+    A chain is named by its smallest row_id. A key with a null doesn't link.
+    Each key links its rows to the smallest of them, so a key of n rows gives
+    n edges, and the chains are the connected components of these.
+    """
+    rows = kept(rows.select("row_id", *dict.fromkeys(c for k in keys for c in k)))
+    edges = None
+    for k in keys:
+        own = rows.select("row_id", *k).dropna(subset=k)
+        least = own.groupBy(*k).agg(F.min("row_id").alias("a"), F.max("row_id").alias("_z")).filter("a < _z").drop("_z")
+        linked = own.join(least, k).select("a", F.col("row_id").alias("b")).filter("a <> b")
+        edges = linked if edges is None else edges.unionByName(linked)
+    roots = components(edges).select(F.col("v").alias("row_id"), "root")
+    return rows.select("row_id").join(roots, "row_id", "left").select("row_id", F.coalesce("root", "row_id").alias("chain"))
+
+
+#: What makes two listings of one batch the same entity: a lasting identity of the source, or the URL.
+BATCH_KEYS = [["source_id", "identity"], ["url"]]
+
+
 def new_keys(rows: DataFrame) -> DataFrame:
-    """The key of each new entity of a batch: rows with one lasting identity or URL share the smallest row_id."""
+    """The key of each new entity of a batch: rows linked by lasting identities or URLs, over any number of steps, share the smallest row_id."""
     fresh = rows.filter(F.col("entity_id").isNull())
-    by_identity = fresh.filter(F.col("identity").isNotNull()).groupBy("source_id", "identity").agg(F.min("row_id").alias("k1"))
-    by_url = fresh.filter(F.col("url").isNotNull()).groupBy("url").agg(F.min("row_id").alias("k2"))
-    joined = fresh.join(by_identity, ["source_id", "identity"], "left").join(by_url, ["url"], "left")
-    return joined.withColumn("new_key", F.least("row_id", "k1", "k2")).drop("k1", "k2")
+    named = chains(fresh, BATCH_KEYS).select("row_id", F.col("chain").alias("new_key"))
+    return fresh.join(named, "row_id")
+
+
+def batch_entities(resolved_rows: DataFrame, keys: list[list[str]] = BATCH_KEYS) -> DataFrame:
+    """Settles a batch of ``resolved`` rows: adds entity (stored, or null), new_key (or null) and ``via`` (stored, batch, new).
+
+    Rows that no rule found but that a chain links to a resolved row of the
+    batch take its entity (of several, that of the smallest row_id); chains
+    without one become new entities. Rows that a rule found keep theirs.
+    """
+    rows = resolved_rows.join(chains(resolved_rows, keys), "row_id")
+    known = rows.filter(F.col("entity_id").isNotNull()).groupBy("chain").agg(F.min_by("entity_id", "row_id").alias("_entity"))
+    rows = rows.join(known, "chain", "left")
+    entity = F.coalesce("entity_id", "_entity")
+    via = F.when(F.col("entity_id").isNotNull(), "stored").when(F.col("_entity").isNotNull(), "batch").otherwise("new")
+    return rows.select(*resolved_rows.columns, entity.alias("entity"), F.when(entity.isNull(), F.col("chain")).alias("new_key"), via.alias("via"))
+
+
+def home_entities(incoming: DataFrame, stored: DataFrame, previous: DataFrame, current: DataFrame) -> DataFrame:
+    """``batch_entities`` of homes: a listing that goes on under another token keeps its entity before any other rule but the listing's own.
+
+    ``previous`` and ``current`` are the sides of ``continued``; a row's token
+    is its listing_key, and the stored listing of the same source with the
+    earlier token gives the entity.
+    """
+    on = continued(previous, current).select(F.col("cur_token").alias("listing_key"), F.col("prev_token").alias("_earlier"))
+    old = stored.select("source_id", F.col("listing_key").alias("_earlier"), F.col("entity_id").alias("_entity"), "listing_id")
+    found = incoming.select("row_id", "source_id", "listing_key").join(on, "listing_key").join(old, ["source_id", "_earlier"])
+    goes_on = first_of_each(found, ["row_id"], [F.col("listing_id")]).select("row_id", "_entity")
+    rows = resolved(incoming, stored, HOME_RULES).join(goes_on, "row_id", "left")
+    own = F.col("by") == "listing"
+    entity = F.when(own, F.col("entity_id")).otherwise(F.coalesce("_entity", "entity_id"))
+    by = F.when(own, F.col("by")).when(F.col("_entity").isNotNull(), "continuity").otherwise(F.col("by"))
+    return batch_entities(rows.select(*incoming.columns, entity.alias("entity_id"), by.alias("by")), [["url"], ["identity"]])
 
 
 def continued(previous: DataFrame, current: DataFrame) -> DataFrame:

@@ -15,11 +15,14 @@ class Places:
     """Fixed values of the ladder: labels that are no point, aliases, and regions that mean several places."""
 
     scopes: tuple[str, ...] = (
-        "austria", "österreich", "remote", "home office", "homeoffice", "burgenland", "kärnten", "kaernten", "niederösterreich", "niederoesterreich", "oberösterreich", "oberoesterreich", "steiermark", "tirol", "vorarlberg",
+        "austria", "österreich", "remote", "home office", "homeoffice", "remote austria", "home office austria", "burgenland", "kärnten", "kaernten", "niederösterreich", "niederoesterreich", "oberösterreich", "oberoesterreich", "steiermark", "tirol", "vorarlberg",
         "ostösterreich", "ostoesterreich", "westösterreich", "westoesterreich", "südösterreich", "suedoesterreich",
         "österreichweit", "oesterreichweit", "austriawide", "austria wide", "wels land", "graz umgebung west",
     )
-    aliases: dict[str, str] = field(default_factory=lambda: {"vienna": "wien", "wien austria": "wien", "klagenfurt": "klagenfurt am wörthersee"})
+    aliases: dict[str, str] = field(default_factory=lambda: {
+        "vienna": "wien", "vienna austria": "wien", "wien austria": "wien", "graz austria": "graz", "linz austria": "linz", "salzburg austria": "salzburg", "innsbruck austria": "innsbruck",
+        "klagenfurt": "klagenfurt am wörthersee", "klagenfurt austria": "klagenfurt am wörthersee", "klagenfurt am worthersee": "klagenfurt am wörthersee",
+    })
     regions: dict[str, tuple[str, ...]] = field(default_factory=lambda: {
         "oberösterreich zentralraum": ("linz", "wels", "steyr"), "oberoesterreich zentralraum": ("linz", "wels", "steyr"),
         "zentralraum oberösterreich": ("linz", "wels", "steyr"), "zentralraum oberoesterreich": ("linz", "wels", "steyr"),
@@ -34,8 +37,7 @@ def is_scope(label: Column, places: Places = Places()) -> Column:
 
 def canonical(label: Column, places: Places = Places()) -> Column:
     """A label's locality in normal words, or null for a scope."""
-    words = F.regexp_replace(locality_words(label), r" (?:austria|österreich)$", "")
-    out = words
+    out = words = locality_words(label)
     for alias, name in places.aliases.items():
         out = F.when(words == alias, F.lit(name)).otherwise(out)
     return F.when((words != "") & ~is_scope(label, places), out)
@@ -43,8 +45,9 @@ def canonical(label: Column, places: Places = Places()) -> Column:
 
 def components_of(label: Column, places: Places = Places()) -> Column:
     """The localities a label stands for, null if it is none: anchors ("südlich von X", "X Umgebung"), named regions, "Großraum A, B"."""
-    raw = F.lower(F.trim(label))
-    words = locality_words(label)
+    whole = F.lower(F.trim(label))
+    raw = F.trim(F.regexp_replace(whole, r"(?:\s*,\s*|\s+)(?:austria|österreich)$", ""))
+    words = locality_words(raw)
     direction = F.regexp_extract(raw, r"^(?:nördlich|südlich|östlich|westlich|noerdlich|suedlich|oestlich) von (.+)$", 1)
     around = F.regexp_extract(raw, r"^(?:raum\s+)?(.+?)\s+(?:und\s+)?umgebung$", 1)
     room = F.regexp_extract(raw, r"^raum\s+(.+)$", 1)
@@ -79,18 +82,24 @@ def weighted_centroids(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def prefixes(postal: DataFrame) -> DataFrame:
+    """Postal rows with a point, once for each run of words that their name begins with (``locality``): what ``name_matches`` finds is equality with one."""
+    words = F.split(locality_words(F.col("name")), " ")
+    rows = postal.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()).withColumn("_words", words)
+    runs = F.transform(F.sequence(F.lit(1), F.size("_words")), lambda n: F.array_join(F.slice("_words", F.lit(1), n), " "))
+    return rows.withColumn("locality", F.explode(runs)).filter(F.col("locality") != "").drop("_words")
+
+
 def resolve(labels: DataFrame, postal: DataFrame, places: Places = Places()) -> DataFrame:
     """label, lon, lat, codes and samples of each label all of whose localities are known; others are left out.
 
-    A label's localities meet postal names by their first word, so the join
-    is an equi-join however long the table of names is. A label of several
-    localities is the plain mean of their centroids.
+    A label's localities meet the runs of words that postal names begin with,
+    so the join is an equi-join however long the table of names is. A label
+    of several localities is the plain mean of their centroids.
     """
     rows = labels.select("label").distinct().withColumn("parts", components_of(F.col("label"), places)).filter(F.col("parts").isNotNull())
-    parts = rows.select("label", F.size("parts").alias("n"), F.explode("parts").alias("locality")).withColumn("first", F.element_at(F.split("locality", " "), 1))
-    names = postal.withColumn("name", locality_words(F.col("name"))).withColumn("first", F.element_at(F.split("name", " "), 1)).filter(F.col("lon").isNotNull())
-    hit = parts.join(names, "first").filter(name_matches(F.col("name"), F.col("locality")))
-    points = weighted_centroids(hit, ["label", "n", "locality"])
+    parts = rows.select("label", F.size("parts").alias("n"), F.explode("parts").alias("locality"))
+    points = weighted_centroids(parts.join(prefixes(postal), "locality"), ["label", "n", "locality"])
     return points.groupBy("label", "n").agg(
         F.avg("lon").alias("lon"), F.avg("lat").alias("lat"), F.sum("samples").alias("samples"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("codes"), F.count("*").alias("found")
     ).filter(F.col("found") == F.col("n")).drop("found", "n")

@@ -1,10 +1,14 @@
 """Joins of two point tables by distance.
 
-A distance predicate alone is a nested loop. Both sides are dealt into grid
-cells no smaller than the radius, one side also into the eight cells around
-its own, so the join is an equi-join on cells and the exact distance is a
-filter on its pairs. Cells split a dense place between tasks; a cell that
-is too heavy for one is split by adaptive skew handling like any join key.
+A distance predicate alone is a nested loop. Points are dealt into grid
+cells: bands of latitude, each cut into as many columns as its outermost
+latitude allows, so cells are as wide as they are high up to the poles and
+columns go round the date line. One side lies in its cell, the other is
+shown to all cells that its circle touches; the join is an equi-join on
+cells and the exact distance a filter on its pairs.
+
+The nearest k points need far fewer pairs than all within a radius: the k-th
+distance inside a point's own cell bounds its circle first.
 """
 
 from __future__ import annotations
@@ -14,31 +18,109 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brickyard.functions.geo import haversine_km, radius_metres
+from brickyard.checkpoints import kept
+from brickyard.functions.geo import EARTH_M, haversine_km, radius_metres
 
-KM_A_DEGREE = 110.0
+KM_A_DEGREE = EARTH_M / 1000 * math.pi / 180
+#: Circles are drawn a little wider than they are, against rounding.
+WIDER, MORE = 1 + 1e-9, 1e-9
+#: Each level's cells are so many times narrower than those of the level before.
+STEP = 4
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius_km: float, *, left_point: tuple[str, str] = ("lon", "lat"), right_point: tuple[str, str] = ("job_lon", "job_lat"), top_latitude: float = 60.0) -> DataFrame:
-    """Pairs at most ``radius_km`` apart, with ``km``.
+def _located(rows: DataFrame, lon: str, lat: str) -> DataFrame:
+    known = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    return rows.filter(known(lon) & known(lat))
 
-    Rows without a point are in no pair. ``top_latitude`` is the largest
-    absolute latitude of the data; cells are as wide as the radius there.
+
+def _columns(band: Column, high: Column) -> Column:
+    """How many columns a band has: at its outermost latitude each is as wide as the band is high."""
+    edge = F.greatest(F.abs(band * high - 90), F.abs((band + 1) * high - 90))
+    return F.greatest(F.lit(1), F.floor(F.lit(360.0) / high * F.cos(F.radians(F.least(edge, F.lit(90.0)))))).cast("long")
+
+
+def cell(lon: Column, lat: Column, size_km: Column) -> Column:
+    """band and column of the cell of ``size_km`` that holds a point."""
+    high = size_km / KM_A_DEGREE
+    band = F.floor((lat + 90) / high).cast("long")
+    n = _columns(band, high)
+    column = F.least(F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * n).cast("long"), n - 1)
+    return F.struct(band.alias("band"), column.alias("column"))
+
+
+def shown(rows: DataFrame, lon: str, lat: str, radius_km: Column, size_km: Column) -> DataFrame:
+    """Each row once for every cell of ``size_km`` that its circle touches; adds _band and _column."""
+    high = size_km / KM_A_DEGREE
+    reach = radius_km / KM_A_DEGREE * WIDER + MORE
+    y = F.col(lat).cast("double")
+    band = lambda x: F.floor((x + 90) / high).cast("long")
+    rows = rows.withColumn("_band", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), band(y - reach)), F.least(band(F.lit(90.0)), band(y + reach)))))
+    n = _columns(F.col("_band"), high)
+    pole = F.abs(y) + reach >= 90
+    wide = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.least(reach, F.lit(90.0)))) / F.cos(F.radians(y))))) * WIDER + MORE
+    at = F.pmod(F.col(lon).cast("double") + 180, F.lit(360.0))
+    first, last = (F.floor((at + d) / 360 * n).cast("long") for d in (-wide, wide))
+    everywhere = F.sequence(F.lit(0).cast("long"), n - 1)
+    some = F.transform(F.sequence(first, last), lambda c: F.pmod(c, n))
+    return rows.withColumn("_column", F.explode(F.when(pole | (last - first + 1 >= n), everywhere).otherwise(some)))
+
+
+def radius_join(left: DataFrame, right: DataFrame, radius_km: float, *, left_point: tuple[str, str] = ("lon", "lat"), right_point: tuple[str, str] = ("job_lon", "job_lat"), shown_side: str = "right") -> DataFrame:
+    """Pairs at most ``radius_km`` apart, with ``km``, anywhere on the earth.
+
+    Rows without a point are in no pair. Rows of ``shown_side`` (left or
+    right; take the smaller table) go to about nine cells each, those of the
+    other side to one.
     """
     radius_metres(radius_km)
-    high = radius_km / KM_A_DEGREE
-    wide = radius_km / (KM_A_DEGREE * math.cos(math.radians(min(89.0, top_latitude + high))))
-    columns_left, columns_right = left.columns, right.columns
-    cell = lambda c, size: F.floor(F.col(c) / size).cast("long")
-    a = left.filter(F.col(left_point[0]).isNotNull() & F.col(left_point[1]).isNotNull())
-    a = a.withColumn("_cx", cell(left_point[0], wide)).withColumn("_cy", cell(left_point[1], high))
-    b = right.filter(F.col(right_point[0]).isNotNull() & F.col(right_point[1]).isNotNull())
-    b = b.withColumn("_x", cell(right_point[0], wide)).withColumn("_y", cell(right_point[1], high))
-    around = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))
-    b = b.withColumn("_d", F.explode(around)).withColumn("_cx", F.col("_x") + F.col("_d.dx")).withColumn("_cy", F.col("_y") + F.col("_d.dy"))
-    pairs = a.join(b, ["_cx", "_cy"])
+    size = F.lit(float(radius_km))
+    sides = {"left": (_located(left, *left_point), left_point), "right": (_located(right, *right_point), right_point)}
+    rows, (lon, lat) = sides.pop(shown_side)
+    b = shown(rows, lon, lat, size, size)
+    rows, (lon, lat) = sides.popitem()[1]
+    a = rows.withColumn("_c", cell(F.col(lon).cast("double"), F.col(lat).cast("double"), size)).withColumn("_band", F.col("_c.band")).withColumn("_column", F.col("_c.column"))
+    pairs = a.join(b, ["_band", "_column"])
     km = haversine_km(F.col(left_point[0]), F.col(left_point[1]), F.col(right_point[0]), F.col(right_point[1]))
-    return pairs.select(*columns_left, *columns_right, km.alias("km")).filter(F.col("km") <= radius_km)
+    return pairs.select(*left.columns, *right.columns, km.alias("km")).filter(F.col("km") <= radius_km)
+
+
+def nearest_points(points: DataFrame, homes: DataFrame, radius_km: float, k: int, levels: int = 4) -> DataFrame:
+    """x, y, home_id and km of the ``k`` nearest homes (ties: smaller id) at most ``radius_km`` from each distinct point x, y.
+
+    Homes lie in the cells of each level, from the radius down by STEP. A
+    point's finest cell with ``k`` homes gives its k-th distance so far; its
+    circle of that distance is then shown to cells about as large. So a point
+    meets some dozen homes, however many there are within the radius. Of
+    homes at one place only the ``k`` smallest ids count, which the window
+    keeps before its shuffle.
+    """
+    radius_metres(radius_km)
+    place = Window.partitionBy("lon", "lat").orderBy("home_id")
+    homes = _located(homes.select("home_id", F.col("lon").cast("double"), F.col("lat").cast("double")), "lon", "lat").withColumn("_r", F.row_number().over(place)).filter(F.col("_r") <= k).drop("_r")
+    points = kept(_located(points, "x", "y").select(F.col("x").cast("double"), F.col("y").cast("double")).distinct())
+    size = lambda level: F.lit(float(radius_km)) / F.pow(F.lit(float(STEP)), level)
+    keys = ["level", "_band", "_column"]
+
+    def dealt(rows: DataFrame, lon: str, lat: str) -> DataFrame:
+        each = rows.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+        each = each.withColumn("_c", cell(F.col(lon), F.col(lat), size(F.col("level"))))
+        return each.withColumn("_band", F.col("_c.band")).withColumn("_column", F.col("_c.column")).drop("_c")
+
+    homes = kept(dealt(homes, "lon", "lat"))
+    km = haversine_km(F.col("x"), F.col("y"), F.col("lon"), F.col("lat"))
+    best = Window.partitionBy("x", "y").orderBy("km", "home_id")
+    full = homes.groupBy(*keys).count().filter(F.col("count") >= k).select(*keys)
+    finest = dealt(points, "x", "y").join(full, keys).groupBy("x", "y").agg(F.max(F.struct(*keys)).alias("f")).select("x", "y", "f.*")
+    inner = finest.join(homes, keys).select("x", "y", "home_id", km.alias("km")).withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k)
+    bound = inner.groupBy("x", "y").agg(F.max("km").alias("bound"))
+    circle = F.least(F.coalesce("bound", F.lit(float(radius_km))), F.lit(float(radius_km)))
+    rows = points.join(bound, ["x", "y"], "left").withColumn("bound", circle * WIDER + MORE)
+    # The finest level whose cells are at least half a circle's radius.
+    level = F.floor(F.log(F.lit(2.0 * radius_km) / F.col("bound")) / math.log(STEP)).cast("int")
+    rows = rows.withColumn("level", F.greatest(F.lit(0), F.least(F.lit(levels - 1), level)))
+    met = shown(rows, "x", "y", F.col("bound"), size(F.col("level"))).join(homes, keys)
+    near = met.select("x", "y", "home_id", km.alias("km"), "bound").filter((F.col("km") <= radius_km) & (F.col("km") <= F.col("bound"))).drop("bound")
+    return near.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).drop("_r")
 
 
 def within_radius(points: DataFrame, lon: float | None, lat: float | None, radius_km: float, *, point: tuple[str, str] = ("lon", "lat")) -> DataFrame:
@@ -59,11 +141,13 @@ def first_of_each(rows: DataFrame, keys: list[str], order: list[Column], k: int
 def nearest_homes(homes: DataFrame, locations: DataFrame, radius_km: float, k: int) -> DataFrame:
     """For each job its ``k`` nearest homes, each by the job's location that is nearest to it. Adds ``rank``.
 
-    Only ids and points are joined by distance; a home's nearest location is
-    an aggregate, which combines before the shuffle, and the other columns
-    come back for the ``k`` that stay.
+    A home among a job's first ``k`` is among the first ``k`` of its nearest
+    location, so each distinct point of a location gives ``k`` homes at most;
+    the other columns come back for those that stay.
     """
-    pairs = radius_join(homes.select("home_id", "lon", "lat"), locations.select("location_id", "job_id", "job_lon", "job_lat"), radius_km)
+    points = locations.select(F.col("job_lon").cast("double").alias("x"), F.col("job_lat").cast("double").alias("y"))
+    near = nearest_points(points, homes, radius_km, k)
+    pairs = locations.select("location_id", "job_id", F.col("job_lon").cast("double").alias("x"), F.col("job_lat").cast("double").alias("y")).join(near, ["x", "y"])
     nearest = pairs.groupBy("job_id", "home_id").agg(F.min(F.struct("km", "location_id")).alias("best")).select("job_id", "home_id", "best.*")
     first = first_of_each(nearest, ["job_id"], [F.col("km"), F.col("home_id")], k, "rank")
     return first.join(homes, "home_id").join(locations.drop("job_id"), "location_id")

@@ -1,6 +1,6 @@
 """All registered queries of the library."""
 
-from . import adverts, feeds, ingestion, places, upkeep
+from . import adverts, batches, feeds, ingestion, places, upkeep
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "adverts", "feeds", "ingestion", "places", "upkeep"]
+__all__ = ["ORACLES", "QUERIES", "adverts", "batches", "feeds", "ingestion", "places", "upkeep"]

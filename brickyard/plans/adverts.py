@@ -272,13 +272,6 @@ def resolved_identities(spark, d):
     return identity.resolved(_incoming(spark, d), _stored(spark, d)).select("row_id", "entity_id", "by")
 
 
-@query(f"""WITH {STORED}, {INCOMING}, n AS (SELECT * FROM inc WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.source_id = inc.source_id AND st.listing_key = inc.listing_key)
-AND NOT EXISTS (SELECT 1 FROM st WHERE st.source_id = inc.source_id AND st.identity = inc.identity) AND NOT EXISTS (SELECT 1 FROM st WHERE st.url = inc.url))
-SELECT row_id, least(row_id, CASE WHEN identity IS NOT NULL THEN min(row_id) OVER (PARTITION BY source_id, identity) END, min(row_id) OVER (PARTITION BY url)) AS new_key FROM n""")
-def new_entity_keys(spark, d):
-    return identity.new_keys(identity.resolved(_incoming(spark, d), _stored(spark, d))).select("row_id", "new_key")
-
-
 SIDE = "SELECT l_orderkey * 10 + l_linenumber AS token, (l_partkey % 20)::VARCHAR AS postal_code, 'ein schoenes haus ' || l_suppkey AS title, CASE WHEN l_linenumber % 4 <> 0 THEN l_quantity END AS price, CASE WHEN l_linenumber % 3 <> 0 THEN floor(l_tax * 50) END AS area FROM lineitem WHERE l_orderkey % 2 = {n}"
 
 

@@ -95,13 +95,31 @@ def jooble_results(spark, d):
     return _of(jobs.jooble(table(spark, d, "part").select(_payload(_json(jobs=F.array(result))).alias("payload"))))
 
 
-@query(f"SELECT p_partkey::VARCHAR AS listing_key, CASE WHEN p_size % 2 = 0 THEN 'de ' ELSE 'en ' END || p_partkey AS title, 'https://p/job/' || p_partkey AS url, p_brand AS company, 'Wien/;Graz/' AS places, {NONE} FROM part")
+# Offices by p_partkey % 8: a known place; Vienna inside a venue's name; abroad with four digits; a place inside a longer known one, with a code;
+# Austria by name only; two places; a district that says Austria; a known name inside a longer word.
+@query(f"""WITH o AS (SELECT *, p_partkey % 150 AS m, 'ort' || (p_partkey % 150) AS one, 'ort' || (p_partkey % 150 + 1) AS two FROM part),
+k AS (SELECT o.*, EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = m) AS k1, EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = m + 1) AS k2, EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = m AND s_suppkey % 2 = 0) AS bad FROM o),
+p AS (SELECT *, CASE p_partkey % 8 WHEN 0 THEN CASE WHEN k1 THEN one || '/' END WHEN 1 THEN 'wien/' WHEN 3 THEN CASE WHEN bad THEN 'bad ' || one || '/4820' WHEN k1 THEN one || '/4820' END WHEN 4 THEN 'Hohenberg/3192'
+  WHEN 5 THEN CASE WHEN k1 AND k2 THEN CASE WHEN length(two) > length(one) OR length(two) = length(one) AND two < one THEN two || '/;' || one || '/' ELSE one || '/;' || two || '/' END WHEN k1 THEN one || '/8010' WHEN k2 THEN two || '/8010' END WHEN 6 THEN 'Linz-Land/' END AS places FROM k)
+SELECT 'p:' || p_partkey AS listing_key, CASE WHEN p_size % 2 = 0 THEN 'de ' ELSE 'en ' END || p_partkey AS title, 'https://p.jobs.personio.com/job/' || p_partkey || CASE WHEN p_size % 2 = 0 THEN '?language=de' ELSE '?language=en' END AS url, p_brand AS company,
+CASE WHEN p_size % 2 = 0 THEN 'Aufgaben' || chr(10) || 'Geräte & Maße <b>' || chr(10) || chr(10) || 'Mehr' ELSE 'Tasks' END AS description, CASE WHEN p_size % 2 = 0 THEN 'Tasks' ELSE '' END AS extra, 'de,en' AS languages, p_type AS department, places, {NONE} FROM p WHERE places IS NOT NULL""")
 def personio_positions(spark, d):
-    def feed(language, described):
-        one = _cat("<w><position><id>", _part(), f"</id><name>{language} ", _part(), "</name><office>Wien, Graz</office><jobDescriptions>", F.when(described, "<jobDescription><value>Text</value></jobDescription>").otherwise(""), "</jobDescriptions></position></w>")
-        return table(spark, d, "part").select(F.col("p_brand").alias("company"), F.lit("https://p").alias("base_url"), F.lit(language).alias("language"), one.alias("payload"))
+    m = _part() % 150
+    offices = (
+        _cat("Ort", m), "Austria Center Vienna", "Berlin 1010", _cat("Bad  Ort", m, " - 4820"), "Hohenberg, Österreich 3192", _cat("ORT", m, " / Ort", m + 1, " 8010"), "Linz-Land (Austria)", _cat("Neuort", m, "x Berlin"),
+    )
+    office = F.element_at(F.array(*(_s(x) for x in offices)), (_part() % 8 + 1).cast("int"))
 
-    return _of(jobs.personio(feed("de", _size() % 2 == 0).unionByName(feed("en", F.lit(True)))))
+    def feed(language, texts):
+        head = _cat("<w><position><id>", _part(), f"</id><name>{language} ", _part(), "</name><department>", F.col("p_type"), "</department><office>", office, "</office><jobDescriptions>")
+        return table(spark, d, "part").select(F.lit("p").alias("tenant"), F.col("p_brand").alias("company"), F.lit(None).cast("string").alias("base_url"), F.lit(language).alias("language"), _cat(head, texts, "</jobDescriptions></position></w>").alias("payload"))
+
+    block = "<jobDescription><name>Aufgaben</name><value><![CDATA[<p>Ger&auml;te &amp;amp; Ma&#223;e</p> &amp;lt;b&amp;gt;]]></value></jobDescription><jobDescription><name> Mehr </name><value/></jobDescription>"
+    german = F.when(_size() % 2 == 0, block).otherwise("")
+    known = table(spark, d, "supplier").select(F.explode(F.array(_cat("Ort", F.col("s_suppkey")), F.when(F.col("s_suppkey") % 2 == 0, _cat("Bad Ort", F.col("s_suppkey"))), F.lit("Wien"))).alias("name"))
+    rows = jobs.personio(feed("de", german).unionByName(feed("en", "<jobDescription><value>Tasks</value></jobDescription>")), known)
+    more = rows.select("listing_key", "description", F.array_join("extra_texts", "|").alias("extra"), F.array_join("languages", ",").alias("languages"), F.col("facts.department").alias("department"))
+    return _of(rows).join(more, "listing_key")
 
 
 @query(f"SELECT 'e-' || p_partkey AS listing_key, p_name AS title, 'https://c/job/e-' || p_partkey || '?x' AS url, p_brand AS company, 'Linz/' AS places, {NONE} FROM part")
@@ -146,12 +164,14 @@ def postal_names(spark, d):
     return homes.postal_names(listed.select(_payload(_json(data=F.col("e"))).alias("payload")))
 
 
-@query("""SELECT p_partkey, 'preis ' || p_size || ' & mehr' AS shown, CASE p_partkey % 3 WHEN 0 THEN '4020' WHEN 1 THEN '4021' END AS code, CASE WHEN p_size % 2 = 0 THEN 'is24:x' || p_partkey END AS provider FROM part""")
+@query("""SELECT p_partkey, 'Gehälter ab ' || p_size || ' € – <b>brutto</b> & mehr' AS shown, CASE p_partkey % 3 WHEN 0 THEN '4020' WHEN 1 THEN '4021' END AS code, CASE WHEN p_size % 2 = 0 THEN 'is24:x' || p_partkey END AS provider FROM part""")
 def page_texts(spark, d):
-    page = _cat("<style>p{}</style><script>var a='<b>';</script> <p>preis&nbsp;", _size(), "</p><!-- x -->&amp; <b>mehr</b>")
-    where = F.when(_part() % 3 == 0, "A-4020 Bad Ischl, 4020  Bad Ischl").when(_part() % 3 == 1, "In 4021 Bad Ischl").otherwise("4020 Bad Ischl 4021 Bad Ischl")
+    page = _cat("<style>p{}</style><script>var a='<b>';</script> <p title='a > b'>Geh&auml;lter ab&nbsp;", _size(), " &euro; &#8211;</p><!-- x > y --> &lt;b&gt;brutto&amp;lt;/b&amp;gt; &amp; <b>mehr</b><script>rest")
+    name = F.when(_part() % 2 == 0, "bad ischl").otherwise("St. Johann (Tirol)")
+    shown = F.when(_part() % 2 == 0, "Bad Ischl").otherwise("St. Johann  (Tirol)")
+    where = F.when(_part() % 3 == 0, _cat("A-4020 ", shown, ", 4020  ", shown)).when(_part() % 3 == 1, _cat("In 4021 ", shown, ".")).otherwise(_cat("4020 ", shown, " 4021 ", shown))
     url = _cat(F.when(_size() % 2 == 0, "https://www.IS24.at/expose/X").otherwise("https://other.at/expose/X"), _part(), "?q=1")
-    return table(spark, d, "part").select("p_partkey", text.visible_text(page).alias("shown"), text.postal_beside(where, "bad ischl").alias("code"), text.provider_identity(url, ("www.is24.at",), r"^/expose/([a-z0-9]+)", "is24").alias("provider"))
+    return table(spark, d, "part").select("p_partkey", text.visible_text(page).alias("shown"), text.postal_beside(where, name).alias("code"), text.provider_identity(url, ("www.is24.at",), r"^/expose/([a-z0-9]+)", "is24").alias("provider"))
 
 
 KEYS = {"explicit": "$.id", "ad_tenant": "$.t", "ad_id": "$.ad", "req_tenant": "$.t", "req_site": "$.s", "req_id": "$.r"}

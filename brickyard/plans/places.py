@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brickyard.functions.geo import geodesic_m
-from brickyard.operators import catalog, locality, radius
+from brickyard.checkpoints import kept
+from brickyard.operators import catalog, fallback, locality, radius
 
 from .registry import query, table
 
@@ -61,7 +62,7 @@ n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY home_id ORDER BY
 SELECT home_id, city, round(km, 3) AS km, (SELECT count(*) FROM n) AS total FROM n ORDER BY n.km, home_id LIMIT 40 OFFSET 10""")
 def nearby_houses_page(spark, d):
     near = radius.radius_join(homes(spark, d).filter(catalog.between(F.col("price"), *catalog.BUDGET)), locations(spark, d).filter("job_id = 7"), 25)
-    near = radius.first_of_each(near, ["home_id"], [F.col("km"), F.col("location_id")])
+    near = kept(radius.first_of_each(near, ["home_id"], [F.col("km"), F.col("location_id")]))
     rows = near.orderBy("km", "home_id").offset(10).limit(40).withColumn("total", F.lit(near.count()).cast("long"))
     return _km(rows).select("home_id", "city", "km", "total")
 
@@ -312,6 +313,52 @@ def locality_ladder(spark, d):
     return locality.resolve(labels, postal(spark, d)).select("label", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
+# Labels by s_suppkey % 5: Sankt for St., a town, one place beside another, a place that two families share, a district of Vienna; each also by its plain name.
+NAMES = f"""names AS (SELECT 'P' || s_suppkey AS postal_code, CASE s_suppkey % 5 WHEN 0 THEN 'St. Ort' || s_suppkey WHEN 2 THEN 'Ört' || s_suppkey || ' an der Donau' WHEN 3 THEN 'Doppelort' || s_suppkey WHEN 4 THEN 'Železna Kapla' || s_suppkey || '-Bad' ELSE 'Ort' || s_suppkey END AS name,
+  s_suppkey AS k, 0 AS i, {LON.format(k='s_suppkey')} AS lon, {LAT.format(k='s_suppkey')} AS lat, s_suppkey % 4 AS samples FROM supplier
+UNION ALL SELECT 'Q' || s_suppkey, CASE s_suppkey % 5 WHEN 1 THEN 'Ort' || s_suppkey || '-Gnigl' ELSE 'Doppelort' || s_suppkey || ' im Tal' END, s_suppkey, 1, {LON.format(k='(s_suppkey + 7)')}, {LAT.format(k='(s_suppkey + 7)')}, 3 FROM supplier WHERE s_suppkey % 5 IN (1, 3)
+UNION ALL SELECT postal_code, name, -1, 0, lon, lat, n FROM (VALUES ('1010', 'Wien', 16.37e0, 48.2e0, 2), ('2700', 'Wiener Neustadt', 16.2e0, 47.8e0, 5), ('8055', 'Graz', 15.4e0, 47.0e0, 0), ('5280', 'Braunau', 13.0e0, 48.2e0, 1), ('5282', 'Anderswo', 13.2e0, 48.4e0, 3)) v(postal_code, name, lon, lat, n))"""
+
+
+def _names(spark, d) -> DataFrame:
+    k = F.col("s_suppkey")
+    of = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    name = F.when(k % 5 == 0, of("St. Ort", k)).when(k % 5 == 2, of("Ört", k, " an der Donau")).when(k % 5 == 3, of("Doppelort", k)).when(k % 5 == 4, of("Železna Kapla", k, "-Bad")).otherwise(of("Ort", k))
+    row = lambda code, name, at, samples: [of(code, k).alias("postal_code"), name.alias("name"), F.expr(LON.format(k=at)).alias("lon"), F.expr(LAT.format(k=at)).alias("lat"), samples.cast("int").alias("samples")]
+    first = table(spark, d, "supplier").select(*row("P", name, "s_suppkey", k % 4))
+    second = table(spark, d, "supplier").filter("s_suppkey % 5 IN (1, 3)").select(*row("Q", F.when(k % 5 == 1, of("Ort", k, "-Gnigl")).otherwise(of("Doppelort", k, " im Tal")), "(s_suppkey + 7)", F.lit(3)))
+    few = [("1010", "Wien", 16.37, 48.2, 2), ("2700", "Wiener Neustadt", 16.2, 47.8, 5), ("8055", "Graz", 15.4, 47.0, 0), ("5280", "Braunau", 13.0, 48.2, 1), ("5282", "Anderswo", 13.2, 48.4, 3)]
+    return first.unionByName(second).unionByName(spark.createDataFrame(few, "postal_code string, name string, lon double, lat double, samples int"))
+
+
+def _labels(spark, d) -> DataFrame:
+    k = F.col("s_suppkey")
+    of = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    odd = F.when(k % 5 == 0, of("SANKT  Ort", k)).when(k % 5 == 1, of("Ort", k, " Stadt")).when(k % 5 == 2, of("Ört", k, " bei Linz")).when(k % 5 == 3, of("Doppelort", k, " bei Linz")).otherwise(of("Wien ", k % 23 + 1, ". Bezirk (Ort)"))
+    direct = F.when(k % 5 == 4, of("železna kapla", k, " bad")).otherwise(of("Ort", k))
+    rows = table(spark, d, "supplier").select(F.explode(F.array(odd, direct)).alias("label"))
+    return rows.unionByName(spark.createDataFrame([("Ranshofen",), ("Puntigam",), ("Traboch",), ("Tirol",), ("Remote Austria",), ("",), (None,)], "label string"))
+
+
+FALLBACK = f"""{NAMES}, l AS (SELECT k, CASE k % 5 WHEN 0 THEN 'SANKT  Ort' || k WHEN 1 THEN 'Ort' || k || ' Stadt' WHEN 2 THEN 'Ört' || k || ' bei Linz' WHEN 4 THEN 'Wien ' || (k % 23 + 1) || '. Bezirk (Ort)' END AS label,
+  CASE k % 5 WHEN 0 THEN 'st ort' || k WHEN 1 THEN 'ort' || k WHEN 2 THEN 'ört' || k WHEN 4 THEN 'wien' END AS locality FROM names WHERE k >= 0 AND i = 0 AND k % 5 <> 3
+UNION ALL SELECT k, CASE k % 5 WHEN 4 THEN 'železna kapla' || k || ' bad' ELSE 'Ort' || k END, CASE k % 5 WHEN 4 THEN 'železna kapla' || k || ' bad' ELSE 'ort' || k END FROM names WHERE k >= 0 AND i = 0 AND k % 5 IN (1, 4)),
+h AS (SELECT DISTINCT l.label, l.locality, n.* FROM l JOIN names n ON CASE WHEN l.locality = 'wien' THEN n.name = 'Wien' ELSE n.k = l.k END UNION ALL
+  SELECT label, lower(label), n.* FROM (VALUES ('Ranshofen', '5280'), ('Ranshofen', '5282'), ('Puntigam', '8055')) v(label, code) JOIN names n ON postal_code = code)"""
+
+
+@query(f"""WITH {FALLBACK} SELECT label, locality, round(sum(lon * greatest(1, samples)) / sum(greatest(1, samples)), 6) AS lon, round(sum(lat * greatest(1, samples)) / sum(greatest(1, samples)), 6) AS lat, sum(samples)::BIGINT AS samples,
+string_agg(postal_code, ',' ORDER BY postal_code) AS codes, CASE label WHEN 'Ranshofen' THEN 'statistics_austria_locality_postal_centroid' WHEN 'Puntigam' THEN 'verified_sublocality_postal_centroid' ELSE 'locality_weighted_postal_centroid' END AS method FROM h GROUP BY label, locality""")
+def fallback_localities(spark, d):
+    rows = fallback.fall_back(_labels(spark, d), _names(spark, d))
+    return rows.select("label", "locality", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.col("samples").cast("long").alias("samples"), F.array_join("codes", ",").alias("codes"), "method")
+
+
+@query(f"""WITH {FALLBACK} SELECT label, string_agg(postal_code, ',' ORDER BY postal_code) AS codes, CASE WHEN lower(label) = locality AND label NOT IN ('Ranshofen', 'Puntigam') THEN 'ladder' ELSE 'fallback' END AS "by" FROM h GROUP BY label, locality""")
+def all_localities(spark, d):
+    return fallback.resolve_all(_labels(spark, d), _names(spark, d)).select("label", F.array_join("codes", ",").alias("codes"), "by")
+
+
 GRID = "g AS (SELECT c_custkey, (c_custkey % 40 + 1000)::VARCHAR AS postal_code, 31254 + c_custkey % 3 AS epsg, (c_custkey * 7919) % 100003 AS easting, 5200000 + (c_custkey * 104729) % 100019 AS northing FROM customer)"
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brickyard.functions.salary import PLAUSIBLE
+from brickyard.operators import locality
 
 COLUMNS = ("listing_key", "title", "url", "company", "description", "locations", "currency", "period", "salary_min", "salary_max", "identity")
 PLACE = "array<struct<city:string,postal_code:string>>"
@@ -185,16 +186,106 @@ def json_ld_posting(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["title", "company", "description", "locations", "currency", "period", "salary_min", "salary_max"])
 
 
-def personio(raw: DataFrame) -> DataFrame:
-    """Payload: one XML feed in ``language``; positions of several languages are one listing, German first if it is described."""
-    rows = raw.select("company", "base_url", "language", F.explode(position_rows("payload")).alias("j"))
-    ranked = F.struct(F.when(F.coalesce("j.description", F.lit("")) == "", 2).when(F.col("language") == "de", 0).otherwise(1).alias("r"), "language")
-    best = rows.groupBy("company", "base_url", "j.id").agg(F.min_by("j", ranked).alias("j"))
-    return _rows(best, listing_key=F.col("id"), title=F.col("j.name"), url=F.concat("base_url", F.lit("/job/"), "id"), company=F.col("company"), description=F.col("j.description"), locations=F.when(F.col("j.office").isNotNull(), F.transform(F.split("j.office", r"\s*[,/]\s*"), lambda p: F.struct(p.alias("city"), F.lit(None).cast("string").alias("postal_code")))))
+#: Languages of the feeds, the primary one first, and names of Vienna inside office labels.
+LANGUAGES = ("de", "en")
+OFFICE_ALIASES = {"vienna": "wien"}
+#: Fixed value: where a tenant's pages are if nothing else is known.
+CAREER_BASE = ".jobs.personio.com"
+OFFICE_FACTS = ("office", "subcompany", "department", "recruitingCategory", "employmentType", "seniority", "schedule", "yearsOfExperience")
+
+
+def office_places(offices: DataFrame, localities: DataFrame) -> DataFrame:
+    """office and its Austrian ``places`` (array of city and postal_code) of each distinct office label that is in Austria; others are left out.
+
+    ``localities`` has ``name``, as postal tables write it. An office is in
+    Austria if it says so or names a known locality; four digits alone are no
+    proof, since other countries write them too. Every run of words of a
+    label is looked up (an equi-join), the longest name first, and a name
+    inside a longer one doesn't count. A postal code belongs to an office of
+    one place only.
+    """
+    known = localities.select(locality.canonical(F.col("name")).alias("city")).filter(F.col("city").isNotNull()).distinct()
+    words = known.agg(F.max(F.size(F.split("city", " ")))).first()[0] or 1
+    rows = offices.select("office").filter(F.trim("office") != "").distinct().withColumn("text", F.trim(F.regexp_replace("office", r"(?U)\s+", " ")))
+    low = F.replace(F.lower("text"), F.lit("ß"), F.lit("ss"))
+    # Runs of words with one space between them, at every place and of every length a locality has.
+    spans = F.transform(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]+(?: [\p{L}\p{N}_]+)*"), 0), lambda x: F.split(x, " "))
+    runs = F.flatten(F.transform(spans, lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(words), F.size(w) - i + 1)), lambda n: F.array_join(F.slice(w, i, n), " "))))))
+    parts = F.filter(F.transform(F.split("text", "[,;/|]"), lambda p: locality.canonical(p)), lambda p: p.isNotNull())
+    alias = F.create_map(*(F.lit(x) for kv in OFFICE_ALIASES.items() for x in kv))
+    entry = lambda order, place, city: F.struct(F.lit(order).alias("order"), place.alias("at"), city.alias("city"))
+    tries = F.concat(
+        F.filter(F.array(entry(0, F.lit(0), locality.canonical(F.col("text")))), lambda x: x["city"].isNotNull()),
+        F.transform(F.filter(F.array_distinct(runs), lambda r: F.element_at(alias, r).isNotNull()), lambda r: entry(1, F.lit(0), F.element_at(alias, r))),
+        F.transform(F.array_distinct(runs), lambda r: entry(2, -F.length(r), r)),
+        F.transform(F.array_distinct(parts), lambda p: entry(3, F.array_position(F.array_distinct(parts), p).cast("int"), p)),
+    )
+    hits = rows.select("office", F.explode(tries).alias("t")).select("office", "t.*").join(known, "city")
+    found = hits.groupBy("office").agg(F.array_sort(F.collect_list(F.struct("order", "at", "city"))).alias("m"))
+    exact = F.filter("m", lambda x: x["order"] == 0)
+    inside = lambda x, i: F.exists(F.slice("m", F.lit(1), i), lambda y: y["city"].contains(x["city"]))
+    cities = F.transform(F.when(F.size(exact) > 0, exact).otherwise(F.filter("m", lambda x, i: ~inside(x, i))), lambda x: x["city"])
+    joined = rows.join(found.select("office", cities.alias("cities")), "office", "left")
+    says = low.contains("austria") | low.contains("österreich")
+    ends = lambda c, more="": F.regexp_replace(c, rf"^[ ,\-–—{more}]+|[ ,\-–—{more}]+$", "")
+    bare = ends(F.regexp_replace("text", r"(?<!\d)\d{4}(?!\d)", ""))
+    bare = ends(F.regexp_replace(bare, r"(?iU)\b(?:austria|österreich)\b", ""), "()")
+    bare = F.trim(F.when(bare.contains(","), F.substring_index(bare, ",", 1)).otherwise(bare))
+    tail = F.trim(F.substring_index(bare, " - ", -1))
+    rest = F.nullif(F.when(bare.contains(" - ") & (tail != ""), tail).otherwise(bare), F.lit(""))
+    code = F.nullif(F.regexp_extract("text", r"(?<!\d)(\d{4})(?!\d)", 1), F.lit(""))
+    cities = F.coalesce("cities", F.array(rest))
+    places = F.transform(cities, lambda c: F.struct(c.alias("city"), F.when(F.size(cities) == 1, code).alias("postal_code")))
+    return joined.filter(F.col("cities").isNotNull() | says).select("office", places.cast(PLACE).alias("places"))
+
+
+def personio(raw: DataFrame, localities: DataFrame) -> DataFrame:
+    """Payload: one XML feed of a ``tenant`` in ``language``. Positions outside Austria are left out (``office_places``).
+
+    The languages of a position are one listing: German if it is described,
+    else the first described one, else German. What other languages say
+    differently stays in ``extra_texts``. Further columns: languages,
+    described and facts (department, seniority and the like). A null base_url
+    is the tenant's usual one; a feed that is no XML has no positions.
+    """
+    base = F.coalesce(F.regexp_replace(F.nullif(F.trim("base_url"), F.lit("")), "/+$", ""), F.concat(F.lit("https://"), "tenant", F.lit(CAREER_BASE)))
+    rows = raw.select("tenant", "company", base.alias("base"), F.lower("language").alias("language"), F.explode(position_rows("payload")).alias("j")).select("tenant", "company", "base", "language", "j.*")
+    place = office_places(rows, localities)
+    rows = rows.filter((F.trim(F.coalesce("id", F.lit(""))) != "") & F.col("name").isNotNull()).join(place, "office")
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, LANGUAGES)), F.col("language")), F.lit(0))
+    rows = rows.withColumn("rank", F.when(rank > 0, rank).otherwise(len(LANGUAGES) + 1).cast("int"))
+    variant = F.struct("rank", "language", "description", F.struct("name", "places", "facts").alias("j"))
+    # One row for each language, then as many as there are languages.
+    each = rows.groupBy("tenant", "company", "base", "id", "rank", "language").agg(F.min(variant).alias("variant"))
+    one = each.groupBy("tenant", "company", "base", "id").agg(F.array_sort(F.collect_list("variant")).alias("v"))
+    described = F.filter("v", lambda x: x["description"].isNotNull())
+    best = F.when(F.size(described) > 0, described).otherwise(F.col("v"))
+    one = one.withColumns({"described": described, "first": F.get(best, F.lit(0))})
+    extra = F.array_distinct(F.filter(F.transform("described", lambda x: x["description"]), lambda t: t != F.col("first.description")))
+    listing = F.concat("tenant", F.lit(":"), "id")
+    names = lambda c: F.array_distinct(F.transform(c, lambda x: x["language"]))
+    flat = one.select(
+        listing.alias("listing_key"), F.col("first.j.name").alias("title"), F.concat("base", F.lit("/job/"), "id", F.lit("?language="), "first.language").alias("url"), "company", F.col("first.description").alias("description"),
+        F.col("first.j.places").alias("locations"), names("v").alias("languages"), names("described").alias("described"), extra.alias("extra_texts"), F.col("first.j.facts").alias("facts"),
+    )
+    more = ("languages", "described", "extra_texts", "facts")
+    jobs = _rows(flat, **{c: F.col(c) for c in ("listing_key", "title", "url", "company", "description", "locations")})
+    return jobs.join(flat.select("listing_key", *more), "listing_key")
+
+
+POSITION = T.StructType([*(T.StructField(c, T.StringType()) for c in ("id", "name", "office", "description")), T.StructField("facts", T.StructType([T.StructField(c, T.StringType()) for c in OFFICE_FACTS]))])
+_MARKUP = re.compile(r"(?s)<!--.*?-->|<[a-zA-Z/!?][^>]*>")
+
 
+def plain_text(html: str | None) -> str | None:
+    """Text of a piece of HTML in one line, references read twice, or None."""
+    text = " ".join(unescape(_MARKUP.sub(" ", html or "")).split())
+    return unescape(text) or None
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("id", "name", "office", "description")])))
+
+@F.pandas_udf(T.ArrayType(POSITION))
 def position_rows(xml: pd.Series) -> pd.Series:
+    """Positions of an XML feed; a description has its blocks' headings and texts, blocks apart by an empty line."""
     import xml.etree.ElementTree as ET
 
     def one(text: str | None):
@@ -203,8 +294,14 @@ def position_rows(xml: pd.Series) -> pd.Series:
         except ET.ParseError:
             return []
         take = lambda p, k: (p.findtext(k) or "").strip() or None
-        texts = lambda p: "\n".join(t.strip() for t in p.find("jobDescriptions").itertext() if t.strip()) if p.find("jobDescriptions") is not None else ""
-        return [{"id": take(p, "id"), "name": take(p, "name"), "office": take(p, "office"), "description": texts(p) or None} for p in root.iter("position")]
+
+        def said(p) -> str | None:
+            blocks = p.findall("jobDescriptions/jobDescription")
+            texts = ("\n".join(x for x in (take(b, "name"), plain_text(b.findtext("value"))) if x) for b in blocks)
+            return "\n\n".join(t for t in texts if t) or None
+
+        facts = lambda p: {k: take(p, k) for k in OFFICE_FACTS}
+        return [{"id": take(p, "id"), "name": take(p, "name"), "office": take(p, "office"), "description": said(p), "facts": facts(p)} for p in root.findall("position")]
 
     return xml.map(one)
 
