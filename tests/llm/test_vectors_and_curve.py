@@ -277,6 +277,9 @@ def test_word_end_pieces_equal_the_library():
     odd = [" ", "  ", "\n", "a", "Z", "é", "é", "́", "İ", "1", ".", "'", "'s", "<|endoftext|>", " ", " ", "ß", "日", "🙂", "\u0085", "½", "-", ",", "<|", "가"]
     texts = ["".join(rng.choices(odd, k=rng.randint(0, 30))) for _ in range(3000)]
     texts += [f"a{chr(c)}b {chr(c)} c{chr(c)}." for c in range(0x3100) if not 0xD800 <= c < 0xE000]
+    # Repetitive words, whose merges overlap, and words of all Latin letters in upper and lower case.
+    for letters in ("ah", "ae", "st", "xo", "haw", "ing", "äöü", "éa", "ßs", "theins", "abcdefghijklmnopqrstuvwxyz", "AbÀßÿŒĲŁſÑİı"):
+        texts += [" ".join("".join(rng.choices(letters, k=rng.randint(1, 24))) for _ in range(20)) for _ in range(100)]
     data = [t.encode() for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])])
     ids, first = own.encoded(np.frombuffer(b"".join(data), dtype=np.uint8), offsets)
