@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brickyard.checkpoints import kept
 from brickyard.functions.text import ascii_words, company_name, containment, is_generic, job_title, title_ratio
 
 from .components import components
@@ -16,53 +19,109 @@ def prepared(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("norm_title", job_title(F.col("title"))).withColumn("norm_company", company_name(F.col("company"))).withColumn("words", F.split(ascii_words(F.col("description")), " "))
 
 
-def candidate_pairs(jobs: DataFrame) -> DataFrame:
-    """Pairs left.job_id < right.job_id that any rule could call duplicates.
+#: Titles that are less alike are never duplicates; the ratio is 2 * matched characters / both lengths.
+LEAST_RATIO = 0.88
+#: Normalised titles are made of these.
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def _longest(length: Column, ratio: float) -> Column:
+    """The longest title that one of ``length`` can be alike to: all its characters are matched then."""
+    return F.floor(length * (2 - ratio) / ratio + 1e-9)
+
+
+def similar_titles(titles: DataFrame, ratio: float = LEAST_RATIO, check: Callable[[Column, Column], Column] = title_ratio) -> DataFrame:
+    """Pairs a < b of distinct titles of one company with ``ab`` and ``ba``, the ratio from either side, where either reaches ``ratio``.
 
-    Every rule needs equal companies, or equal titles where both lack one,
-    so two equi-joins lose nothing that all pairs would find.
+    ``titles``: company and title, none repeated. Matched characters are a
+    common subsequence, so with ratio t at most (1 - t) of both lengths go
+    unmatched. If x characters of a title and y of its partner do, the title
+    loses 2 x + y of its bigrams at most (``lost`` below is the worst case).
+    So two alike titles share one of the ``lost`` + 1 rarest bigrams of each,
+    numbered where they repeat: an equi-join that loses nothing. Lengths and
+    shared characters bound the ratio again before it is computed.
     """
-    columns = [c for c in jobs.columns]
+    rows = kept(titles.select("company", "title").withColumn("t", F.monotonically_increasing_id()).withColumn("n", F.length("title")))
+    # x + y <= (1 - t)(2 n - x + y), so 2 x + y is largest where y = 0: x = 2 n (1 - t) / (2 - t).
+    lost = F.floor(F.col("n") * (4 * (1 - ratio) / (2 - ratio)) + 1e-9)
+    gram = F.explode(F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.substring("title", i, F.lit(2))))
+    grams = rows.filter("n >= 2").select("t", "company", "n", gram.alias("g"))
+    # How often each bigram stands in a title; bigrams of LETTERS are some 1,400.
+    counted = grams.groupBy("t", "company", "n", "g").agg(F.count("*").alias("times"))
+    often = counted.groupBy("g").agg(F.count("*").alias("often"))
+    numbered = counted.join(F.broadcast(often), "g").select("t", "company", "n", "g", "often", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("k"))
+    rarest = Window.partitionBy("t").orderBy("often", "g", "k")
+    keys = kept(numbered.withColumn("_r", F.row_number().over(rarest)).filter(F.col("_r") <= lost + 1).select("t", "company", "n", "g", "k"))
+    # A title that may lose all its bigrams is met by its length alone.
+    side = lambda df, p: df.select(*(F.col(c).alias(f"{p}{c}") if c in ("t", "n") else F.col(c) for c in df.columns))
+    near = (F.col("a_n") <= _longest(F.col("b_n"), ratio)) & (F.col("b_n") <= _longest(F.col("a_n"), ratio)) & (F.col("a_t") != F.col("b_t"))
+    met = side(keys, "a_").join(side(keys, "b_"), ["company", "g", "k"]).filter((F.col("a_t") < F.col("b_t")) & near).select("a_t", "b_t")
+    short = rows.filter(lost + 1 > F.col("n") - 1).select("company", "t", "n")
+    by_length = side(short, "a_").join(side(rows.select("company", "t", "n"), "b_"), "company").filter(near).select(F.least("a_t", "b_t").alias("a_t"), F.greatest("a_t", "b_t").alias("b_t"))
+    counts = F.array(*(F.length("title") - F.length(F.replace("title", F.lit(c), F.lit(""))) for c in LETTERS))
+    texts = rows.select("t", "company", "title", "n", counts.alias("c"))
+    of = lambda p: texts.select(F.col("t").alias(f"{p}_t"), F.col("title").alias(p), F.col("n").alias(f"{p}_n"), F.col("c").alias(f"{p}_c"))
+    pairs = met.unionByName(by_length).distinct().join(of("a").join(rows.select(F.col("t").alias("a_t"), "company"), "a_t"), "a_t").join(of("b"), "b_t")
+    shared = F.aggregate(F.zip_with("a_c", "b_c", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    pairs = pairs.filter(2 * shared >= (F.col("a_n") + F.col("b_n")) * ratio - 1e-9)
+    scored = pairs.select("company", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).withColumn("ab", check(F.col("a"), F.col("b"))).withColumn("ba", check(F.col("b"), F.col("a")))
+    return scored.filter((F.col("ab") >= ratio) | (F.col("ba") >= ratio))
+
+
+def candidate_pairs(jobs: DataFrame, check: Callable[[Column, Column], Column] = title_ratio) -> DataFrame:
+    """Pairs l_job_id < r_job_id of prepared jobs whose titles are alike enough for any rule, with ``sim`` and all columns but the words.
+
+    Every rule needs equal companies and alike titles, or equal titles where
+    both lack a company. Alike titles are found among the distinct ones of a
+    company; jobs meet by equal titles, and by the pairs of alike ones.
+    """
+    columns = [c for c in jobs.columns if c != "words"]
+    jobs = jobs.select(*columns)
     a = jobs.select(*(F.col(c).alias(f"l_{c}") for c in columns))
     b = jobs.select(*(F.col(c).alias(f"r_{c}") for c in columns))
-    order = F.col("l_job_id") < F.col("r_job_id")
-    by_company = a.filter("l_norm_company <> ''").join(b, (F.col("l_norm_company") == F.col("r_norm_company")) & order)
-    by_title = a.filter("l_norm_company = '' AND l_norm_title <> ''").join(b.filter("r_norm_company = ''"), (F.col("l_norm_title") == F.col("r_norm_title")) & order)
-    return by_company.unionByName(by_title)
-
-
-def evidence(jobs: DataFrame, similarity: Column | None = None) -> DataFrame:
+    same = (F.col("l_norm_company") == F.col("r_norm_company")) & (F.col("l_norm_title") == F.col("r_norm_title")) & (F.col("l_norm_title") != "")
+    equal = a.join(b, same & (F.col("l_job_id") < F.col("r_job_id"))).withColumn("sim", F.lit(1.0))
+    titles = jobs.filter("norm_company <> '' AND norm_title <> ''").select(F.col("norm_company").alias("company"), F.col("norm_title").alias("title")).distinct()
+    alike = similar_titles(titles, check=check)
+    both = alike.select("company", F.col("a").alias("_l"), F.col("b").alias("_r"), F.col("ab").alias("sim")).unionByName(alike.select("company", F.col("b").alias("_l"), F.col("a").alias("_r"), F.col("ba").alias("sim")))
+    both = both.filter(F.col("sim") >= LEAST_RATIO)
+    left = a.join(both, (F.col("l_norm_company") == F.col("company")) & (F.col("l_norm_title") == F.col("_l")))
+    right = left.join(b, (F.col("company") == F.col("r_norm_company")) & (F.col("_r") == F.col("r_norm_title")) & (F.col("l_job_id") < F.col("r_job_id")))
+    return equal.unionByName(right.select(*equal.columns))
+
+
+def evidence(jobs: DataFrame, check: Callable[[Column, Column], Column] = title_ratio) -> DataFrame:
     """left_id, right_id, confidence (high or medium) and the measures of duplicate pairs.
 
     ``jobs`` has job_id, title, company, description and the arrays postal,
-    cities and sources. ``similarity`` replaces the title ratio (columns
-    l_norm_title and r_norm_title).
+    cities and sources. ``check`` gives the ratio of two different titles.
+    Descriptions are joined to pairs whose places don't conflict.
     """
-    pairs = candidate_pairs(prepared(jobs))
-    title = similarity if similarity is not None else title_ratio(F.col("l_norm_title"), F.col("r_norm_title"))
+    rows = prepared(jobs)
+    words = rows.select("job_id", "words")
+    pairs = candidate_pairs(rows.drop("description", "title", "company"), check)
     overlap = lambda c: F.arrays_overlap(f"l_{c}", f"r_{c}")
     some = lambda c: F.size(c) > 0
     no_postal = (F.size("l_postal") == 0) & (F.size("r_postal") == 0)
-    rows = (
-        pairs.withColumn("sim", title)
-        .withColumn("desc_sim", containment(F.col("l_words"), F.col("r_words")))
-        .withColumn("company_match", F.col("l_norm_company") != "")
+    pairs = (
+        pairs.withColumn("company_match", F.col("l_norm_company") != "")
         .withColumn("location_match", F.coalesce(overlap("postal"), F.lit(False)) | F.coalesce(overlap("cities"), F.lit(False)))
         .withColumn("postal_conflict", some("l_postal") & some("r_postal") & ~F.coalesce(overlap("postal"), F.lit(False)))
         .withColumn("city_conflict", no_postal & some("l_cities") & some("r_cities") & ~F.coalesce(overlap("cities"), F.lit(False)))
         .withColumn("generic", is_generic(F.col("l_norm_title")) & is_generic(F.col("r_norm_title")))
         .withColumn("shared_source", F.coalesce(overlap("sources"), F.lit(False)))
-        .filter(~F.col("postal_conflict") & ~F.col("city_conflict"))
+        .filter(~F.col("postal_conflict") & ~F.col("city_conflict") & (F.col("company_match") | F.col("location_match")))
+        .select(F.col("l_job_id").alias("left_id"), F.col("r_job_id").alias("right_id"), "sim", "company_match", "location_match", "generic", "shared_source")
     )
+    pairs = pairs.join(words.select(F.col("job_id").alias("left_id"), F.col("words").alias("l_words")), "left_id").join(words.select(F.col("job_id").alias("right_id"), F.col("words").alias("r_words")), "right_id")
+    rows = pairs.withColumn("desc_sim", containment(F.col("l_words"), F.col("r_words")))
     c, s, d = F.col("company_match"), F.col("sim"), F.col("desc_sim")
     cross = c & (((s >= 0.94) & F.col("location_match")) | ((s >= 0.98) & (d >= 0.72)) | ((s == 1.0) & ~F.col("generic")))
     same = c & (s >= 0.94) & (d >= F.when(F.col("generic"), 0.95).otherwise(0.82))
     high = F.when(F.col("shared_source"), same).otherwise(cross)
-    medium = (c & (s >= 0.88)) | (~c & (s == 1.0) & F.col("location_match"))
+    medium = (c & (s >= LEAST_RATIO)) | (~c & (s == 1.0) & F.col("location_match"))
     confidence = F.when(high, "high").when(medium, "medium")
-    return rows.withColumn("confidence", confidence).filter(F.col("confidence").isNotNull()).select(
-        F.col("l_job_id").alias("left_id"), F.col("r_job_id").alias("right_id"), "confidence", "sim", "desc_sim", "location_match", "generic", "shared_source"
-    )
+    return rows.withColumn("confidence", confidence).filter(F.col("confidence").isNotNull()).select("left_id", "right_id", "confidence", "sim", "desc_sim", "location_match", "generic", "shared_source")
 
 
 def merge_groups(edges: DataFrame) -> DataFrame:

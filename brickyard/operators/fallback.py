@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .locality import Places, canonical, prefixes, resolve, weighted_centroids
+from brickyard.checkpoints import kept
+
+from .locality import Places, canonical, let, prefixes, resolve, weighted_centroids
 
 #: How a point was found, and where from.
 METHOD = "locality_weighted_postal_centroid"
@@ -45,15 +47,18 @@ def attempts(label: Column, places: Places = Places()) -> Column:
     Vienna and "X Stadt" is X, and both end there; "X bei Y" is X only if
     postal names know one X.
     """
-    words = canonical(label, places)
-    saint = F.regexp_replace(words, "^sankt ", "st ")
-    district = words.rlike(r"^wien \d{1,2} ?bezirk( .*)?$")
-    town = F.regexp_extract(words, "^(.+?) stadt$", 1)
-    beside = canonical(F.regexp_extract(words, "^(.+?) bei .+$", 1), places)
     step = lambda n, name: F.struct(F.lit(n).alias("step"), name.alias("locality"))
-    first = F.array(step(DIRECT, words), step(SAINT, F.when(saint != words, saint)))
-    last = F.when(district, step(DISTRICT, F.lit("wien"))).when(town != "", step(TOWN, town)).otherwise(step(BESIDE, beside))
-    return F.when(words.isNotNull(), F.filter(F.array_append(first, last), lambda x: x["locality"].isNotNull()))
+
+    def rules(words: Column) -> Column:
+        saint = F.regexp_replace(words, "^sankt ", "st ")
+        district = words.rlike(r"^wien \d{1,2} ?bezirk( .*)?$")
+        town = F.regexp_extract(words, "^(.+?) stadt$", 1)
+        beside = canonical(F.regexp_extract(words, "^(.+?) bei .+$", 1), places)
+        last = F.when(district, step(DISTRICT, F.lit("wien"))).when(town != "", step(TOWN, town)).otherwise(step(BESIDE, beside))
+        tries = F.array(step(DIRECT, words), step(SAINT, F.when(saint != words, saint)), last)
+        return F.when(words.isNotNull(), F.filter(tries, lambda x: x["locality"].isNotNull()))
+
+    return let(canonical(label, places), rules)
 
 
 def fall_back(labels: DataFrame, postal: DataFrame, members: DataFrame | None = None, places: Places = Places()) -> DataFrame:
@@ -86,7 +91,7 @@ def fall_back(labels: DataFrame, postal: DataFrame, members: DataFrame | None =
 def resolve_all(labels: DataFrame, postal: DataFrame, members: DataFrame | None = None, places: Places = Places()) -> DataFrame:
     """label, lon, lat, samples, codes and ``by`` (ladder or fallback): the ladder first, and the cascade over what it leaves."""
     columns = ["label", "lon", "lat", "samples", "codes"]
-    found = resolve(labels, postal, places)
+    found = kept(resolve(labels, postal, places))
     rest = labels.select("label").distinct().join(found.select("label"), "label", "left_anti")
     more = fall_back(rest, postal, members, places)
     return found.select(*columns, F.lit("ladder").alias("by")).unionByName(more.select(*columns, F.lit("fallback").alias("by")))

@@ -35,37 +35,39 @@ def is_scope(label: Column, places: Places = Places()) -> Column:
     return words.isin(*places.scopes) | words.rlike("^bezirk ")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, so that nested rules don't repeat each other's expressions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def canonical(label: Column, places: Places = Places()) -> Column:
     """A label's locality in normal words, or null for a scope."""
-    out = words = locality_words(label)
-    for alias, name in places.aliases.items():
-        out = F.when(words == alias, F.lit(name)).otherwise(out)
-    return F.when((words != "") & ~is_scope(label, places), out)
+    known = F.create_map(*(F.lit(x) for pair in places.aliases.items() for x in pair))
+    scope = lambda w: w.isin(*places.scopes) | w.rlike("^bezirk ")
+    return let(locality_words(label), lambda w: F.when((w != "") & ~scope(w), F.coalesce(F.element_at(known, w), w)))
 
 
 def components_of(label: Column, places: Places = Places()) -> Column:
     """The localities a label stands for, null if it is none: anchors ("südlich von X", "X Umgebung"), named regions, "Großraum A, B"."""
-    whole = F.lower(F.trim(label))
-    raw = F.trim(F.regexp_replace(whole, r"(?:\s*,\s*|\s+)(?:austria|österreich)$", ""))
-    words = locality_words(raw)
-    direction = F.regexp_extract(raw, r"^(?:nördlich|südlich|östlich|westlich|noerdlich|suedlich|oestlich) von (.+)$", 1)
-    around = F.regexp_extract(raw, r"^(?:raum\s+)?(.+?)\s+(?:und\s+)?umgebung$", 1)
-    room = F.regexp_extract(raw, r"^raum\s+(.+)$", 1)
-    area = F.regexp_extract(raw, r"^(?:großraum|grossraum)\s+(.+)$", 1)
-    parts = F.transform(F.split(area, r"\s*[,;/]\s*"), lambda x: canonical(x, places))
-    region = F.lit(None).cast("array<string>")
-    for name, members in places.regions.items():
-        region = F.when(words == name, F.array(*map(F.lit, members))).otherwise(region)
-    one = lambda x: F.when(canonical(x, places).isNotNull(), F.array(canonical(x, places)))
-    return (
-        F.when(direction != "", one(direction))
-        .when(region.isNotNull(), region)
-        .when(around != "", one(around))
-        .when(room != "", one(room))
-        .when((area != "") & (F.size(parts) >= 2), F.when(~F.exists(parts, lambda x: x.isNull()), F.array_distinct(parts)))
-        .when(area != "", F.lit(None).cast("array<string>"))
-        .otherwise(one(label))
-    )
+    raw = F.trim(F.regexp_replace(F.lower(F.trim(label)), r"(?:\s*,\s*|\s+)(?:austria|österreich)$", ""))
+    region = F.create_map(*(x for name, members in places.regions.items() for x in (F.lit(name), F.array(*map(F.lit, members)))))
+    none = F.lit(None).cast("array<string>")
+    one = lambda x: let(canonical(x, places), lambda c: F.when(c.isNotNull(), F.array(c)))
+
+    def several(area: Column) -> Column:
+        parts = F.transform(F.split(area, r"\s*[,;/]\s*"), lambda x: canonical(x, places))
+        return let(parts, lambda p: F.when((F.size(p) >= 2) & ~F.exists(p, lambda x: x.isNull()), F.array_distinct(p)).otherwise(none))
+
+    def rules(r: Column) -> Column:
+        direction = F.regexp_extract(r, r"^(?:nördlich|südlich|östlich|westlich|noerdlich|suedlich|oestlich) von (.+)$", 1)
+        around = F.regexp_extract(r, r"^(?:raum\s+)?(.+?)\s+(?:und\s+)?umgebung$", 1)
+        room = F.regexp_extract(r, r"^raum\s+(.+)$", 1)
+        area = F.regexp_extract(r, r"^(?:großraum|grossraum)\s+(.+)$", 1)
+        named = F.element_at(region, locality_words(r))
+        return F.when(direction != "", one(direction)).when(named.isNotNull(), named).when(around != "", one(around)).when(room != "", one(room)).when(area != "", several(area)).otherwise(none)
+
+    single = r"^(?:(?:nördlich|südlich|östlich|westlich|noerdlich|suedlich|oestlich) von .+|.+\s+umgebung|raum\s+.+|(?:großraum|grossraum)\s+.+)$"
+    return let(raw, lambda r: F.when(r.rlike(single) | F.element_at(region, locality_words(r)).isNotNull(), rules(r)).otherwise(one(label)))
 
 
 def name_matches(name: Column, locality: Column) -> Column:

@@ -153,33 +153,61 @@ def gate_reasons(spark, d):
     return rows.groupBy("reason").agg(F.count("*").alias("n"))
 
 
-SNAPSHOT = """s AS (SELECT p_partkey AS job_id, p_name AS title, CASE WHEN p_size % 10 = 0 THEN '' ELSE p_brand || ' ' || (p_partkey % 40) END AS company, p_type AS description,
-  CASE WHEN p_size % 3 > 0 THEN [(p_size % 5)::VARCHAR] ELSE []::VARCHAR[] END AS postal, [p_type] AS cities, ['s' || (p_partkey % 3)] AS sources FROM part)"""
+# Titles that differ by a letter, a word or a mark, descriptions that hold each other's words in part, and too short ones.
+ENDINGS = (" engineer berlin", " engineers berlin", " engineer in berlin", " enginer berlim", " (m/w/d)")
+WORDS = [f"w{i}" for i in range(16)]
+DESCRIPTIONS = (WORDS[:14], WORDS[:11] + ["x", "y", "z"], WORDS[:5], WORDS)
+SNAPSHOT = f"""s AS (SELECT p_partkey AS job_id, CASE WHEN p_partkey % 6 = 5 THEN 'senior ' || p_name || '{ENDINGS[0]}' ELSE p_name || [{", ".join(f"'{e}'" for e in ENDINGS)}][p_partkey % 6 + 1] END AS title, CASE WHEN p_size % 10 = 0 THEN '' ELSE p_brand || ' ' || (p_size % 8) END AS company,
+  [{", ".join(f"'{' '.join(w)}'" for w in DESCRIPTIONS)}][p_size % 4 + 1] AS description, CASE WHEN p_size % 3 > 0 THEN [(p_partkey % 2)::VARCHAR] ELSE []::VARCHAR[] END AS postal, [p_type] AS cities, ['s' || (p_partkey % 3)] AS sources FROM part),
+n AS (SELECT *, trim(regexp_replace(replace(lower(title), '(m/w/d)', ' '), '[^a-z0-9]+', ' ', 'g')) AS t, trim(regexp_replace(lower(company), '[^a-z0-9]+', ' ', 'g')) AS c, list_distinct(string_split(description, ' ')) AS w FROM s)"""
+# The longest common block of two ranges (the first in the left, then in the right text), then the same left and right of it; the ratio is twice all blocks over both lengths.
+BLOCK = """list_max(flatten(list_transform(range(alo, ahi), lambda i: list_transform(range(blo, bhi), lambda j: struct_pack(k := len(list_filter(range(1, least(ahi - i, bhi - j) + 1), lambda x: substr(a, i + 1, x) = substr(b, j + 1, x))), i := -i, j := -j)))))"""
+RATIOS = f"""u AS (SELECT DISTINCT l.t AS a, r.t AS b FROM n l JOIN n r ON l.c = r.c AND l.c <> '' AND l.job_id < r.job_id AND l.t <> r.t AND l.t <> '' AND r.t <> ''),
+seg AS (SELECT a, b, alo, ahi, blo, bhi, {BLOCK} AS m FROM (SELECT a, b, 0::BIGINT AS alo, length(a) AS ahi, 0::BIGINT AS blo, length(b) AS bhi FROM u)
+UNION ALL SELECT a, b, alo, ahi, blo, bhi, {BLOCK} AS m FROM (SELECT a, b, unnest([{{'alo': alo, 'ahi': -m.i, 'blo': blo, 'bhi': -m.j}}, {{'alo': -m.i + m.k, 'ahi': ahi, 'blo': -m.j + m.k, 'bhi': bhi}}], recursive := true) FROM seg WHERE m.k > 0) WHERE alo < ahi AND blo < bhi),
+ratio AS (SELECT a, b, 2e0 * sum(m.k) / (length(a) + length(b)) AS sim FROM seg GROUP BY a, b)"""
 
 
 def snapshots(spark, d) -> DataFrame:
     size, k = F.col("p_size"), F.col("p_partkey")
+    of = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n + 1).cast("int"))
+    title = F.when(k % 6 == 5, F.concat(F.lit("senior "), "p_name", F.lit(ENDINGS[0]))).otherwise(F.concat("p_name", of((*ENDINGS, ""), k % 6)))
     return table(spark, d, "part").select(
-        k.alias("job_id"), F.col("p_name").alias("title"), F.when(size % 10 == 0, "").otherwise(F.concat("p_brand", F.lit(" "), (k % 40).cast("string"))).alias("company"), F.col("p_type").alias("description"),
-        F.when(size % 3 > 0, F.array((size % 5).cast("string"))).otherwise(F.array().cast("array<string>")).alias("postal"), F.array("p_type").alias("cities"), F.array(F.concat(F.lit("s"), (k % 3).cast("string"))).alias("sources"),
+        k.alias("job_id"), title.alias("title"), F.when(size % 10 == 0, "").otherwise(F.concat("p_brand", F.lit(" "), (size % 8).cast("string"))).alias("company"), of([" ".join(w) for w in DESCRIPTIONS], size % 4).alias("description"),
+        F.when(size % 3 > 0, F.array((k % 2).cast("string"))).otherwise(F.array().cast("array<string>")).alias("postal"), F.array("p_type").alias("cities"), F.array(F.concat(F.lit("s"), (k % 3).cast("string"))).alias("sources"),
     )
 
 
-@query(f"""WITH {SNAPSHOT}, n AS (SELECT *, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS t, trim(regexp_replace(lower(company), '[^a-z0-9]+', ' ', 'g')) AS c FROM s),
-p AS (SELECT l.job_id AS left_id, r.job_id AS right_id, l.c <> '' AS cm, (l.t = r.t AND l.t <> '')::INT AS sim, len(list_intersect(l.postal, r.postal)) > 0 OR len(list_intersect(l.cities, r.cities)) > 0 AS loc,
-  len(string_split(l.t, ' ')) <= 2 AS generic, l.sources = r.sources AS same,
+@query(f"""WITH RECURSIVE {SNAPSHOT}, {RATIOS},
+p AS (SELECT l.job_id AS left_id, r.job_id AS right_id, l.c <> '' AS cm, CASE WHEN l.t = r.t THEN 1e0 ELSE sim END AS sim, len(list_intersect(l.postal, r.postal)) > 0 OR len(list_intersect(l.cities, r.cities)) > 0 AS loc,
+  CASE WHEN least(len(l.w), len(r.w)) < 12 THEN 0e0 ELSE len(list_intersect(l.w, r.w))::DOUBLE / least(len(l.w), len(r.w)) END AS d,
+  len(string_split(l.t, ' ')) <= 2 AND len(string_split(r.t, ' ')) <= 2 AS generic, l.sources = r.sources AS same,
   (len(l.postal) > 0 AND len(r.postal) > 0 AND len(list_intersect(l.postal, r.postal)) = 0) OR (len(l.postal) = 0 AND len(r.postal) = 0 AND len(list_intersect(l.cities, r.cities)) = 0) AS conflict
-  FROM n l JOIN n r ON l.job_id < r.job_id AND ((l.c <> '' AND l.c = r.c) OR (l.c = '' AND r.c = '' AND l.t = r.t AND l.t <> ''))),
-k AS (SELECT *, CASE WHEN NOT same AND cm AND ((sim = 1 AND loc) OR (sim = 1 AND NOT generic)) THEN 'high' WHEN (cm AND sim = 1) OR (NOT cm AND sim = 1 AND loc) THEN 'medium' END AS confidence FROM p WHERE NOT conflict)
-SELECT left_id, right_id, confidence FROM k WHERE confidence IS NOT NULL""")
+  FROM n l JOIN n r ON l.job_id < r.job_id AND l.c = r.c AND (l.c <> '' OR l.t = r.t) LEFT JOIN ratio ON a = l.t AND b = r.t),
+k AS (SELECT *, CASE WHEN cm AND same AND sim >= 0.94 AND d >= CASE WHEN generic THEN 0.95 ELSE 0.82 END THEN 'high' WHEN cm AND NOT same AND ((sim >= 0.94 AND loc) OR (sim >= 0.98 AND d >= 0.72) OR (sim = 1 AND NOT generic)) THEN 'high'
+  WHEN (cm AND sim >= 0.88) OR (NOT cm AND sim = 1 AND loc) THEN 'medium' END AS confidence FROM p WHERE NOT conflict)
+SELECT left_id, right_id, confidence, round(sim, 6) AS sim, round(d, 6) AS desc_sim FROM k WHERE confidence IS NOT NULL""")
 def duplicate_pairs(spark, d):
-    equal = ((F.col("l_norm_title") == F.col("r_norm_title")) & (F.col("l_norm_title") != "")).cast("double")
-    return dedupe.evidence(snapshots(spark, d), similarity=equal).select("left_id", "right_id", "confidence")
+    return dedupe.evidence(snapshots(spark, d)).select("left_id", "right_id", "confidence", F.round("sim", 6).alias("sim"), F.round("desc_sim", 6).alias("desc_sim"))
+
+
+@query(f"""WITH RECURSIVE {SNAPSHOT}, {RATIOS}, p AS (SELECT DISTINCT l.c AS company, l.t AS a, r.t AS b FROM n l JOIN n r ON l.c = r.c AND l.c <> '' AND l.t < r.t AND l.t <> ''),
+v AS (SELECT company, p.a, p.b, round(x.sim, 6) AS ab FROM p JOIN (SELECT a, b, sim FROM ratio UNION SELECT b, a, sim FROM ratio) x ON x.a = p.a AND x.b = p.b)
+SELECT company, a, b FROM v GROUP BY ALL HAVING max(ab) >= 0.88""")
+def alike_titles(spark, d):
+    rows = dedupe.prepared(snapshots(spark, d)).filter("norm_company <> '' AND norm_title <> ''")
+    return dedupe.similar_titles(rows.select(F.col("norm_company").alias("company"), F.col("norm_title").alias("title")).distinct()).select("company", "a", "b")
 
 
 @query()
 def duplicate_pairs_fuzzy(spark, d):
-    return dedupe.evidence(snapshots(spark, d))
+    # Texts as the table has them: each brand's names in 40 companies.
+    size, k = F.col("p_size"), F.col("p_partkey")
+    rows = table(spark, d, "part").select(
+        k.alias("job_id"), F.col("p_name").alias("title"), F.when(size % 10 == 0, "").otherwise(F.concat("p_brand", F.lit(" "), (k % 40).cast("string"))).alias("company"), F.col("p_type").alias("description"),
+        F.when(size % 3 > 0, F.array((size % 5).cast("string"))).otherwise(F.array().cast("array<string>")).alias("postal"), F.array("p_type").alias("cities"), F.array(F.concat(F.lit("s"), (k % 3).cast("string"))).alias("sources"),
+    )
+    return dedupe.evidence(rows)
 
 
 # Chains of 50 customers at most, as many as the table has.
