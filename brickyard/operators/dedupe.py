@@ -212,12 +212,14 @@ def twin_homes(homes: DataFrame) -> DataFrame:
     rows = homes.withColumn("t", ascii_words(F.col("title"), ampersand=False)).filter(
         F.col("postal_code").rlike("^[0-9]{4}$") & F.col("price").isNotNull() & (F.length("t") >= 28) & (F.size(F.split("t", " ")) >= 5)
     )
-    one = rows.groupBy("home_id", "postal_code", "price", "t").agg(F.collect_set("source").alias("sources"), F.max("living").alias("living"), F.max("plot").alias("plot"))
-    groups = one.groupBy("postal_code", "price", "t").agg(F.array_sort(F.collect_list(F.struct("home_id", "sources", "living", "plot"))).alias("m")).filter(F.size("m") == 2)
-    a, b = (F.get("m", F.lit(i)) for i in (0, 1))
-    alone = (F.size(a["sources"]) == 1) & (F.size(b["sources"]) == 1) & (F.get(a["sources"], F.lit(0)) != F.get(b["sources"], F.lit(0)))
-    agree = areas_agree(a["living"], b["living"], True) & areas_agree(a["plot"], b["plot"], True)
-    return groups.filter(alone & agree).select(a["home_id"].alias("left_id"), b["home_id"].alias("right_id"), "postal_code", "price")
+    key = ["postal_code", "price", "t"]
+    one = rows.groupBy("home_id", *key).agg(F.min("source").alias("source"), (F.min("source") == F.max("source")).alias("alone"), F.max("living").alias("living"), F.max("plot").alias("plot"))
+    # Two homes of a group are its smallest and its largest, so no group is gathered.
+    home = F.struct("home_id", "source", "alone", "living", "plot")
+    groups = one.groupBy(*key).agg(F.count("*").alias("n"), F.min(home).alias("a"), F.max(home).alias("b")).filter("n = 2")
+    alone = F.col("a.alone") & F.col("b.alone") & (F.col("a.source") != F.col("b.source"))
+    agree = areas_agree(F.col("a.living"), F.col("b.living"), True) & areas_agree(F.col("a.plot"), F.col("b.plot"), True)
+    return groups.filter(alone & agree).select(F.col("a.home_id").alias("left_id"), F.col("b.home_id").alias("right_id"), "postal_code", "price")
 
 
 def split_identities(listings: DataFrame) -> DataFrame:

@@ -72,17 +72,20 @@ def orphaned(entities: DataFrame, listings: DataFrame, key: str) -> DataFrame:
     return entities.filter(F.col("status") == "ACTIVE").join(listings.filter(F.col("status") == "ACTIVE").select(key), key, "left_anti")
 
 
-def run_kind(now: Column, *, interval_hours: Column, poll_minutes: Column, last_attempt: Column, last_reconciliation: Column, last_incremental: Column, retry_minutes: int = 60) -> Column:
+def run_kind(now: Column, *, interval_hours: Column, poll_minutes: Column, last_attempt: Column, last_reconciliation: Column, last_incremental: Column, enabled: Column | None = None, retry_minutes: int = 180) -> Column:
     """``reconciliation``, ``incremental`` or null for a source at ``now``.
 
-    A reconciliation is due if its interval has passed and its last attempt
-    is long enough ago; else the poll interval counts from the later scan.
+    A disabled source has none. A reconciliation is due if its interval has
+    passed and its last attempt is long enough ago; an interval that is null,
+    0 or less means that the source has no reconciliations. Else the poll
+    interval (a minute at least) counts from the later scan.
     """
     minutes = lambda t: (F.unix_timestamp(now) - F.unix_timestamp(t)) / 60
-    over = interval_hours.isNotNull() & (last_reconciliation.isNull() | (minutes(last_reconciliation) >= interval_hours * 60))
-    rested = last_attempt.isNull() | (minutes(last_attempt) >= retry_minutes)
+    over = F.coalesce(interval_hours > 0, F.lit(False)) & (last_reconciliation.isNull() | (minutes(last_reconciliation) >= interval_hours * 60))
+    rested = last_attempt.isNull() | (minutes(last_attempt) >= max(1, retry_minutes))
     last = F.greatest(last_reconciliation, last_incremental)
-    return F.when(over & rested, "reconciliation").when(last.isNull() | (minutes(last) >= poll_minutes), "incremental")
+    kind = F.when(over & rested, "reconciliation").when(last.isNull() | (minutes(last) >= F.greatest(F.lit(1), poll_minutes)), "incremental")
+    return kind if enabled is None else F.when(F.coalesce(enabled, F.lit(False)), kind)
 
 
 def source_state(now: Column, *, enabled: Column, run_status: Column, run_coverage: Column, failing_shards: Column, last_success: Column, poll_minutes: Column) -> Column:

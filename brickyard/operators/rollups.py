@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brickyard.checkpoints import kept
+
 
 def geo_coverage(rows: DataFrame, key: str) -> DataFrame:
     """Rows, rows with a point, their share (0.0 for no rows) and distinct keys with a point."""
@@ -66,9 +68,34 @@ def concept_counts(concepts: DataFrame, evidence: DataFrame) -> DataFrame:
     return joined.select("kind", "slug", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("jobs", "primary_rows", "context_rows")))
 
 
+def exact_median(rows: DataFrame, column: str) -> DataFrame:
+    """One row with ``median``, exact: the mean of the two middle values; null without values.
+
+    Equal values become one with a count, the distinct ones are sorted by
+    ranges, and the ranges' counts tell which one or two hold the middle, so
+    only those are put in order.
+    """
+    value = F.col(f"`{column}`")
+    counts = rows.filter(value.isNotNull()).groupBy(value.alias("v")).agg(F.count("*").alias("n"))
+    parts = kept(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    # One row for each range.
+    ranges = parts.groupBy("part").agg(F.sum("n").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.withColumns({"before": before, "all": F.sum("n").over(Window.partitionBy())})
+    ranges = ranges.withColumns({"low": F.floor((F.col("all") - 1) / 2), "high": F.floor(F.col("all") / 2)})
+    middle = ranges.filter((F.col("before") <= F.col("high")) & (F.col("before") + F.col("n") > F.col("low"))).select("part", "before", "low", "high")
+    inside = parts.join(F.broadcast(middle), "part").withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    at = lambda rank: F.min(F.when(F.col("upto") > F.col(rank), F.col("v")))
+    return inside.agg(((at("low").cast("double") + at("high").cast("double")) / 2).alias("median"))
+
+
 def distribution(rows: DataFrame, *columns: str) -> DataFrame:
-    """Mean and exact median of columns over rows that have them."""
-    return rows.agg(F.count("*").alias("n"), *(x for c in columns for x in (F.avg(c).alias(f"{c}_mean"), F.median(c).alias(f"{c}_median"))))
+    """Mean and exact median of columns over rows that have them, and the number of rows."""
+    out = rows.agg(F.count("*").alias("n"), *(F.avg(c).alias(f"{c}_mean") for c in columns))
+    for c in columns:
+        out = out.unionByName(exact_median(rows, c).withColumnRenamed("median", f"{c}_median"), allowMissingColumns=True)
+    # Each value stands in one of the rows.
+    return out.agg(*(F.max(c).alias(c) for c in ("n", *(f"{c}_{what}" for c in columns for what in ("mean", "median")))))
 
 
 def purge_check(listings: DataFrame, source_id) -> DataFrame:
@@ -89,20 +116,59 @@ def source_stats(listings: DataFrame) -> DataFrame:
     latest_run_id, structured_pay, annual_pay, pay_text (booleans of the job).
     """
     active = F.col("status") == "ACTIVE"
-    relevant = active & F.coalesce("accepted", F.lit(False))
+    accepted = F.coalesce("accepted", F.lit(False))
+    relevant = active & accepted
     now = F.coalesce(F.col("seen_run_id") == F.col("latest_run_id"), F.lit(False))
-    jobs = lambda cond: F.count_distinct(F.when(cond, F.col("job_id")))
-    return listings.groupBy("source_id").agg(
-        F.count("*").alias("listings"), F.count_if(active).alias("active"), F.count_if(relevant).alias("relevant"), jobs(active).alias("active_jobs"), jobs(relevant).alias("relevant_jobs"),
-        F.count_if(now).alias("seen"), F.count_if(now & F.coalesce("accepted", F.lit(False))).alias("seen_relevant"),
-        jobs(relevant & F.col("structured_pay")).alias("structured_pay"), jobs(relevant & F.col("annual_pay")).alias("annual_pay"), jobs(relevant & F.col("pay_text")).alias("pay_text"),
+    some = lambda cond: F.coalesce(F.bool_or(cond), F.lit(False))
+    # Each job once for a source, so that jobs are counted without a set of them.
+    jobs = listings.groupBy("source_id", "job_id").agg(
+        F.count("*").alias("listings"), F.count_if(active).alias("active"), F.count_if(relevant).alias("relevant"), F.count_if(now).alias("seen"), F.count_if(now & accepted).alias("seen_relevant"),
+        some(active).alias("j_active"), some(relevant).alias("j_relevant"), *(some(relevant & F.col(c)).alias(f"j_{c}") for c in ("structured_pay", "annual_pay", "pay_text")),
     )
+    count = lambda c, name: F.count_if(F.col(c) & F.col("job_id").isNotNull()).alias(name)
+    return jobs.groupBy("source_id").agg(
+        *(F.sum(c).alias(c) for c in ("listings", "active", "relevant")), count("j_active", "active_jobs"), count("j_relevant", "relevant_jobs"), F.sum("seen").alias("seen"), F.sum("seen_relevant").alias("seen_relevant"),
+        *(count(f"j_{c}", c) for c in ("structured_pay", "annual_pay", "pay_text")),
+    )
+
+
+def tenant_counts(listings: DataFrame) -> DataFrame:
+    """source_id, tenant, active and relevant listings of each tenant that has active ones.
+
+    A listing's tenant is ``region:site`` of its feed, or its feed's tenant,
+    or ``unknown``. ``listings``: source_id, status, accepted, site, region, tenant.
+    """
+    given = lambda c: F.nullif(F.col(c), F.lit(""))
+    site = F.concat(F.coalesce(given("region"), F.lit("unknown")), F.lit(":"), given("site"))
+    rows = listings.filter(F.col("status") == "ACTIVE").withColumn("tenant", F.coalesce(site, given("tenant"), F.lit("unknown")))
+    return rows.groupBy("source_id", "tenant").agg(F.count("*").alias("active"), F.count_if(F.coalesce("accepted", F.lit(False))).alias("relevant"))
+
+
+def location_coverage(listings: DataFrame, locations: DataFrame) -> DataFrame:
+    """Per source, of the places of its relevant jobs: places, with a point, with a code, by city alone, and without a point.
+
+    ``listings`` as for ``source_stats``; ``locations``: job_id, postal_code,
+    city, lon. A job counts once for a source.
+    """
+    relevant = listings.filter((F.col("status") == "ACTIVE") & F.coalesce("accepted", F.lit(False))).select("source_id", "job_id").distinct()
+    point = F.col("lon").isNotNull()
+    return relevant.join(locations, "job_id").groupBy("source_id").agg(
+        F.count("*").alias("places"), F.count_if(point).alias("geo_resolved"), F.count_if(F.coalesce("postal_code", F.lit("")) != "").alias("postal_resolved"),
+        F.count_if(point & F.col("postal_code").isNull() & F.col("city").isNotNull()).alias("city_approx"), F.count_if(~point).alias("unresolved"),
+    )
+
+
+def unresolved_texts(listings: DataFrame, locations: DataFrame, k: int = 30) -> DataFrame:
+    """Per source the ``k`` texts that most places of relevant jobs without a point have (ties by the text): source_id, rank, location_text and n."""
+    relevant = listings.filter((F.col("status") == "ACTIVE") & F.coalesce("accepted", F.lit(False))).select("source_id", "job_id").distinct()
+    rows = relevant.join(locations.filter(F.col("lon").isNull() & (F.coalesce("location_text", F.lit("")) != "")), "job_id")
+    counts = rows.groupBy("source_id", "location_text").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("source_id").orderBy(F.col("n").desc(), "location_text")
+    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("source_id", "rank", "location_text", "n")
 
 
 def top_concepts(evidence: DataFrame, k: int) -> DataFrame:
     """The ``k`` concepts of each kind with most jobs: kind, slug, jobs and rank."""
-    from pyspark.sql import Window
-
     counts = evidence.groupBy("kind", "slug").agg(F.count_distinct("job_id").alias("jobs"))
     order = Window.partitionBy("kind").orderBy(F.col("jobs").desc(), F.col("slug"))
     return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 
 from brickyard.functions.text import ascii_words, german_decimal, visible_text
 
+from . import archives
+
 HOME = T.StructType([
     *(T.StructField(c, T.StringType()) for c in ("listing_key", "title", "description")), T.StructField("price", T.DecimalType(12, 2)), T.StructField("living", T.DecimalType(10, 2)),
     T.StructField("plot", T.DecimalType(12, 2)), *(T.StructField(c, T.StringType()) for c in ("postal_code", "city")),
@@ -109,11 +111,26 @@ def postal_names(raw: DataFrame) -> DataFrame:
 ADDRESS_COLUMNS = ("PLZ", "RW", "HW", "EPSG")
 
 
+def address_rows(rows: DataFrame) -> DataFrame:
+    """postal_code, easting, northing and epsg of rows of text in ADDRESS_COLUMNS; ``#`` is missing."""
+    number = lambda c: F.replace(F.nullif(F.trim(F.col(c)), F.lit("#")), F.lit(","), F.lit(".")).try_cast("double")
+    return rows.select(F.trim("PLZ").alias("postal_code"), number("RW").alias("easting"), number("HW").alias("northing"), F.trim("EPSG").try_cast("int").alias("epsg"))
+
+
 def address_register(spark: SparkSession, path: str) -> DataFrame:
-    """Addresses of a semicolon CSV: postal_code, easting, northing and epsg; ``#`` is missing. A missing column is an error."""
+    """Addresses of a semicolon CSV, read by Spark in as many tasks as it has blocks (``address_rows``). A missing column is an error."""
     rows = spark.read.csv(path, sep=";", header=True, encoding="UTF-8")
-    rows = rows.toDF(*(c.lstrip("﻿").strip('"') for c in rows.columns))
+    rows = rows.toDF(*(c.lstrip("\ufeff").strip('"') for c in rows.columns))
     if lost := [c for c in ADDRESS_COLUMNS if c not in rows.columns]:
         raise ValueError(f"the address register lacks {', '.join(lost)}")
-    number = lambda c: F.replace(F.nullif(F.trim(F.col(c)), F.lit("#")), F.lit(","), F.lit(".")).try_cast("double")
-    return rows.select(F.col("PLZ").alias("postal_code"), number("RW").alias("easting"), number("HW").alias("northing"), F.trim("EPSG").try_cast("int").alias("epsg"))
+    return address_rows(rows)
+
+
+def archived_register(files: DataFrame) -> DataFrame:
+    """Addresses of snapshots as they are published: archives (``archives.archives``) that hold one ADRESSE.csv, at any depth."""
+    return address_rows(archives.tables(files, "adresse.csv", ADDRESS_COLUMNS))
+
+
+def archived_homes(files: DataFrame) -> DataFrame:
+    """``openimmo`` over archives or plain files; adds the path."""
+    return archives.documents(files).select("path", _openimmo("payload").alias("d")).select("path", "d.full", F.inline("d.homes"))
