@@ -88,14 +88,6 @@ def salary_candidates(rows: DataFrame) -> DataFrame:
     return first.filter(F.col("gate_accepted") & F.col("salary_min").isNull() & (F.trim(F.coalesce("salary_text", F.lit(""))) == ""))
 
 
-def repaired_locations(locations: DataFrame, pages: DataFrame, is_scope, canonical) -> DataFrame:
-    """Cities of unresolved rows that are missing or no point, from what their page shows, if that is a locality."""
-    shown = pages.select("job_id", F.col("visible").alias("_visible"))
-    joined = locations.join(shown, "job_id", "left")
-    open_row = F.col("postal_code").isNull() & (F.col("city").isNull() | is_scope(F.col("city")))
-    return joined.withColumn("city", F.when(open_row & canonical(F.col("_visible")).isNotNull(), F.col("_visible")).otherwise(F.col("city"))).drop("_visible")
-
-
 def stable(payload: Column) -> Column:
     """Whether a listing's identity lasts: stated so (or not stated), and its source page known."""
     flag = lambda k, default: F.coalesce(F.lower(F.get_json_object(payload, f"$.{k}")), F.lit(default))

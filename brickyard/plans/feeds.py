@@ -227,22 +227,62 @@ def ellipsoid_metres(spark, d):
 LONG = "lange Beschreibung einer Stelle mit vielen Aufgaben und noch mehr Wörtern"
 
 
-@query(f"""SELECT p_partkey, 'Job ' || p_name AS title, p_brand AS company, CASE p_size % 4 WHEN 0 THEN 'Linz' WHEN 1 THEN 'Wels' WHEN 2 THEN NULL END AS city, '{LONG} ' || p_partkey AS description FROM part WHERE p_size % 4 <> 3""")
+# Places by p_size % 9: a city and its region, a region and its city, a country, two sources' words for abroad, a code, two regions, a city that has a region's name after another.
+@query(f"""SELECT p_partkey, 'Job & ' || p_name AS title, p_brand AS company, CASE p_size % 9 WHEN 0 THEN 'Linz' WHEN 1 THEN 'Wels' WHEN 5 THEN 'Steyr' WHEN 7 THEN 'Linz' WHEN 8 THEN 'Klagenfurt am Wörthersee' END AS city, CASE p_size % 9 WHEN 5 THEN '4400' END AS postal_code,
+CASE p_partkey % 3 WHEN 0 THEN 'vor 3 Tagen ' || '{LONG}' WHEN 1 THEN 'Heute suchen wir: ' || '{LONG}' WHEN 2 THEN '{LONG} ' || p_partkey END AS description FROM part WHERE p_size % 9 NOT IN (3, 4)""")
 def stepstone_cards(spark, d):
-    place = F.when(_size() % 4 == 0, "Linz, Oberösterreich").when(_size() % 4 == 1, "Oberösterreich, Wels").when(_size() % 4 == 2, "Österreich").otherwise("München, Deutschland")
-    age = "vor 3 Tagen " + "erschienen auf dieser Seite und noch immer zu haben für alle Bewerber"
-    page = _cat('<article id="1"><a href="/s/', _part(), '"><h2>Job ', F.col("p_name"), "</h2></a><span>", F.col("p_brand"), "</span><span>", place, f"</span><p>{age}</p><p>{LONG} ", _part(), "</p></article>")
+    places = ("Linz, Oberösterreich", "Oberösterreich, Wels", "Österreich", "Brno, Tschechien", "München", "4400 Steyr, OÖ", "Wien, Salzburg", "Wien, Linz", "Klagenfurt am W&ouml;rthersee, Kärnten")
+    place = F.element_at(F.array(*map(F.lit, places)), (_size() % 9 + 1).cast("int"))
+    text = F.when(_part() % 3 == 0, f"vor 3 Tagen {LONG}").when(_part() % 3 == 1, f"Heute suchen wir: {LONG}").otherwise(_cat(f"{LONG} ", _part()))
+    link = _cat('href="/stellenangebote--', F.lit("x-y"), "--", _part(), '-inline.html?a=1"')
+    page = _cat("<a ", link, "><div>.res-1a {display: none}</div></a><span>lost</span><a class=t ", link, "><div>@media x {a:b} Job &amp; ", F.col("p_name"), "</div></a><span>Neu</span><b>", F.col("p_brand"), "</b><a href='/x'>Mehr</a><i>", place, "</i><i>vor 3 Tagen</i><p>kurz</p><p>", text, "</p>")
     rows = boards.stepstone(table(spark, d, "part").select(_cat("<div>", page).alias("payload")))
-    return rows.select(F.regexp_extract("href", r"(\d+)$", 1).cast("long").alias("p_partkey"), "title", "company", "city", "description")
+    return rows.select(F.col("job_id").cast("long").alias("p_partkey"), "title", "company", "city", "postal_code", "description")
 
 
-@query(f"""SELECT p_partkey, p_brand AS company, CASE WHEN p_size % 2 = 0 THEN '4020' END AS postal_code, 'Linz' AS city, '{LONG * 2} ' || p_partkey AS description FROM part""")
+@query(f"""SELECT p_partkey, p_name AS title, p_brand AS company, CASE WHEN p_size % 2 = 0 THEN '4020' END AS postal_code, CASE p_size % 4 WHEN 0 THEN 'Linz' WHEN 1 THEN 'Wels' WHEN 2 THEN 'Linz' END AS city, '12.03.' AS published,
+'{LONG * 2} ' || p_partkey AS description FROM part""")
 def willhaben_cards(spark, d):
     name = F.when(_size() % 3 == 0, _cat(F.col("p_brand"), " Jobs")).otherwise(F.col("p_brand"))
-    meta = F.when(_size() % 2 == 0, "12.03.2024, Vollzeit, 4020 Linz, Urfahr").otherwise("1.3.2024, Teilzeit, Linz")
-    page = _cat('<article><a href="/w/', _part(), '">', F.col("p_name"), "</a><i>Merken</i><b>", name, "</b><p>", meta, f"</p><p>{LONG * 2} ", _part(), f"</p><p>{LONG * 2}</p></article>")
+    metas = ("12.03. | Vollzeit, Freiberuflich, 4020 Linz, Teilzeit", "12.03. |Wels, Geringfügig", "12.03. | 4020 Linz", "12.03. | Traineeship, Vollzeit")
+    meta = F.element_at(F.array(*map(F.lit, metas)), (_size() % 4 + 1).cast("int"))
+    page = _cat('<a href="https://www.willhaben.at/jobs/job/a-b/', _part(), '">', F.col("p_name"), "<em>Neu - bewirb dich gleich</em></a><i>Merken</i><b>", name, "</b><p>", meta, f"</p><p>{LONG * 2} ", _part(), f"</p><p>{LONG * 2}</p>")
     rows = boards.willhaben(table(spark, d, "part").select(page.alias("payload")))
-    return rows.select(F.regexp_extract("href", r"(\d+)$", 1).cast("long").alias("p_partkey"), "company", "postal_code", "city", "description")
+    return rows.select(F.col("job_id").cast("long").alias("p_partkey"), "title", "company", "postal_code", "city", "published", "description")
+
+
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'Bruttogehalt ' || p_partkey || ' EUR pro Monat' WHEN 1 THEN 'Gehalt laut KV € ' || p_partkey || ' / Jahr x' WHEN 3 THEN 'Mindestentgelt: siehe a b € ' || p_partkey || ' jährlich' END AS pay_text FROM part""")
+def board_pay(spark, d):
+    texts = (
+        _cat("<p>Gehalt nach Vereinbarung</p><p>ok</p><p>ok</p><b>Bruttogehalt</b> <i>", _part(), "&nbsp;EUR pro Monat</i>"), _cat("<p>Gehalt laut KV</p><p>€ ", _part(), "</p><p>/ Jahr x</p>"),
+        _cat("<script>Gehalt 1 EUR monatlich</script><p>", _part(), " EUR monatlich</p>"), _cat("<p>Mindestentgelt: siehe</p><p>a</p><p>b</p><p>€ ", _part(), "</p><p>j&auml;hrlich</p>"),
+    )
+    rows = boards.willhaben_pay(table(spark, d, "part").select("p_partkey", F.element_at(F.array(*texts), (_size() % 4 + 1).cast("int")).alias("payload")))
+    return rows.select("p_partkey", "pay_text")
+
+
+# By p_size % 6: a place of the data without a code that the page prints, two codes on the page, no data but a Dienstort, no data but a header line, none of these, a place with a code.
+@query("""SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'Bad Ischl/4820' WHEN 1 THEN 'Linz/' WHEN 2 THEN 'Steyr/4400' WHEN 3 THEN 'Klagenfurt/9020' WHEN 4 THEN '' ELSE 'Wels/4600' END AS places FROM part""")
+def detail_places(spark, d):
+    data = lambda city, code="": f'<script type="application/ld+json">{{"@type":"JobPosting","title":"x","jobLocation":[{{"address":{{"addressLocality":"{city}"{code}}}}}]}}</script>'
+    bare = '<script type="application/ld+json">{"@type":"JobPosting","title":"x","jobLocation":[]}</script>'
+    texts = (
+        data("Bad Ischl") + "<p>Kommen Sie nach A-4820 Bad&nbsp;Ischl!</p>", data("Linz") + "<p>4020 Linz oder 4030 Linz</p>", bare + "<p>Dienstort</p><p>Steyr</p><p>4400 Steyr</p>",
+        bare + "<h2>Maler - 3 - Team</h2><p>9020 Klagenfurt, Kärnten - vor 2 Tagen</p>", "<p>Maler - Anstreicher</p>", data("Wels", ',"postalCode":"4600"') + "<p>4020 Wels</p>",
+    )
+    rows = boards.detail_places(table(spark, d, "part").select("p_partkey", F.element_at(F.array(*map(F.lit, texts)), (_size() % 6 + 1).cast("int")).alias("payload")))
+    return rows.select("p_partkey", F.array_join(F.transform("places", lambda p: F.concat(F.coalesce(p["city"], F.lit("")), F.lit("/"), F.coalesce(p["postal_code"], F.lit("")))), ";").alias("places"))
+
+
+# A region without a point is repaired unless the header names a region too; a concrete city and a row with a point stay.
+@query("""SELECT p_partkey AS job_id, CASE WHEN p_size % 5 < 2 AND p_partkey % 3 <> 1 THEN 'Klagenfurt' WHEN p_size % 5 = 0 THEN 'Kärnten' WHEN p_size % 5 = 2 THEN 'Villach' WHEN p_size % 5 = 3 THEN 'Tirol' END AS city,
+CASE WHEN p_size % 5 < 2 AND p_partkey % 3 = 0 THEN '9020' END AS postal_code, p_size % 5 < 2 AND p_partkey % 3 <> 1 AS repaired FROM part WHERE p_size % 5 <> 4""")
+def repaired_places(spark, d):
+    size, k = _size(), _part()
+    rows = table(spark, d, "part").filter("p_size % 5 <> 4").select(k.alias("job_id"), F.when(size % 5 == 0, "Kärnten").when(size % 5 == 2, "Villach").when(size % 5 == 3, "Tirol").alias("city"), F.lit(None).cast("string").alias("postal_code"), F.lit("Kärnten").alias("location_text"), F.when(size % 5 == 3, 14.0).alias("lon"))
+    line = F.when(k % 3 == 0, "9020 Klagenfurt, Kärnten - gestern").when(k % 3 == 1, "Kärnten - heute").otherwise("Klagenfurt - Online gestellt vor 1 Tag")
+    pages = table(spark, d, "part").select(k.alias("job_id"), _cat("<h1>x</h1><p>", line, "</p>").alias("payload"))
+    return boards.repaired_places(rows, pages).select("job_id", "city", "postal_code", "repaired")
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'req:R' || p_partkey WHEN p_size % 3 = 0 THEN 'posting:' || p_partkey END AS identity, CASE WHEN p_size % 5 = 0 THEN 'Linz;Wels' ELSE 'Graz' END AS cities, 'Wir suchen' || chr(10) || p_name AS description,

@@ -9,14 +9,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brickyard.functions.text import german_decimal, squeeze
-
-#: Words that are a region, an employment, a badge or an age and so no place, company or description.
-REGIONS = ("österreich", "austria", "wien (region)", "niederösterreich", "oberösterreich", "steiermark", "salzburg (land)", "tirol", "vorarlberg", "kärnten", "burgenland")
-EMPLOYMENTS = ("vollzeit", "teilzeit", "geringfügig", "freelance", "praktikum", "lehre")
-BADGES = ("schnelle bewerbung", "teilweise home-office", "top job", "neu", "merken")
-AGE = r"(?i)^(?:vor\s+\d+|vor\s+eine[mr]|heute|gestern|erschienen)\b"
-ABROAD = r"(?i)\b(?:deutschland|germany|schweiz|switzerland|italien|italy|liechtenstein)\b"
+from brickyard.functions.text import TAG, german_decimal, postal_beside, read_references, visible_text
+from brickyard.operators import locality
+
+from .jobs import PLACE, json_ld_posting
+
+#: Words that are a region, an employment, a badge or an age and so no place, company or description, and places abroad.
+REGIONS = (
+    "burgenland", "kärnten", "kaernten", "niederösterreich", "niederoesterreich", "oberösterreich", "oberoesterreich", "salzburg", "steiermark", "tirol", "vorarlberg", "wien", "österreich", "oesterreich",
+    "österreichweit", "oesterreichweit", "ostösterreich", "ostoesterreich", "westösterreich", "westoesterreich", "südösterreich", "suedoesterreich",
+)
+EMPLOYMENTS = ("vollzeit", "teilzeit", "freiberuflich", "geringfügig", "geringfuegig", "lehre", "praktikum", "traineeship")
+STEPSTONE_NOISE = ("mehr", "neu", "schnelle bewerbung", "teilweise home-office")
+WILLHABEN_NOISE = ("neu - bewirb dich gleich", "schnelle bewerbung", "merken", "mehr")
+STYLE_NOISE = r"(?i)(?:box-sizing:|@media\b|#no-js-image|data-genesis-element|display\s*:\s*none|\.res-[a-z0-9_-]+\s*\{|\}\s*\.res-)"
+AGE = r"(?i)^(?:vor\s+\d+\s+(?:Stunden?|Tagen?|Wochen?|Monaten?)|heute|gestern)$"
+ABROAD = r"(?iU)\b(?:deutschland|germany|schweiz|switzerland|italien|italy|tschechien|czech(?:ia| republic)?|slowakei|slovakia|ungarn|hungary|slowenien|slovenia)\b"
+CITIES_ABROAD = (
+    "berlin", "bratislava", "budapest", "dresden", "düsseldorf", "duesseldorf", "frankfurt am main", "hamburg", "köln", "koeln", "ljubljana", "münchen", "munich", "nürnberg", "nuernberg", "prag", "prague", "stuttgart", "zürich", "zurich",
+)
+STEPSTONE_LINK = r"(?:https?://(?:www\.)?stepstone\.at)?/stellenangebote--[^\"'?#]+--(\d+)-inline\.html"
+WILLHABEN_LINK = r"(?:https?://(?:www\.)?willhaben\.at)?/jobs/job/[^\"'?#]+/(\d+)(?=[/?#\"']|$)"
+META = r"^(\d{2}\.\d{2}\.)\s*\|\s*(.+)$"
+WILLHABEN_CUE = r"(?i)(?:brutto(?:monats|jahres)?gehalt|mindestgehalt|mindestentgelt|\bgehalt\b|salary)"
+WILLHABEN_PAY = r"(?i)(?:(?:€|\bEUR\b).{0,60}(?:monatlich|jährlich|jaehrlich|pro\s+monat|pro\s+jahr|/\s*monat|/\s*jahr|p\.?\s*a\.?)|(?:monatlich|jährlich|jaehrlich|pro\s+monat|pro\s+jahr).{0,60}(?:€|\bEUR\b))"
+HEADER_AGE = r"(?i)^(?:heute|gestern|vor\s+\d+\s*t|vor\s+\d+\s+Tag|online\s+gestellt\s+vor)"
 AUSTRIAN = r"(?iU)(?:\baustria\b|\bösterreich\b|\boesterreich\b|,\s*at\b|^at$)"
 REQUISITION = ("job requisition id:", "stellenanforderungs-id:")
 DESCRIPTION = ("description:", "job description:", "beschreibung:")
@@ -25,11 +42,12 @@ PAY_CUE, PAY_VALUE = r"(?i)gehalt|entgelt|lohn|vergütung|brutto|salary", r"(?i)
 
 
 def text_nodes(html: Column) -> Column:
-    """The texts between a page's tags in order, squeezed; scripts, styles and comments are left out."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?</\1>|<!--.*?-->", "")
-    for entity, plain in (("&nbsp;", " "), ("&lt;", "‹"), ("&gt;", "›"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(entity), F.lit(plain))
-    return F.filter(F.transform(F.split(bare, r"<[^>]*>"), squeeze), lambda x: x != "")
+    """The texts between a page's tags in order, squeezed, with character references read; scripts, styles and comments are left out."""
+    bare = F.regexp_replace(html, r"(?is)<(script|style|noscript|template)\b.*?(?:</\1\s*>|\z)", "\u0001")
+    # Tags become a mark that no reference stands for, so what references spell isn't taken for tags.
+    bare = F.regexp_replace(bare, f"(?is){TAG}", "\u0001")
+    bare = F.when(bare.contains("&"), read_references(bare)).otherwise(bare)
+    return F.filter(F.transform(F.split(bare, "\u0001"), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " "))), lambda x: x != "")
 
 
 def _let(value: Column, body) -> Column:
@@ -44,51 +62,126 @@ def _one_of(value: Column, words: tuple[str, ...]) -> Column:
     return F.lower(value).isin(*words)
 
 
-def cards_of(raw: DataFrame, opening: str) -> DataFrame:
-    """One row per card of each page: href, title (the first node) and tail (the nodes after it)."""
+def linked_cards(raw: DataFrame, link: str) -> DataFrame:
+    """One row per link to a job: job_id (the group of ``link``), inside (nodes of the link) and after (nodes up to the next such link)."""
+    opening = rf"(?i)<a\b(?=[^>]*\bhref\s*=\s*[\"']{link})"
     blocks = F.split("payload", opening)
     rows = raw.select(F.explode(F.slice(blocks, F.lit(2), F.greatest(F.size(blocks) - 1, F.lit(0)))).alias("card"))
-    rows = rows.select(F.regexp_extract("card", r'(?is)href="([^"]+)"', 1).alias("href"), text_nodes(F.concat(F.lit("<"), "card")).alias("nodes")).filter(F.size("nodes") > 0)
-    return rows.select("href", F.get("nodes", F.lit(0)).alias("title"), F.slice("nodes", F.lit(2), F.size("nodes")).alias("tail"))
+    inside = F.concat(F.lit("<a"), F.regexp_extract("card", r"(?is)^(.*?)(?:</a\s*>|\z)", 1))
+    after = F.regexp_replace("card", r"(?is)^.*?(?:</a\s*>|\z)", "")
+    return rows.select(F.regexp_extract("card", f"(?i){link}", 1).alias("job_id"), text_nodes(inside).alias("inside"), text_nodes(after).alias("after"))
 
 
-def stepstone(raw: DataFrame) -> DataFrame:
-    """href, title, company, place, city and description; cards that are surely abroad are left out.
+def place_of(text: Column, regions: tuple[str, ...] = ()) -> Column:
+    """postal_code and city of a place like "4020 Linz, Urfahr" or "Region, Linz": the first part, or the second if the first is a region."""
+    parts = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
+
+    def read(p: Column) -> Column:
+        first, second = F.get(p, F.lit(0)), F.get(p, F.lit(1))
+        code = F.nullif(F.regexp_extract(first, r"^(\d{4})(?:\s+.+)?$", 1), F.lit(""))
+        plain = F.when(~_one_of(first, regions), first).when(~_one_of(second, regions), second) if regions else first
+        city = F.when(code.isNotNull(), F.nullif(F.trim(F.regexp_replace(first, r"^\d{4}", "")), F.lit(""))).otherwise(plain)
+        return F.struct(code.alias("postal_code"), city.alias("city"))
+
+    return F.when(text.isNotNull(), _let(parts, read))
 
-    Company and place are the first two nodes; the description is the first
-    further one of 60 characters that is neither a badge nor an age. A region
-    before the city is skipped.
-    """
-    rows = cards_of(raw, r"(?i)<article\b").withColumn("company", F.get("tail", F.lit(0))).withColumn("place", F.get("tail", F.lit(1)))
-    described = _first(F.slice("tail", 3, F.size("tail") + 1), lambda x: (F.length(x) >= 60) & ~_one_of(x, BADGES) & ~x.rlike(AGE))
-    parts = F.filter(F.transform(F.split(F.coalesce("place", F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
-    city = _let(parts, lambda p: F.when(~_one_of(F.get(p, F.lit(0)), REGIONS), F.get(p, F.lit(0))).when(~_one_of(F.get(p, F.lit(1)), REGIONS), F.get(p, F.lit(1))))
-    rows = rows.filter(~F.coalesce(F.col("place").rlike(ABROAD), F.lit(False)))
-    return rows.select("href", "title", "company", "place", city.alias("city"), described.alias("description"))
 
+def stepstone(raw: DataFrame) -> DataFrame:
+    """job_id, title, company, place, postal_code, city and description of search pages; cards that are surely abroad are left out.
 
-META = r"^(\d{1,2}\.\d{1,2}\.(?:\d{4})?),?\s*(.*)$"
+    The title is the first node of the link that people read (what follows
+    the last style block, where one stands in a node). Of the next nodes,
+    without noise and repetitions, the first is the company and the second
+    the place; the description is the first further one of 60 characters that
+    is no age. Links without a title end the card before them and give none.
+    """
+    noise = lambda x: _one_of(x, STEPSTONE_NOISE) | x.rlike(STYLE_NOISE)
+    shown = F.transform("inside", lambda x: F.when(x.rlike(STYLE_NOISE), F.trim(F.when(x.contains("}"), F.substring_index(x, "}", -1)))).otherwise(x))
+    human = F.transform(shown, lambda x: F.when((x != "") & (F.length(x) <= 500) & ~noise(x), x))
+    rows = linked_cards(raw, STEPSTONE_LINK).withColumn("human", human).withColumn("at", F.array_position(F.transform("human", lambda x: x.isNotNull()), True)).filter("at > 0")
+    rest = F.filter(F.concat(F.slice("inside", F.col("at").cast("int") + 1, F.size("inside")), F.col("after")), lambda x: ~noise(x))
+    rows = rows.select("job_id", F.get("human", F.col("at").cast("int") - 1).alias("title"), F.slice(F.array_distinct(rest), 1, 12).alias("tail"))
+    short = lambda n, most: _let(F.get("tail", F.lit(n)), lambda x: F.when(F.length(x) <= most, x))
+    rows = rows.withColumn("company", short(0, 300)).withColumn("place", short(1, 500))
+    described = _first(F.slice("tail", 3, F.size("tail") + 1), lambda x: (F.length(x) >= 60) & ~x.rlike(AGE))
+    abroad = F.col("place").rlike(ABROAD) | _one_of(F.trim(F.substring_index("place", ",", 1)), CITIES_ABROAD)
+    rows = rows.filter(~F.coalesce(abroad, F.lit(False))).withColumn("p", place_of(F.col("place"), REGIONS))
+    return rows.select("job_id", "title", "company", "place", "p.postal_code", "p.city", described.alias("description"))
 
 
 def willhaben(raw: DataFrame) -> DataFrame:
-    """href, title, company, postal_code, city and description.
+    """job_id, title, company, published, place, postal_code, city and description of search pages.
 
-    The company is the node that ends with " Jobs", else the first short one;
-    the place is what a node that begins with a date names besides kinds of
-    employment; the description is the longest node of 100 characters.
+    The title is the link's first node. The company is the node that ends
+    with " Jobs", else the first one under 180 characters that is no noise;
+    the place is what a node like "12.03. | Vollzeit, 4020 Linz" names after
+    its kinds of employment; the description is the longest node of 100
+    characters or more.
     """
-    rows = cards_of(raw, r"(?i)<article\b")
-    plain = F.filter("tail", lambda x: ~x.rlike(META) & ~_one_of(x, BADGES))
-    named = _first(plain, lambda x: x.endswith(" Jobs"))
-    company = F.coalesce(F.regexp_replace(named, " Jobs$", ""), _first(plain, lambda x: F.length(x) < 180))
-    rows = rows.withColumn("company", company).withColumn("plain", plain)
-    meta = F.regexp_extract(_first(F.col("tail"), lambda x: x.rlike(META)), META, 2)
-    tokens = F.filter(F.transform(F.split(meta, ","), lambda x: F.trim(x)), lambda x: (x != "") & ~_one_of(x, EMPLOYMENTS))
-    rows = rows.withColumn("place", F.get(tokens, F.lit(0)))
+    rows = linked_cards(raw, WILLHABEN_LINK).filter(F.size("inside") > 0)
+    tail = F.slice(F.array_distinct(F.concat(F.slice("inside", F.lit(2), F.size("inside")), F.col("after"))), 1, 16)
+    rows = rows.select("job_id", F.get("inside", F.lit(0)).alias("title"), tail.alias("tail")).filter(F.length("title") <= 500)
+    rows = rows.withColumn("plain", F.filter("tail", lambda x: ~x.rlike(META) & ~_one_of(x, WILLHABEN_NOISE)))
+    company = F.coalesce(F.regexp_replace(_first(F.col("plain"), lambda x: x.endswith(" Jobs")), " Jobs$", ""), _first(F.col("plain"), lambda x: F.length(x) < 180))
+    rows = rows.withColumn("company", company).withColumn("meta", _first(F.col("tail"), lambda x: x.rlike(META)))
+    tokens = F.filter(F.transform(F.split(F.regexp_extract("meta", META, 2), ","), lambda x: F.trim(x)), lambda x: x != "")
+    begins = lambda t: F.array_position(F.transform(t, lambda x: _one_of(x, EMPLOYMENTS)), False)
+    place = _let(tokens, lambda t: F.when(begins(t) > 0, F.array_join(F.slice(t, F.greatest(begins(t), F.lit(1)).cast("int"), F.size(t)), ", ")))
+    rows = rows.withColumn("place", F.when(F.col("meta").isNotNull(), place)).withColumn("p", place_of(F.col("place")))
     long = F.filter("plain", lambda x: (F.length(x) >= 100) & ~x.eqNullSafe(F.col("company")) & ~x.eqNullSafe(F.concat("company", F.lit(" Jobs"))))
     longest = F.get(F.array_sort(F.transform(long, lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("i"), x.alias("x")))), F.lit(0))["x"]
-    code = F.nullif(F.regexp_extract("place", r"^(\d{4})\s+", 1), F.lit(""))
-    return rows.select("href", "title", "company", code.alias("postal_code"), F.nullif(F.regexp_replace("place", r"^\d{4}\s+", ""), F.lit("")).alias("city"), longest.alias("description"))
+    return rows.select("job_id", "title", "company", F.nullif(F.regexp_extract("meta", META, 1), F.lit("")).alias("published"), "place", "p.postal_code", "p.city", longest.alias("description"))
+
+
+def willhaben_pay(raw: DataFrame) -> DataFrame:
+    """Detail pages with ``pay_text``: the node with a pay cue and two after it that state euros and a period, else what follows the first cue in the page."""
+    rows = raw.withColumn("nodes", text_nodes(F.col("payload")))
+    near = pay_snippet(F.col("nodes"), WILLHABEN_CUE, WILLHABEN_PAY)
+    page = F.array_join(F.slice("nodes", 1, 250), " ")
+    window = F.substring(F.regexp_extract(page, f"(?s)({WILLHABEN_CUE}.*)$", 1), 1, 500)
+    return rows.withColumn("pay_text", F.coalesce(near, F.when(window.rlike(WILLHABEN_PAY), window))).drop("nodes")
+
+
+def header_place(nodes: Column) -> Column:
+    """postal_code, city and text of the line "place - age" among the first 100 nodes, or null."""
+    lines = F.transform(F.slice(nodes, 1, 100), lambda x: F.when(F.trim(F.substring_index(x, " - ", -1)).rlike(HEADER_AGE) & x.contains(" - "), F.trim(F.substring(x, F.lit(1), F.length(x) - F.length(F.substring_index(x, " - ", -1)) - 3))))
+    text = _first(lines, lambda x: x.isNotNull() & (x != ""))
+    return F.when(text.isNotNull(), F.struct(place_of(text)["postal_code"].alias("postal_code"), place_of(text)["city"].alias("city"), text.alias("text")))
+
+
+def detail_places(raw: DataFrame) -> DataFrame:
+    """Detail pages with ``places`` (array of city and postal_code): those of their JSON-LD, else of the page.
+
+    A place without a code gets the one that the page prints right before
+    it, if there is just one. Without places in the data, the node after
+    "Dienstort" is one, else the line "place - age" of the header.
+    """
+    rows = raw.withColumns({"nodes": text_nodes(F.col("payload")), "shown": visible_text(F.col("payload")), "posting": json_ld_posting(F.col("payload"))})
+    known = F.filter("posting.locations", lambda p: (F.trim(F.coalesce(p["city"], F.lit(""))) != "") | (F.trim(F.coalesce(p["postal_code"], F.lit(""))) != ""))
+    rows = rows.withColumn("known", known)
+    at = F.array_position(F.transform("nodes", lambda x: F.lower(x) == "dienstort"), True)
+    beside = F.when(at > 0, F.get("nodes", at.cast("int")))
+    header = header_place(F.col("nodes"))
+    one = lambda city, code: F.array(F.struct(city.alias("city"), code.cast("string").alias("postal_code")))
+    found = F.when(F.size("known") > 0, F.col("known")).when(beside.isNotNull(), one(beside, F.lit(None))).when(header.isNotNull(), one(header["city"], header["postal_code"])).otherwise(F.array().cast(PLACE))
+    rows = rows.withColumn("found", found)
+    coded = F.transform("found", lambda p: F.struct(p["city"].alias("city"), F.coalesce(F.nullif(F.trim(p["postal_code"]), F.lit("")), postal_beside(F.col("shown"), p["city"])).alias("postal_code")))
+    return rows.withColumn("places", F.array_distinct(coded)).drop("nodes", "shown", "posting", "known", "found")
+
+
+def repaired_places(locations: DataFrame, pages: DataFrame) -> DataFrame:
+    """Locations (job_id, city, postal_code, location_text, lon) with what their page's header names, where they have no point and no city that is one.
+
+    ``pages``: job_id and payload; of several pages of a job the smallest
+    payload counts. A header that names a region or nothing changes nothing,
+    and a concrete city is never replaced. Adds ``repaired``.
+    """
+    shown = pages.groupBy("job_id").agg(F.min("payload").alias("payload")).select("job_id", header_place(text_nodes(F.col("payload"))).alias("_h"))
+    joined = locations.join(shown, "job_id", "left")
+    open_row = F.col("lon").isNull() & locality.canonical(F.col("city")).isNull()
+    fix = open_row & locality.canonical(F.col("_h.city")).isNotNull()
+    new = {"city": F.col("_h.city"), "postal_code": F.coalesce("_h.postal_code", "postal_code"), "location_text": F.coalesce("_h.text", "_h.city")}
+    return joined.select(*(F.when(fix, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in locations.columns), fix.alias("repaired"))
 
 
 def label_value(nodes: Column, labels: tuple[str, ...]) -> Column:
@@ -140,10 +233,10 @@ def windows_from_end(nodes: Column, most: int = 3) -> Column:
     return F.flatten(F.transform(F.reverse(F.sequence(F.lit(1), F.greatest(F.size(nodes), F.lit(1)))), lambda end: F.array(*(run(end, n) for n in range(1, most + 1)))))
 
 
-def pay_snippet(nodes: Column) -> Column:
-    """The first node with a pay cue and up to two after it, if they name a currency."""
-    run = F.transform(nodes, lambda x, i: F.when(x.rlike(PAY_CUE), F.array_join(F.slice(nodes, i + 1, F.lit(3)), " ")))
-    return F.substring(_first(run, lambda x: x.isNotNull() & x.rlike(PAY_VALUE)), 1, 500)
+def pay_snippet(nodes: Column, cue: str = PAY_CUE, value: str = PAY_VALUE) -> Column:
+    """The first node with a pay cue that, with up to two after it, names an amount's currency."""
+    run = F.transform(nodes, lambda x, i: F.when(x.rlike(cue), F.array_join(F.slice(nodes, i + 1, F.lit(3)), " ")))
+    return F.substring(_first(run, lambda x: x.isNotNull() & x.rlike(value)), 1, 500)
 
 
 def company_pages(raw: DataFrame, *, site: str, starts: tuple[str, ...], stops: tuple[str, ...], title: str | None = None) -> DataFrame:

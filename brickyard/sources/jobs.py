@@ -171,7 +171,7 @@ def json_ld_posting(html: pd.Series) -> pd.DataFrame:
         value = value if isinstance(value, dict) else {"value": value}
         places = j.get("jobLocation") or []
         places = places if isinstance(places, list) else [places]
-        address = [(p.get("address") or {}) for p in places if isinstance(p, dict)]
+        address = [(p.get("address") or (p if "addressLocality" in p or "postalCode" in p else {})) for p in places if isinstance(p, dict)]
         address = [a if isinstance(a, dict) else {"addressLocality": a} for a in address]
         number = lambda x: float(x) if isinstance(x, (int, float)) or isinstance(x, str) and re.fullmatch(r"\d+(\.\d+)?", x) else None
         positive = lambda x: (lambda n: n if n is not None and n > 0 else None)(number(x))
