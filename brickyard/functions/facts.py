@@ -7,25 +7,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import ascii_words, squeeze
+from .text import ascii_words, folded_title, squeeze
 
 #: Names and patterns over lower-case text of pages that say their job or home is gone, or that ask who reads them.
 CLOSED_JOB = {
-    "no_longer_available": r"\b(?:job|position|role) (?:is )?no longer available\b",
-    "no_longer_accepting": r"\b(?:job|position|role) (?:is )?no longer accepting applications\b",
+    "no_longer_available": r"\b(?:this )?(?:job|position|role) (?:is )?no longer available\b",
+    "no_longer_accepting_applications": r"\b(?:this )?(?:job|position|role) (?:is )?no longer accepting applications\b",
     "applications_closed": r"\bapplications? (?:are|is|have been) closed\b",
-    "expired": r"\b(?:job|position|role) (?:has )?expired\b",
-    "period_ended": r"\bapplication (?:period|window) (?:has )?ended\b",
-    "nicht_mehr_verfuegbar": r"\b(?:stelle|position|stellenanzeige|stellenangebot) ist nicht mehr verf(?:ü|ue)gbar\b",
-    "nicht_mehr_moeglich": r"\bbewerb(?:ung|ungen)[^.]{0,80}\bnicht mehr m(?:ö|oe)glich\b",
-    "frist_abgelaufen": r"\bbewerbungsfrist[^.]{0,40}\babgelaufen\b",
+    "job_expired": r"\b(?:this )?(?:job|position|role) (?:has )?expired\b",
+    "application_period_ended": r"\bapplication (?:period|window) (?:has )?ended\b",
+    "stelle_nicht_mehr_verfuegbar": r"\b(?:diese )?(?:stelle|position|stellenanzeige|stellenangebot) ist nicht mehr verf(?:ü|ue)gbar\b",
+    "bewerbung_nicht_mehr_moeglich": r"(?U)\bbewerb(?:ung|ungen)\w*[^.]{0,80}\bnicht mehr m(?:ö|oe)glich\b",
+    "bewerbungsfrist_abgelaufen": r"(?U)\bbewerbungsfrist\w*[^.]{0,40}\babgelaufen\b",
 }
 CLOSED_HOME = {
-    "already_found": r"\bdiese immobilie wurde schon gefunden\b",
-    "nicht_mehr_verfuegbar": r"\b(?:immobilie|objekt|inserat|anzeige|angebot|expos(?:é|e))[^.]{0,80}\bnicht mehr verf(?:ü|ue)gbar\b",
-    "entfernt": r"\b(?:inserat|anzeige|objekt|expos(?:é|e))[^.]{0,60}\b(?:deaktiviert|gel(?:ö|oe)scht|entfernt)\b",
+    "dibeo_already_found": r"\bdiese immobilie wurde schon gefunden\b",
+    "property_no_longer_available": r"\b(?:immobilie|objekt|inserat|anzeige|angebot|expos(?:é|e))[^.]{0,80}\bnicht mehr verf(?:ü|ue)gbar\b",
+    "listing_deactivated": r"(?U)\b(?:inserat|anzeige|expos(?:é|e)|objekt)\w*[^.]{0,60}\b(?:deaktiviert|gel(?:ö|oe)scht|entfernt)\b",
 }
-ROBOT_CHECK = {"captcha": r"\bcaptcha\b", "challenge": r"\bjust a moment\b", "denied": r"\baccess denied\b"}
+ROBOT_CHECK = {"captcha": r"\bcaptcha\b", "cloudflare_challenge": r"\bjust a moment\b", "access_denied": r"\baccess denied\b"}
 
 
 def marks(text: Column, patterns: dict[str, str]) -> Column:
@@ -76,9 +76,9 @@ def facts_match(number: Column, listing_number: Column, postal: Column, listing_
 
 
 def safer_title(current: Column, detail: Column) -> Column:
-    """The detail page's title where it is longer and holds the current one, else the current."""
-    a, b = ascii_words(current, ampersand=False), ascii_words(detail, ampersand=False)
-    return F.when((F.length(b) > F.length(a)) & (a != "") & b.contains(a), detail).otherwise(current)
+    """The detail page's title where it is longer and holds the current one (but for case and white space), else the current."""
+    a, b = folded_title(current), folded_title(detail)
+    return F.when((a != "") & (F.length(b) > F.length(a)) & b.contains(a), detail).otherwise(current)
 
 
 def label_values(text: Column, labels: dict[str, str], number: str = r"([\d.]+(?:,\d+)?)") -> dict[str, Column]:

@@ -109,3 +109,33 @@ def drivers(evidence: DataFrame, preferences: DataFrame, policy: Policy = Policy
     rows = weighted(evidence, policy).join(preferences.select("kind", "slug", "state"), ["kind", "slug"])
     rows = rows.withColumn("contribution", F.col("eff") * _lookup(policy.state, F.col("state")))
     return first_of_each(rows, ["job_id"], [F.abs("contribution").desc(), F.col("kind"), F.col("slug")], k, "rank").select("job_id", "rank", "kind", "slug", "contribution")
+
+
+def views(jobs: DataFrame, evidence: DataFrame, preferences: DataFrame, concepts: DataFrame, states: DataFrame, places: DataFrame, links: DataFrame, baseline: Column, policy: Policy = Policy()) -> DataFrame:
+    """The fit list: each job with score, coverage, labels of its drivers and hard constraints, places, links, curation and its position.
+
+    ``jobs``: job_id and first_seen_at; ``concepts``: kind, slug and label
+    (a concept without one shows its slug); ``states``: job_id, favorite,
+    hidden and viewed; ``places``: job_id, at and label; ``links``: job_id,
+    at and url. Labels and links stand in the order of ``at``, each once. A
+    job without evidence has no score; coverage is rounded to nine digits, so
+    that the order doesn't hang on how sums were split. ``is_new``: first seen after the
+    baseline and never viewed.
+    """
+    from .catalog import live_fit_order, positions
+
+    labels = concepts.select("kind", "slug", F.col("label").alias("_label"))
+    named = lambda rows: rows.join(labels, ["kind", "slug"], "left").withColumn("label", F.coalesce("_label", "slug"))
+    moves = named(drivers(evidence, preferences, policy)).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("rank", "label", "contribution"))).alias("d"))
+    hard = weighted(evidence, policy).filter((F.col("scope") == "primary") & F.col("kind").isin("role", "domain")).join(preferences.filter(F.col("state") == "cannot_not_want").select("kind", "slug"), ["kind", "slug"], "left_semi")
+    # A job has few concepts, places and sources.
+    blocks = named(hard).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("kind", "slug", "label"))).alias("h"))
+    listed = lambda rows, c, name: rows.filter(F.coalesce(c, F.lit("")) != "").groupBy("job_id", c).agg(F.min("at").alias("at")).groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", c))), lambda x: x[c]).alias(name))
+    none = F.array().cast("array<string>")
+    rows = jobs.join(score(evidence, preferences, policy), "job_id", "left").join(moves, "job_id", "left").join(blocks, "job_id", "left").join(listed(places, "label", "places"), "job_id", "left").join(listed(links, "url", "links"), "job_id", "left").join(states, "job_id", "left")
+    no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    rows = rows.select(
+        "job_id", "score", F.round(F.coalesce("coverage", F.lit(0.0)), 9).alias("coverage"), no("hard"), F.coalesce(F.transform("d", lambda x: x["label"]), none).alias("drivers"), F.coalesce(F.transform("h", lambda x: x["label"]), none).alias("hard_labels"),
+        F.coalesce("places", none).alias("places"), F.coalesce("links", none).alias("links"), no("favorite"), no("hidden"), no("viewed"), (F.coalesce(F.col("first_seen_at") > baseline, F.lit(False)) & ~F.coalesce("viewed", F.lit(False))).alias("is_new"),
+    )
+    return positions(rows, live_fit_order())

@@ -54,16 +54,16 @@ def decide(matched: DataFrame) -> DataFrame:
         (has("title_negative", "sales"), False, "structural_title_exclusion"),
         (has("adjacent", "controls") & ~some("title_domain"), False, "structural_title_exclusion"),
         (has("adjacent", "application_engineer") & has("negative", "sales"), False, "commercial_sales_role"),
-        (some("strong"), True, "strong_title"),
+        (some("strong"), True, "strong_mechanical_title"),
         (has("adjacent", "electrical") & ~some("title_domain"), False, "insufficient_base_relevance"),
-        (some("low"), False, "low_relevance_title"),
+        (some("low"), False, "low_relevance_operational_title"),
         (some("title_negative"), False, "insufficient_base_relevance"),
         (manager & has("title_domain", "industrial") & ~commercial_title, True, "industrial_project_title"),
-        (manager & some("body_domain") & ~commercial_title, True, "technical_project_body"),
-        (role & (domains >= 1) & (~some(blocking) | (methods >= 1)), True, "role_with_domain"),
-        (role & (methods >= 1) & ~some(blocking), True, "role_with_method"),
-        ((domains >= 2) & (methods >= 1), True, "domains_with_method"),
-        ((methods >= 3) & ~some(blocking), True, "methods"),
+        (manager & some("body_domain") & ~commercial_title, True, "technical_project_management_body"),
+        (role & (domains >= 1) & (~some(blocking) | (methods >= 1)), True, "engineering_role_with_domain"),
+        (role & (methods >= 1) & ~some(blocking), True, "engineering_role_with_method"),
+        ((domains >= 2) & (methods >= 1), True, "multiple_domains_with_method"),
+        ((methods >= 3) & ~some(blocking), True, "multiple_engineering_methods"),
     ]
     reason, accepted = F.lit("insufficient_base_relevance"), F.lit(False)
     for condition, ok, why in reversed(rules):

@@ -34,6 +34,11 @@ def latest_run(runs: DataFrame) -> DataFrame:
     return first_of_each(runs, ["source_id"], [F.col("started_at").desc(), F.col("run_id").desc()])
 
 
+def latest_attempt(runs: DataFrame, mode: str) -> DataFrame:
+    """source_id and last_attempt: when the latest run of a mode began, however it went."""
+    return runs.filter(F.col("mode") == mode).groupBy("source_id").agg(F.max("started_at").alias("last_attempt"))
+
+
 def previous_ok(runs: DataFrame, run: DataFrame, offset: int = 0) -> DataFrame:
     """For each row of ``run`` the reconciliation before it that went well, ``offset`` further back.
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brickyard.checkpoints import kept
 from brickyard.functions.text import locality_words
 
 
@@ -107,6 +108,21 @@ def resolve(labels: DataFrame, postal: DataFrame, places: Places = Places()) ->
     ).filter(F.col("found") == F.col("n")).drop("found", "n")
 
 
+def filter_centres(filters: DataFrame, postal: DataFrame, places: Places = Places()) -> DataFrame:
+    """Adds centre_lon, centre_lat and ``unknown`` to filters with a ``place``: a code's own point first, else what the ladder knows of its words.
+
+    A blank or null place is no filter: it has no centre and isn't unknown.
+    """
+    place = F.trim("place")
+    wanted = filters.select(place.alias("label")).filter(F.col("label") != "").distinct()
+    code = postal.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()).groupBy(F.col("postal_code").alias("label")).agg(F.min(F.struct("lon", "lat")).alias("p")).select("label", "p.*")
+    by_code = wanted.filter(F.col("label").rlike(r"^\d{4}$")).join(code, "label")
+    found = kept(by_code.unionByName(resolve(wanted.join(by_code, "label", "left_anti"), postal, places).select("label", "lon", "lat")))
+    centre = found.select(F.col("label").alias("_label"), F.col("lon").alias("centre_lon"), F.col("lat").alias("centre_lat"))
+    rows = filters.join(centre, place == F.col("_label"), "left").drop("_label")
+    return rows.withColumn("unknown", (F.coalesce(place, F.lit("")) != "") & F.col("centre_lon").isNull())
+
+
 def propagated(locations: DataFrame) -> DataFrame:
     """Fills postal_code, lon and lat of unresolved rows from resolved rows of the same job, city and remote flag that agree on one code."""
     key = ["job_id", "remote", "city"]

@@ -131,6 +131,21 @@ def within_radius(points: DataFrame, lon: float | None, lat: float | None, radiu
     return points.withColumn("km", haversine_km(F.lit(lon), F.lit(lat), F.col(point[0]), F.col(point[1]))).filter(F.col("km") <= radius_km)
 
 
+def within_each(points: DataFrame, centres: DataFrame, *, point: tuple[str, str] = ("lon", "lat"), size_km: float = 25.0) -> DataFrame:
+    """Pairs of points and centres (columns centre_lon, centre_lat and radius_km) at most the centre's radius apart, with ``km``.
+
+    Each centre is shown to the cells of ``size_km`` that its circle touches;
+    a centre without a point or a positive radius has no pairs.
+    """
+    size = F.lit(float(size_km))
+    rows = _located(centres, "centre_lon", "centre_lat").filter(F.col("radius_km") > 0)
+    b = shown(rows, "centre_lon", "centre_lat", F.col("radius_km").cast("double"), size)
+    a = _located(points, *point).withColumn("_c", cell(F.col(point[0]).cast("double"), F.col(point[1]).cast("double"), size)).withColumn("_band", F.col("_c.band")).withColumn("_column", F.col("_c.column"))
+    km = haversine_km(F.col("centre_lon"), F.col("centre_lat"), F.col(point[0]), F.col(point[1]))
+    pairs = a.join(b, ["_band", "_column"]).select(*points.columns, *centres.columns, km.alias("km"))
+    return pairs.filter(F.col("km") <= F.col("radius_km"))
+
+
 def first_of_each(rows: DataFrame, keys: list[str], order: list[Column], k: int = 1, rank: str | None = None) -> DataFrame:
     """The first ``k`` rows of each key; ``order`` must end in a unique column. Keeps the rank if named."""
     name = rank or "_rank"
@@ -169,3 +184,19 @@ def road_ranked(pairs: DataFrame, estimates: DataFrame, radius_km: float, k: int
     best = first_of_each(joined, ["home_id", "job_id"], [F.col("minutes"), F.col("road_km"), F.col("location_id")])
     order = [F.col("minutes"), F.col("road_km"), F.col("km"), F.col("home_id")]
     return first_of_each(best.filter(F.col("road_km") <= radius_km), ["job_id"], order, k, "rank")
+
+
+def road_ordered_jobs(jobs: DataFrame, locations: DataFrame, estimates: DataFrame) -> DataFrame:
+    """Nearby jobs (job_id, km, score) with minutes and road_km of their quickest location, and their position.
+
+    ``locations``: job_id and location_id; ``estimates``: location_id,
+    minutes and road_km, of which a null in minutes is no way. Ties go to the
+    shorter way. Jobs that no way reaches come last, by air line.
+    """
+    from .catalog import positions
+
+    known = estimates.filter(F.col("minutes").isNotNull()).withColumn("_km", F.coalesce("road_km", F.lit(float("inf"))))
+    best = locations.join(known, "location_id").groupBy("job_id").agg(F.min(F.struct("minutes", "_km", "location_id", "road_km")).alias("b"))
+    rows = jobs.join(best.select("job_id", "b.minutes", "b.road_km"), "job_id", "left")
+    order = [F.col("minutes").asc_nulls_last(), F.col("km"), F.coalesce("score", F.lit(0)).desc(), F.col("job_id")]
+    return positions(rows, order)

@@ -193,3 +193,19 @@ def area_audit(homes: DataFrame, listings: DataFrame) -> DataFrame:
     rows = one.join(homes.select("home_id", "living"), "home_id")
     differs = F.coalesce(F.abs(F.col("living") - F.col("stated")) > 0.5, F.lit(False))
     return rows.groupBy("kind").agg(F.count("*").alias("homes"), F.count_if(differs).alias("mismatched"), F.count_if(differs & (F.col("n_sources") == 1)).alias("suspicious"), F.count_if(F.col("n_sources") > 1).alias("shared"))
+
+
+def stable_overlap(own: DataFrame, shown: DataFrame, pattern: str) -> DataFrame:
+    """One row: of a source's own listings (listing_key, entity_id) and another's (row_id, entity_id, url) the lasting ids that both have.
+
+    ``pattern`` finds the id in a URL (first group); of several URLs of an id
+    the smallest row_id counts. Columns: pointing (ids the other shows),
+    overlap, merged (both are one entity) and duplicates.
+    """
+    key = F.nullif(F.regexp_extract("url", pattern, 1), F.lit(""))
+    other = shown.withColumn("listing_key", key).filter(F.col("listing_key").isNotNull()).groupBy("listing_key").agg(F.min_by("entity_id", "row_id").alias("_entity"))
+    mine = own.groupBy("listing_key").agg(F.min("entity_id").alias("entity_id"))
+    both = other.join(mine, "listing_key", "left")
+    found = F.col("entity_id").isNotNull()
+    same = found & (F.col("entity_id") == F.col("_entity"))
+    return both.agg(F.count("*").alias("pointing"), F.count_if(found).alias("overlap"), F.count_if(same).alias("merged"), F.count_if(found & ~same).alias("duplicates"))

@@ -142,11 +142,11 @@ n AS (SELECT *, (regexp_matches(t, 'est'))::INT + regexp_matches(t, 'ing ')::INT
   regexp_matches(e, ' on ')::INT + regexp_matches(e, ' in ')::INT + regexp_matches(e, ' is ')::INT AS met, replace(t, 'after sales', ' ') AS mt, replace(e, 'after sales', ' ') AS me FROM m),
 f AS (SELECT *, contains(mt, 'sales') AS ts, contains(mt, 'ung') AS tf, contains(mt, 'ir') AS th, contains(me, 'sales') OR contains(me, 'ung') OR contains(mt, 'ir') AS blk,
   contains(t, 'and') AS pm, contains(t, 'der') AS ctl, contains(t, 'les') AS ele FROM n)
-SELECT CASE WHEN starts_with(t, 'that ') OR ts OR (ctl AND td = 0) THEN 'structural_title_exclusion' WHEN regexp_matches(t, 'the .* of ') THEN 'strong_title'
- WHEN ele AND td = 0 THEN 'insufficient_base_relevance' WHEN contains(t, 'los') THEN 'low_relevance_title' WHEN ts OR tf OR th THEN 'insufficient_base_relevance'
- WHEN pm AND contains(t, 'est') AND NOT (ts OR tf) THEN 'industrial_project_title' WHEN pm AND bd AND NOT (ts OR tf) THEN 'technical_project_body'
- WHEN (pm OR ctl OR ele) AND dom >= 1 AND (NOT blk OR met >= 1) THEN 'role_with_domain' WHEN (pm OR ctl OR ele) AND met >= 1 AND NOT blk THEN 'role_with_method'
- WHEN dom >= 2 AND met >= 1 THEN 'domains_with_method' WHEN met >= 3 AND NOT blk THEN 'methods' ELSE 'insufficient_base_relevance' END AS reason, count(*) AS n
+SELECT CASE WHEN starts_with(t, 'that ') OR ts OR (ctl AND td = 0) THEN 'structural_title_exclusion' WHEN regexp_matches(t, 'the .* of ') THEN 'strong_mechanical_title'
+ WHEN ele AND td = 0 THEN 'insufficient_base_relevance' WHEN contains(t, 'los') THEN 'low_relevance_operational_title' WHEN ts OR tf OR th THEN 'insufficient_base_relevance'
+ WHEN pm AND contains(t, 'est') AND NOT (ts OR tf) THEN 'industrial_project_title' WHEN pm AND bd AND NOT (ts OR tf) THEN 'technical_project_management_body'
+ WHEN (pm OR ctl OR ele) AND dom >= 1 AND (NOT blk OR met >= 1) THEN 'engineering_role_with_domain' WHEN (pm OR ctl OR ele) AND met >= 1 AND NOT blk THEN 'engineering_role_with_method'
+ WHEN dom >= 2 AND met >= 1 THEN 'multiple_domains_with_method' WHEN met >= 3 AND NOT blk THEN 'multiple_engineering_methods' ELSE 'insufficient_base_relevance' END AS reason, count(*) AS n
 FROM f GROUP BY 1""")
 def gate_reasons(spark, d):
     rows = gate.decide(gate.matches(docs(spark, d).withColumn("extra", F.lit("")), GATE))
@@ -386,16 +386,24 @@ def orphaned_homes(spark, d):
 SCANS = "u AS (SELECT user_id, max(ts) FILTER (event_type = 'purchase') AS rec, max(ts) FILTER (event_type = 'click') AS inc, max(ts) FILTER (event_type IN ('purchase', 'error')) AS att FROM events GROUP BY 1)"
 
 
-@query(f"""WITH {SCANS}, a AS (SELECT *, TIMESTAMP '2024-01-31' AS now FROM u)
-SELECT user_id, CASE WHEN (rec IS NULL OR epoch(now) - epoch(rec) >= 48 * 3600) AND (att IS NULL OR epoch(now) - epoch(att) >= 3600) THEN 'reconciliation'
+# Intervals of 48 hours, none, 0 and less, and disabled sources.
+@query(f"""WITH {SCANS}, a AS (SELECT *, TIMESTAMP '2024-01-31' AS now, CASE user_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN -5 ELSE 48 END AS hours FROM u)
+SELECT user_id, CASE WHEN user_id % 7 = 0 THEN NULL WHEN hours > 0 AND (rec IS NULL OR epoch(now) - epoch(rec) >= hours * 3600) AND (att IS NULL OR epoch(now) - epoch(att) >= 3 * 3600) THEN 'reconciliation'
 WHEN coalesce(greatest(rec, inc), rec, inc) IS NULL OR epoch(now) - epoch(greatest(rec, inc)) >= 360 * 60 THEN 'incremental' END AS kind FROM a""")
 def due_runs(spark, d):
     of = lambda *kinds: F.max(F.when(F.col("event_type").isin(*kinds), F.col("ts")))
     rows = table(spark, d, "events").groupBy("user_id").agg(of("purchase").alias("rec"), of("click").alias("inc"), of("purchase", "error").alias("att"))
-    kind = lifecycle.run_kind(F.expr("timestamp '2024-01-31'"), interval_hours=F.lit(48), poll_minutes=F.lit(360), last_attempt=F.col("att"), last_reconciliation=F.col("rec"), last_incremental=F.col("inc"))
+    u = F.col("user_id")
+    hours = F.when(u % 6 == 1, 0).when(u % 6 == 2, -5).when(u % 6 > 2, 48)
+    kind = lifecycle.run_kind(F.expr("timestamp '2024-01-31'"), interval_hours=hours, poll_minutes=F.lit(360), last_attempt=F.col("att"), last_reconciliation=F.col("rec"), last_incremental=F.col("inc"), enabled=u % 7 != 0)
     return rows.select("user_id", kind.alias("kind"))
 
 
+@query(f"WITH {RUNS} SELECT source_id, max(started_at) AS last_attempt FROM runs WHERE mode = 'reconciliation' GROUP BY 1")
+def latest_attempts(spark, d):
+    return lifecycle.latest_attempt(_runs(spark, d), "reconciliation")
+
+
 @query(f"""WITH {SCANS} SELECT user_id, CASE WHEN user_id % 10 = 0 THEN 'disabled' WHEN user_id % 7 = 0 OR user_id % 11 = 0 THEN 'warning' WHEN rec IS NULL THEN 'never_succeeded'
 WHEN epoch(TIMESTAMP '2024-01-31') - epoch(rec) > 3 * 1440 * 60 THEN 'stale' ELSE 'ok' END AS state FROM u""")
 def source_states(spark, d):

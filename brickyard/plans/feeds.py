@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brickyard.functions import facts, geo, salary, text
+from brickyard.functions import facts, geo, labels, salary, text
 from brickyard.operators import sync
 from brickyard.sources import boards, homes, jobs
 
@@ -149,12 +149,22 @@ def openimmo_homes(spark, d):
     return rows.select("listing_key", "title", F.col("price").cast("double"), F.col("living").cast("double"), "postal_code", "full")
 
 
-@query("""SELECT CASE WHEN p_size % 2 = 0 THEN 'https://h/' || p_partkey END AS url, 'Haus ' || p_partkey AS title, '4020' AS postal_code, 'Linz' AS city, p_size + 0.5 AS area, CASE WHEN p_size % 3 <> 0 THEN p_size * 1000 END::DOUBLE AS price, p_size % 2 = 0 AS identity_stable FROM part""")
+# By p_size % 6: the link holds more than the title, it lies around the heading, it begins the title, it begins it with too little, it is another card's, and the price is missing.
+# The area of the facts is the living area (p_size % 5 = 1), the plot while the text names another living area (2), the plot (3), or not known.
+@query("""SELECT CASE WHEN p_size % 6 IN (0, 1, 2, 5) THEN 'https://h/' || p_partkey END AS url, 'Schönes Haus & Garten Nummer ' || p_partkey AS title, '4020' AS postal_code, 'Linz' AS city, p_size + 0.5::DOUBLE AS area, CASE WHEN p_size % 6 <> 5 THEN p_size * 1000 END::DOUBLE AS price,
+CASE p_size % 5 WHEN 1 THEN 'living_explicit_primary' WHEN 2 THEN 'living_explicit_display_plot' WHEN 3 THEN 'plot_explicit_primary' ELSE 'unknown' END AS area_kind, p_size % 6 IN (0, 1, 2, 5) AS identity_stable FROM part""")
 def home_cards(spark, d):
-    name = _cat("Haus ", _part())
-    card = _cat("<h3>", name, "</h3><p>", F.when(_size() % 3 != 0, _cat("€ ", F.translate(F.format_number(_size() * 1000, 0), ",", "."))).otherwise("auf Anfrage"), "</p><p>4020 Linz / ", _size(), ',5 m²</p><a href="https://h/', _part(), '">', F.when(_size() % 2 == 0, name).otherwise("mehr"), "</a>")
+    name = _cat("Schönes Haus &amp; Garten Nummer ", _part())
+    link = lambda label: _cat('<a href="https://h/', _part(), '">', label, "</a>")
+    kind = _size() % 6
+    after = F.when(kind == 0, link(_cat("Neu: ", name, " ansehen"))).when(kind == 2, link("Schönes <b>Haus</b> &amp; Garten")).when(kind == 3, link("Schönes")).when(kind == 4, link("Ein ganz anderes Haus am See")).when(kind == 5, link(name)).otherwise(link("mehr"))
+    head = F.when(kind == 1, _cat('<a href="https://h/', _part(), '"><h3 class="t">', name, "</h3></a>")).otherwise(_cat("<h3>", name, "</h3>"))
+    shown = _cat(_size(), ",5")
+    areas = F.when(_size() % 5 == 1, _cat("<p>Wohnfläche: ", shown, " m²</p>")).when(_size() % 5 == 2, _cat("<p>Wohnfläche: ", _size() + 500, " m² Grundstück: ", shown, " m²</p>")).when(_size() % 5 == 3, _cat("<p>Grundstücksfläche ", shown, " m²</p>")).otherwise("")
+    price = F.when(kind != 5, _cat("€ 50.000 geschenkt € ", F.translate(F.format_number(_size() * 1000, 0), ",", "."))).otherwise("auf Anfrage")
+    card = _cat(head, "<p>", price, "</p><p>4020 Linz / ", shown, " m²</p>", areas, "<p>Miete € 900</p>", after)
     rows = homes.search_cards(table(spark, d, "part").select(_part().alias("page"), _cat("<div>", card).alias("payload")))
-    return rows.select("url", "title", "postal_code", "city", F.col("area").cast("double"), F.col("price").cast("double"), "identity_stable")
+    return rows.select("url", "title", "postal_code", "city", F.col("area").cast("double"), F.col("price").cast("double"), "area_kind", "identity_stable")
 
 
 @query("SELECT lpad((p_partkey % 9999)::VARCHAR, 4, '0') AS postal_code, arg_max(p_name, p_partkey) AS name FROM part WHERE p_size % 4 <> 0 AND p_partkey % 9999 > 0 GROUP BY 1")
@@ -344,3 +354,22 @@ def seeded_tenants(spark, d):
     seeds = part.filter(_size() % 3 != 0).select(F.lit("n").alias("namespace"), key.alias("tenant_key"), F.col("p_brand").alias("company"), F.lit(True).alias("enabled"), F.create_map(F.lit("a"), F.lit("seed"), F.lit("b"), F.lit("seed")).alias("config"))
     rows = boards.seeded_tenants(stored, seeds)
     return rows.select("tenant_key", (~F.col("created")).alias("known"), "company", F.element_at("config", "a").alias("a"), F.element_at("config", "b").alias("b"))
+
+
+# Pay of a year, a month (with 14 payments) or an hour, bounds, one bound, decimals, another currency with annual bounds; places and filters in words.
+@query("""WITH v AS (SELECT *, p_size * 1000 AS a, p_size * 1000 + 500 AS b FROM part)
+SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN {a} || ' € – ' || {b} || ' € / Jahr' WHEN 1 THEN 'ab ' || {a} || ' € / Monat · 14×' WHEN 2 THEN 'bis ' || {b} || ' € / Stunde' WHEN 3 THEN {a} || ',50 € / Jahr' WHEN 4 THEN 'ab ' || {a} || ' € / Jahr' END AS pay,
+CASE p_partkey % 4 WHEN 0 THEN '4020 Linz' WHEN 1 THEN 'Raum Linz · Remote' WHEN 2 THEN 'Remote' END AS place, CASE WHEN p_size % 3 = 0 THEN 'Preis auf Anfrage' ELSE '€ ' || {b} END AS price,
+CASE WHEN p_size % 3 = 0 THEN 'Keine zusätzlichen Filter' WHEN p_size % 3 = 1 THEN 'Linz · Umkreis 25 km · Preis ' || {a} || '–' || {b} || ' € · Wohnfläche ab ' || {a} || ' m²' ELSE 'Linz · Umkreis 2.5 km · Preis ab ' || {a} || ' € · Grundstück bis ' || {b} || ' m²' END AS filters FROM v""".replace("{a}", "replace(format('{:,}', a), ',', '.')").replace("{b}", "replace(format('{:,}', b), ',', '.')"))
+def labels_for_readers(spark, d):
+    a, b, kind = _size() * 1000, _size() * 1000 + 500, _size() % 6
+    pay = labels.salary_label(
+        currency=F.when(kind == 4, "CHF").otherwise("EUR"), period=F.when(kind == 1, "month").when(kind == 2, "hour").otherwise("YEAR"), low=F.when(kind.isin(0, 1), a).when(kind == 3, a + F.lit(0.5)), high=F.when(kind.isin(0, 2), b), least=kind.isin(1, 4),
+        payments=F.when(kind <= 1, 14), year_low=F.when(kind == 4, a), year_high=F.lit(None).cast("double"),
+    )
+    k = _part() % 4
+    place = labels.place_label(F.when(k == 0, "4020"), F.when(k == 0, "Linz").otherwise(""), F.when(k <= 1, "Raum Linz "), k.isin(1, 2))
+    third = _size() % 3
+    some = lambda n, x: F.when(third == n, x)
+    filters = labels.filter_summary(place=F.when(third > 0, "Linz").otherwise(""), radius_km=F.when(third == 1, 25.0).when(third == 2, 2.5), price=(F.when(third > 0, a), some(1, b)), areas={"Wohnfläche": (some(1, a), F.lit(None).cast("long")), "Grundstück": (F.lit(None).cast("long"), some(2, b))})
+    return table(spark, d, "part").select("p_partkey", pay.alias("pay"), place.alias("place"), labels.price_label(F.when(third != 0, b)).alias("price"), filters.alias("filters"))

@@ -88,7 +88,7 @@ def page_scalars(spark, d):
     return table(spark, d, "events").select("event_id", facts.json_scalar(F.col("props"), "k").alias("value"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN ['no_longer_available'] WHEN 1 THEN ['frist_abgelaufen'] WHEN 2 THEN [] ELSE ['applications_closed', 'expired'] END::VARCHAR[] AS marks FROM part""".replace("::VARCHAR[] AS marks", " AS marks").replace("SELECT p_partkey, CASE", "SELECT p_partkey, array_to_string(CASE").replace("END AS marks", "END, ',') AS marks"))
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN ['no_longer_available'] WHEN 1 THEN ['bewerbungsfrist_abgelaufen'] WHEN 2 THEN [] ELSE ['applications_closed', 'job_expired'] END::VARCHAR[] AS marks FROM part""".replace("::VARCHAR[] AS marks", " AS marks").replace("SELECT p_partkey, CASE", "SELECT p_partkey, array_to_string(CASE").replace("END AS marks", "END, ',') AS marks"))
 def closed_page_marks(spark, d):
     k = F.col("p_partkey")
     said = (F.lit("This job is  no longer available."), F.lit("Die Bewerbungsfrist ist leider abgelaufen"), F.lit("Apply now"), F.lit("Applications are closed. The position has expired"))

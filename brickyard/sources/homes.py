@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brickyard.functions.text import ascii_words, german_decimal, visible_text
+from brickyard.functions.facts import label_values
+from brickyard.functions.text import ascii_words, german_decimal, read_references, squeeze, visible_text
 
 from . import archives
 
@@ -71,33 +72,57 @@ def synthetic_key(postal: Column, city: Column, area: Column, price: Column, tit
     return F.substring(F.sha2(F.concat_ws("|", part(postal), part(city), part(area), part(price), ascii_words(title, ampersand=False)), 256), 1, 32)
 
 
+def _belongs(label: Column, title: Column) -> Column:
+    """Whether a link's text is that of a card: it holds the title, or begins it with at least 12 characters and 35 % of it; a title under 8 characters never tells."""
+    a, b = F.lower(squeeze(label)), F.lower(squeeze(title))
+    part = b.startswith(a) & (F.length(a) >= 12) & (F.length(a) >= F.floor(F.length(b) * 0.35))
+    return (F.length(b) >= 8) & (a != "") & (a.contains(b) | part)
+
+
+def area_meaning(shown: Column, living: Column, plot: Column) -> Column:
+    """What the area of a card's facts line is (fixed values), by the areas that its text states."""
+    close = lambda x, y: F.coalesce(F.abs(x - y) <= F.greatest(F.lit(1.0), F.greatest(F.abs(x), F.abs(y)) * 0.01), F.lit(False))
+    said = F.when(close(shown, living), "living_explicit_primary").when(close(shown, plot), "living_explicit_display_plot").otherwise("living_explicit_nonprimary")
+    return F.when(living.isNotNull(), said).when(close(shown, plot), "plot_explicit_primary").otherwise("unknown")
+
+
+AREA_LABELS = {"living": "(?:Wohnfläche|Wohnnutzfläche)", "plot": "(?:Grundstücksfläche|Grundstück|Grundfläche)"}
+
+
 def search_cards(raw: DataFrame) -> DataFrame:
     """Cards of meta-search pages: a heading is the title, ``PLZ place / area`` the facts, the last price before them the price.
 
-    A link counts only if its text is the title; without one the identity is
-    made up. Later cards of one key win (``page`` is the order).
+    A link around the heading or after it counts if its text belongs to the
+    card (``_belongs``), that around it first; without one the identity is
+    made up. ``area_kind`` tells what the area of the facts is. Later cards of
+    one key win (``page`` is the order).
     """
+    # The link that a heading lies in opens in the part before it.
     parts = F.split("payload", r"(?i)<h3\b")
-    blocks = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
-    rows = raw.select("page", F.posexplode(blocks).alias("at", "block"))
+    rows = raw.select("page", F.posexplode(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda x, i: F.struct(x.alias("block"), F.get(parts, i).alias("before")))).alias("at", "p")).select("page", "at", "p.*")
     title = visible_text(F.regexp_extract("block", r"(?is)^[^>]*>(.*?)</h3>", 1))
-    rows = rows.withColumn("title", title).withColumn("text", visible_text(F.regexp_replace("block", r"(?is)^[^>]*>.*?</h3>", "")))
+    rest = F.regexp_replace("block", r"(?is)^[^>]*>.*?</h3>", "")
+    rows = rows.withColumn("title", title).withColumn("text", visible_text(rest))
     facts = r"(\d{4}) ([^/€\d]+?) / ([\d.,]+) ?m²"
     before = F.regexp_extract("text", r"(?s)^(.*?)\d{4} [^/€\d]+? / [\d.,]+ ?m²", 1)
     prices = F.regexp_extract_all(before, F.lit(r"€ ?([\d.]+(?:,\d{2})?)"), 1)
-    link = F.regexp_extract("block", r'(?is)<a\b[^>]*href="([^"]+)"[^>]*>(.*?)</a>', 1)
-    label = visible_text(F.regexp_extract("block", r'(?is)<a\b[^>]*href="([^"]+)"[^>]*>(.*?)</a>', 2))
-    rows = (
-        rows.withColumn("postal_code", F.nullif(F.regexp_extract("text", facts, 1), F.lit("")))
-        .withColumn("city", F.nullif(F.trim(F.regexp_extract("text", facts, 2)), F.lit("")))
-        .withColumn("area", german_decimal(F.regexp_extract("text", facts, 3)))
-        .withColumn("price", german_decimal(F.element_at(F.when(F.size(prices) > 0, prices), -1)))
-        .withColumn("url", F.when((link != "") & (label == F.col("title")), link))
-        .filter(F.col("title") != "")
-    )
+    around = F.regexp_extract("before", r"""(?is).*<a\b[^>]*href=["']([^"']+)["'][^>]*>(?:(?!</a).)*$""", 1)
+    inside = F.struct(around.alias("url"), visible_text(F.concat(F.lit("<h3"), F.regexp_extract("block", r"(?is)^(.*?)</a", 1))).alias("label"))
+    links = F.transform(F.regexp_extract_all(rest, F.lit(r"""(?is)<a\b[^>]*href=["'][^"']+["'][^>]*>.*?</a>"""), 0), lambda a: F.struct(F.regexp_extract(a, r"""(?is)href=["']([^"']+)["']""", 1).alias("url"), squeeze(F.regexp_replace(a, r"<[^>]*>", " ")).alias("label")))
+    rows = rows.withColumn("links", F.concat(F.array(inside), links))
+    # All labels of a card are read at once, apart by a mark that no reference stands for.
+    said = F.split(read_references(F.array_join(F.transform("links", lambda a: a["label"]), "\u0001")), "\u0001")
+    known = F.transform(F.arrays_zip("links", said.alias("said")), lambda z: F.struct(z["links"]["url"].alias("url"), z["said"].alias("label")))
+    good = F.filter(known, lambda a: a["url"].rlike("^https?://") & _belongs(a["label"], F.col("title")))
+    # Texts first and numbers from them next, so that no pattern is looked for twice.
+    texts = {f"_{k}": v for k, v in label_values(F.col("text"), AREA_LABELS).items()}
+    texts |= {"_area": F.regexp_extract("text", facts, 3), "_price": F.element_at(F.when(F.size(prices) > 0, prices), -1)}
+    rows = rows.withColumns({"postal_code": F.nullif(F.regexp_extract("text", facts, 1), F.lit("")), "city": F.nullif(F.trim(F.regexp_extract("text", facts, 2)), F.lit("")), "url": F.get(good, F.lit(0))["url"], **texts}).filter(F.col("title") != "")
+    rows = rows.withColumns({c: german_decimal(F.col(f"_{c}")) for c in ("area", "price", *AREA_LABELS)})
+    rows = rows.withColumn("area_kind", area_meaning(*(F.col(c).cast("double") for c in ("area", "living", "plot"))))
     made = synthetic_key(F.col("postal_code"), F.col("city"), F.col("area"), F.col("price"), F.col("title"))
     rows = rows.withColumn("identity_stable", F.col("url").isNotNull()).withColumn("listing_key", F.coalesce("url", made))
-    last = rows.groupBy("listing_key").agg(F.max_by(F.struct("title", "url", "postal_code", "city", "area", "price", "identity_stable"), F.struct("page", "at")).alias("c"))
+    last = rows.groupBy("listing_key").agg(F.max_by(F.struct("title", "url", "postal_code", "city", "area", "price", "area_kind", "identity_stable"), F.struct("page", "at")).alias("c"))
     return last.select("listing_key", "c.*")
 
 

@@ -153,9 +153,9 @@ def test_gate_rules(spark):
     data = spark.createDataFrame([(i, t, b, None) for i, (t, b) in enumerate(rows)], "i int, title string, body string, extra string")
     got = [(r.accepted, r.reason) for r in gate.decide(gate.matches(data, p)).orderBy("i").collect()]
     assert got == [
-        (False, "structural_title_exclusion"), (True, "strong_title"), (True, "industrial_project_title"), (True, "technical_project_body"), (True, "role_with_domain"), (False, "insufficient_base_relevance"),
-        (True, "role_with_domain"), (True, "role_with_method"), (True, "domains_with_method"), (True, "methods"), (False, "insufficient_base_relevance"), (False, "structural_title_exclusion"), (True, "role_with_domain"),
-        (True, "role_with_domain"), (False, "low_relevance_title"),
+        (False, "structural_title_exclusion"), (True, "strong_mechanical_title"), (True, "industrial_project_title"), (True, "technical_project_management_body"), (True, "engineering_role_with_domain"), (False, "insufficient_base_relevance"),
+        (True, "engineering_role_with_domain"), (True, "engineering_role_with_method"), (True, "multiple_domains_with_method"), (True, "multiple_engineering_methods"), (False, "insufficient_base_relevance"), (False, "structural_title_exclusion"), (True, "engineering_role_with_domain"),
+        (True, "engineering_role_with_domain"), (False, "low_relevance_operational_title"),
     ]
 
 
@@ -279,7 +279,7 @@ def test_job_feeds(spark):
     joo = '{"jobs":[{"id":"1","title":"A","link":"https://j/1","location":"4020 Linz","snippet":"s","salary":"3.000 EUR"}]}'
     assert [(r.locations[0].city, r.locations[0].postal_code) for r in rows(jobs.jooble, joo)] == [("Linz", "4020")]
     feed = "<w><position><id>3</id><name>Dev</name><office>Wien, Graz</office><jobDescriptions><jobDescription><value>Hallo</value></jobDescription></jobDescriptions></position></w>"
-    assert [(r.url, [p.city for p in r.locations], r.description) for r in rows(jobs.personio, feed, company="c", base_url="https://p", language="de")] == [("https://p/job/3", ["Wien", "Graz"], "Hallo")]
+    assert [(r.url, [p.city for p in r.locations], r.description) for r in rows(lambda raw: jobs.personio(raw, spark.createDataFrame([("Wien",), ("Graz",)], "name string")), feed, tenant="t", company="c", base_url="https://p", language="de")] == [("https://p/job/3?language=de", ["graz", "wien"], "Hallo")]
     assert rows(jobs.lever, "broken", company="c") == []
     page = '<a href="/job/engineer-77?x"><h2>Engineer</h2><p>Acme</p><p>Linz</p></a><a href="/x">more</a>'
     assert [(r.listing_key, r.title, r.company, r.url) for r in rows(lambda d: jobs.cards(d, "https://c"), page)] == [("engineer-77", "Engineer", "Acme", "https://c/job/engineer-77?x")]
@@ -297,10 +297,10 @@ def test_home_feeds(spark, tmp_path):
     xml = "<o:openimmo xmlns:o='u'><uebertragung umfang='VOLL'/><anbieter>" + item.format(k="ja", a="haus", n=1) + item.format(k="false", a="haus", n=2) + item.format(k="1", a="wohnung", n=3) + "</anbieter></o:openimmo>"
     rows = homes.openimmo(spark.createDataFrame([(xml,), ("broken",)], "payload string")).collect()
     assert [(r.full, r.listing_key, r.title, r.price, r.living) for r in rows] == [(True, "1", "Haus 1", Decimal("250000.50"), Decimal("120.50"))]
-    html = "<h3>Haus A</h3><a href='x'>no</a><a href=\"https://m/1\">Haus A</a><p>€ 199.000 4020 Linz / 101 m²</p><h3>Haus B</h3><p>€ 1.000 € 299.000 4600 Wels / 1.200,5 m²</p>"
+    html = "<h3>Helles Haus A</h3><a href='x'>no</a><a href=\"https://m/1\">Helles Haus A</a><p>€ 199.000 4020 Linz / 101 m²</p><h3>Helles Haus B</h3><p>€ 1.000 € 299.000 4600 Wels / 1.200,5 m²</p>"
     got = {r.title: r for r in homes.search_cards(spark.createDataFrame([(1, html.replace("<a href='x'>no</a>", ""))], "page int, payload string")).collect()}
-    assert (got["Haus A"].listing_key, got["Haus A"].price, got["Haus A"].city, got["Haus A"].identity_stable) == ("https://m/1", 199000, "Linz", True)
-    assert (got["Haus B"].price, got["Haus B"].area, got["Haus B"].identity_stable, len(got["Haus B"].listing_key)) == (299000, Decimal("1200.50"), False, 32)
+    assert (got["Helles Haus A"].listing_key, got["Helles Haus A"].price, got["Helles Haus A"].city, got["Helles Haus A"].identity_stable) == ("https://m/1", 199000, "Linz", True)
+    assert (got["Helles Haus B"].price, got["Helles Haus B"].area, got["Helles Haus B"].identity_stable, len(got["Helles Haus B"].listing_key)) == (299000, Decimal("1200.50"), False, 32)
     names = '{"data":[{"plz":"1010","ort":"Wien","adressierbar":"Ja"},{"plz":"1010","ort":"Wien 1","adressierbar":"ja"},{"plz":"99","ort":"X","adressierbar":"nein"}]}'
     assert [tuple(r) for r in homes.postal_names(spark.createDataFrame([(names,)], "payload string")).collect()] == [("1010", "Wien 1")]
     path = tmp_path / "a.csv"
