@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from collections import Counter
 
@@ -227,6 +228,17 @@ def test_spans_give_byte_offsets(spark, corpus):
     assert "idiot" in {r.word for r in rows} and {r.doc_id for r in rows} == {1}
 
 
+def test_sample_fills_its_bytes_in_seeded_order(spark):
+    docs = spark.createDataFrame([(i, "x" * (1000 if i % 5 == 0 else 40)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    table = labelled.sample(docs, labels, "toxic", F.lit(True), most=50, most_bytes=16_000)
+    assert table.num_rows == 50 and sum(len(t) == 1000 for t in table.column("text").to_pylist()) >= 5
+    small = labelled.sample(docs, labels, "toxic", F.lit(True), most=60, most_bytes=16_000 // 10)
+    # Texts of over a sixteenth are out, and the rest goes in by the order of hashes until it is full.
+    order = sorted((hashlib.md5(f"sample:{i}".encode()).hexdigest(), i) for i in range(60) if i % 5)
+    assert small.column("_o").to_pylist() == [h for h, _ in order][: 1600 // 40]
+
+
 def test_sample_has_one_row_an_id(spark):
     docs = spark.createDataFrame([(1, f"copy {i % 3}") for i in range(300)] + [(i, f"text {i}") for i in range(2, 30)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1)] * 40 + [(2, 1), (2, 0), (2, 0)] + [(i, i % 2) for i in range(3, 30)], "doc_id long, toxic int")
