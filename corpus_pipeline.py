@@ -1,7 +1,10 @@
 """A training corpus from raw documents: quality, lines, near-duplicates, mixture and packing.
 
 Each stage takes all that its predecessor kept and returns the columns of
-``documents`` (the last one returns packed pieces).
+``documents`` (the last one returns packed pieces). A null text counts as an
+empty one, null ids and sources are values like others, rows that repeat are
+documents of their own, an empty table gives an empty one, and long texts are
+taken whole. What a stage does with such rows stands in its docstring.
 """
 
 from __future__ import annotations
@@ -22,7 +25,12 @@ MOST_LINE_SHARE = 0.02
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the quality classifier rejects; it is fitted on labels that aren't held out."""
+    """Drops what the quality classifier rejects; it is fitted on labels that aren't held out.
+
+    Null and empty texts have the score of a text without words; equal texts
+    have equal scores, so copies stay or go together. Without labels the
+    classifier scores every text alike, at 0.5, and nothing goes.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     usable = labelled.remainder(F.col("doc_id"), 4) != 2
     table = labelled.sample(docs, labels, "quality", usable, most=SAMPLE_ROWS)
@@ -33,24 +41,42 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that more than ``MOST_LINE_SHARE`` of a source's documents, and at least 5, hold."""
+    """Drops lines that more than ``MOST_LINE_SHARE`` of a source's documents, and at least 5, hold.
+
+    No document goes. A null text stays null, an empty one empty; documents
+    without a source are one source; a document that would lose all its lines
+    keeps them. ``n_chars`` follows the text where lines went.
+    """
     found = linededup.drop_lines(docs, host_col="source", ratio=MOST_LINE_SHARE, least_pages=5)
     length = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return found.select(*(length.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
+    """Keeps one document of each group of near-duplicates: that of the smallest id.
+
+    Documents without words are alike to nothing and all stay. Rows equal in
+    id and text are one document. Rows without an id go if a row with an id
+    is in their group, and stay otherwise.
+    """
     return setsketch.drop_near_duplicates(docs, width=5, percent=75)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and leaves out documents so that sources come to their target weights."""
+    """Repeats and leaves out documents so that sources come to their target weights.
+
+    A document stands in the result as often as the mix takes it, none above
+    three times for each of its rows. Those without words have size 0 and are
+    repeated like the others of their source. A null source is a source.
+    """
     return mixing.sampled(docs, weights=(1, 2, 3), max_epochs=3)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the token sequences of all documents into sequences of at most 2048."""
+    """Packs the token sequences of all documents into sequences of at most 2048.
+
+    A null or empty text is the end token alone; copies are packed each.
+    """
     pieces = packing.token_pieces(docs, path=tokens.tokenizer_path(), capacity=2048)
     return packing.pack_pieces(pieces, capacity=2048)
 
