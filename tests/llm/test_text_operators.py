@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -147,6 +148,34 @@ def test_sharding_spreads_a_heavy_key(spark):
     assert sum(load.values()) == 3000 and max(load.values()) < 1.02 * 375
 
 
+def test_sharding_against_a_plain_ring_walk(spark):
+    shards, n_cells, replicas, slack = 7, 64, 5, 0.05
+    rng = random.Random(3)
+    rows = [(i, "t" * rng.choice((0, 5, 50, 900))) for i in range(400)] + [(7, "same")] * 9 + [(None, None)] * 3
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    seen, cells = Counter(), {}
+    for d, t in rows:
+        row = (d, len(t or "") + 16, zlib.crc32((t or "").encode()))
+        copy = seen[row]
+        seen[row] += 1
+        key = ":".join([str(d) if d is not None else "", str(row[2]), *([str(copy)] if copy else [])])
+        cells.setdefault(int(md5(key)[:8], 16) // (2**32 // n_cells), []).append((*row, copy))
+    nodes = sorted((int(md5(f"shard:{s}:{v}")[:8], 16), s) for s in range(shards) for v in range(replicas))
+    size = {c: sum(r[1] for r in own) for c, own in cells.items()}
+    cap, loads, of = sum(size.values()) * (1 + slack) / shards, [0] * shards, {}
+    for c in sorted(cells, key=lambda c: (-size[c], c)):
+        ahead = [s for p, s in nodes if p >= c * (2**32 // n_cells)] + [s for p, s in nodes if p < c * (2**32 // n_cells)]
+        of[c] = next((s for s in ahead if loads[s] + size[c] <= cap), loads.index(min(loads)))
+        loads[of[c]] += size[c]
+    want, used = [], Counter()
+    for c in sorted(cells):
+        for r in sorted(cells[c], key=lambda r: (r[0] is not None, r[0] or 0, r[2], r[1], r[3])):
+            want.append((r[0], r[1], r[2], of[c], used[of[c]]))
+            used[of[c]] += 1
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), shards=shards, n_cells=n_cells, replicas=replicas, slack=slack).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in got) == Counter(want)
+
+
 def test_sharding_odd_rows(docs, spark):
     rows = sharding.assign(docs, shards=3).collect()
     assert Counter(r.doc_id for r in rows) == Counter(d for d, _, _ in ODD)
