@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brickyard.functions import geo
 from brickyard.functions.geo import geodesic_m
 from brickyard.checkpoints import kept
 from brickyard.operators import catalog, fallback, locality, radius
@@ -87,7 +88,13 @@ def homes_in_radius(spark, d):
     return _km(radius.within_radius(homes(spark, d), 13.04, 47.8, 30)).select("home_id", "km")
 
 
-@query()
+# The line on the auxiliary sphere of reduced latitudes, corrected for the flattening.
+LAMBERT = f"""r AS (SELECT home_id, location_id, atan((1 - {geo.FLATTENING}) * tan(radians(lat))) AS b1, atan((1 - {geo.FLATTENING}) * tan(radians(job_lat))) AS b2, radians(job_lon - lon) AS dl FROM pairs WHERE km <= 10),
+q AS (SELECT *, 2 * asin(sqrt(least(1e0, pow(sin((b2 - b1) / 2), 2) + cos(b1) * cos(b2) * pow(sin(dl / 2), 2)))) AS s, (b1 + b2) / 2 AS p, (b2 - b1) / 2 AS h FROM r)
+SELECT home_id, location_id, round(CASE WHEN s = 0 THEN 0e0 ELSE {geo.AXIS_M} * (s - {geo.FLATTENING} / 2 * ((s - sin(s)) * pow(sin(p) * cos(h) / cos(s / 2), 2) + (s + sin(s)) * pow(cos(p) * sin(h) / sin(s / 2), 2))) END, 1) AS metres FROM q"""
+
+
+@query(f"WITH {HOMES}, {LOCATIONS}, {PAIRS}, {LAMBERT}")
 def geodesic_pairs(spark, d):
     rows = radius.radius_join(homes(spark, d), locations(spark, d), 10)
     return rows.select("home_id", "location_id", F.round(geodesic_m(F.col("lon"), F.col("lat"), F.col("job_lon"), F.col("job_lat")), 1).alias("metres"))
@@ -369,15 +376,37 @@ def projected_means(spark, d):
     return locality.projected_means(rows).withColumn("easting", F.round("easting", 4)).withColumn("northing", F.round("northing", 4))
 
 
-@query()
+def _grid_sql(rows: str) -> str:
+    """CTEs that end in ``out`` (rows with lon and lat): inverse transverse Mercator on Bessel's ellipsoid, then the shift to WGS84."""
+    a, f, w = geo.BESSEL_AXIS, geo.BESSEL_FLATTENING, geo.FLATTENING
+    e2, w2 = f * (2 - f), w * (2 - w)
+    ep2, e1 = e2 / (1 - e2), (1 - (1 - e2) ** 0.5) / (1 + (1 - e2) ** 0.5)
+    dx, dy, dz, *turn, ppm = geo.SHIFT
+    rx, ry, rz = (x * 3.141592653589793 / 180 / 3600 for x in turn)
+    k = 1 + ppm * 1e-6
+    zone = " ".join(f"WHEN {code} THEN {lon}" for code, lon in geo.ZONES.items())
+    return f"""
+m AS (SELECT *, (northing - {geo.FALSE_NORTHING}) / {a * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256)} AS mu, radians(CASE epsg {zone} END::DOUBLE) AS l0 FROM {rows}),
+foot AS (SELECT *, mu + {1.5 * e1 - 27 * e1**3 / 32} * sin(2 * mu) + {21 * e1**2 / 16 - 55 * e1**4 / 32} * sin(4 * mu) + {151 * e1**3 / 96} * sin(6 * mu) AS p FROM m),
+curved AS (SELECT *, {a} / sqrt(1 - {e2} * pow(sin(p), 2)) AS n, {a * (1 - e2)} / pow(1 - {e2} * pow(sin(p), 2), 1.5) AS r, pow(tan(p), 2) AS t, {ep2} * pow(cos(p), 2) AS c FROM foot),
+bessel AS (SELECT *, p - n * tan(p) / r * (pow(easting / n, 2) / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * {ep2}) * pow(easting / n, 4) / 24 + (61 + 90 * t + 298 * c + 45 * t * t) * pow(easting / n, 6) / 720) AS phi,
+  l0 + (easting / n - (1 + 2 * t + c) * pow(easting / n, 3) / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * {ep2} + 24 * t * t) * pow(easting / n, 5) / 120) / cos(p) AS lam FROM curved),
+centred AS (SELECT *, {a} / sqrt(1 - {e2} * pow(sin(phi), 2)) AS g FROM bessel),
+space AS (SELECT *, g * cos(phi) * cos(lam) AS x, g * cos(phi) * sin(lam) AS y, g * {1 - e2} * sin(phi) AS z FROM centred),
+moved AS (SELECT * EXCLUDE (x, y, z), {dx} + {k} * (x - {rz} * y + {ry} * z) AS x, {dy} + {k} * ({rz} * x + y - {rx} * z) AS y, {dz} + {k} * (-{ry} * x + {rx} * y + z) AS z FROM space),
+turned AS (SELECT *, sqrt(x * x + y * y) AS d, atan2(z * {geo.AXIS_M}, sqrt(x * x + y * y) * {geo.AXIS_M * (1 - w)}) AS th FROM moved),
+out AS (SELECT *, degrees(atan2(y, x)) AS lon, degrees(atan2(z + {w2 / (1 - w2) * geo.AXIS_M * (1 - w)} * pow(sin(th), 3), d - {w2 * geo.AXIS_M} * pow(cos(th), 3))) AS lat FROM turned)"""
+
+
+@query(f"""WITH g AS (SELECT (c_custkey % 40 + 1000)::VARCHAR AS postal_code, 31254 + c_custkey % 3 AS epsg, avg((c_custkey * 7919) % 100003) AS easting, avg((c_custkey * 104729) % 100019 + 200000) AS northing, count(*) AS samples FROM customer GROUP BY 1, 2),
+{_grid_sql("g")} SELECT postal_code, round(sum(lon * samples) / sum(samples), 7) AS lon, round(sum(lat * samples) / sum(samples), 7) AS lat, sum(samples)::BIGINT AS samples FROM out GROUP BY 1""")
 def postal_centroids(spark, d):
-    from brickyard.functions.geo import grid_to_wgs84
-
     k = F.col("c_custkey")
     rows = table(spark, d, "customer").select((k % 40 + 1000).cast("string").alias("postal_code"), (k % 3 + 31254).alias("epsg"), ((k * 7919) % 100003).alias("easting"), ((k * 104729) % 100019 + F.lit(200000)).alias("northing"))
     means = locality.projected_means(rows)
-    lon, lat = grid_to_wgs84(F.col("easting"), F.col("northing"), F.col("epsg"))
-    return locality.merged_zones(means.select("postal_code", "samples", lon.alias("lon"), lat.alias("lat")))
+    lon, lat = geo.grid_to_wgs84(F.col("easting"), F.col("northing"), F.col("epsg"))
+    centres = locality.merged_zones(means.select("postal_code", "samples", lon.alias("lon"), lat.alias("lat")))
+    return centres.select("postal_code", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"), "samples")
 
 
 LOCS = """loc AS (SELECT l_orderkey * 10 + l_linenumber AS location_id, l_orderkey AS job_id, l_returnflag AS city, l_linestatus = 'F' AS remote,

@@ -6,10 +6,11 @@ import math
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brickyard.functions import text
+from brickyard.functions import geo, text
 from brickyard.operators import dedupe, fallback, identity, locality, radius, rollups
 from brickyard.sources import boards, jobs
 
@@ -211,6 +212,39 @@ def test_circles_of_their_own(spark):
     assert got == {1: sum(_km(-179.9 + i / 100, 0, 179.95, 0) <= 30 for i in range(40)), 4: 40}
 
 
+def _on_grid(lon, lat, meridian):
+    """Easting and northing of a WGS84 point: back through the shift, then the transverse Mercator series forward."""
+    a, f, w = geo.BESSEL_AXIS, geo.BESSEL_FLATTENING, geo.FLATTENING
+    e2, w2 = f * (2 - f), w * (2 - w)
+    p, q = math.radians(lat), math.radians(lon)
+    n = geo.AXIS_M / math.sqrt(1 - w2 * math.sin(p) ** 2)
+    point = [n * math.cos(p) * math.cos(q), n * math.cos(p) * math.sin(q), n * (1 - w2) * math.sin(p)]
+    dx, dy, dz, *turn, ppm = geo.SHIFT
+    rx, ry, rz = (math.radians(x / 3600) for x in turn)
+    k = 1 + ppm * 1e-6
+    m = np.array([[1, -rz, ry], [rz, 1, -rx], [-ry, rx, 1]]) * k
+    x, y, z = np.linalg.solve(m, np.array(point) - [dx, dy, dz])
+    lam, d = math.atan2(y, x), math.hypot(x, y)
+    phi = math.atan2(z, d * (1 - e2))
+    for _ in range(20):
+        n = a / math.sqrt(1 - e2 * math.sin(phi) ** 2)
+        phi = math.atan2(z + e2 * n * math.sin(phi), d)
+    n, ep2 = a / math.sqrt(1 - e2 * math.sin(phi) ** 2), e2 / (1 - e2)
+    t, c, al = math.tan(phi) ** 2, ep2 * math.cos(phi) ** 2, (lam - math.radians(meridian)) * math.cos(phi)
+    arc = sum(v * math.sin(2 * i * phi) if i else v * phi for i, v in enumerate((1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256, -(3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024), 15 * e2**2 / 256 + 45 * e2**3 / 1024, -35 * e2**3 / 3072))) * a
+    east = n * (al + (1 - t + c) * al**3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep2) * al**5 / 120)
+    north = arc + n * math.tan(phi) * (al**2 / 2 + (5 - t + 9 * c + 4 * c * c) * al**4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep2) * al**6 / 720)
+    return east, north + geo.FALSE_NORTHING
+
+
+def test_grid_points_come_back(spark):
+    points = [(lon, lat, code, *_on_grid(lon, lat, geo.ZONES[code])) for lon, lat, code in ((9.7, 47.2, 31254), (11.4, 47.27, 31254), (13.04, 47.8, 31255), (14.29, 48.3, 31255), (16.37, 48.21, 31256), (15.44, 47.07, 31256))]
+    rows = spark.createDataFrame(points, "lon double, lat double, epsg int, e double, n double")
+    x, y = geo.grid_to_wgs84(F.col("e"), F.col("n"), F.col("epsg"))
+    for r in rows.select("lon", "lat", x.alias("x"), y.alias("y")).collect():
+        assert abs(r.x - r.lon) < 2e-7 and abs(r.y - r.lat) < 2e-7
+
+
 # --- titles ---
 
 
