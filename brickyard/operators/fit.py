@@ -7,8 +7,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brickyard.functions.text import contains_alias
-
 
 @dataclass(frozen=True)
 class Policy:
@@ -52,9 +50,10 @@ def extract(jobs: DataFrame, vocabulary: DataFrame, few: int = FEW_ALIASES) -> D
     fields = jobs.select("job_id", F.explode(F.create_map(F.lit("title"), "title", F.lit("description"), "description")).alias("field", "text")).withColumn("w", F.split("text", " "))
     best = F.max_by("alias", F.struct(F.length("alias"), "alias"))
     if seen["n"] <= few:
-        words = [r["alias"] for r in aliases.select("alias").distinct().collect()]
-        hits = F.filter(F.array(*map(F.lit, words)).cast("array<string>"), lambda a: contains_alias(F.col("text"), a))
-        found = fields.select("job_id", "field", F.explode(hits).alias("alias")).join(F.broadcast(aliases), "alias")
+        # Spaces around both make whole words; the text gets its spaces once, not for each alias.
+        words = F.array(*(F.lit(f" {r['alias']} ") for r in aliases.select("alias").distinct().collect())).cast("array<string>")
+        hits = F.get(F.transform(F.array(F.concat(F.lit(" "), "text", F.lit(" "))), lambda t: F.filter(words, lambda a: t.contains(a))), F.lit(0))
+        found = fields.select("job_id", "field", F.explode(F.transform(hits, lambda a: F.trim(a))).alias("alias")).join(F.broadcast(aliases), "alias")
         return found.groupBy("job_id", "kind", "slug", "field").agg(best.alias("alias"))
     runs = lambda n: F.col("w") if n == 1 else F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
     every = F.flatten(F.array(*(runs(n) for n in sorted(seen["lengths"]) or [1])))

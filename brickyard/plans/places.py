@@ -404,8 +404,7 @@ def postal_centroids(spark, d):
     k = F.col("c_custkey")
     rows = table(spark, d, "customer").select((k % 40 + 1000).cast("string").alias("postal_code"), (k % 3 + 31254).alias("epsg"), ((k * 7919) % 100003).alias("easting"), ((k * 104729) % 100019 + F.lit(200000)).alias("northing"))
     means = locality.projected_means(rows)
-    lon, lat = geo.grid_to_wgs84(F.col("easting"), F.col("northing"), F.col("epsg"))
-    centres = locality.merged_zones(means.select("postal_code", "samples", lon.alias("lon"), lat.alias("lat")))
+    centres = locality.merged_zones(geo.grid_to_wgs84(means, "easting", "northing", "epsg"))
     return centres.select("postal_code", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"), "samples")
 
 

@@ -240,8 +240,7 @@ def _on_grid(lon, lat, meridian):
 def test_grid_points_come_back(spark):
     points = [(lon, lat, code, *_on_grid(lon, lat, geo.ZONES[code])) for lon, lat, code in ((9.7, 47.2, 31254), (11.4, 47.27, 31254), (13.04, 47.8, 31255), (14.29, 48.3, 31255), (16.37, 48.21, 31256), (15.44, 47.07, 31256))]
     rows = spark.createDataFrame(points, "lon double, lat double, epsg int, e double, n double")
-    x, y = geo.grid_to_wgs84(F.col("e"), F.col("n"), F.col("epsg"))
-    for r in rows.select("lon", "lat", x.alias("x"), y.alias("y")).collect():
+    for r in geo.grid_to_wgs84(rows, "e", "n", "epsg", "x", "y").collect():
         assert abs(r.x - r.lon) < 2e-7 and abs(r.y - r.lat) < 2e-7
 
 
