@@ -62,6 +62,13 @@ def parsed_filters(requests: DataFrame, *, place: str, radius: str, bounds: tupl
     return requests.select(*others, named.alias(place), F.when((named != "") & km.between(*RADIUS_KM), km).alias(radius), *(number(c).alias(c) for c in bounds))
 
 
-def chosen_filters(request: Column, saved: Column, reset: Column) -> Column:
-    """A reset beats all, then what the request names, then what is saved."""
-    return F.when(F.coalesce(reset, F.lit(False)), F.lit(None)).when(request.isNotNull(), request).otherwise(saved)
+def chosen_filters(request: Column, saved: Column, reset: Column, submitted: Column) -> Column:
+    """Which filters (structs of the same fields) count: none after a reset, else the request's as a whole if it names any field, else the saved ones."""
+    return F.when(F.coalesce(reset, F.lit(False)), F.lit(None)).when(F.coalesce(submitted, F.lit(False)), request).otherwise(saved)
+
+
+def saved_filters(payload: Column, bounds: tuple[str, ...]) -> Column:
+    """The filters of a saved JSON object as text columns in a struct, for ``parsed_filters``; null if it isn't an object."""
+    fields = ("ort", "radius_km", *bounds)
+    known = F.try_variant_get(F.try_parse_json(payload), "$", "map<string,variant>").isNotNull()
+    return F.when(known, F.struct(*(F.get_json_object(payload, f"$.{c}").alias(c) for c in fields)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brickyard.functions.salary import salary_of
+
 from .radius import first_of_each
 
 
@@ -83,9 +85,17 @@ def area_repairs(homes: DataFrame, listings: DataFrame) -> DataFrame:
 
 
 def salary_candidates(rows: DataFrame) -> DataFrame:
-    """The first row of each listing that the gate accepted and that has no pay yet, to look up in its detail page."""
-    first = first_of_each(rows, ["source_id", "listing_key"], [F.col("position")])
-    return first.filter(F.col("gate_accepted") & F.col("salary_min").isNull() & (F.trim(F.coalesce("salary_text", F.lit(""))) == ""))
+    """The first row of each listing that the gate accepted and that states no pay, to look up in its detail page.
+
+    Pay is stated by amount, currency and period together, by a pay text that
+    can be read, or by a description that names a salary. ``rows`` has these
+    and position, gate_accepted; the unread texts stay in Spark.
+    """
+    first = first_of_each(rows, ["source_id", "listing_key"], [F.col("position")]).filter("gate_accepted")
+    structured = F.col("salary_min").isNotNull() & F.col("salary_currency").isNotNull() & F.col("salary_period").isNotNull()
+    said = first.filter(~structured).withColumns({"_text": salary_of(F.col("salary_text"), True), "_description": salary_of(F.col("description"))})
+    none = F.col("_text.currency").isNull() & F.col("_description.currency").isNull()
+    return said.filter(none).drop("_text", "_description")
 
 
 def stable(payload: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brickyard.functions import facts
-from brickyard.operators import sync
+from brickyard.operators import queues, sync
+from brickyard.sources import boards
 
 from .registry import query, table
 
@@ -75,12 +76,43 @@ def area_repairs(spark, d):
     return sync.area_repairs(homes, listings).select("home_id")
 
 
-@query("""SELECT source_id, listing_key FROM (SELECT o_custkey % 9 AS source_id, o_orderkey % 2000 AS listing_key, o_orderkey % 3 <> 0 AS ok, o_orderkey % 4 = 0 AS paid,
-row_number() OVER (PARTITION BY o_custkey % 9, o_orderkey % 2000 ORDER BY o_orderkey) AS r FROM orders) WHERE r = 1 AND ok AND NOT paid""")
-def salary_candidates(spark, d):
+# Pay by o_orderkey % 6: stated whole; an amount without a period; a blank text; a text that can be read; a description that names a salary; texts that name none.
+CANDIDATES = """c AS (SELECT source_id, listing_key FROM (SELECT o_custkey % 9 AS source_id, o_orderkey % 2000 AS listing_key, o_orderkey % 5 <> 0 AS ok, o_orderkey % 6 IN (0, 3, 4) AS paid,
+row_number() OVER (PARTITION BY o_custkey % 9, o_orderkey % 2000 ORDER BY o_orderkey) AS r FROM orders) WHERE r = 1 AND ok AND NOT paid)"""
+
+
+def _candidates(spark, d):
     k = F.col("o_orderkey")
-    rows = table(spark, d, "orders").select((F.col("o_custkey") % 9).alias("source_id"), (k % 2000).alias("listing_key"), k.alias("position"), (k % 3 != 0).alias("gate_accepted"), F.when(k % 4 == 0, 1).alias("salary_min"), F.lit(" ").alias("salary_text"))
-    return sync.salary_candidates(rows).select("source_id", "listing_key")
+    kind = k % 6
+    rows = table(spark, d, "orders").select(
+        (F.col("o_custkey") % 9).alias("source_id"), (k % 2000).alias("listing_key"), k.alias("position"), (k % 5 != 0).alias("gate_accepted"), F.when(kind <= 1, 3000).alias("salary_min"), F.when(kind <= 1, "EUR").alias("salary_currency"), F.when(kind == 0, "month").alias("salary_period"),
+        F.when(kind == 2, " ").when(kind == 3, "3.000 € pro Monat").when(kind == 5, "nach Vereinbarung").alias("salary_text"), F.when(kind == 4, "Bruttogehalt ab 3.000 € pro Monat").when(kind == 5, "Budget 3.000 € pro Monat").alias("description"),
+    )
+    return sync.salary_candidates(rows)
+
+
+@query(f"WITH {CANDIDATES} SELECT * FROM c")
+def salary_candidates(spark, d):
+    return _candidates(spark, d).select("source_id", "listing_key")
+
+
+@query(f"WITH {CANDIDATES} SELECT source_id, listing_key, CASE WHEN listing_key % 3 = 0 THEN 2500 END::DOUBLE AS minimum, CASE WHEN listing_key % 3 = 0 THEN 'month' END AS period FROM c")
+def detail_pay(spark, d):
+    key = F.col("o_orderkey") % 2000
+    page = F.when(key % 3 == 0, "<script>Gehalt 9.000 € pro Monat</script><p>Bruttogehalt</p><p>ab 2.500&nbsp;&euro; pro Monat</p>").otherwise("<p>Gehalt nach Vereinbarung</p>")
+    pages = table(spark, d, "orders").filter(key % 3 < 2).select((F.col("o_custkey") % 9).alias("source_id"), key.alias("listing_key"), page.alias("payload"))
+    return boards.with_detail_pay(_candidates(spark, d), pages).select("source_id", "listing_key", F.col("pay.minimum").cast("double").alias("minimum"), "pay.period")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN 'Wien' WHEN c_custkey % 4 = 0 THEN 'Linz' END AS ort, CASE WHEN c_custkey % 5 > 0 AND c_custkey % 3 > 0 AND c_custkey % 4 = 0 THEN 25 END::DOUBLE AS km,
+CASE WHEN c_custkey % 5 > 0 AND c_custkey % 3 = 0 THEN 1000.5 END::DOUBLE AS low FROM customer""")
+def chosen_filters(spark, d):
+    c = F.col("c_custkey")
+    saved = queues.saved_filters(F.when(c % 4 == 0, '{"ort":"Linz","radius_km":"25"}').when(c % 4 == 1, '["x"]').when(c % 4 == 2, "{broken"), ("low",))
+    request = F.struct(F.lit("Wien").alias("ort"), F.lit(None).cast("string").alias("radius_km"), F.lit("1000.5").alias("low"))
+    rows = table(spark, d, "customer").select("c_custkey", queues.chosen_filters(request, saved, c % 5 == 0, c % 3 == 0).alias("f")).select("c_custkey", "f.*")
+    rows = queues.parsed_filters(rows, place="ort", radius="radius_km", bounds=("low",))
+    return rows.select("c_custkey", F.nullif("ort", F.lit("")).alias("ort"), F.col("radius_km").cast("double").alias("km"), F.col("low").cast("double"))
 
 
 @query("""SELECT event_id, json_extract_string(props, '$.k') AS value FROM events""")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brickyard.functions.salary import salary_of
 from brickyard.functions.text import TAG, german_decimal, postal_beside, read_references, visible_text
 from brickyard.operators import locality
 
@@ -239,6 +240,17 @@ def pay_snippet(nodes: Column, cue: str = PAY_CUE, value: str = PAY_VALUE) -> Co
     return F.substring(_first(run, lambda x: x.isNotNull() & x.rlike(value)), 1, 500)
 
 
+def with_detail_pay(candidates: DataFrame, pages: DataFrame) -> DataFrame:
+    """Candidates with the salary (``pay``, a struct) that their detail page states in visible text; null if it has none or wasn't fetched.
+
+    ``pages``: source_id, listing_key and payload; of several pages the
+    smallest payload counts.
+    """
+    shown = pages.groupBy("source_id", "listing_key").agg(F.min("payload").alias("_payload"))
+    joined = candidates.join(shown, ["source_id", "listing_key"], "left").withColumn("pay", salary_of(F.array_join(text_nodes(F.col("_payload")), "\n")))
+    return joined.withColumn("pay", F.when(F.col("pay.currency").isNotNull(), F.col("pay"))).drop("_payload")
+
+
 def company_pages(raw: DataFrame, *, site: str, starts: tuple[str, ...], stops: tuple[str, ...], title: str | None = None) -> DataFrame:
     """Detail pages of a company's own site (``job_id``, ``payload``): identity, postal_code, city, description, pay_text and error.
 
