@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brickyard.checkpoints import kept
@@ -136,24 +136,31 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, match, "full").select(*columns)
 
 
-def merged_payload(old: str = "old_payload", new: str = "new_payload"):
-    """A JSON object of both as a map, the new value winning.
+def merged_map(old: str = "old_payload", new: str = "new_payload") -> Column:
+    """``merged_payload`` as a map of variants."""
+    kind = "map<string,variant>"
+    empty = F.create_map().cast(kind)
+    a, b = F.coalesce(F.from_json(old, kind), empty), F.coalesce(F.from_json(new, kind), empty)
+    both = F.map_concat(F.map_filter(a, lambda k, _: ~F.array_contains(F.map_keys(b), k)), b)
+    true = lambda m: F.coalesce(F.to_json(F.element_at(m, "detail_enriched")) == "true", F.lit(False))
+    was, now = true(a), true(b)
+    error = F.element_at(b, "detail_enrichment_error")
+    failed = F.coalesce(~F.to_json(error).isin("null", '""', "false", "0", "[]", "{}"), F.lit(False))
+    without = lambda *keys: F.map_filter(both, lambda k, _: ~k.isin(*keys))
+    flag = F.create_map(F.lit("detail_enriched"), F.parse_json(F.lit("true")))
+    kept = F.when(failed, F.map_concat(without("detail_enriched", "detail_enrichment_error", "detail_enrichment_last_error"), flag, F.create_map(F.lit("detail_enrichment_last_error"), error)))
+    kept = kept.otherwise(F.map_concat(without("detail_enriched", "detail_enrichment_error"), flag))
+    return F.when(was & ~now, kept).when(now, without("detail_enrichment_error", "detail_enrichment_last_error")).otherwise(both)
+
+
+def merged_payload(old: str = "old_payload", new: str = "new_payload") -> Column:
+    """The JSON object of both, the new value winning; values keep their kinds, and what is no object is empty.
 
     A stored ``detail_enriched`` of true stays; what then went wrong in the
     new run is kept as ``detail_enrichment_last_error``. A run that enriches
     clears both errors.
     """
-    kind = "map<string,string>"
-    a, b = F.coalesce(F.from_json(old, kind), F.create_map().cast(kind)), F.coalesce(F.from_json(new, kind), F.create_map().cast(kind))
-    both = F.map_concat(F.map_filter(a, lambda k, _: ~F.array_contains(F.map_keys(b), k)), b)
-    was = F.coalesce(F.element_at(a, "detail_enriched") == "true", F.lit(False))
-    now = F.coalesce(F.element_at(b, "detail_enriched") == "true", F.lit(False))
-    error = F.nullif(F.element_at(b, "detail_enrichment_error"), F.lit(""))
-    without = lambda *keys: F.map_filter(both, lambda k, _: ~k.isin(*keys))
-    flag = F.create_map(F.lit("detail_enriched"), F.lit("true"))
-    kept = F.when(error.isNotNull(), F.map_concat(without("detail_enriched", "detail_enrichment_error", "detail_enrichment_last_error"), flag, F.create_map(F.lit("detail_enrichment_last_error"), error)))
-    kept = kept.otherwise(F.map_concat(without("detail_enriched", "detail_enrichment_error"), flag))
-    return F.when(was & ~now, kept).when(now, without("detail_enrichment_error", "detail_enrichment_last_error")).otherwise(both)
+    return F.to_json(merged_map(old, new))
 
 
 def synced_seed(rows: DataFrame, seed: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .identity import merged_payload
+from .identity import merged_map
 
 #: Earlier addresses that a listing's history keeps.
 HISTORY = 50
@@ -69,7 +69,7 @@ def rejected_sightings(stored: DataFrame, rejected: DataFrame, now: Column) -> D
     """
     new = rejected.groupBy("source_id", "listing_key").agg(F.max("url").alias("new_url"), F.max("payload").alias("new_payload"))
     rows = stored.join(new, ["source_id", "listing_key"])
-    payload = F.map_concat(F.map_filter(merged_payload("payload", "new_payload"), lambda k, _: k != "gate_accepted"), F.create_map(F.lit("gate_accepted"), F.lit("false")))
+    payload = F.to_json(F.map_concat(F.map_filter(merged_map("payload", "new_payload"), lambda k, _: k != "gate_accepted"), F.create_map(F.lit("gate_accepted"), F.parse_json(F.lit("false")))))
     return rows.select("listing_id", "job_id", F.col("new_url").alias("url"), payload.alias("payload"), F.lit("ACTIVE").alias("status"), now.alias("last_seen_at"), (F.col("status") != "ACTIVE").alias("reactivated"))
 
 

@@ -92,7 +92,7 @@ def _rejected(spark, d) -> DataFrame:
 
 @query(f"WITH {REJECTED} SELECT listing_id, r.url, 'ACTIVE' AS status, NOT active AS reactivated, 'timeout' AS last_error, 'true' AS enriched, 'false' AS gate FROM s JOIN r USING (source_id, listing_key)")
 def rejected_sightings(spark, d):
-    of = lambda k: F.element_at("payload", k)
+    of = lambda k: F.get_json_object("payload", f"$.{k}")
     return _rejected(spark, d).select("listing_id", "url", "status", "reactivated", of("detail_enrichment_last_error").alias("last_error"), of("detail_enriched").alias("enriched"), of("gate_accepted").alias("gate"))
 
 
@@ -243,14 +243,15 @@ def scan_verdicts(spark, d):
     )
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 OR p_size % 2 = 0 THEN 'true' END AS enriched, CASE WHEN p_size % 3 = 0 AND p_size % 2 = 1 AND p_size % 5 = 0 THEN 'timeout' END AS last_error, 'new' AS title FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 OR p_size % 2 = 0 THEN 'true' END AS enriched, CASE WHEN p_size % 3 = 0 AND p_size % 2 = 1 AND p_size % 5 = 0 THEN 'timeout' END AS last_error, 'new' AS title, CASE WHEN p_size % 3 = 0 THEN '{"a":[1,"1",null]}' ELSE '2.5' END AS kept FROM part""")
 def merged_payloads(spark, d):
     s = F.col("p_size")
-    old = F.when(s % 3 == 0, '{"detail_enriched":true,"title":"old"}').otherwise('{"title":"old","detail_enrichment_last_error":null}')
+    old = F.when(s % 3 == 0, '{"detail_enriched":true,"title":"old","kept":{"a":[1,"1",null]}}').otherwise('{"title":"old","kept":2.5,"detail_enrichment_last_error":null}')
     new = F.when(s % 2 == 0, '{"title":"new","detail_enriched":true}').when(s % 5 == 0, '{"title":"new","detail_enrichment_error":"timeout"}').otherwise('{"title":"new"}')
     rows = table(spark, d, "part").select("p_partkey", old.alias("old_payload"), new.alias("new_payload"))
-    of = lambda k: F.element_at("m", k)
-    return rows.select("p_partkey", identity.merged_payload().alias("m")).select("p_partkey", of("detail_enriched").alias("enriched"), of("detail_enrichment_last_error").alias("last_error"), of("title").alias("title"))
+    of = lambda k: F.get_json_object("m", f"$.{k}")
+    return rows.select("p_partkey", identity.merged_payload().alias("m")).select("p_partkey", of("detail_enriched").alias("enriched"), of("detail_enrichment_last_error").alias("last_error"), of("title").alias("title"), of("kept").alias("kept"))
+
 
 
 @query("""WITH r AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 <> 0 THEN 'can' END AS old, CASE WHEN c_custkey % 2 = 0 THEN 'manual' ELSE 'seed' END AS src FROM customer WHERE c_custkey % 3 <> 0), s AS (SELECT c_custkey AS k, 'want' AS fresh FROM customer WHERE c_custkey % 5 <> 0)

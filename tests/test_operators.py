@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from decimal import Decimal
 
 import pytest
@@ -186,8 +187,10 @@ def test_continuity(spark):
 
 
 def test_payloads_and_seeds(spark):
-    rows = spark.createDataFrame([('{"a":"1","detail_enriched":"true"}', '{"a":"2","detail_enriched":"false"}'), (None, '{"b":"1"}')], "old_payload string, new_payload string")
-    assert [dict(r.p) for r in rows.select(identity.merged_payload().alias("p")).collect()] == [{"a": "2", "detail_enriched": "true"}, {"b": "1"}]
+    payloads = [('{"a":"1","c":[1,{"d":null}],"detail_enriched":true}', '{"a":2,"detail_enriched":false,"detail_enrichment_error":"e"}'), (None, '{"b":"1"}'), ('{"x":1.5}', "[1]"), ('{"detail_enriched":"true"}', '{"detail_enriched":false}')]
+    rows = spark.createDataFrame(payloads, "old_payload string, new_payload string")
+    merged = [json.loads(r.p) for r in rows.select(identity.merged_payload().alias("p")).collect()]
+    assert merged == [{"a": 2, "c": [1, {"d": None}], "detail_enriched": True, "detail_enrichment_last_error": "e"}, {"b": "1"}, {"x": 1.5}, {"detail_enriched": False}]
     old = spark.createDataFrame([("a", "x", "seed"), ("b", "x", "manual"), ("c", "x", "seed")], "slug string, state string, source string")
     seed = spark.createDataFrame([("a", "y"), ("b", "y"), ("d", "y")], "slug string, state string")
     got = {(r.slug, r.state, r.source) for r in identity.synced_seed(old, seed, ["slug"]).collect()}
