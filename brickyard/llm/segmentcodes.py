@@ -26,6 +26,8 @@ from .wholevec import as_long, column_sums, decimals, exact, long_sum, matrix, q
 
 #: Rows that are compared with all entries at once.
 BLOCK = 4096
+#: Share of entries left from which bounds are computed for all at once.
+DENSE = 1 / 16
 #: Label sums are broadcast up to this many labels; beyond it Spark chooses, and splits skewed joins.
 BROADCAST_LABELS = 100_000
 
@@ -61,27 +63,32 @@ def book(entries: np.ndarray) -> Book:
 
 
 def encode(x: np.ndarray, own: Book) -> tuple[np.ndarray, np.ndarray, int]:
-    """Each row's nearest entry (ties: the first), its squared distance, and how many exact distances it took."""
-    starts, means, norms = own.levels[0]
-    m, r = summary(x, starts)
-    bound = (m - means.T) ** 2 + (r - norms.T) ** 2
-    guess = bound.argmin(axis=1)
-    upper = squared(x, own.entries[guess]).astype(float)
+    """Each row's nearest entry (ties: the first), its squared distance, and how many exact distances it took.
+
+    While many entries are left, a level's bounds are one product over all of
+    them, and the entry of the least bound gives an exact distance that none
+    may pass; with few left they are looked at one by one.
+    """
     scale = float(max(np.abs(x).max(initial=0), np.abs(own.entries).max(initial=0)))
     slack = 2.0**-40 * x.shape[1] ** 2 * scale**2
-    limit = upper * (1 + 2.0**-40) + slack
-    row, entry = np.nonzero(bound <= limit[:, None])
-    for starts, means, norms in own.levels[1:]:
+    upper, row, entry, n = np.full(len(x), np.inf), None, None, 0
+    for starts, means, norms in own.levels:
         m, r = summary(x, starts)
-        bound = ((m[row] - means[entry]) ** 2 + (r[row] - norms[entry]) ** 2).sum(axis=1)
-        left = bound <= limit[row]
-        row, entry = row[left], entry[left]
+        if row is None or len(row) > len(x) * len(own.entries) * DENSE:
+            # The bound of every entry but for the row's own part.
+            bound = np.hstack([m, r]) @ np.hstack([means, norms]).T * -2 + (means**2 + norms**2).sum(axis=1)
+            upper = np.minimum(upper, squared(x, own.entries[bound.argmin(axis=1)]).astype(float))
+            n += len(x)
+            limit = upper * (1 + 2.0**-40) + slack
+            row, entry = np.nonzero(bound <= (limit - (m**2 + r**2).sum(axis=1))[:, None])
+        else:
+            left = ((m[row] - means[entry]) ** 2 + (r[row] - norms[entry]) ** 2).sum(axis=1) <= limit[row]
+            row, entry = row[left], entry[left]
     d = squared(x[row], own.entries[entry])
-    first = np.searchsorted(row, np.arange(len(x)))
-    best = np.minimum.reduceat(d, first)
+    best = np.minimum.reduceat(d, np.searchsorted(row, np.arange(len(x))))
     hit = np.flatnonzero(d == best[row])
     _, at = np.unique(row[hit], return_index=True)
-    return entry[hit[at]], best, len(x) + len(row)
+    return entry[hit[at]], best, n + len(row)
 
 
 def _coded(x: np.ndarray, entries: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
