@@ -85,7 +85,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of every document, and its verdicts by the base policy and by version 2."""
     rows = rules.ledger(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
     base, policy = rules.POLICIES["base"], rules.POLICIES["2"]
     return rows.select(*columns, (~rules.passes(base)).alias("base_failed"), rules.passes(policy).alias("kept"), "failed_bits")
 
@@ -115,12 +115,25 @@ WITH d AS (
             + 32 * (100 * n_dup_lines > 50 * n_lines)::INT AS failed_bits
   FROM m
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed,
+SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed,
        failed_bits = 0 AS kept, failed_bits
 FROM b
 """
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of version 2 fails, fails alone, and what would be kept without it, over all documents."""
+    rows = rules.ledger(_read(spark, sf_dir, "documents").select("text"))
+    return rules.ablations(rows, rules.POLICIES["2"])
+
+
+ABLATIONS_SQL = f"""
+WITH o AS ({OP7_SQL}), r(k, rule) AS (VALUES {", ".join(f"({1 << k}, '{rule}')" for k, rule in enumerate(rules.RULES))})
+SELECT '2' AS version, rule, count(*) FILTER (failed_bits & k <> 0) AS n_failed, count(*) FILTER (failed_bits = k) AS n_only, count(*) FILTER (failed_bits & ~k = 0) AS n_kept_without
+FROM o, r GROUP BY rule
+"""
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in sequences of at most 2048 tokens."""
     pieces = packing.token_pieces(_read(spark, sf_dir, "documents"), path=tokens.tokenizer_path(), capacity=2048)
@@ -291,6 +304,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_vector_codes": op11_vector_codes,
     "op12_curve_packing": op12_curve_packing,
     "op13_ball_clusters": op13_ball_clusters,
+    "quality_ablations": quality_ablations,
 }
 
 ORACLES: dict[str, str] = {
@@ -300,4 +314,5 @@ ORACLES: dict[str, str] = {
     "op10_mixing": OP10_SQL,
     "op11_vector_codes": _op11_sql(),
     "op13_ball_clusters": _op13_sql(),
+    "quality_ablations": ABLATIONS_SQL,
 }
