@@ -252,6 +252,20 @@ def house_sort_page(spark, d):
     return radius.page(homes(spark, d), catalog.house_order("price", "desc"), 2, 36).select("home_id", "price")
 
 
+# All six orders at once: the place of each house by price, by first sighting and by whether it was viewed, up and down; no sort is named wrongly and falls back.
+SORTS = (("price", "desc"), ("price", "asc"), ("viewed", "desc"), ("viewed", "asc"), ("novelty", "asc"), ("unknown", "desc"))
+SORT_SQL = ("price DESC NULLS LAST, home_id DESC", "price ASC NULLS LAST, home_id", "viewed_at IS NOT NULL DESC, home_id DESC", "viewed_at IS NOT NULL, home_id", "first_seen_at, home_id", "first_seen_at DESC, home_id DESC")
+
+
+@query("WITH h AS (SELECT c_custkey AS home_id, CASE WHEN c_custkey % 7 > 0 THEN c_acctbal END AS price, CASE WHEN c_custkey % 3 = 0 THEN c_custkey END AS viewed_at, c_custkey * 31 % 997 AS first_seen_at FROM customer) SELECT home_id, " + ", ".join(f"row_number() OVER (ORDER BY {o}) AS {s}_{d}" for (s, d), o in zip(SORTS, SORT_SQL)) + " FROM h")
+def house_orders(spark, d):
+    k = F.col("c_custkey")
+    rows = table(spark, d, "customer").select(k.alias("home_id"), F.when(k % 7 > 0, F.col("c_acctbal")).alias("price"), F.when(k % 3 == 0, k).alias("viewed_at"), (k * 31 % 997).alias("first_seen_at"))
+    for sort, direction in SORTS:
+        rows = catalog.positions(rows, catalog.house_order(sort, direction)).withColumnRenamed("position", f"{sort}_{direction}")
+    return rows.select("home_id", *(f"{s}_{x}" for s, x in SORTS))
+
+
 PAY = "CASE WHEN p_size % 3 = 0 THEN 'year' WHEN p_size % 3 = 1 THEN 'month' ELSE 'hour' END"
 
 

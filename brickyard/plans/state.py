@@ -36,6 +36,27 @@ def appended_journal(spark, d):
     return stored.select("event_id", "source_event", "topic", "kind")
 
 
+@query("""WITH o AS (SELECT o_custkey % 300 AS source, o_orderkey % 40 AS "key", o_orderkey AS k, o_totalprice AS price, o_orderkey % 2 AS half FROM orders WHERE o_orderkey % 13 <> 0)
+SELECT half AS batch, source, "key", max(k) AS "at", arg_max(price, k) AS price FROM o GROUP BY 1, 2, 3""")
+def ingested_batches(spark, d):
+    """Raw JSON rows taken in as two micro-batches: the latest of each key in a batch, broken rows left out; a second run of each finds nothing."""
+    path = journal.shared_folder(spark, "ingest")
+    k = F.col("o_orderkey")
+    raw = F.when(k % 13 == 0, "{broken").otherwise(F.to_json(F.struct((F.col("o_custkey") % 300).alias("source"), (k % 40).alias("key"), k.alias("at"), F.col("o_totalprice").alias("price"))))
+    rows = table(spark, d, "orders").select(raw.alias("payload"), (k % 2).alias("half"))
+
+    def parse(batch):
+        return batch.select(F.from_json("payload", "source long, key long, at long, price double").alias("r")).select("r.*").filter("key IS NOT NULL")
+
+    apply = journal.ingest(f"{path}/rows", parse, ["source", "key"], ["at"])
+    schema = T.StructType([T.StructField("payload", T.StringType())])
+    for half in (0, 1):
+        rows.filter(F.col("half") == half).select("payload").write.parquet(f"{path}/raw/half-{half}")
+        for _ in range(2):
+            journal.run_once(journal.follow(spark, f"{path}/raw/*", schema), f"{path}/cursor", apply)
+    return spark.read.parquet(f"{path}/rows").select(F.col("batch").cast("long").alias("batch"), "source", "key", "at", "price")
+
+
 @query("""WITH w AS (SELECT epoch_us(max(ts)) // 1000 - 86400000 AS mark FROM events)
 SELECT user_id AS entity, CASE WHEN epoch_us(max(ts)) // 1000 + 43200000 <= any_value(mark) THEN 'INACTIVE' ELSE 'ACTIVE' END AS status, epoch_us(min(ts)) // 1000 AS first_ms, epoch_us(max(ts)) // 1000 AS last_ms, count(*) AS n FROM events, w WHERE user_id IS NOT NULL GROUP BY 1""")
 def last_seen_stream(spark, d):
