@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 NAMES = (
     "nearest_location_topk", "radius_join_counts", "jobs_near_home", "usable_area_filter", "visible_homes", "curation_views", "eligible_jobs", "display_areas", "locality_ladder", "concept_evidence", "fit_scores",
     "duplicate_pairs", "duplicate_pairs_fuzzy", "twin_homes", "resolved_identities", "new_entity_keys", "continued_listings", "second_previous_ok", "missing_listings", "orphaned_homes", "tenant_prefixes",
-    "source_contributions", "merge_survivors", "salary_texts", "promotable_runs", "synced_shards",
+    "source_contributions", "merge_survivors", "salary_texts", "promotable_runs", "synced_shards", "all_localities", "batch_entities", "place_filters", "source_stats", "location_coverage",
 )
 
 
@@ -35,4 +35,4 @@ def test_ranks_are_cut_before_the_shuffle(texts):
 
 def test_python_runs_only_where_it_must(texts):
     users = {n for n, t in texts.items() if any(k in t for k in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "MapInArrow"))}
-    assert users == {"salary_texts", "duplicate_pairs_fuzzy"}
+    assert users == {"salary_texts", "duplicate_pairs", "duplicate_pairs_fuzzy"}
