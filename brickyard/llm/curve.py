@@ -108,10 +108,20 @@ def keys(points: np.ndarray) -> np.ndarray:
     return hilbert_keys((cell << (BITS - 10)) + (inside * (1 << (BITS - 10))).astype(np.int64), BITS)
 
 
+def packed(ids: np.ndarray) -> bytes:
+    return ids.astype("<u2" if ids.max(initial=0) < 1 << 16 else "<u4").tobytes()
+
+
+def unpacked(raw, n: int) -> np.ndarray:
+    """The ``n`` ids of ``packed`` as little-endian unsigned 32-bit numbers."""
+    return np.frombuffer(raw, dtype="<u2" if len(raw) == 2 * n else "<u4").astype("<u4", copy=False)
+
+
 def chunks(docs: DataFrame, *, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of at most CHUNK_IDS ids: the id, row (a number for each document), chunk, key, doc_tokens, n and ids (little-endian unsigned 32-bit).
+    """Rows of at most CHUNK_IDS ids: the id, row (a number for each document), chunk, key, doc_tokens, n and ids.
 
-    A document's ids are those of its text and then ``end_id``; a null text is empty.
+    Ids are little-endian unsigned numbers of 16 bits, or of 32 where a row
+    has one that needs them (``unpacked`` tells by the length). A document's ids are those of its text and then ``end_id``; a null text is empty.
     """
     schema = T.StructType([
         docs.schema[id_col], T.StructField("row", T.LongType()), T.StructField("chunk", T.IntegerType()), T.StructField("key", T.LongType()),
@@ -131,7 +141,7 @@ def chunks(docs: DataFrame, *, path: str, end_id: int = 1, id_col: str = "doc_id
                     whole = np.append(ids[a:b], np.uint32(end_id)).astype("<u4")
                     for c, begin in enumerate(range(0, len(whole), CHUNK_IDS)):
                         part = whole[begin : begin + CHUNK_IDS]
-                        rows.append((at + k, c, key[k], len(whole), len(part), part.tobytes()))
+                        rows.append((at + k, c, key[k], len(whole), len(part), packed(part)))
                 doc, chunk, key_of, total, n, raw = zip(*rows)
                 doc = pa.array(doc)
                 arrays = [batch.column(0).take(doc), batch.column(2).take(doc), pa.array(chunk, pa.int32()), pa.array(key_of, pa.int64()), pa.array(total, pa.int64()), pa.array(n, pa.int32()), pa.array(raw, pa.binary())]
@@ -201,7 +211,7 @@ def pack(docs: DataFrame, *, path: str, capacity: int = 2048, end_id: int = 1, i
             begin, n, chunk = (batch.column(c).to_numpy().astype(np.int64) for c in ("at", "n", "chunk"))
             doc, start, length, crc, seq, offset, lists = [], [], [], [], [], [], []
             for i, raw in enumerate(batch.column("ids")):
-                view, at, end = memoryview(raw.as_buffer()), int(begin[i]), int(begin[i] + n[i])
+                ids, at, end = unpacked(raw.as_buffer(), int(n[i])), int(begin[i]), int(begin[i] + n[i])
                 while at < end:
                     if at < full:
                         s, o = divmod(at, capacity)
@@ -213,11 +223,11 @@ def pack(docs: DataFrame, *, path: str, capacity: int = 2048, end_id: int = 1, i
                     doc.append(i)
                     start.append(int(chunk[i]) * CHUNK_IDS + a)
                     length.append(b - a)
-                    crc.append(zlib.crc32(view[4 * a : 4 * b]))
+                    crc.append(zlib.crc32(ids[a:b].tobytes()))
                     seq.append(s)
                     offset.append(o)
                     if with_ids:
-                        lists.append(np.frombuffer(view[4 * a : 4 * b], dtype="<u4").astype(np.int64).tolist())
+                        lists.append(ids[a:b].astype(np.int64).tolist())
                     at = stop
             taken = pa.array(doc)
             arrays = [batch.column(id_name).take(taken), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), batch.column("doc_tokens").take(taken), pa.array(seq, pa.int64()), pa.array(offset, pa.int64())]

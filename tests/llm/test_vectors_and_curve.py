@@ -197,6 +197,14 @@ def test_hilbert_curve_steps_to_a_neighbour():
     assert curve.hilbert_keys(np.array([[(1 << 15) - 1] * 4]), 15)[0] < 1 << 60
 
 
+def test_ids_are_packed_in_two_or_four_bytes():
+    for ids in ([], [0], [1, 65535], [7, 65536, 2**32 - 1]):
+        own = np.array(ids, dtype="<u4")
+        raw = curve.packed(own)
+        assert len(raw) == (2 if max(ids, default=0) < 65536 else 4) * len(ids)
+        assert curve.unpacked(raw, len(ids)).tolist() == ids
+
+
 def test_tail_is_cut_at_powers_of_two():
     assert curve.tail(0, 2048) == [0]
     assert curve.tail(4096, 2048) == [4096]
