@@ -77,6 +77,11 @@ def orphaned(entities: DataFrame, listings: DataFrame, key: str) -> DataFrame:
     return entities.filter(F.col("status") == "ACTIVE").join(listings.filter(F.col("status") == "ACTIVE").select(key), key, "left_anti")
 
 
+def _seconds_since(t: Column, now: Column) -> Column:
+    """From ``t`` to ``now``, to the microsecond: whole seconds would make something due a part of a second too early."""
+    return (F.unix_micros(now.cast("timestamp")) - F.unix_micros(t.cast("timestamp"))) / F.lit(1e6)
+
+
 def run_kind(now: Column, *, interval_hours: Column, poll_minutes: Column, last_attempt: Column, last_reconciliation: Column, last_incremental: Column, enabled: Column | None = None, retry_minutes: int = 180) -> Column:
     """``reconciliation``, ``incremental`` or null for a source at ``now``.
 
@@ -85,7 +90,7 @@ def run_kind(now: Column, *, interval_hours: Column, poll_minutes: Column, last_
     0 or less means that the source has no reconciliations. Else the poll
     interval (a minute at least) counts from the later scan.
     """
-    minutes = lambda t: (F.unix_timestamp(now) - F.unix_timestamp(t)) / 60
+    minutes = lambda t: _seconds_since(t, now) / 60
     over = F.coalesce(interval_hours > 0, F.lit(False)) & (last_reconciliation.isNull() | (minutes(last_reconciliation) >= interval_hours * 60))
     rested = last_attempt.isNull() | (minutes(last_attempt) >= max(1, retry_minutes))
     last = F.greatest(last_reconciliation, last_incremental)
@@ -95,7 +100,7 @@ def run_kind(now: Column, *, interval_hours: Column, poll_minutes: Column, last_
 
 def source_state(now: Column, *, enabled: Column, run_status: Column, run_coverage: Column, failing_shards: Column, last_success: Column, poll_minutes: Column) -> Column:
     """disabled, warning, never_succeeded, stale or ok, in this order."""
-    age = F.greatest(F.lit(0.0), (F.unix_timestamp(now) - F.unix_timestamp(last_success)) / 60)
+    age = F.greatest(F.lit(0.0), _seconds_since(last_success, now) / 60)
     bad = (failing_shards > 0) | F.coalesce(run_status.isin("FAILED", "PARTIAL"), F.lit(False)) | F.coalesce(run_coverage.isin("FAILED", "DEGRADED"), F.lit(False))
     return F.when(~enabled, "disabled").when(bad, "warning").when(last_success.isNull(), "never_succeeded").when(age > F.greatest(F.lit(180), poll_minutes * 3), "stale").otherwise("ok")
 
@@ -129,7 +134,7 @@ def plausible_count(seen: Column, reported: Column, page_size: Column) -> Column
 def released_age(text: Column, now: Column) -> Column:
     """Whole days of 24 hours since an ISO time (without a zone: UTC), at least 0; null if unreadable."""
     at = F.try_to_timestamp(text)
-    return F.when(at.isNotNull(), F.greatest(F.lit(0).cast("long"), F.floor((F.unix_timestamp(now) - F.unix_timestamp(at)) / 86400)))
+    return F.when(at.isNotNull(), F.greatest(F.lit(0).cast("long"), F.floor(_seconds_since(at, now) / 86400)))
 
 
 def age_bucket(days: Column) -> Column:

@@ -351,3 +351,17 @@ def test_labels_that_are_no_point(spark):
     rows = spark.createDataFrame(list(enumerate(labels)), "i int, x string").select("i", locality.components_of(F.col("x")).alias("c"), locality.is_scope(F.col("x")).alias("s")).orderBy("i").collect()
     assert [r.c for r in rows] == [None, None, None, None, None, ["linz"], ["linz", "wels"]]
     assert [r.s for r in rows] == [True, True, True, False, False, False, False]
+
+
+def test_runs_are_due_to_the_microsecond(spark):
+    """An interval that lacks a part of a second hasn't passed."""
+    at = lambda x: F.expr(f"timestamp_ntz '{x}'")
+    now, none = F.expr("timestamp '2024-01-31'"), F.lit(None).cast("timestamp_ntz")
+
+    def kind(rec, attempt):
+        return one(spark, lifecycle.run_kind(now, interval_hours=F.lit(48), poll_minutes=F.lit(360), last_attempt=attempt, last_reconciliation=rec, last_incremental=none))
+
+    assert kind(at("2024-01-29 00:00:00.000001"), none) == "incremental"
+    assert kind(at("2024-01-29"), none) == "reconciliation"
+    assert kind(at("2024-01-29"), at("2024-01-30 21:00:00.5")) == "incremental"
+    assert one(spark, lifecycle.released_age(F.lit("2024-01-30 00:00:00.5"), now)) == 0
