@@ -9,7 +9,11 @@ from brickyard.functions import facts, geo, labels, salary, text
 from brickyard.operators import sync
 from brickyard.sources import boards, homes, jobs
 
-from .registry import query, table
+from .registry import dealt, query, table
+
+
+def _parts(spark, d) -> DataFrame:
+    return dealt(spark, d, "part", "p_partkey")
 
 
 def _part() -> Column:
@@ -53,7 +57,7 @@ def lever_postings(spark, d):
     pay = F.when(_size() % 3 != 2, _json(min=_size() * 100.0, max=_size() * 200.0, currency=F.lit("EUR"), interval=F.when(_size() % 3 == 0, "per-year-salary").otherwise("per-month-salary")))
     places = F.when(_size() % 2 == 0, _json(allLocations=F.array(F.lit("Wien, Austria"), F.lit("Graz")), location=F.lit("x"))).otherwise(_json(allLocations=F.array().cast("array<string>"), location=F.lit("Linz")))
     posting = _json(id=_cat("l", _part()), text=F.col("p_name"), hostedUrl=_cat("https://l/", _part()), country=F.when(_size() % 5 == 0, "DE").otherwise("AT"), descriptionPlain=F.lit("d"), categories=places, salaryRange=pay)
-    return _of(jobs.lever(table(spark, d, "part").select(F.col("p_brand").alias("company"), _payload(F.array(posting)).alias("payload"))))
+    return _of(jobs.lever(_parts(spark, d).select(F.col("p_brand").alias("company"), _payload(F.array(posting)).alias("payload"))))
 
 
 # Two ranges, of which one is Austrian (size % 3 = 0), both are equal (1), or they differ (2); pay under 10,000 a year isn't plausible.
@@ -66,33 +70,33 @@ def greenhouse_postings(spark, d):
 
     pair = F.array(pay(F.when(_size() % 3 == 0, "Annual pay Austria").otherwise("Annual pay"), F.lit(0)), pay(F.lit("Yearly pay range"), F.when(_size() % 3 == 1, 0).otherwise(F.when(_size() < 10, -100_000).otherwise(500))))
     posting = _json(id=_part().cast("long"), title=F.col("p_name"), absolute_url=_cat("https://g/", _part()), content=F.lit("c"), location=_json(name=F.lit("Vienna, Austria")), pay_input_ranges=pair)
-    return _of(jobs.greenhouse(table(spark, d, "part").select(F.col("p_brand").alias("company"), _payload(_json(jobs=F.array(posting))).alias("payload"))))
+    return _of(jobs.greenhouse(_parts(spark, d).select(F.col("p_brand").alias("company"), _payload(_json(jobs=F.array(posting))).alias("payload"))))
 
 
 @query(f"""SELECT 's' || p_partkey AS listing_key, p_name AS title, 'https://s/' || p_partkey AS url, p_brand AS company, 'Linz/4020' AS places, {NONE.replace("NULL::VARCHAR AS identity", "'smartrecruiters:k' || p_size || ':jobad:' || p_partkey AS identity")} FROM part WHERE p_size % 4 <> 0""")
 def smartrecruiters_postings(spark, d):
     posting = _json(id=_cat("s", _part()), name=F.col("p_name"), ref=_cat("https://s/", _part()), jobAdId=_s(_part()), company=_json(identifier=_cat(" k", _size()), name=F.col("p_brand")), location=_json(country=F.when(_size() % 4 == 0, "de").otherwise("AT"), city=F.lit("Linz"), postalCode=F.lit("4020")))
-    return _of(jobs.smartrecruiters(table(spark, d, "part").select(_payload(_json(content=F.array(posting))).alias("payload"))))
+    return _of(jobs.smartrecruiters(_parts(spark, d).select(_payload(_json(content=F.array(posting))).alias("payload"))))
 
 
 @query(f"""SELECT 'R-' || p_partkey AS listing_key, p_name AS title, 'https://w/job/x_R-' || p_partkey AS url, p_brand AS company, CASE WHEN p_size % 2 = 0 THEN 'Wien/;Linz/' ELSE 'Graz/;Wien/;Linz/' END AS places, {NONE.replace("NULL::VARCHAR AS identity", "'workday:t:s' || p_size || ':req:R-' || p_partkey AS identity")} FROM part""")
 def workday_postings(spark, d):
     info = _json(title=F.col("p_name"), location=F.when(_size() % 2 == 0, "2 Locations").otherwise("Graz"), additionalLocations=F.array(F.lit("Wien"), F.lit("Linz"), F.lit("Wien")), jobReqId=F.when(_size() % 3 == 0, _cat("R-", _part())).otherwise(" "), externalUrl=_cat("https://w/job/x_R-", _part()))
-    return _of(jobs.workday(table(spark, d, "part").select(F.col("p_brand").alias("company"), F.lit("t").alias("tenant"), _cat("s", _size()).alias("site"), _payload(_json(jobPostingInfo=info)).alias("payload"))))
+    return _of(jobs.workday(_parts(spark, d).select(F.col("p_brand").alias("company"), F.lit("t").alias("tenant"), _cat("s", _size()).alias("site"), _payload(_json(jobPostingInfo=info)).alias("payload"))))
 
 
 @query("""SELECT p_partkey::VARCHAR AS listing_key, p_name AS title, CASE WHEN p_size % 2 = 0 THEN p_retailprice::DECIMAL(12,2)::DOUBLE END AS salary_min, CASE WHEN p_size % 2 = 0 THEN CASE WHEN p_size % 3 = 0 THEN 'ESTIMATED' ELSE 'EXPLICIT' END END AS provenance,
 CASE WHEN p_size % 2 = 0 THEN CASE WHEN p_size % 3 = 0 THEN 0.5 ELSE 0.9 END END::DOUBLE AS confidence FROM part""")
 def adzuna_results(spark, d):
     result = _json(id=_s(_part()), title=F.col("p_name"), redirect_url=_cat("https://a/", _part()), company=_json(display_name=F.col("p_brand")), location=_json(display_name=F.lit("Wien")), salary_min=F.when(_size() % 2 == 0, F.col("p_retailprice")), salary_is_predicted=F.when(_size() % 3 == 0, "1").otherwise("0"))
-    rows = jobs.adzuna(table(spark, d, "part").select(_payload(_json(results=F.array(result))).alias("payload")))
+    rows = jobs.adzuna(_parts(spark, d).select(_payload(_json(results=F.array(result))).alias("payload")))
     return rows.select("listing_key", "title", F.col("salary_min").cast("double"), "provenance", F.col("confidence").cast("double"))
 
 
 @query(f"SELECT p_partkey::VARCHAR AS listing_key, p_name AS title, 'https://j/' || p_partkey AS url, p_brand AS company, CASE WHEN p_size % 2 = 0 THEN 'Linz/4020' ELSE 'Wels/' END AS places, {NONE} FROM part")
 def jooble_results(spark, d):
     result = _json(id=_s(_part()), title=F.col("p_name"), link=_cat("https://j/", _part()), company=F.col("p_brand"), location=F.when(_size() % 2 == 0, "4020 Linz").otherwise("Wels"), snippet=F.lit("s"), salary=F.lit("3.000 EUR"))
-    return _of(jobs.jooble(table(spark, d, "part").select(_payload(_json(jobs=F.array(result))).alias("payload"))))
+    return _of(jobs.jooble(_parts(spark, d).select(_payload(_json(jobs=F.array(result))).alias("payload"))))
 
 
 # Offices by p_partkey % 8: a known place; Vienna inside a venue's name; abroad with four digits; a place inside a longer known one, with a code;
@@ -112,7 +116,7 @@ def personio_positions(spark, d):
 
     def feed(language, texts):
         head = _cat("<w><position><id>", _part(), f"</id><name>{language} ", _part(), "</name><department>", F.col("p_type"), "</department><office>", office, "</office><jobDescriptions>")
-        return table(spark, d, "part").select(F.lit("p").alias("tenant"), F.col("p_brand").alias("company"), F.lit(None).cast("string").alias("base_url"), F.lit(language).alias("language"), _cat(head, texts, "</jobDescriptions></position></w>").alias("payload"))
+        return _parts(spark, d).select(F.lit("p").alias("tenant"), F.col("p_brand").alias("company"), F.lit(None).cast("string").alias("base_url"), F.lit(language).alias("language"), _cat(head, texts, "</jobDescriptions></position></w>").alias("payload"))
 
     block = "<jobDescription><name>Aufgaben</name><value><![CDATA[<p>Ger&auml;te &amp;amp; Ma&#223;e</p> &amp;lt;b&amp;gt;]]></value></jobDescription><jobDescription><name> Mehr </name><value/></jobDescription>"
     german = F.when(_size() % 2 == 0, block).otherwise("")
@@ -125,7 +129,7 @@ def personio_positions(spark, d):
 @query(f"SELECT 'e-' || p_partkey AS listing_key, p_name AS title, 'https://c/job/e-' || p_partkey || '?x' AS url, p_brand AS company, 'Linz/' AS places, {NONE} FROM part")
 def job_cards(spark, d):
     page = _cat('<a href="/job/e-', _part(), '?x"><h2>', F.col("p_name"), "</h2><p>", F.col("p_brand"), "</p> <span>Linz</span></a><a href='/y'>more</a>")
-    return _of(jobs.cards(table(spark, d, "part").select(page.alias("payload")), "https://c"))
+    return _of(jobs.cards(_parts(spark, d).select(page.alias("payload")), "https://c"))
 
 
 @query("""SELECT p_partkey, p_name AS title, p_brand AS company, 'Linz/4020' AS places, CASE WHEN p_size % 3 <> 0 THEN 'EUR' END AS currency, CASE WHEN p_size % 2 = 0 THEN 'month' END AS period, CASE WHEN p_size % 3 <> 0 THEN p_size * 100 END::DOUBLE AS salary_min,
@@ -135,7 +139,7 @@ def json_ld_postings(spark, d):
     unit = F.when(_size() % 2 == 0, ',"unitText":"MONTH"').otherwise(',"unitText":"piece"')
     posting = _cat('{"@type":["JobPosting"],"title":"', F.col("p_name"), '","hiringOrganization":{"name":"', F.col("p_brand"), '"},"jobLocation":{"address":{"addressLocality":"Linz","postalCode":"4020"}},"baseSalary":{"currency":"EUR","value":{', value, unit, "}}}")
     page = _cat('<script type="application/ld+json">{broken</script><script type="application/ld+json">{"@graph":[{"@type":"WebPage"},', posting, "]}</script>")
-    rows = table(spark, d, "part").select("p_partkey", jobs.json_ld_posting(page).alias("j"))
+    rows = _parts(spark, d).select("p_partkey", jobs.json_ld_posting(page).alias("j"))
     place = F.array_join(F.transform("j.locations", lambda p: F.concat(p["city"], F.lit("/"), p["postal_code"])), ";")
     return rows.select("p_partkey", "j.title", "j.company", place.alias("places"), "j.currency", "j.period", "j.salary_min", "j.salary_max")
 
@@ -145,7 +149,7 @@ def openimmo_homes(spark, d):
     head = _cat('<openimmo xmlns="x"><uebertragung umfang="', F.when(_size() % 4 == 0, "TEIL").otherwise("VOLL"), '"/><anbieter><immobilie><objektkategorie><vermarktungsart KAUF="', F.when(_size() % 3 == 0, "0").otherwise("true"), '"/><objektart><haus/></objektart></objektkategorie>')
     body = _cat("<geo><plz>4020</plz><ort>Linz</ort></geo><preise><kaufpreis>", _size() * 10000, ",50</kaufpreis></preise><flaechen><wohnflaeche>", _size(), "</wohnflaeche></flaechen>", F.when(_size() % 2 == 0, _cat("<freitexte><objekttitel>", F.col("p_name"), "</objekttitel></freitexte>")).otherwise(""))
     raw = _cat(head, body, "<verwaltung_techn><objektnr_extern>o", _part(), "</objektnr_extern></verwaltung_techn></immobilie></anbieter></openimmo>")
-    rows = homes.openimmo(table(spark, d, "part").select(raw.alias("payload")))
+    rows = homes.openimmo(_parts(spark, d).select(raw.alias("payload")))
     return rows.select("listing_key", "title", F.col("price").cast("double"), F.col("living").cast("double"), "postal_code", "full")
 
 
@@ -163,14 +167,14 @@ def home_cards(spark, d):
     areas = F.when(_size() % 5 == 1, _cat("<p>Wohnfläche: ", shown, " m²</p>")).when(_size() % 5 == 2, _cat("<p>Wohnfläche: ", _size() + 500, " m² Grundstück: ", shown, " m²</p>")).when(_size() % 5 == 3, _cat("<p>Grundstücksfläche ", shown, " m²</p>")).otherwise("")
     price = F.when(kind != 5, _cat("€ 50.000 geschenkt € ", F.translate(F.format_number(_size() * 1000, 0), ",", "."))).otherwise("auf Anfrage")
     card = _cat(head, "<p>", price, "</p><p>4020 Linz / ", shown, " m²</p>", areas, "<p>Miete € 900</p>", after)
-    rows = homes.search_cards(table(spark, d, "part").select(_part().alias("page"), _cat("<div>", card).alias("payload")))
+    rows = homes.search_cards(_parts(spark, d).select(_part().alias("page"), _cat("<div>", card).alias("payload")))
     return rows.select("url", "title", "postal_code", "city", F.col("area").cast("double"), F.col("price").cast("double"), "area_kind", "identity_stable")
 
 
 @query("SELECT lpad((p_partkey % 9999)::VARCHAR, 4, '0') AS postal_code, arg_max(p_name, p_partkey) AS name FROM part WHERE p_size % 4 <> 0 AND p_partkey % 9999 > 0 GROUP BY 1")
 def postal_names(spark, d):
     entry = _json(plz=_s(_part() % 9999), ort=F.col("p_name"), adressierbar=F.when(_size() % 4 == 0, "Nein").otherwise("Ja"))
-    listed = table(spark, d, "part").filter("p_partkey % 9999 > 0").select(F.struct(_part().alias("k"), entry.alias("e")).alias("x")).groupBy((F.col("x.k") % 9999).alias("code")).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["e"]).alias("e"))
+    listed = _parts(spark, d).filter("p_partkey % 9999 > 0").select(F.struct(_part().alias("k"), entry.alias("e")).alias("x")).groupBy((F.col("x.k") % 9999).alias("code")).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["e"]).alias("e"))
     return homes.postal_names(listed.select(_payload(_json(data=F.col("e"))).alias("payload")))
 
 
@@ -181,7 +185,7 @@ def page_texts(spark, d):
     shown = F.when(_part() % 2 == 0, "Bad Ischl").otherwise("St. Johann  (Tirol)")
     where = F.when(_part() % 3 == 0, _cat("A-4020 ", shown, ", 4020  ", shown)).when(_part() % 3 == 1, _cat("In 4021 ", shown, ".")).otherwise(_cat("4020 ", shown, " 4021 ", shown))
     url = _cat(F.when(_size() % 2 == 0, "https://www.IS24.at/expose/X").otherwise("https://other.at/expose/X"), _part(), "?q=1")
-    return table(spark, d, "part").select("p_partkey", text.visible_text(page).alias("shown"), text.postal_beside(where, name).alias("code"), text.provider_identity(url, ("www.is24.at",), r"^/expose/([a-z0-9]+)", "is24").alias("provider"))
+    return _parts(spark, d).select("p_partkey", text.visible_text(page).alias("shown"), text.postal_beside(where, name).alias("code"), text.provider_identity(url, ("www.is24.at",), r"^/expose/([a-z0-9]+)", "is24").alias("provider"))
 
 
 KEYS = {"explicit": "$.id", "ad_tenant": "$.t", "ad_id": "$.ad", "req_tenant": "$.t", "req_site": "$.s", "req_id": "$.r"}
@@ -194,14 +198,14 @@ def payload_facts(spark, d):
     ))
     flag = F.when(_size() % 5 == 0, '{"f":true}').otherwise('{"f":"true"}')
     said = F.when(_size() % 2 == 0, "we use c plus plus here").otherwise("we use c plusplus")
-    return table(spark, d, "part").select("p_partkey", text.job_identity(payload, KEYS).alias("identity"), sync.stable(payload).alias("stable"), text.json_true(flag, "f").alias("is_true"), text.contains_alias(said, F.lit("c plus plus")).alias("has_alias"))
+    return _parts(spark, d).select("p_partkey", text.job_identity(payload, KEYS).alias("identity"), sync.stable(payload).alias("stable"), text.json_true(flag, "f").alias("is_true"), text.contains_alias(said, F.lit("c plus plus")).alias("has_alias"))
 
 
 @query("""SELECT p_partkey, p_size % 2 = 0 AND p_size % 3 <> 0 AS same, CASE WHEN p_size % 2 = 0 THEN 'Haus mit Garten in Linz ' || p_partkey ELSE 'Haus mit Garten' END AS title, replace(format('{:,}', p_size * 1000), ',', '.') || ' €' AS price, 'strasse ' || p_size AS folded FROM part""")
 def detail_facts(spark, d):
     detail = F.when(_size() % 2 == 0, _cat("Haus mit Garten in Linz ", _part())).otherwise("Wohnung")
     same = facts.facts_match(F.lit("1"), F.lit("1"), F.lit("4020"), F.when(_size() % 3 == 0, "4021"), detail, F.lit("Haus mit Garten"))
-    return table(spark, d, "part").select("p_partkey", same.alias("same"), facts.safer_title(F.lit("Haus mit Garten"), detail).alias("title"), text.eur_label(_size() * 1000).alias("price"), text.folded_title(_cat(" Straße  ", _size())).alias("folded"))
+    return _parts(spark, d).select("p_partkey", same.alias("same"), facts.safer_title(F.lit("Haus mit Garten"), detail).alias("title"), text.eur_label(_size() * 1000).alias("price"), text.folded_title(_cat(" Straße  ", _size())).alias("folded"))
 
 
 @query("""SELECT p_partkey, p_size || ',5' AS living, CASE WHEN p_size % 2 = 0 THEN '1.' || lpad(p_size::VARCHAR, 3, '0') END AS plot, CASE WHEN p_size % 3 = 0 THEN '{"__typename": "A", "n": ' || p_size || '}' END AS found FROM part""")
@@ -209,14 +213,14 @@ def page_areas(spark, d):
     said = _cat("Wohnfläche: ", _size(), ",5 m² ", F.when(_size() % 2 == 0, _cat("1.", F.lpad(_s(_size()), 3, "0"), " m² Grundstück")).otherwise("77 m² Garten"))
     areas = facts.label_values(said, {"living": "Wohnfläche", "plot": "Grundstück"})
     source = _cat('x "k": {"__typename": "B", "n": {"a": "}"}}, "k": {"__typename": "', F.when(_size() % 3 == 0, "A").otherwise("C"), '", "n": ', _size(), "}")
-    return table(spark, d, "part").select("p_partkey", *(v.alias(k) for k, v in areas.items()), facts.typed_object(source, F.lit("k"), F.lit("A")).alias("found"))
+    return _parts(spark, d).select("p_partkey", *(v.alias(k) for k, v in areas.items()), facts.typed_object(source, F.lit("k"), F.lit("A")).alias("found"))
 
 
 @query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 2000 WHEN 1 THEN 3000 END::DOUBLE AS minimum, CASE WHEN p_size % 3 = 0 THEN 4000 END::DOUBLE AS maximum, CASE WHEN p_size % 3 = 0 THEN 'EUR' END AS currency FROM part""")
 def salary_enriched(spark, d):
     # A stored minimum of 3,000 contradicts the text, so that row stays as it is; where there is no salary in the text there is nothing to add.
     said = salary.salary_of(F.when(_size() % 3 < 2, "Monatsgehalt von 2.000 EUR bis 4.000 EUR").otherwise("Gehalt nach Vereinbarung"))
-    rows = table(spark, d, "part").select("p_partkey", F.when(_size() % 3 == 1, 3000).cast("decimal(12,2)").alias("old"), said.alias("s"))
+    rows = _parts(spark, d).select("p_partkey", F.when(_size() % 3 == 1, 3000).cast("decimal(12,2)").alias("old"), said.alias("s"))
     none = F.lit(None)
     new = salary.enriched({"minimum": F.col("old"), "maximum": none.cast("decimal(12,2)"), "currency": none.cast("string")}, {"minimum": F.col("s.minimum"), "maximum": F.col("s.maximum"), "currency": F.col("s.currency")})
     return rows.select("p_partkey", new["minimum"].cast("double").alias("minimum"), new["maximum"].cast("double").alias("maximum"), new["currency"].alias("currency"))
@@ -246,7 +250,7 @@ def stepstone_cards(spark, d):
     text = F.when(_part() % 3 == 0, f"vor 3 Tagen {LONG}").when(_part() % 3 == 1, f"Heute suchen wir: {LONG}").otherwise(_cat(f"{LONG} ", _part()))
     link = _cat('href="/stellenangebote--', F.lit("x-y"), "--", _part(), '-inline.html?a=1"')
     page = _cat("<a ", link, "><div>.res-1a {display: none}</div></a><span>lost</span><a class=t ", link, "><div>@media x {a:b} Job &amp; ", F.col("p_name"), "</div></a><span>Neu</span><b>", F.col("p_brand"), "</b><a href='/x'>Mehr</a><i>", place, "</i><i>vor 3 Tagen</i><p>kurz</p><p>", text, "</p>")
-    rows = boards.stepstone(table(spark, d, "part").select(_cat("<div>", page).alias("payload")))
+    rows = boards.stepstone(_parts(spark, d).select(_cat("<div>", page).alias("payload")))
     return rows.select(F.col("job_id").cast("long").alias("p_partkey"), "title", "company", "city", "postal_code", "description")
 
 
@@ -257,7 +261,7 @@ def willhaben_cards(spark, d):
     metas = ("12.03. | Vollzeit, Freiberuflich, 4020 Linz, Teilzeit", "12.03. |Wels, Geringfügig", "12.03. | 4020 Linz", "12.03. | Traineeship, Vollzeit")
     meta = F.element_at(F.array(*map(F.lit, metas)), (_size() % 4 + 1).cast("int"))
     page = _cat('<a href="https://www.willhaben.at/jobs/job/a-b/', _part(), '">', F.col("p_name"), "<em>Neu - bewirb dich gleich</em></a><i>Merken</i><b>", name, "</b><p>", meta, f"</p><p>{LONG * 2} ", _part(), f"</p><p>{LONG * 2}</p>")
-    rows = boards.willhaben(table(spark, d, "part").select(page.alias("payload")))
+    rows = boards.willhaben(_parts(spark, d).select(page.alias("payload")))
     return rows.select(F.col("job_id").cast("long").alias("p_partkey"), "title", "company", "postal_code", "city", "published", "description")
 
 
@@ -267,7 +271,7 @@ def board_pay(spark, d):
         _cat("<p>Gehalt nach Vereinbarung</p><p>ok</p><p>ok</p><b>Bruttogehalt</b> <i>", _part(), "&nbsp;EUR pro Monat</i>"), _cat("<p>Gehalt laut KV</p><p>€ ", _part(), "</p><p>/ Jahr x</p>"),
         _cat("<script>Gehalt 1 EUR monatlich</script><p>", _part(), " EUR monatlich</p>"), _cat("<p>Mindestentgelt: siehe</p><p>a</p><p>b</p><p>€ ", _part(), "</p><p>j&auml;hrlich</p>"),
     )
-    rows = boards.willhaben_pay(table(spark, d, "part").select("p_partkey", F.element_at(F.array(*texts), (_size() % 4 + 1).cast("int")).alias("payload")))
+    rows = boards.willhaben_pay(_parts(spark, d).select("p_partkey", F.element_at(F.array(*texts), (_size() % 4 + 1).cast("int")).alias("payload")))
     return rows.select("p_partkey", "pay_text")
 
 
@@ -280,7 +284,7 @@ def detail_places(spark, d):
         data("Bad Ischl") + "<p>Kommen Sie nach A-4820 Bad&nbsp;Ischl!</p>", data("Linz") + "<p>4020 Linz oder 4030 Linz</p>", bare + "<p>Dienstort</p><p>Steyr</p><p>4400 Steyr</p>",
         bare + "<h2>Maler - 3 - Team</h2><p>9020 Klagenfurt, Kärnten - vor 2 Tagen</p>", "<p>Maler - Anstreicher</p>", data("Wels", ',"postalCode":"4600"') + "<p>4020 Wels</p>",
     )
-    rows = boards.detail_places(table(spark, d, "part").select("p_partkey", F.element_at(F.array(*map(F.lit, texts)), (_size() % 6 + 1).cast("int")).alias("payload")))
+    rows = boards.detail_places(_parts(spark, d).select("p_partkey", F.element_at(F.array(*map(F.lit, texts)), (_size() % 6 + 1).cast("int")).alias("payload")))
     return rows.select("p_partkey", F.array_join(F.transform("places", lambda p: F.concat(F.coalesce(p["city"], F.lit("")), F.lit("/"), F.coalesce(p["postal_code"], F.lit("")))), ";").alias("places"))
 
 
@@ -289,9 +293,9 @@ def detail_places(spark, d):
 CASE WHEN p_size % 5 < 2 AND p_partkey % 3 = 0 THEN '9020' END AS postal_code, p_size % 5 < 2 AND p_partkey % 3 <> 1 AS repaired FROM part WHERE p_size % 5 <> 4""")
 def repaired_places(spark, d):
     size, k = _size(), _part()
-    rows = table(spark, d, "part").filter("p_size % 5 <> 4").select(k.alias("job_id"), F.when(size % 5 == 0, "Kärnten").when(size % 5 == 2, "Villach").when(size % 5 == 3, "Tirol").alias("city"), F.lit(None).cast("string").alias("postal_code"), F.lit("Kärnten").alias("location_text"), F.when(size % 5 == 3, 14.0).alias("lon"))
+    rows = _parts(spark, d).filter("p_size % 5 <> 4").select(k.alias("job_id"), F.when(size % 5 == 0, "Kärnten").when(size % 5 == 2, "Villach").when(size % 5 == 3, "Tirol").alias("city"), F.lit(None).cast("string").alias("postal_code"), F.lit("Kärnten").alias("location_text"), F.when(size % 5 == 3, 14.0).alias("lon"))
     line = F.when(k % 3 == 0, "9020 Klagenfurt, Kärnten - gestern").when(k % 3 == 1, "Kärnten - heute").otherwise("Klagenfurt - Online gestellt vor 1 Tag")
-    pages = table(spark, d, "part").select(k.alias("job_id"), _cat("<h1>x</h1><p>", line, "</p>").alias("payload"))
+    pages = _parts(spark, d).select(k.alias("job_id"), _cat("<h1>x</h1><p>", line, "</p>").alias("payload"))
     return boards.repaired_places(rows, pages).select("job_id", "city", "postal_code", "repaired")
 
 
@@ -300,7 +304,7 @@ CASE WHEN p_size % 2 <> 0 AND p_size % 3 <> 0 THEN 'no_id' END AS error FROM par
 def successfactors_pages(spark, d):
     place = F.when(_size() % 5 == 0, "Linz, AT; München, DE; Wels, Austria; Linz, AT").otherwise("Graz, Österreich")
     page = _cat("<h1>x</h1><p>Arbeitsort: ", place, "</p><p>Beschreibung:</p><p>Wir suchen</p><p>", F.col("p_name"), "</p>", F.when(_size() % 2 == 0, _cat("<b>Stellenanforderungs-ID:</b><i>R", _part(), "</i>")).otherwise("<b>Similar Jobs</b>"))
-    rows = boards.successfactors(table(spark, d, "part").select(_cat("https://sf/job/", F.when(_size() % 3 == 0, _s(_part())).otherwise(_cat("p", _part())), "#", _part()).alias("url"), page.alias("payload")))
+    rows = boards.successfactors(_parts(spark, d).select(_cat("https://sf/job/", F.when(_size() % 3 == 0, _s(_part())).otherwise(_cat("p", _part())), "#", _part()).alias("url"), page.alias("payload")))
     return rows.select(F.regexp_extract("url", r"#(\d+)$", 1).cast("long").alias("p_partkey"), "identity", F.array_join("cities", ";").alias("cities"), "description", "error")
 
 
@@ -309,7 +313,7 @@ UNION ALL SELECT 'direct:b:' || p_partkey, CASE WHEN p_size % 3 <> 0 THEN 'Elsbe
 def company_site_jobs(spark, d):
     first = _cat("<h1>Join Team Possible!</h1><h2>Title</h2><p>", F.when(_size() % 3 == 0, "Worldwide").otherwise("Marchtrenk, Austria"), "</p><h3>Your tasks:</h3><p>", F.col("p_name"), "</p><h3>Offer</h3>", F.when(_size() % 2 == 0, "<b>Gehalt</b><i>ab 3.000</i><i>Euro</i>").otherwise("<b>gratis Obst</b>"))
     second = _cat(F.when(_size() % 5 == 0, "").otherwise(_cat("<h3>Your tasks:</h3><p>", F.col("p_name"), "</p>")), "<h3>Offer</h3>", F.when(_size() % 3 == 0, "").otherwise("<p>Moosstraße 1, 5061 Elsbethen/Glasenbach</p><p>AT</p>"), "<p>footer</p>")
-    pages = lambda x: table(spark, d, "part").select(_s(_part()).alias("job_id"), x.alias("payload"))
+    pages = lambda x: _parts(spark, d).select(_s(_part()).alias("job_id"), x.alias("payload"))
     labels = {"starts": ("your tasks:",), "stops": ("offer",)}
     both = boards.company_pages(pages(first), site="a", title="join team possible", **labels).unionByName(boards.company_pages(pages(second), site="b", **labels))
     return both.select("identity", "city", "description", "pay_text")
@@ -324,7 +328,7 @@ def broker_cards(spark, d):
 def _cards(spark, d) -> DataFrame:
     facts = F.when(_size() % 3 == 0, "Haus ohne Angaben").otherwise(_cat("Haus ", _part(), " mit Garten – 4020 Linz ", _size(), ",5 m² ", F.when(_size() % 3 == 1, "Wohnfläche").otherwise("Grundfläche"), " € ", F.translate(F.format_number(_size() * 1000, 0), ",", ".")))
     link = lambda x: _cat('<a class="c" href="/haus/id-', _part(), '">', x, "</a>")
-    return boards.broker_cards(table(spark, d, "part").select(_cat(link(F.lit("<img> mehr")), link(facts), '<a href="/kontakt">Kontakt</a>').alias("payload")), r"(?is)/haus/id-(\d+)")
+    return boards.broker_cards(_parts(spark, d).select(_cat(link(F.lit("<img> mehr")), link(facts), '<a href="/kontakt">Kontakt</a>').alias("payload")), r"(?is)/haus/id-(\d+)")
 
 
 @query("SELECT count(*) AS cards, count(*) FILTER (p_size % 3 <> 0) AS whole, count(*) FILTER (p_size % 3 <> 0) >= count(*) * 0.9 AS sound FROM part")
@@ -334,14 +338,14 @@ def broker_scan(spark, d):
 
 @query("""SELECT p_partkey AS listing_id, CASE WHEN p_size % 2 = 0 THEN 99 WHEN p_size % 3 = 1 THEN p_size + 0.5 END::DOUBLE AS living, CASE WHEN p_size % 4 = 1 THEN 'other_id' END AS error FROM part""")
 def broker_details(spark, d):
-    details = table(spark, d, "part").select(_s(_part()).alias("listing_id"), F.when(_size() % 4 == 1, "0").otherwise(_s(_part())).alias("shown_id"), F.when((_size() % 2 == 0) | (_size() % 4 == 1), 99).cast("decimal(14,2)").alias("living"))
+    details = _parts(spark, d).select(_s(_part()).alias("listing_id"), F.when(_size() % 4 == 1, "0").otherwise(_s(_part())).alias("shown_id"), F.when((_size() % 2 == 0) | (_size() % 4 == 1), 99).cast("decimal(14,2)").alias("living"))
     rows = boards.with_details(_cards(spark, d), details, ("living",))
     return rows.select(F.col("listing_id").cast("long"), F.col("living").cast("double"), "error")
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'i' || p_partkey END AS image FROM part")
 def card_images(spark, d):
-    part = table(spark, d, "part")
+    part = _parts(spark, d)
     cards = part.select("p_partkey", _cat("https://H.at/x/", _part(), "/#top").alias("url"))
     shots = lambda page, of: part.filter(_size() % 2 == 0).select(F.lit(page).alias("page"), _cat("HTTPS://h.at/x/", _part()).alias("url"), of.alias("image"))
     return boards.with_images(cards, shots(1, _cat("i", _part())).unionByName(shots(2, F.lit("later")))).select("p_partkey", "image")
@@ -349,7 +353,7 @@ def card_images(spark, d):
 
 @query("""SELECT 't' || p_partkey AS tenant_key, p_size % 2 = 0 AS known, CASE WHEN p_size % 2 = 0 THEN 'mine' ELSE p_brand END AS company, CASE WHEN p_size % 2 = 0 THEN 'own' ELSE 'seed' END AS a, CASE WHEN p_size % 3 <> 0 THEN 'seed' END AS b FROM part WHERE p_size % 2 = 0 OR p_size % 3 <> 0""")
 def seeded_tenants(spark, d):
-    part, key = table(spark, d, "part"), _cat("t", _part())
+    part, key = _parts(spark, d), _cat("t", _part())
     stored = part.filter(_size() % 2 == 0).select(F.lit("n").alias("namespace"), key.alias("tenant_key"), F.lit("mine").alias("company"), F.lit(False).alias("enabled"), F.create_map(F.lit("a"), F.lit("own")).alias("config"))
     seeds = part.filter(_size() % 3 != 0).select(F.lit("n").alias("namespace"), key.alias("tenant_key"), F.col("p_brand").alias("company"), F.lit(True).alias("enabled"), F.create_map(F.lit("a"), F.lit("seed"), F.lit("b"), F.lit("seed")).alias("config"))
     rows = boards.seeded_tenants(stored, seeds)
@@ -372,4 +376,4 @@ def labels_for_readers(spark, d):
     third = _size() % 3
     some = lambda n, x: F.when(third == n, x)
     filters = labels.filter_summary(place=F.when(third > 0, "Linz").otherwise(""), radius_km=F.when(third == 1, 25.0).when(third == 2, 2.5), price=(F.when(third > 0, a), some(1, b)), areas={"Wohnfläche": (some(1, a), F.lit(None).cast("long")), "Grundstück": (F.lit(None).cast("long"), some(2, b))})
-    return table(spark, d, "part").select("p_partkey", pay.alias("pay"), place.alias("place"), labels.price_label(F.when(third != 0, b)).alias("price"), filters.alias("filters"))
+    return _parts(spark, d).select("p_partkey", pay.alias("pay"), place.alias("place"), labels.price_label(F.when(third != 0, b)).alias("price"), filters.alias("filters"))

@@ -26,3 +26,8 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dealt(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table dealt over four tasks a core by a unique key: a compact file is few tasks, however long the work on each row is."""
+    return table(spark, sf_dir, name).repartition(4 * spark.sparkContext.defaultParallelism, key)

@@ -13,7 +13,7 @@ from brickyard.operators import locality, rollups
 from brickyard.sources import homes
 from brickyard.streaming import journal, lastseen
 
-from .registry import query, table
+from .registry import dealt, query, table
 
 # Topic and kind of events: of every 7 one has a topic that isn't known, of every 11 one a blank kind.
 TOPIC = "CASE WHEN event_id % 7 = 0 THEN 'other' WHEN event_id % 2 = 0 THEN 'jobs' ELSE 'houses' END"
@@ -124,7 +124,7 @@ def archived_exports(spark, d):
     k, size = F.col("p_partkey"), F.col("p_size")
     head = F.concat(F.lit('<openimmo><uebertragung umfang="'), F.when(size % 2 == 0, "VOLL").otherwise("TEIL"), F.lit('"/><anbieter><immobilie><objektkategorie><vermarktungsart KAUF="1"/><objektart><haus/></objektart></objektkategorie><geo><plz>4020</plz></geo><preise><kaufpreis>'))
     xml = F.concat(head, size.cast("string"), F.lit("000</kaufpreis></preise><freitexte><objekttitel>"), F.col("p_name"), F.lit("</objekttitel></freitexte><verwaltung_techn><objektnr_extern>o"), k.cast("string"), F.lit("</objektnr_extern></verwaltung_techn></immobilie></anbieter></openimmo>"))
-    files = table(spark, d, "part").select(k.alias("k"), xml.alias("xml")).mapInPandas(lambda parts: (_exports(p) for p in parts), "path string, content binary")
+    files = dealt(spark, d, "part", "p_partkey").select(k.alias("k"), xml.alias("xml")).mapInPandas(lambda parts: (_exports(p) for p in parts), "path string, content binary")
     return homes.archived_homes(files).select("listing_key", "title", F.col("price").cast("double"), "postal_code", "full", "path")
 
 

@@ -406,3 +406,21 @@ def test_equal_circles_are_counted_once(spark):
     centres = spark.createDataFrame([(i, 14.0, 48.0, 5) for i in range(6)] + [(8, None, None, 5), (9, 0.0, 0.0, 5), (10, 14.0, 48.0, 0)], "filter_id int, centre_lon double, centre_lat double, radius_km int")
     counted = radius.within_counts(points, centres)
     assert {r.filter_id: r.n for r in counted.collect()} == {**dict.fromkeys(range(6), 2), 8: None, 9: None, 10: None}
+
+
+def test_company_pages_are_read_after_they_are_dealt(spark):
+    """A filter on what a page says isn't evaluated before the rows are dealt over tasks."""
+    from brickyard.sources import boards
+
+    raw = spark.range(4).select(F.col("id").cast("string").alias("job_id"), F.lit("<h1>Join us</h1><p>Linz, Austria</p><h3>Tasks</h3><p>Draw</p><h3>Offer</h3>").alias("payload")).repartition(8, "job_id")
+    rows = boards.company_pages(raw, site="a", title="join us", starts=("tasks",), stops=("offer",))
+    before = rows._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1]
+    assert "Filter" not in before and rows.filter("city = 'Linz'").count() == 4
+
+
+def test_compact_tables_are_dealt_over_tasks(spark):
+    from brickyard.plans import QUERIES
+
+    d, least = "/root/testdata/sf0.001", 4 * spark.sparkContext.defaultParallelism
+    for name in ("stepstone_cards", "willhaben_cards", "openimmo_homes", "archived_exports"):
+        assert QUERIES[name](spark, d).rdd.getNumPartitions() >= least, name
