@@ -259,7 +259,8 @@ def company_pages(raw: DataFrame, *, site: str, starts: tuple[str, ...], stops:
     out; else it is the last "code city ... AT" in a window of up to three
     nodes, and a missing place or description is an error.
     """
-    rows = raw.withColumn("nodes", text_nodes(F.col("payload"))).withColumn("description", between(F.col("nodes"), starts, stops))
+    # Behind a generator the filter below isn't pushed to where the pages are read, which would read each twice, and once in the tasks of a compact file.
+    rows = raw.withColumn("_nodes", text_nodes(F.col("payload"))).select(*raw.columns, F.explode(F.array("_nodes")).alias("nodes")).withColumn("description", between(F.col("nodes"), starts, stops))
     identity = F.concat(F.lit(f"direct:{site}:"), "job_id")
     if title is not None:
         near = between(F.col("nodes"), (title,), starts)
