@@ -28,7 +28,8 @@ def resolved(incoming: DataFrame, stored: DataFrame, rules: dict[str, list[str]]
     """
     def on(rule: int, name: str, keys: list[str]) -> DataFrame:
         left = incoming.select("row_id", *keys).dropna(subset=keys)
-        right = stored.select("listing_id", "entity_id", *keys).dropna(subset=keys)
+        # Only the smallest listing of a key can win, so a key of many stored rows meets each incoming row once.
+        right = stored.dropna(subset=keys).groupBy(*keys).agg(F.min("listing_id").alias("listing_id"), F.min_by("entity_id", "listing_id").alias("entity_id"))
         return left.join(right, keys).select("row_id", F.lit(rule).alias("rule"), F.lit(name).alias("by"), "listing_id", "entity_id")
 
     found = reduce(DataFrame.unionByName, (on(n, name, keys) for n, (name, keys) in enumerate(rules.items())))

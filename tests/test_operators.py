@@ -424,3 +424,13 @@ def test_compact_tables_are_dealt_over_tasks(spark):
     d, least = "/root/testdata/sf0.001", 4 * spark.sparkContext.defaultParallelism
     for name in ("stepstone_cards", "willhaben_cards", "openimmo_homes", "archived_exports"):
         assert QUERIES[name](spark, d).rdd.getNumPartitions() >= least, name
+
+
+def test_a_key_of_many_stored_rows_meets_each_incoming_row_once(spark):
+    stored = spark.range(500).select(F.col("id").alias("listing_id"), (F.col("id") + 1000).alias("entity_id"), F.lit(1).alias("source_id"), F.col("id").alias("listing_key"), F.lit(7).alias("identity"), F.lit("u").alias("url"))
+    incoming = spark.range(40).select(F.col("id").alias("row_id"), F.lit(1).alias("source_id"), (F.col("id") + 480).alias("listing_key"), F.lit(7).alias("identity"), F.lit("u").alias("url"))
+    found = identity.resolved(incoming, stored)
+    assert {(r.row_id, r.entity_id, r.by) for r in found.collect()} == {(i, i + 1480, "listing") if i < 20 else (i, 1000, "identity") for i in range(40)}
+    # Each rule gives an incoming row one row at most: no join in the plan meets stored rows that aren't reduced first.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("min_by(") >= len(identity.JOB_RULES)
