@@ -143,20 +143,24 @@ def fit(texts: pa.Array, y: np.ndarray, *, bits: int = BITS, epochs: int = 4, al
     return Model(w, bias, scale, bits)
 
 
-def score(docs: DataFrame, scores, *, text_col: str = "text", name: str = "score") -> DataFrame:
+def score(docs: DataFrame, scores, *, text_col: str = "text", name: str = "score", keep_text: bool = False) -> DataFrame:
     """Adds ``scores(data, offsets)`` of the texts as a double, batch by batch and without a shuffle.
 
     Null and empty texts are scored as texts without words. A column of that
-    name is replaced; repeated rows stay repeated.
+    name is replaced; repeated rows stay repeated. With ``keep_text`` the
+    text (a string) stays, and goes to the workers once.
     """
-    kept = [c for c in docs.columns if c.lower() != name and c != text_col]
+    kept = [c for c in docs.columns if c.lower() != name and (keep_text or c != text_col)]
+    own = [F.col(f"`{c}`") for c in kept]
+    sent = own if keep_text else [*own, F.col(f"`{text_col}`").cast("string")]
+    at_text = kept.index(text_col) if keep_text else len(kept)
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(name, T.DoubleType())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(kept))
+            texts = batch.column(at_text)
             for at, to in byte_slices(texts, SLICE_BYTES):
                 found = scores(*buffers(texts.slice(at, to - at)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, to - at) for i in range(len(kept))), pa.array(found, pa.float64())], names=schema.names)
 
-    return docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").cast("string")).mapInArrow(apply, schema)
+    return docs.select(*sent).mapInArrow(apply, schema)

@@ -35,8 +35,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     usable = labelled.remainder(F.col("doc_id"), 4) != 2
     table = labelled.sample(docs, labels, "quality", usable, most=SAMPLE_ROWS)
     model = classifier.fit(table.column("text").combine_chunks(), table.column("y").to_numpy())
-    text, score = fresh(docs.columns, "_text", "_score")
-    scored = classifier.score(docs.withColumn(text, F.col("text")), model.scores, text_col=text, name=score)
+    (score,) = fresh(docs.columns, "_score")
+    scored = classifier.score(docs, model.scores, name=score, keep_text=True)
     return scored.filter(F.col(score) >= LEAST_QUALITY).select(*docs.columns)
 
 

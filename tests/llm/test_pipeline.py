@@ -175,3 +175,15 @@ def test_stages_on_odd_rows(spark, name):
         assert ids == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1, None: 2}
     else:
         assert set(after) <= set(before) and max(Counter(after).values()) <= 6 and ids[5] > 0
+
+
+def test_the_quality_stage_sends_each_text_once(spark):
+    import numpy as np
+
+    from brickyard.llm import classifier
+
+    docs = spark.createDataFrame([(1, "a b", "de", 3), (2, None, "en", 0), (3, "", None, 0)], "doc_id long, text string, lang string, n_chars long")
+    found = classifier.score(docs, classifier.Model(np.zeros(1 << classifier.BITS), 0.0).scores, keep_text=True)
+    assert sorted(map(tuple, found.collect())) == [(1, "a b", "de", 3, 0.5), (2, None, "en", 0, 0.5), (3, "", None, 0, 0.5)]
+    sent = next(x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Scan" in x or "Project" in x)
+    assert sent.count("text#") == 1, sent
