@@ -318,3 +318,16 @@ def test_median_by_ranges(spark, values):
     rows = spark.createDataFrame([(v,) for v in [*values, None]], "x double")
     got = rollups.distribution(rows, "x").first()
     assert got.n == len(values) + 1 and got.x_median == (statistics.median(values) if values else None)
+
+
+def test_many_geodesics_are_those_of_single_pairs(spark):
+    """What depends on one point is computed before pairs are made; equal points, poles and the date line included."""
+    rng = random.Random(5)
+    points = [(rng.uniform(-180, 180), rng.uniform(-90, 90)) for _ in range(40)] + [(13.0, 47.0), (13.0, 47.00001), (180.0, 0.0), (-179.99, 0.01), (5.0, 90.0), (5.0, -90.0)]
+    a = spark.createDataFrame(points, "x1 double, y1 double")
+    b = spark.createDataFrame(points, "x2 double, y2 double")
+    of = lambda rows, n: rows.withColumn(f"lon{n}", F.col(f"x{n}")).withColumn(f"b{n}", geo.reduced_latitude(F.col(f"y{n}"))).withColumn(f"cos{n}", F.cos(f"b{n}"))
+    rows = geo.with_geodesic_m(of(a, 1).crossJoin(of(b, 2))).withColumn("want", geo.geodesic_m(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))).collect()
+    near = [r for r in rows if r.want is not None and r.want < 19_000_000]
+    assert len(near) > 1800 and all(abs(r.metres - r.want) < 1e-5 for r in near)
+    assert all(r.metres == 0 for r in rows if (r.x1, r.y1) == (r.x2, r.y2))
