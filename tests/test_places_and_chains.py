@@ -345,3 +345,56 @@ def test_equal_jobs_are_compared_once(spark):
     got = {(r.left_id, r.right_id): r.confidence for r in dedupe.evidence(data).collect()}
     assert set(got) == {(a, b) for a in range(40) for b in range(a + 1, 40)} | {(50, 51)}
     assert got[(50, 51)] == "medium" and got[(0, 4)] == "high"
+
+
+def test_rows_go_narrow_through_the_shuffle_of_a_radius_join(spark):
+    """What is computed of a row, unit vectors too, comes after the shuffle; a shown row is some three copies there."""
+    h = spark.createDataFrame([(i, 13 + i % 50 / 40, 47 + i // 50 / 40) for i in range(500)], "home_id long, lon double, lat double")
+    p = spark.createDataFrame([(i, 13 + i / 50, 47.5) for i in range(40)], "location_id long, job_lon double, job_lat double")
+    pairs = radius.radius_join(h, p, 10, left_adds={"twice": F.col("lon") * 2}, right_adds={"half": F.col("job_lat") / 2})
+    assert all((r.twice, r.half) == (r.lon * 2, r.job_lat / 2) for r in pairs.collect())
+
+    def nodes(plan):
+        yield plan
+        for i in range(plan.children().size()):
+            yield from nodes(plan.children().apply(i))
+
+    sent = [{n.output().apply(i).name() for i in range(n.output().size())} for n in nodes(geo.with_geodesic_m(_with_points(pairs))._jdf.queryExecution().executedPlan().initialPlan()) if n.nodeName() == "Exchange"]
+    assert sorted(sent, key=sorted) == sorted(({"home_id", "lon", "lat", "_band", "_column"}, {"location_id", "job_lon", "job_lat", "_band", "_column"}), key=sorted)
+    size = F.lit(10.0 * radius.WIDTH)
+    assert radius.shown(h, "lon", "lat", F.lit(10.0), size).count() < 3.2 * h.count()
+
+
+def _with_points(pairs):
+    return pairs.withColumns(geo.geodesic_point(F.col("lon"), F.col("lat"), 1) | geo.geodesic_point(F.col("job_lon"), F.col("job_lat"), 2))
+
+
+@pytest.mark.parametrize("name", AREAS)
+def test_pages_of_shown_rows_lose_no_pair(spark, name, monkeypatch):
+    """Pages are bounded, even those of many rows at one point, and whatever their size the pairs are the same."""
+    rng = random.Random(name)
+    lon, lat = AREAS[name]
+    point = lambda: ((rng.uniform(*lon) + 180) % 360 - 180, rng.uniform(*lat))
+    hot = point()
+    homes = [(i, *point()) for i in range(120)] + [(1000 + i, *hot) for i in range(30)] + [(2000, None, 1.0), (2001, float("nan"), 1.0)]
+    places = [(i, *point()) for i in range(120)] + [(900 + i, *hot) for i in range(30)] + [(990, 1.0, None)]
+    h = spark.createDataFrame(homes, "home_id long, lon double, lat double")
+    p = spark.createDataFrame(places, "location_id long, job_lon double, job_lat double")
+    want = {(x[0], y[0]) for x in homes[:-2] for y in places[:-1] if _km(*x[1:], *y[1:]) <= 25}
+    monkeypatch.setattr(radius, "PAGE", 7)
+    for parts, side in ((1, "left"), (4, "right")):
+        monkeypatch.setattr(radius, "PARTS", parts)
+        got = [(r.home_id, r.location_id) for r in radius.radius_join(h, p, 25, shown_side=side).collect()]
+        assert len(got) == len(want) and set(got) == want
+    rows = radius._unit(radius.shown(h.filter("home_id < 2000"), "lon", "lat", F.lit(25.0), F.lit(75.0)), "lon", "lat", "_b")
+    sizes = [len(r._rows) for r in radius._pages(rows, "lon", "lat", 6.25).collect()]
+    assert sum(sizes) == rows.count() and max(sizes) == 7
+
+
+def test_short_lines_by_series_are_those_by_sines(spark):
+    """On both sides of where series end, down to less than a metre and to equal points."""
+    rng = random.Random(8)
+    rows = [(x, y, x + rng.choice((-1, 1)) * d * rng.random(), y + d * rng.random()) for d in (1e-6, 1e-4, 1e-2, 0.1, 0.5, 0.57, 0.6, 1.0, 1.2, 3.0) for x, y in [(rng.uniform(9, 17), rng.uniform(46, 49)) for _ in range(30)]] + [(14.0, 48.0, 14.0, 48.0)]
+    pairs = _with_points(spark.createDataFrame(rows, "lon double, lat double, job_lon double, job_lat double"))
+    got = geo.with_geodesic_m(pairs).withColumn("want", geo.geodesic_m(F.col("lon"), F.col("lat"), F.col("job_lon"), F.col("job_lat"))).collect()
+    assert len(got) == len(rows) and all(abs(r.metres - r.want) < 1e-7 for r in got) and got[-1].metres == 0
